@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import dac, packing, simhash
 from .common import documents
 
 
@@ -14,8 +14,25 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.read_tokens(dac.write_tokens(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_packing": op3_packing,
+    "op8_dac": op8_dac,
 }
 
 ORACLE: dict[str, str] = {}
