@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, packing, simhash
+from . import dac, gif, langid, packing, quality, simhash
 from .common import documents
 
 
@@ -25,14 +25,29 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
+def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_texts(spark, documents(spark, sf_dir))
+
+
 def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark, documents(spark, sf_dir))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
+    "op4_gif": op4_gif,
     "op8_dac": op8_dac,
+    "op9_langid": op9_langid,
+    "op10_quality": op10_quality,
 }
 
 ORACLE: dict[str, str] = {}
