@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dac, gif, langid, packing, quality, simhash
+from . import dac, decontaminate, gif, langid, packing, quality, simhash, urls
 from .common import documents
 
 
@@ -29,6 +29,14 @@ def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(spark, documents(spark, sf_dir))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0))
 
@@ -45,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op4_gif": op4_gif,
+    "op5_urls": op5_urls,
+    "op6_decontaminate": op6_decontaminate,
     "op8_dac": op8_dac,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
