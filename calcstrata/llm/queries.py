@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dac, decontaminate, gif, langid, packing, quality, simhash, urls
+from . import dac, decontaminate, gif, langid, packing, quality, simhash, suffixes, urls
 from .common import documents
 
 
@@ -37,6 +38,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(spark, documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read_tokens(dac.write_tokens(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0))
 
@@ -55,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_gif": op4_gif,
     "op5_urls": op5_urls,
     "op6_decontaminate": op6_decontaminate,
+    "op7_suffixes": op7_suffixes,
     "op8_dac": op8_dac,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
