@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, gif, langid, packing, quality, simhash, suffixes, urls
+from . import dac, decontaminate, gif, hpylm, langid, packing, quality, simhash, suffixes, urls
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, documents(spark, sf_dir))
 
 
+def op2_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score_documents(spark, documents(spark, sf_dir))
+
+
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -57,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_hpylm": op2_hpylm,
     "op3_packing": op3_packing,
     "op4_gif": op4_gif,
     "op5_urls": op5_urls,
