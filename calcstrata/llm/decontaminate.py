@@ -113,3 +113,9 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     back = back.groupBy(*key).agg(F.max("n").alias("most_back"))
     told = runs.join(forward, key, "left").join(back, key, "left").where((F.coalesce("most", F.lit(1)) == 1) & (F.coalesce("most_back", F.lit(1)) == 1))
     return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark passage is found; all columns stay."""
+    leaks = stored(spark, find_leaks(spark, docs, benchmark).select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)

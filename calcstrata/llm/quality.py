@@ -174,3 +174,19 @@ def rate(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: flo
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(stats, one, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least the threshold; all columns stay.
+
+    The model is learned as in ``rate``; rows are judged where they are read,
+    without a join.
+    """
+    stats = stored(spark, document_statistics(docs), "statistics").where(id_remainder(5) != 0)
+    model = fit(stats, labels)
+
+    def good(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], dtype=np.float64)
+        return batch.filter(pa.array(model.score(flat) >= threshold))
+
+    return map_batches(docs, good, docs.schema)

@@ -19,6 +19,7 @@ chunks, and each pair of chunks is its own task, which is exact for any size.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -108,6 +109,28 @@ def block_masks(width: int, blocks: int, radius: int) -> np.ndarray:
     return _packed(np.array([np.isin(of, c) for c in combinations(range(blocks), blocks - radius)]))
 
 
+def similar_bits(similarity: float) -> float:
+    """Share of equal bits expected of two shingle sets with this Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similarity_radius(similarity: float, width: int) -> int:
+    """Differing bits to allow: the expected number and one standard deviation."""
+    bits, p = 64 * width, similar_bits(similarity)
+    return round(bits * (1 - p) + math.sqrt(bits * p * (1 - p)))
+
+
+def similarity_masks(classes: int, similarity: float, width: int, recall: float = 0.92) -> np.ndarray:
+    """Bit samples for radii beyond the exact scheme: longer ones for more classes, and enough of them.
+
+    A pair at the similarity meets in one of the tables with probability
+    ``recall``; more similar pairs meet almost surely (0.997 at 0.9).
+    """
+    bits = max(14, math.ceil(math.log2(max(2, classes))) - 4)
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - similar_bits(similarity) ** bits))
+    return sampled_masks(width, tables, bits)
+
+
 def sampled_masks(width: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
     """Random sets of bits, for radii too large for the exact scheme."""
     rng = np.random.default_rng(seed)
@@ -234,6 +257,22 @@ def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, mask
     return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
 
 
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its near-duplicate group; all columns stay.
+
+    Rows that repeat a doc_id stay once; rows without doc_id all stay.
+    """
+    found = near_duplicates(spark, docs, words=words, width=width, similarity=similarity)
+    found = stored(spark, found.select("doc_id", "component_id"), "groups")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
 def near_duplicates(
     spark: SparkSession,
     docs: DataFrame,
@@ -241,7 +280,7 @@ def near_duplicates(
     radius: int = 3,
     width: int = 1,
     blocks: int = 5,
-    masks: np.ndarray | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_class): near-duplicate groups of whole texts.
 
@@ -251,13 +290,18 @@ def near_duplicates(
     linked like any other; repeated rows come out once each; a null doc_id
     keeps its row, has component_id null and links nothing; other columns of
     ``docs`` are ignored; an empty table gives an empty one. Linking is exact
-    unless ``masks`` (see ``sampled_masks``) are given.
+    for ``radius`` unless a ``similarity`` of shingle sets is given: then the
+    radius is the one that fingerprints of ``width`` words show for it, which
+    estimates the similarity, and candidates come from sampled bits.
     """
     names = [f"f{i}" for i in range(width)]
     prints = stored(spark, fingerprints(docs, words, width), "fingerprints")
     classes = prints.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"))
     classes = stored(spark, classes, "classes")
-    use = block_masks(width, blocks, radius) if masks is None else masks
+    if similarity is None:
+        use = block_masks(width, blocks, radius)
+    else:
+        use, radius = similarity_masks(classes.count(), similarity, width), similarity_radius(similarity, width)
     edges = links(spark, classes.where("rep is not null"), width, radius, use)
     reached = connected_components(spark, edges)
     named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*names, "n_class", F.coalesce("component", "rep").alias("component"))

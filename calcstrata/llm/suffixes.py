@@ -28,11 +28,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import parts
+from .common import map_batches, parts
 
 GRAM = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
+_M2 = np.uint64(int(_M) ** 2 & 0xFFFFFFFFFFFFFFFF)
 _BYTES = np.random.default_rng(3).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -59,7 +61,7 @@ def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h1 = _BYTES[np.frombuffer(data, np.uint8)]
     h2 = h1[:-1] * _M + h1[1:]
-    h4 = h2[:-2] * (_M * _M) + h2[2:]
+    h4 = h2[:-2] * _M2 + h2[2:]
     h8 = _mix(h4)[:-4] * _M + h4[4:]
     h16 = _mix(h8)[:-8] * _M + h8[8:]
     h = _mix(h16[:-4] * _M + h4[16:]) >> np.uint64(16)
@@ -449,12 +451,16 @@ def _remove(docs: pa.Table, flags: pa.Table, length: int) -> pa.Table:
         removed.append(int(gone.sum()))
         spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
         kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
-    return pa.table([docs.column("key"), docs.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["key", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    more = [x for x in docs.column_names if x not in ("home", "key", "doc_id", "text")]
+    columns = [docs.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), *(docs.column(x) for x in more)]
+    return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more])
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text without the passages that a smaller doc_id has.
 
+    ``carry`` names columns of ``docs`` to take along, and what to call them.
+
     Texts are UTF-8 bytes; null texts count as empty; matches never cross
     documents; texts shorter than ``length`` are left whole. Repeated rows
     and rows of one doc_id never remove each other's bytes and come out once
@@ -465,12 +471,38 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
         raise ValueError("length must be from 21 to 82")
     cells = parts(spark)
     homes = 4 * cells
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text").select(F.pmod("key", F.lit(homes)).cast("int").alias("home"), "key", "doc_id", "text")
+    taken = [F.col(x).alias(y) for x, y in (carry or {}).items()]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *taken).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("home", F.pmod("key", F.lit(homes)).cast("int"))
     asked = rows.where("doc_id is not null").select("key", "doc_id", "text").mapInArrow(lambda b: _ask(b, length, cells, homes), "cell int, data binary, kind byte")
     answers = asked.repartition(cells, "cell").mapInArrow(lambda b: _answer(b, homes), "home int, data binary")
     by_home = rows.groupBy("home")
     runs = by_home.cogroup(answers.groupBy("home")).applyInArrow(lambda d, r: _sort_runs(d, r, length, cells, homes), "cell int, data binary, kind byte")
     flags = runs.repartition(cells, "cell").mapInArrow(lambda b: _merge(b, length, homes), "home int, data binary")
-    schema = "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return by_home.cogroup(flags.groupBy("home")).applyInArrow(lambda d, f: _remove(d, f, length), schema).drop("key")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = ", ".join([schema, *(f"`{y}` {docs.schema[x].dataType.simpleString()}" for x, y in (carry or {}).items())])
+    return by_home.cogroup(flags.groupBy("home")).applyInArrow(lambda d, f: _remove(d, f, length), schema)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, counted: str = "n_chars") -> DataFrame:
+    """``docs`` with the repeated passages taken out of text; documents with nothing left go.
+
+    A character that is cut in two goes whole. The column ``counted``, if
+    there is one, is set to the new number of characters.
+    """
+    others = {x: f"c{i}" for i, x in enumerate(docs.columns) if x not in ("doc_id", "text")}
+    found = remove_repeats(spark, docs, length, others)
+
+    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        place = batch.schema.get_field_index("kept")
+        texts = [x.decode("utf-8", "ignore") for x in batch.column(place).to_pylist()]
+        return batch.set_column(place, pa.field("kept", pa.string()), pa.array(texts, pa.string()))
+
+    schema = StructType([StructField("kept", StringType()) if f.name == "kept" else f for f in found.schema])
+    texts = map_batches(found, decode, schema).where(F.length(F.trim("kept")) > 0)
+    names = {y: x for x, y in others.items()} | {"kept": "text", "doc_id": "doc_id"}
+    back = texts.select(*(F.col(y).alias(x) for y, x in names.items()))
+    if counted in others:
+        back = back.withColumn(counted, F.length("text").cast(docs.schema[counted].dataType))
+    return back.select(*docs.columns)
