@@ -302,7 +302,7 @@ def merge_runs(runs: list[Run]) -> tuple[list[int], list[int]]:
     return out, lengths
 
 
-def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, homes: int) -> pa.Table:
+def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, run_rows: int = 100_000) -> pa.Table:
     """Step 2 for one home: sorted runs for each cell (kind 0), and windows known to repeat (kind 1)."""
     span = length - GRAM + 1
     flagged: dict[int, list[np.ndarray]] = {}
@@ -312,9 +312,35 @@ def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, homes
         cuts = np.flatnonzero(np.diff(keys)) + 1
         for k, hs in zip(keys[np.concatenate(([0], cuts))].tolist(), np.split(hashes, cuts), strict=True):
             flagged.setdefault(k, []).append(hs)
-    least: dict[tuple[bytes, bytes], int] = {}
-    found = []
+    home = int(docs.column("home")[0].as_py()) if docs.num_rows else 0
+    found: list[tuple] = []
     done = set()
+    names, blobs, kinds = [], [], []
+
+    def flush() -> None:
+        """Sort and send what is gathered; one document stands for equal surroundings, the others are known to repeat."""
+        least: dict[tuple[bytes, bytes], int] = {}
+        for right, left, _, _, doc, _ in found:
+            if doc < least.setdefault((right, left), doc):
+                least[right, left] = doc
+        sent: dict[int, list] = {}
+        known = []
+        for r in found:
+            if r[4] == least[r[0], r[1]]:
+                sent.setdefault(r[2], []).append(r)
+            else:
+                known.append((r[3], r[5], _valid_offsets(len(r[0]), len(r[1]), length)))
+        for cell, rows in sent.items():
+            rows.sort()
+            names.append(cell)
+            kinds.append(0)
+            blobs.append(_packed_run(rows))
+        if known:
+            names.append(home % cells)
+            kinds.append(1)
+            blobs.append(struct.pack("<i", home) + _squeeze(np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.uint32), np.array([k[2] for k in known], np.uint64)))
+        found.clear()
+
     for key, doc, text in zip(*(docs.column(x).to_pylist() for x in ("key", "doc_id", "text")), strict=True):
         if doc is None or key not in flagged or key in done:
             continue
@@ -324,44 +350,26 @@ def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, homes
         on = np.isin(h, np.concatenate(flagged[key]))
         for a, hash_ in zip(at[on].tolist(), h[on].tolist(), strict=True):
             right, left = data[a : a + length], data[max(0, a - span + 1) : a]
-            if len(left) + len(right) < length:
-                continue
-            around = (right, left)
-            low = least.get(around)
-            if low is None or doc < low:
-                least[around] = doc
-            found.append((right, left, hash_ % cells, key, doc, a))
-    names, blobs, kinds = [], [], []
-    sent: dict[int, list] = {}
-    known = []
-    for r in found:
-        if r[4] == least[r[0], r[1]]:
-            sent.setdefault(r[2], []).append(r)
-        else:
-            known.append((r[3], r[5], _valid_offsets(len(r[0]), len(r[1]), length)))
-    for cell, rows in sent.items():
-        rows.sort()
-        prefix, rest_length, rest = front_code([r[0] for r in rows])
-        keys, index = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)
-        ids = np.empty(len(keys), np.int64)
-        ids[index] = [r[4] for r in rows]
-        left = b"".join(r[1] for r in rows)
-        names.append(cell)
-        kinds.append(0)
-        blobs.append(
-            _squeeze(
-                prefix, rest_length, np.frombuffer(rest, np.uint8), np.array([len(r[1]) for r in rows], np.uint8), np.frombuffer(left, np.uint8),
-                index.astype(np.uint32), keys, ids, np.array([r[5] for r in rows], np.uint32),
-            )
-        )
-    if known:
-        home = int(docs.column("home")[0].as_py())
-        names.append(home % cells)
-        kinds.append(1)
-        blobs.append(struct.pack("<i", home) + _squeeze(np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.uint32), np.array([k[2] for k in known], np.uint64)))
+            if len(left) + len(right) >= length:
+                found.append((right, left, hash_ % cells, key, doc, a))
+        if len(found) >= run_rows:
+            flush()
+    flush()
     return pa.Table.from_batches([_batch(names, blobs, "cell", kinds)])
 
 
+def _packed_run(rows: list[tuple]) -> bytes:
+    prefix, rest_length, rest = front_code([r[0] for r in rows])
+    keys, index = np.unique(np.array([r[3] for r in rows], np.int64), return_inverse=True)
+    ids = np.empty(len(keys), np.int64)
+    ids[index] = [r[4] for r in rows]
+    left = b"".join(r[1] for r in rows)
+    return _squeeze(
+        prefix, rest_length, np.frombuffer(rest, np.uint8), np.array([len(r[1]) for r in rows], np.uint8), np.frombuffer(left, np.uint8),
+        index.astype(np.uint32), keys, ids, np.array([r[5] for r in rows], np.uint32),
+    )
+
+
 def _valid_offsets(right: int, left: int, length: int) -> int:
     """Bits o for which the window that starts o bytes before the anchor lies in the document."""
     low, high = max(0, length - right), min(left, length - GRAM)
@@ -470,7 +478,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry
     if length - GRAM + 1 > 63 or length > 255 or length < GRAM + 1:
         raise ValueError("length must be from 21 to 82")
     cells = parts(spark)
-    homes = 4 * cells
+    homes = cells  # with more, messages between cells and homes would grow faster than the data
     taken = [F.col(x).alias(y) for x, y in (carry or {}).items()]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *taken).withColumn("key", F.xxhash64("doc_id", "text"))
@@ -478,7 +486,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry
     asked = rows.where("doc_id is not null").select("key", "doc_id", "text").mapInArrow(lambda b: _ask(b, length, cells, homes), "cell int, data binary, kind byte")
     answers = asked.repartition(cells, "cell").mapInArrow(lambda b: _answer(b, homes), "home int, data binary")
     by_home = rows.groupBy("home")
-    runs = by_home.cogroup(answers.groupBy("home")).applyInArrow(lambda d, r: _sort_runs(d, r, length, cells, homes), "cell int, data binary, kind byte")
+    runs = by_home.cogroup(answers.groupBy("home")).applyInArrow(lambda d, r: _sort_runs(d, r, length, cells), "cell int, data binary, kind byte")
     flags = runs.repartition(cells, "cell").mapInArrow(lambda b: _merge(b, length, homes), "home int, data binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     schema = ", ".join([schema, *(f"`{y}` {docs.schema[x].dataType.simpleString()}" for x, y in (carry or {}).items())])
