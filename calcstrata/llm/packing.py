@@ -99,7 +99,7 @@ class Placement:
         return sequence, offset
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, keep_ids: bool = False, cache_words: int = 300_000) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, block, nth[, ids]); nth counts a length inside a block."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -107,7 +107,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, k
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        cache = word_cache(tokenizer)
+        cache = word_cache(tokenizer, cache_words)
         end = np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:

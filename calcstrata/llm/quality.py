@@ -60,7 +60,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, row columns of ``docs`` left out, stats array) of every whole text."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat = np.array([statistics(t) for t in batch.column("text").to_pylist()], dtype=np.float64)
+        flat = np.array([statistics(t.as_py()) for t in batch.column("text")], dtype=np.float64)
         values = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), pa.array(flat.ravel()))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "stats"])
 
@@ -186,7 +186,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
     model = fit(stats, labels)
 
     def good(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], dtype=np.float64)
+        flat = np.array([statistics(t.as_py() or "") for t in batch.column("text")], dtype=np.float64)
         return batch.filter(pa.array(model.score(flat) >= threshold))
 
     return map_batches(docs, good, docs.schema)

@@ -92,8 +92,9 @@ def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
     names = [f"f{i}" for i in range(width)]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text").to_pylist()
-        bits = majority_bits([shingle_hashes(t, words) for t in texts], width).view(np.int64)
+        texts = batch.column("text")
+        some = [majority_bits([shingle_hashes(t, words) for t in texts.slice(i, 256).to_pylist()], width) for i in range(0, len(texts), 256)]
+        bits = np.concatenate(some).view(np.int64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(width))], ["doc_id", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

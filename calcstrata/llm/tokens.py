@@ -141,8 +141,9 @@ class WordCache:
 _CACHES: dict[str, WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
-    """One cache for each Python worker and vocabulary."""
+def word_cache(path: str, most_words: int = 1_200_000) -> WordCache:
+    """One cache for each Python worker and vocabulary; a word takes about 250 bytes."""
     if path not in _CACHES:
         _CACHES[path] = WordCache(path)
+    _CACHES[path].most = most_words
     return _CACHES[path]
