@@ -63,6 +63,14 @@ def by_prefix(commits: DataFrame, prefix: str, key: str = "commit_hash") -> Data
     return commits.where(F.col(key).startswith(prefix.lower()))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """The rows, without the plan that made them: checkpointed where the session names a folder, else kept in memory."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
+
+
 def ancestors(commits: DataFrame, key: list[str], parent: list[str], start: DataFrame, most: int = 10_000) -> DataFrame:
     """(key.., depth): the start rows and all they descend from.
 
@@ -70,17 +78,18 @@ def ancestors(commits: DataFrame, key: list[str], parent: list[str], start: Data
     """
     names = [f"a{i}" for i in range(len(key))]
     hop = commits.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), *(F.col(p).alias(n) for p, n in zip(parent, names, strict=True)))
-    hop = hop.join(commits.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))), names, "left_semi")
+    hop = _cut(hop.join(commits.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))), names, "left_semi"))
     reached = start.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))).withColumn("depth", F.lit(0).cast("bigint"))
     step = 1
     while step < most:
         jumps = hop.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), *(F.col(n).alias(f"to_{n}") for n in names))
         further = reached.join(jumps, names).select(*(F.col(f"to_{n}").alias(n) for n in names), (F.col("depth") + step).alias("depth"))
+        further = _cut(further)
         if further.isEmpty():
             break
         reached = reached.unionByName(further)
         doubled = hop.join(jumps, names).select(*(F.col(f"k{i}") for i in range(len(key))), *(F.col(f"to_{n}").alias(n) for n in names))
-        hop, step = doubled, step * 2
+        hop, step = _cut(doubled), step * 2
     return reached.select(*(F.col(n).alias(k) for n, k in zip(names, key, strict=True)), "depth")
 
 
