@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql.types import StructType
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,25 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine; a Python worker is used again by later tasks and else keeps it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def then_give_back(run: Callable) -> Callable:
+    """A partition function that gives memory back at its end."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply a function to each Arrow batch."""
 
@@ -58,16 +79,18 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(then_give_back(run), schema)
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and hand them small batches."""
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     paths = [x for x in known.get("PYTHONPATH", "").split(os.pathsep) if x]
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    if int(spark.conf.get(BATCH_ROWS, "10000")) > 2000:  # whole texts: smaller batches bound the memory of tasks
+        spark.conf.set(BATCH_ROWS, "2000")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

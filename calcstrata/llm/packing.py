@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, then_give_back
 from .tokens import word_cache
 
 
@@ -135,7 +135,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, k
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block long, nth long"
-    return rows.mapInArrow(cut, schema + (", ids binary" if keep_ids else ""))
+    return rows.mapInArrow(then_give_back(cut), schema + (", ids binary" if keep_ids else ""))
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
@@ -166,4 +166,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
                 yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(sequence), pa.array(offset)], [*kept, "sequence_id", "offset"])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank"]
-    return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(then_give_back(place), ", ".join([*fields, "sequence_id long", "offset long"]))

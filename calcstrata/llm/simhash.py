@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, parts, stored
+from .common import map_batches, parts, stored, then_give_back
 from .components import connected_components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -255,7 +255,7 @@ def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, mask
             u, v = forest(rep[i], rep[j])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "u long, v long")
+    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(then_give_back(compare), "u long, v long")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:

@@ -28,9 +28,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import map_batches, parts
+from .common import give_back, parts, then_give_back
 
 GRAM = 20
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -355,6 +354,8 @@ def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, run_r
         if len(found) >= run_rows:
             flush()
     flush()
+    flagged.clear()
+    give_back()
     return pa.Table.from_batches([_batch(names, blobs, "cell", kinds)])
 
 
@@ -433,7 +434,7 @@ def _merge(batches: Iterator[pa.RecordBatch], length: int, homes: int) -> Iterat
         yield _batch(names[i : i + 64], blobs[i : i + 64], "home")
 
 
-def _remove(docs: pa.Table, flags: pa.Table, length: int) -> pa.Table:
+def _remove(docs: pa.Table, flags: pa.Table, length: int, as_text: bool) -> pa.Table:
     """Step 4 for one home: what is left of each document."""
     got = [_expand(x) for x in flags.column("data").to_pylist()]
     starts: dict[int, np.ndarray] = {}
@@ -460,14 +461,19 @@ def _remove(docs: pa.Table, flags: pa.Table, length: int) -> pa.Table:
         spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
         kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
     more = [x for x in docs.column_names if x not in ("home", "key", "doc_id", "text")]
-    columns = [docs.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), *(docs.column(x) for x in more)]
+    left = pa.array((x.decode("utf-8", "ignore") for x in kept), pa.string()) if as_text else pa.array(kept, pa.binary())
+    columns = [docs.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), left, *(docs.column(x) for x in more)]
+    del starts, got, kept
+    give_back()
     return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more])
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None) -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text without the passages that a smaller doc_id has.
 
     ``carry`` names columns of ``docs`` to take along, and what to call them.
+    kept is bytes, or with ``as_text`` a string without the characters that
+    were cut in two.
 
     Texts are UTF-8 bytes; null texts count as empty; matches never cross
     documents; texts shorter than ``length`` are left whole. Repeated rows
@@ -483,14 +489,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *taken).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = rows.withColumn("home", F.pmod("key", F.lit(homes)).cast("int"))
-    asked = rows.where("doc_id is not null").select("key", "doc_id", "text").mapInArrow(lambda b: _ask(b, length, cells, homes), "cell int, data binary, kind byte")
-    answers = asked.repartition(cells, "cell").mapInArrow(lambda b: _answer(b, homes), "home int, data binary")
+    asked = rows.where("doc_id is not null").select("key", "doc_id", "text").mapInArrow(then_give_back(lambda b: _ask(b, length, cells, homes)), "cell int, data binary, kind byte")
+    answers = asked.repartition(cells, "cell").mapInArrow(then_give_back(lambda b: _answer(b, homes)), "home int, data binary")
     by_home = rows.groupBy("home")
     runs = by_home.cogroup(answers.groupBy("home")).applyInArrow(lambda d, r: _sort_runs(d, r, length, cells), "cell int, data binary, kind byte")
-    flags = runs.repartition(cells, "cell").mapInArrow(lambda b: _merge(b, length, homes), "home int, data binary")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    flags = runs.repartition(cells, "cell").mapInArrow(then_give_back(lambda b: _merge(b, length, homes)), "home int, data binary")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary")
     schema = ", ".join([schema, *(f"`{y}` {docs.schema[x].dataType.simpleString()}" for x, y in (carry or {}).items())])
-    return by_home.cogroup(flags.groupBy("home")).applyInArrow(lambda d, f: _remove(d, f, length), schema)
+    return by_home.cogroup(flags.groupBy("home")).applyInArrow(lambda d, f: _remove(d, f, length, as_text), schema)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, counted: str = "n_chars") -> DataFrame:
@@ -500,15 +506,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, coun
     there is one, is set to the new number of characters.
     """
     others = {x: f"c{i}" for i, x in enumerate(docs.columns) if x not in ("doc_id", "text")}
-    found = remove_repeats(spark, docs, length, others)
-
-    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        place = batch.schema.get_field_index("kept")
-        texts = [x.decode("utf-8", "ignore") for x in batch.column(place).to_pylist()]
-        return batch.set_column(place, pa.field("kept", pa.string()), pa.array(texts, pa.string()))
-
-    schema = StructType([StructField("kept", StringType()) if f.name == "kept" else f for f in found.schema])
-    texts = map_batches(found, decode, schema).where(F.length(F.trim("kept")) > 0)
+    texts = remove_repeats(spark, docs, length, others, as_text=True).where(F.length(F.trim("kept")) > 0)
     names = {y: x for x, y in others.items()} | {"kept": "text", "doc_id": "doc_id"}
     back = texts.select(*(F.col(y).alias(x) for y, x in names.items()))
     if counted in others:
