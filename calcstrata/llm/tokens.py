@@ -12,6 +12,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -46,6 +47,7 @@ class WordCache:
         elif kinds == ["NFC", "Replace", "Lowercase"] and pre.get("type") == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.kind = "words"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.most = most_words
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -61,7 +63,7 @@ class WordCache:
                 return None
             unit = word.lower()
         mapped = unit.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype=self.dtype).tobytes()
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _encode(self, units: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
@@ -69,7 +71,7 @@ class WordCache:
     def _learn(self, units: set[str]) -> None:
         """Closing marks are split from a word: they always start a token of their own."""
         known = self.known
-        missing = [u for u in units if u not in known]
+        missing = units.difference(known)
         if not missing:
             return
         split = []
