@@ -15,6 +15,10 @@ Equal fingerprints are one node from the start, so a group of copies costs
 one row, and buckets give a spanning forest of their links instead of all
 their pairs. A bucket of more than ``bucket_rows`` fingerprints is cut into
 chunks, and each pair of chunks is its own task, which is exact for any size.
+
+Where a similarity of shingle sets is asked for, fingerprints only propose
+groups, with a radius several standard deviations wide, and links are pairs of
+documents in a group whose shingle sets really are that similar.
 """
 
 from __future__ import annotations
@@ -87,6 +91,34 @@ def majority_bits(hashes: list[list[int]], width: int) -> np.ndarray:
     return out
 
 
+def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, sorted."""
+    return [np.unique(np.array(shingle_hashes(t, words), dtype=np.uint64)) for t in texts]
+
+
+def _same(shingles: np.ndarray) -> int:
+    """A signed 64-bit hash of a sorted shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
+
+
+def set_fingerprints(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """(doc_id, f0.., same): fingerprints of the distinct shingles of each whole text, and a hash of their set."""
+    names = [f"f{i}" for i in range(width)]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, some, same = batch.column("text"), [], []
+        for i in range(0, len(texts), 256):
+            sets = shingle_sets(texts.slice(i, 256).to_pylist(), words)
+            some.append(majority_bits([x.tolist() for x in sets], width))
+            same += map(_same, sets)
+        bits = np.concatenate(some).view(np.int64)
+        columns = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(width)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(same, pa.int64())], ["doc_id", *names, "same"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(rows, one, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", same long")
+
+
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
     """(doc_id, f0..): the fingerprint of each whole text as longs (the bits of unsigned words)."""
     names = [f"f{i}" for i in range(width)]
@@ -115,17 +147,17 @@ def similar_bits(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similarity_radius(similarity: float, width: int) -> int:
-    """Differing bits to allow: the expected number and one standard deviation."""
+def similarity_radius(similarity: float, width: int, deviations: float = 5) -> int:
+    """Differing bits to allow: the expected number and several standard deviations."""
     bits, p = 64 * width, similar_bits(similarity)
-    return round(bits * (1 - p) + math.sqrt(bits * p * (1 - p)))
+    return round(bits * (1 - p) + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def similarity_masks(classes: int, similarity: float, width: int, recall: float = 0.92) -> np.ndarray:
+def similarity_masks(classes: int, similarity: float, width: int, recall: float = 0.999) -> np.ndarray:
     """Bit samples for radii beyond the exact scheme: longer ones for more classes, and enough of them.
 
     A pair at the similarity meets in one of the tables with probability
-    ``recall``; more similar pairs meet almost surely (0.997 at 0.9).
+    ``recall``; more similar pairs meet almost surely.
     """
     bits = max(14, math.ceil(math.log2(max(2, classes))) - 4)
     tables = math.ceil(math.log(1 - recall) / math.log(1 - similar_bits(similarity) ** bits))
@@ -187,9 +219,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked_in_cells(cell: np.ndarray, points: np.ndarray, references: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of pairs within the radius in the same cell; rows of a cell are neighbours."""
+    """Positions (i, j) of pairs within the radius in the same cell; rows of a cell are neighbours.
+
+    Of more than a million pairs, a forest that connects the same is kept.
+    """
     table = pivot_distances(points, references)
-    left, right, offset = [], [], 1
+    left, right, offset, held = [], [], 1, 0
     at = np.arange(len(cell))
     while True:
         at = at[at + offset < len(cell)]
@@ -203,11 +238,33 @@ def linked_in_cells(cell: np.ndarray, points: np.ndarray, references: np.ndarray
         left.append(near)
         right.append(near + offset)
         offset += 1
+        held += len(near)
+        if held > 1_000_000:
+            a, b = forest(np.concatenate(left), np.concatenate(right))
+            left, right, held = [a], [b], 0
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     return np.concatenate(left), np.concatenate(right)
 
 
+def whole_cells(found):
+    """A partition function that gives ``found`` whole cells at a time: a batch's last cell waits for the next batch."""
+
+    def compare(batches):
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            cell = table.column("cell").to_numpy()
+            cut = int(np.searchsorted(cell, cell[-1], side="left"))
+            waiting = table.slice(cut)
+            if cut:
+                yield from found(table.slice(0, cut))
+        if waiting is not None:
+            yield from found(waiting)
+
+    return then_give_back(compare)
+
+
 def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, masks: np.ndarray, pivots: int = 24, key_pivots: int = 12, bucket_rows: int = 4096) -> DataFrame:
     """(u, v): a spanning forest of the links between classes (rep, f0..) of equal fingerprints."""
     names = [f"f{i}" for i in range(width)]
@@ -233,19 +290,6 @@ def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, mask
     )
     n = parts(spark)
 
-    def compare(batches):
-        """Whole cells at a time: a batch's last cell waits for the next batch."""
-        waiting = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
-            cell = table.column("cell").to_numpy()
-            cut = int(np.searchsorted(cell, cell[-1], side="left"))
-            waiting = table.slice(cut)
-            if cut:
-                yield from found(table.slice(0, cut))
-        if waiting is not None:
-            yield from found(waiting)
-
     def found(table: pa.Table):
         cell = table.column("cell").to_numpy()
         rep = table.column("rep").to_numpy()
@@ -255,7 +299,89 @@ def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, mask
             u, v = forest(rep[i], rep[j])
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(then_give_back(compare), "u long, v long")
+    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(whole_cells(found), "u long, v long")
+
+
+def similar_in_cell(label: np.ndarray, open_: np.ndarray, points: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Positions (i, j) of pairs with this Jaccard similarity, enough to connect all such pairs.
+
+    Rows of one label are connected from the start; only pairs with an open
+    row are compared, the nearest fingerprints first.
+    """
+    label, size, out = label.copy(), np.array([len(x) for x in sets]), []
+    for i in range(1, len(sets)):
+        far = np.bitwise_count(points[:i] ^ points[i]).sum(axis=1)
+        near = (label[:i] != label[i]) & (far <= radius) & (open_[:i] | open_[i])
+        near &= np.minimum(size[:i], size[i]) >= similarity * np.maximum(size[:i], size[i]) - 1e-6
+        at = np.flatnonzero(near)
+        for j in at[np.argsort(far[at], kind="stable")].tolist():
+            if label[i] == label[j]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both and both / (size[i] + size[j] - both) >= similarity:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def similar_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, words: int, width: int, radius: int, similarity: float, group_rows: int = 512) -> DataFrame:
+    """(u, v): pairs in ``groups`` (group, rep, f0.., same) with this Jaccard similarity, enough to connect all such pairs in a group.
+
+    Groups of more than ``group_rows`` are cut into chunks with the group's
+    least document in each. What a chunk leaves apart from the largest part of
+    its group is then compared with the whole group, chunk by chunk.
+    """
+    names = [f"f{i}" for i in range(width)]
+    n = parts(spark)
+
+    def take(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = shingle_sets(batch.column("text").to_pylist(), words)
+        return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(map(_same, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "same", "shingles"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(groups.select("rep").distinct(), "rep", "left_semi")
+    sets = map_batches(texts, take, "rep long, same long, shingles binary").dropDuplicates(["rep", "same"])
+    members = stored(spark, groups.join(sets, ["rep", "same"]).select("group", "rep", *names, "shingles"), "members")
+
+    def found(table: pa.Table):
+        cell = table.column("cell").to_numpy()
+        rep, label, open_ = (table.column(x).to_numpy() for x in ("rep", "label", "open"))
+        points = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+        shingles = table.column("shingles")
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        u, v = [], []
+        for a, b in zip(edges, edges[1:], strict=False):
+            own = [np.frombuffer(x, np.uint64) for x in shingles.slice(a, b - a).to_pylist()]
+            for i, j in similar_in_cell(label[a:b], open_[a:b], points[a:b], own, radius, similarity):
+                u.append(rep[a + i])
+                v.append(rep[a + j])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    def compared(cells: DataFrame) -> DataFrame:
+        rows = cells.select("cell", "rep", "label", "open", *names, "shingles").repartition(n, "cell").sortWithinPartitions("cell")
+        return stored(spark, rows.mapInArrow(whole_cells(found), "u long, v long"), "similar")
+
+    crowded = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where(F.col("n") > group_rows)
+    crowded = stored(spark, crowded.withColumn("chunks", F.ceil(F.col("n") / group_rows).cast("int")), "crowded")
+    own = lambda chunks: F.pmod(F.xxhash64("rep"), chunks).cast("int")
+    placed = members.join(crowded, "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunk = F.explode(F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own(F.col("chunks")))))
+    once = compared(placed.withColumn("chunk", chunk).select(F.xxhash64("group", "chunk").alias("cell"), "rep", F.col("rep").alias("label"), F.lit(True).alias("open"), *names, "shingles"))
+    if crowded.isEmpty():
+        return once
+    reached = connected_components(spark, once).withColumnRenamed("node", "rep")
+    labels = members.select("group", "rep").join(crowded.select("group", "chunks"), "group").join(reached, "rep", "left")
+    labels = stored(spark, labels.select("group", "rep", "chunks", F.coalesce("component", "rep").alias("label")).distinct(), "labels")
+    counts = labels.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("apart")).where("apart > 0")
+    split = split.withColumn("open_chunks", F.ceil(F.col("apart") / group_rows).cast("int"))
+    rows = members.join(labels.join(split, "group"), ["group", "rep"]).withColumn("open", F.col("label") != F.col("main"))
+    keep = ["group", "rep", "label", "open", *names, "shingles"]
+    every = rows.select(*keep, own(F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("open_chunks") - 1)).alias("open_chunk"))
+    apart = rows.where("open").select(*keep, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), own(F.col("open_chunks")).alias("open_chunk"))
+    again = compared(every.unionByName(apart).withColumn("cell", F.xxhash64("group", "chunk", "open_chunk")))
+    return once.unionByName(again)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
@@ -291,13 +417,16 @@ def near_duplicates(
     linked like any other; repeated rows come out once each; a null doc_id
     keeps its row, has component_id null and links nothing; other columns of
     ``docs`` are ignored; an empty table gives an empty one. Linking is exact
-    for ``radius`` unless a ``similarity`` of shingle sets is given: then the
-    radius is the one that fingerprints of ``width`` words show for it, which
-    estimates the similarity, and candidates come from sampled bits.
+    for ``radius`` unless a ``similarity`` of shingle sets is given: then links
+    are pairs whose sets have that Jaccard similarity, n_class counts the rows
+    with this set, and pairs are met through sampled bits of fingerprints of
+    distinct shingles, at the similarity with probability 0.999.
     """
     names = [f"f{i}" for i in range(width)]
-    prints = stored(spark, fingerprints(docs, words, width), "fingerprints")
-    classes = prints.groupBy(*names).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"))
+    own = names if similarity is None else [*names, "same"]
+    prints = fingerprints(docs, words, width) if similarity is None else set_fingerprints(docs, words, width)
+    prints = stored(spark, prints, "fingerprints")
+    classes = prints.groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"))
     classes = stored(spark, classes, "classes")
     if similarity is None:
         use = block_masks(width, blocks, radius)
@@ -305,6 +434,10 @@ def near_duplicates(
         use, radius = similarity_masks(classes.count(), similarity, width), similarity_radius(similarity, width)
     edges = links(spark, classes.where("rep is not null"), width, radius, use)
     reached = connected_components(spark, edges)
-    named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*names, "n_class", F.coalesce("component", "rep").alias("component"))
+    if similarity is not None:
+        groups = classes.join(reached.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+        edges = similar_links(spark, docs, stored(spark, groups.select("group", "rep", *own), "candidates"), words, width, radius, similarity)
+        reached = connected_components(spark, edges)
+    named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*own, "n_class", F.coalesce("component", "rep").alias("component"))
     digits = F.concat(*(F.lower(F.lpad(F.hex(F.col(x)), 16, "0")) for x in reversed(names)))
-    return prints.join(named, names, "left").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "n_class")
+    return prints.join(named, own, "left").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "n_class")

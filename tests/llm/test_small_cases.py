@@ -90,6 +90,39 @@ def test_keep_one(spark, docs):
     assert ids.count(0) == 1 and 1 not in ids and 5 not in ids and ids.count(7) == 1 and None in ids and {4, 6, 11, 12} <= set(ids)
 
 
+def edited(words, n, rng):
+    """The words with n runs of five apart from each other changed, which changes five shingles each."""
+    out = list(words)
+    for k in rng.choice(len(words) // 12 - 1, n, replace=False):
+        out[12 * int(k) + 6] = f"z{rng.integers(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [512, 8])
+def test_keep_one_is_exact(spark, monkeypatch, group_rows):
+    """Pairs just above and just below the similarity, chains, and a repeated line that outweighs the rest."""
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (group_rows,))
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+        texts += [" ".join(words), " ".join(edited(words, 6 if k % 2 else 9, rng))]
+    words = [f"w{x}" for x in rng.integers(0, 10**9, 300)]
+    for _ in range(40):
+        words = edited(words, 5, rng)
+        texts.append(" ".join(words))
+    texts += ["one line that comes again " * 300 + " ".join(f"q{i}x{x}" for x in range(100)) for i in range(2)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    best = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if best[i] != best[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = sorted((best[i], best[j]))
+                best = [a if x == b else x for x in best]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(spark, table).collect()} == set(best)
+
+
 def test_hpylm(spark, docs, empty):
     got = hpylm.score_documents(spark, docs).collect()
     assert len(got) == len(TEXTS) and all(r["score"] < 0 for r in got)
