@@ -255,7 +255,7 @@ def size_render(spark, sf_dir):
 
 def keyword_set_diff(spark, sf_dir):
     """Keywords gone and come between two turns of a conversation."""
-    words = F.filter(F.split(F.substring("text", 1, 400), "[^A-Za-z]+"), lambda w: w != "")
+    words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select("conv_id", "turn", words.alias("words"))
     old, new = turns.where("turn = 0").select("conv_id", F.col("words").alias("a")), turns.where("turn = 1").select("conv_id", F.col("words").alias("b"))
     return old.join(new, "conv_id").select("conv_id", F.explode(facts.keyword_changes(F.col("b"), F.col("a"))).alias("k")).select("conv_id", "k.keyword", "k.change_type")

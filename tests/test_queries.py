@@ -30,3 +30,11 @@ def test_agrees_with_sql(spark, con, name):
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.sql(catalog.ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
+def test_keyword_set_diff_takes_whole_texts(spark, tmp_path):
+    long = "same " * 200
+    turns = [(1, 0, "user", long + "gone"), (1, 1, "user", long + "come"), (2, 0, "user", long + "both"), (2, 1, "user", "both " + long)]
+    spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["keyword_set_diff"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, "COME", "added"), (1, "GONE", "deleted")]
