@@ -71,22 +71,25 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def ancestors(commits: DataFrame, key: list[str], parent: list[str], start: DataFrame, most: int = 10_000) -> DataFrame:
+def ancestors(commits: DataFrame, key: list[str], parent: list[str], start: DataFrame) -> DataFrame:
     """(key.., depth): the start rows and all they descend from.
 
-    Jump pointers are doubled, so a chain of n commits takes log2(n) joins.
+    Jump pointers are doubled, so a chain of n commits takes log2(n) joins,
+    up to the chain's own end. A chain that comes back to itself is an error.
     """
     names = [f"a{i}" for i in range(len(key))]
     hop = commits.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(key)), *(F.col(p).alias(n) for p, n in zip(parent, names, strict=True)))
     hop = _cut(hop.join(commits.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))), names, "left_semi"))
     reached = start.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))).withColumn("depth", F.lit(0).cast("bigint"))
-    step = 1
-    while step < most:
+    step, known = 1, hop.count()
+    while True:
         jumps = hop.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), *(F.col(n).alias(f"to_{n}") for n in names))
         further = reached.join(jumps, names).select(*(F.col(f"to_{n}").alias(n) for n in names), (F.col("depth") + step).alias("depth"))
         further = _cut(further)
         if further.isEmpty():
             break
+        if step > known:  # a path of more steps than there are links meets a link twice
+            raise ValueError("a commit is its own ancestor")
         reached = reached.unionByName(further)
         doubled = hop.join(jumps, names).select(*(F.col(f"k{i}") for i in range(len(key))), *(F.col(f"to_{n}").alias(n) for n in names))
         hop, step = _cut(doubled), step * 2

@@ -38,3 +38,18 @@ def test_keyword_set_diff_takes_whole_texts(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.QUERIES["keyword_set_diff"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == [(1, "COME", "added"), (1, "GONE", "deleted")]
+
+
+def test_ancestry_of_a_long_chain(spark, tmp_path):
+    n = 20_000
+    spark.range(n).selectExpr("1 AS conv_id", "CAST(id AS INT) AS turn", "'user' AS role", "'x' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["ancestry"](spark, str(tmp_path)).toPandas()
+    assert len(got) == n and got["depth"].max() == n - 1 and ((got["turn"] + got["depth"]) == n - 1).all()
+
+
+def test_ancestry_of_a_circle(spark):
+    from calcstrata.operators import snapshots
+
+    commits = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "k string, p string")
+    with pytest.raises(ValueError, match="own ancestor"):
+        snapshots.ancestors(commits, ["k"], ["p"], commits.where("k = 'a'").select("k"))
