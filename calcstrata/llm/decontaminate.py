@@ -4,6 +4,9 @@ Documents and benchmark items are turned into the same word templates, and
 windows of templates meet in a hash join. A passage that repeats an item with
 other numbers, names or units keeps its template, so it is found; its slots
 must then agree with the item's one to one, which accidental matches do not.
+Windows of the words themselves meet in a second hash join, which finds what
+templates cannot tell: items shorter than a window, items made of slots, and
+text without blanks, where each character is a word.
 Only DataFrame expressions are used.
 """
 
@@ -22,6 +25,9 @@ UNITS = (
     "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "ounce", "ounces", "pound", "pounds", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "degrees",
 )
 
+#: Characters of scripts without blanks between words.
+_ALONE = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
+
 _NUMBER = r"\d+(?:[.,]\d+)*"
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
 
@@ -46,6 +52,11 @@ def templates(text: Column) -> Column:
     return F.filter(F.split(F.lower(bare), f"[^\\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"), lambda x: x != "")
 
 
+def plain_words(text: Column) -> Column:
+    """Words in lower case as they stand, slots or not."""
+    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}]+|(?<={_ALONE})|(?={_ALONE})"), lambda x: x != "")
+
+
 def window_hashes(words: Column, size: int) -> Column:
     """The hash of each window of ``size`` templates; [] for shorter texts.
 
@@ -72,6 +83,15 @@ def _items(benchmark: DataFrame, size: int, plain: int) -> DataFrame:
     return rows.select("item_id", "at", "hash", F.slice("raw", F.col("at") + 1, size).alias("item_raw"))
 
 
+def _literal_items(benchmark: DataFrame, size: int) -> DataFrame:
+    """Windows (item_id, size, at, hash) of the items' own words; an item shorter than ``size`` words is one window."""
+    rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
+    rows = rows.select("item_id", plain_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    long = rows.where(F.size("words") >= size).select("item_id", F.lit(size).alias("size"), F.posexplode(window_hashes(F.col("words"), size)).alias("at", "hash"))
+    short = rows.where(F.size("words") < size).select("item_id", F.size("words").alias("size"), F.lit(0).alias("at"), F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"))
+    return long.unionByName(short)
+
+
 def _hinted(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
@@ -83,17 +103,24 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     has, if fewer) occur in the document, at one distance from each other, and
     each slot value of the item stands for one value in the document and the
     other way round. n_changed counts slots with another value; 0: literal.
-    Items shorter than ``size`` words are never found; null texts and ids
-    never match; repeated rows give one row; other columns are ignored. The
-    windows of the benchmark are broadcast only if there are at most
-    ``broadcast_rows`` of them (about 100 bytes each), else shuffled.
+    A pair is reported as well if so many windows of the item's own words occur
+    at one distance, whatever their slots; an item shorter than ``size`` words
+    is one such window. Pairs found by this alone have n_slots and n_changed 0.
+    Null texts and ids never match, nor do items without a word; repeated rows
+    give one row; other columns are ignored. The windows of the benchmark are
+    broadcast only if there are at most ``broadcast_rows`` of them (about 100
+    bytes each), else shuffled.
     """
     items = stored(spark, _items(benchmark, size, plain), "benchmark-windows")
-    n = items.count()
+    literal = stored(spark, _literal_items(benchmark, size), "benchmark-words")
+    sizes = sorted({size, *(r["size"] for r in literal.select("size").distinct().collect())})
+    n = items.count() + literal.count()
     per_item = items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
-    keys = items.select("hash").distinct()
+    literal_per_item = literal.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
+    keys = items.select("hash").unionByName(literal.select("hash")).distinct()
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
-    hashes = rows.select("doc_id", F.explode(window_hashes(templates(F.col("text")), size)).alias("hash"))
+    own = F.transform(F.array(plain_words(F.col("text"))), lambda w: F.concat(*(window_hashes(w, k) for k in sizes)))
+    hashes = rows.select("doc_id", F.explode(F.concat(window_hashes(templates(F.col("text")), size), F.element_at(own, 1))).alias("hash"))
     # documents with any window of an item: few, and one row each
     met = stored(spark, hashes.join(_hinted(keys, n, broadcast_rows), "hash", "left_semi").select("doc_id").distinct(), "met")
     # only these documents are read again, now with the values of their slots
@@ -112,7 +139,20 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     forward = uses.groupBy(*key).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"))
     back = back.groupBy(*key).agg(F.max("n").alias("most_back"))
     told = runs.join(forward, key, "left").join(back, key, "left").where((F.coalesce("most", F.lit(1)) == 1) & (F.coalesce("most_back", F.lit(1)) == 1))
-    return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max(F.coalesce("n_slots", F.lit(0))).alias("n_slots"), F.min(F.coalesce("n_changed", F.lit(0))).alias("n_changed"))
+    told = told.select("doc_id", "item_id", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    told = told.unionByName(_literal_runs(rows.join(met, "doc_id", "left_semi"), literal, literal_per_item, sizes, windows, n <= broadcast_rows), allowMissingColumns=True)
+    return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed"))
+
+
+def _literal_runs(docs: DataFrame, items: DataFrame, per_item: DataFrame, sizes: list[int], windows: int, small: bool) -> DataFrame:
+    """(doc_id, item_id, n_windows): enough windows of an item's own words at one distance from each other."""
+    items = F.broadcast(items) if small else items
+    each = F.array(*(F.struct(F.lit(k).alias("size"), window_hashes(F.col("words"), k).alias("hashes")) for k in sizes))
+    found = docs.select("doc_id", plain_words(F.col("text")).alias("words")).select("doc_id", F.explode(each).alias("w"))
+    found = found.select("doc_id", F.col("w.size").alias("size"), F.posexplode("w.hashes").alias("doc_at", "hash"))
+    hits = found.join(items, ["size", "hash"]).select("doc_id", "item_id", "at", (F.col("doc_at") - F.col("at")).alias("shift"))
+    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n_windows"))
+    return runs.join(per_item, "item_id").where(F.col("n_windows") >= F.least(F.lit(windows), F.col("item_windows"))).select("doc_id", "item_id", "n_windows")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

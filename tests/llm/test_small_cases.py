@@ -266,6 +266,18 @@ def test_decontaminate(spark):
     assert again == got
 
 
+def leaks(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark, table, bench).collect()}
+
+
+def test_short_and_slot_heavy_items(spark):
+    items = ["What is the capital of France?", "Add 12 kg, 7 kg, 5 kg and 9 kg of salt", "東京は日本の首都ですか", "...", "twenty one"]
+    docs = [f"we ask them {x} and that was all" for x in items[:3]] + ["What is the capital of Spain?", "Add 12 kg, 7 kg, 5 kg and 8 kg of pepper", "東京は大阪の首都です", "twenty. Two one", "so twenty-one it is"]
+    assert leaks(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (7, 4)}
+
+
 def brute_removal(rows, length=50):
     out = {}
     for i, t in rows:
