@@ -3,7 +3,8 @@
 Documents and benchmark items are turned into the same word templates, and
 windows of templates meet in a hash join. A passage that repeats an item with
 other numbers, names or units keeps its template, so it is found; its slots
-must then agree with the item's one to one, which accidental matches do not.
+must then agree with the item's: a name stands for one name throughout, while
+numbers and units are free to become equal or different.
 Windows of the words themselves meet in a second hash join, which finds what
 templates cannot tell: items shorter than a window, items made of slots, and
 text without blanks, where each character is a word.
@@ -101,8 +102,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
 
     A pair is reported if at least ``windows`` windows of the item (or all it
     has, if fewer) occur in the document, at one distance from each other, and
-    each slot value of the item stands for one value in the document and the
-    other way round. n_changed counts slots with another value; 0: literal.
+    each name of the item stands for one name in the document; numbers and
+    units may take any values. n_changed counts slots with another value; 0: literal.
     A pair is reported as well if so many windows of the item's own words occur
     at one distance, whatever their slots; an item shorter than ``size`` words
     is one such window. Pairs found by this alone have n_slots and n_changed 0.
@@ -135,10 +136,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     pairs = pairs.where(F.substring("a", 1, 1).isin(NUMBER, UNIT, NAME)).distinct()
     key = ["doc_id", "item_id", "shift"]
     uses = pairs.groupBy(*key, "a").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("changed"))
-    back = pairs.groupBy(*key, "b").agg(F.count(F.lit(1)).alias("n"))
-    forward = uses.groupBy(*key).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"))
-    back = back.groupBy(*key).agg(F.max("n").alias("most_back"))
-    told = runs.join(forward, key, "left").join(back, key, "left").where((F.coalesce("most", F.lit(1)) == 1) & (F.coalesce("most_back", F.lit(1)) == 1))
+    forward = uses.groupBy(*key).agg(F.max(F.when(F.substring("a", 1, 1) == NAME, F.col("n"))).alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"))
+    told = runs.join(forward, key, "left").where(F.coalesce("most", F.lit(1)) == 1)
     told = told.select("doc_id", "item_id", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
     told = told.unionByName(_literal_runs(rows.join(met, "doc_id", "left_semi"), literal, literal_per_item, sizes, windows, n <= broadcast_rows), allowMissingColumns=True)
     return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed"))

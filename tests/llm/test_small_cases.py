@@ -278,6 +278,16 @@ def test_short_and_slot_heavy_items(spark):
     assert leaks(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (7, 4)}
 
 
+def test_numbers_may_become_equal_or_different(spark):
+    plain = "of them the old baker who lives beside the river takes some more before noon and then he sells"
+    items = [f"He buys 5 pieces {plain} again 5 loaves to those who come late", f"They have 12 kg of flour and 7 pears {plain} what remains", f"There are 2 apples and 2 pears {plain} what remains"]
+    docs = [items[0].replace("again 5", "again 6"), items[1].replace("12", "5").replace("7 pears", "5 pears"), items[2].replace("2 apples", "3 apples").replace("2 pears", "5 pears"), plain.replace("old", "young").replace("river", "lake")]
+    assert leaks(spark, items, docs) >= {(0, 0), (1, 1), (2, 2)} and not any(d == 3 for d, _ in leaks(spark, items, docs))
+    question = "On 3 days the small shop sells 4 loaves to 5 people and on 6 days it sells 7 rolls to 8 people"
+    other = "On 9 days the small shop sells 9 loaves to 2 people and on 9 days it sells 1 rolls to 1 people"
+    assert leaks(spark, [question], [other]) == {(0, 0)}
+
+
 def brute_removal(rows, length=50):
     out = {}
     for i, t in rows:
