@@ -42,7 +42,21 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later plan reads."""
+    for df in tables:
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
+    """A narrow table, broadcast if its counted rows are few; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if rows <= most else df
 
 
 def parts(spark: SparkSession) -> int:

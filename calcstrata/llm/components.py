@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,15 +17,18 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, m): the least node that each node knows, itself included; combined on the map side."""
+    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _star(pairs: DataFrame, least: DataFrame, large: bool) -> DataFrame:
     """Link neighbours of each node to the least node that it knows.
 
-    The least neighbour comes from an aggregate that combines on the map
-    side, and a join brings it back, so that a node of very high degree is
-    split as a skewed join and never has to fit in one task.
+    ``least`` is a stored table with one row a node, so both sides of the join
+    are plain exchanges, and a node of very high degree is split as a skewed
+    join (its rows over several tasks, its one row of ``least`` to each).
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
     joined = pairs.join(least, "u")
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -38,7 +41,9 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     """(node, component): every node of ``edges`` (u, v: long) with the least node that it reaches.
 
     Each round is written to the shared folder, so a round never depends on
-    the memory of an executor. Null ends and self links are ignored; no
+    the memory of an executor, and the round before is deleted. Rounds grow
+    with the logarithm of the nodes; more than ``most_rounds`` is an error,
+    never a partial result. Null ends and self links are ignored; no
     edges give no rows.
     """
     flat = edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -47,11 +52,15 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     for _ in range(most_rounds):
         if not state[0]:
             break
-        flat = stored(spark, _star(_both(flat), large=True), "large-star")
-        flat = stored(spark, _star(flat, large=False), "small-star")
+        for large in (True, False):
+            pairs = _both(flat) if large else flat
+            least = stored(spark, _least(pairs), "least")
+            new = stored(spark, _star(pairs, least, large), "star")
+            discard(spark, flat, least)
+            flat = new
         before, state = state, _state(flat)
         if before == state:
             break
     else:
-        raise RuntimeError("components did not settle")
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return flat.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(flat.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

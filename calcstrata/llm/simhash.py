@@ -16,9 +16,14 @@ one row, and buckets give a spanning forest of their links instead of all
 their pairs. A bucket of more than ``bucket_rows`` fingerprints is cut into
 chunks, and each pair of chunks is its own task, which is exact for any size.
 
-Where a similarity of shingle sets is asked for, fingerprints only propose
-groups, with a radius several standard deviations wide, and links are pairs of
-documents in a group whose shingle sets really are that similar.
+Where a similarity of shingle sets is asked for, classes are documents with
+equal sets, and buckets are bands of min-hashes of the sets: unrelated texts
+share no shingle, so the number of tables is fixed, where bits of fingerprints
+would need ever more of them (n ** 0.24). Pivot distances and fingerprints
+discard pairs in the buckets, with a radius several standard deviations wide;
+a crowded bucket (a common line) is dealt out again by pivot distance tuples
+over sampled bits, and what stays crowded is one proposed group. Links are
+pairs of a proposed group whose shingle sets really are that similar.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, parts, stored, then_give_back
+from .common import discard, map_batches, parts, small, stored, then_give_back
 from .components import connected_components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -101,22 +106,53 @@ def _same(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
 
 
-def set_fingerprints(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """(doc_id, f0.., same): fingerprints of the distinct shingles of each whole text, and a hash of their set."""
+def band_count(similarity: float, rows: int = 3, recall: float = 0.999) -> int:
+    """Bands of ``rows`` min-hashes, one of which a pair of this Jaccard similarity shares with probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
+
+
+def min_hash_bands(sets: list[np.ndarray], bands: int, rows: int = 3, seed: int = 17) -> np.ndarray:
+    """(sets x bands): one hash of the least ``rows`` permuted hashes of each set; zeros for an empty set."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    full = np.flatnonzero(sizes)
+    out = np.zeros((len(sets), bands), dtype=np.uint64)
+    if not len(full):
+        return out
+    flat = np.concatenate([sets[i] for i in full])
+    first = np.cumsum(sizes[full]) - sizes[full]
+    odd = np.random.default_rng(seed).integers(0, 2**64, (bands, rows), dtype=np.uint64) | np.uint64(1)
+    for b in range(bands):
+        key = np.full(len(full), b + 1, dtype=np.uint64)
+        for r in range(rows):
+            key = _mixed(key ^ np.minimum.reduceat(flat * odd[b, r], first), 1)
+        out[full, b] = key
+    return out
+
+
+def set_fingerprints(docs: DataFrame, words: int, width: int, bands: int) -> DataFrame:
+    """(doc_id, text_hash, f0.., same, b0..): of the distinct shingles of each whole text, fingerprints, a hash of the set and min-hash bands."""
     names = [f"f{i}" for i in range(width)]
+    keys = [f"b{i}" for i in range(bands)]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, some, same = batch.column("text"), [], []
+        texts, some, told, same = batch.column("text"), [], [], []
         for i in range(0, len(texts), 256):
             sets = shingle_sets(texts.slice(i, 256).to_pylist(), words)
             some.append(majority_bits([x.tolist() for x in sets], width))
+            told.append(min_hash_bands(sets, bands))
             same += map(_same, sets)
-        bits = np.concatenate(some).view(np.int64)
-        columns = [pa.array(np.ascontiguousarray(bits[:, i])) for i in range(width)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns, pa.array(same, pa.int64())], ["doc_id", *names, "same"])
+        bits, shared = np.concatenate(some).view(np.int64), np.concatenate(told).view(np.int64)
+        columns = [pa.array(np.ascontiguousarray(x[:, i])) for x in (bits, shared) for i in range(x.shape[1])]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *columns[:width], pa.array(same, pa.int64()), *columns[width:]], ["doc_id", "text_hash", *names, "same", *keys])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(rows, one, "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", same long")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), text.alias("text"))
+    return map_batches(rows, one, "doc_id long, text_hash long, " + ", ".join(f"{x} long" for x in [*names, "same", *keys]))
+
+
+def text_hash():
+    """A hash of the whole text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, width: int = 1) -> DataFrame:
@@ -153,17 +189,20 @@ def similarity_radius(similarity: float, width: int, deviations: float = 5) -> i
     return round(bits * (1 - p) + deviations * math.sqrt(bits * p * (1 - p)))
 
 
-def similarity_masks(classes: int, similarity: float, width: int, recall: float = 0.999) -> np.ndarray:
-    """Bit samples for radii beyond the exact scheme: longer ones for more classes, and enough of them.
-
-    A pair at the similarity meets in one of the tables with probability
-    ``recall``; more similar pairs meet almost surely.
-    """
-    bits = max(14, math.ceil(math.log2(max(2, classes))) - 4)
+def similarity_masks(bits: int, similarity: float, width: int, recall: float = 0.999) -> np.ndarray:
+    """Enough samples of ``bits`` bits that a pair at the similarity agrees on one of them with probability ``recall``."""
     tables = math.ceil(math.log(1 - recall) / math.log(1 - similar_bits(similarity) ** bits))
     return sampled_masks(width, tables, bits)
 
 
+def exact_blocks(classes: int, width: int, radius: int) -> int:
+    """The least number of blocks whose bucket keys have two bits more than it takes to number the classes; any number is exact."""
+    blocks = radius + 2
+    while blocks < 3 * radius and 64 * width * (blocks - radius) / blocks < math.log2(max(2, classes)) + 2:
+        blocks += 1
+    return blocks
+
+
 def sampled_masks(width: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
     """Random sets of bits, for radii too large for the exact scheme."""
     rng = np.random.default_rng(seed)
@@ -265,41 +304,106 @@ def whole_cells(found):
     return then_give_back(compare)
 
 
-def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, masks: np.ndarray, pivots: int = 24, key_pivots: int = 12, bucket_rows: int = 4096) -> DataFrame:
-    """(u, v): a spanning forest of the links between classes (rep, f0..) of equal fingerprints."""
+def _in_cells(cells: DataFrame, width: int, radius: int, pivots: int) -> DataFrame:
+    """(u, v): a spanning forest of the links inside each cell of (cell, rep, f0..)."""
     names = [f"f{i}" for i in range(width)]
     references = reference_points(width, pivots)
 
+    def found(table: pa.Table):
+        cell = table.column("cell").to_numpy()
+        rep = table.column("rep").to_numpy()
+        points = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
+        i, j = linked_in_cells(cell, points, references, radius)
+        if len(i):
+            u, v = forest(rep[i], rep[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    rows = cells.select("cell", "rep", *names).repartition(parts(cells.sparkSession), "cell").sortWithinPartitions("cell")
+    return rows.mapInArrow(whole_cells(found), "u long, v long")
+
+
+def _split_crowded(spark: SparkSession, placed: DataFrame, bucket_rows: int) -> tuple[DataFrame, DataFrame | None, list[DataFrame]]:
+    """Rows (key, ..) of ordinary buckets, rows of crowded ones with their sizes ``n`` (None if there are none), and stored tables.
+
+    Only the few keys of crowded buckets are joined: at most one for each
+    ``bucket_rows`` rows.
+    """
+    crowded = stored(spark, placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows), "crowded")
+    several = crowded.count()
+    if not several:
+        return placed, None, [crowded]
+    return placed.join(small(crowded.select("key"), several), "key", "left_anti"), placed.join(small(crowded, several), "key"), [crowded]
+
+
+def links(spark: SparkSession, classes: DataFrame, width: int, radius: int, masks: np.ndarray, pivots: int = 24, key_pivots: int = 12, bucket_rows: int = 4096) -> DataFrame:
+    """(u, v): a spanning forest of the links between classes (rep, f0..) of equal fingerprints; stored.
+
+    Exact if the masks are: a bucket of more than ``bucket_rows`` rows is cut
+    into chunks, and each pair of chunks is a cell.
+    """
+    names = [f"f{i}" for i in range(width)]
+    references = reference_points(width, key_pivots)
+
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         points = np.stack([batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in names], axis=1)
-        key = np.concatenate([_keys(pivot_distances(points, references[:key_pivots], m), t) for t, m in enumerate(masks)])
+        key = np.concatenate([_keys(pivot_distances(points, references, m), t) for t, m in enumerate(masks)])
         rows = np.tile(np.arange(len(points)), len(masks))
         taken = batch.take(pa.array(rows))
         return pa.RecordBatch.from_arrays([pa.array(key), *taken.columns], ["key", *batch.schema.names])
 
     schema = "key long, rep long, " + ", ".join(f"{x} long" for x in names)
     placed = stored(spark, map_batches(classes.select("rep", *names), place, schema), "pivot-rows")
-    crowded = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows)
-    chunks = F.coalesce(F.ceil(F.col("n") / bucket_rows), F.lit(1)).cast("int")
-    cells = (
-        placed.join(crowded, "key", "left")
-        .withColumn("chunks", chunks)
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "rep", *names)
-    )
-    n = parts(spark)
+    cells, hot, used = _split_crowded(spark, placed, bucket_rows)
+    cells = cells.withColumn("cell", F.col("key"))
+    if hot is not None:
+        hot = hot.withColumn("chunks", F.ceil(F.col("n") / bucket_rows).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        hot = hot.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        hot = hot.withColumn("cell", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+        cells = cells.select("cell", "rep", *names).unionByName(hot.select("cell", "rep", *names))
+    out = stored(spark, _in_cells(cells, width, radius, pivots), "links")
+    discard(spark, placed, *used)
+    return out
 
-    def found(table: pa.Table):
-        cell = table.column("cell").to_numpy()
-        rep = table.column("rep").to_numpy()
-        points = np.stack([table.column(x).to_numpy().view(np.uint64) for x in names], axis=1)
-        i, j = linked_in_cells(cell, points, references, radius)
-        if len(i):
-            u, v = forest(rep[i], rep[j])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(whole_cells(found), "u long, v long")
+def proposed_links(spark: SparkSession, classes: DataFrame, width: int, radius: int, bands: int, similarity: float, pivots: int = 24, key_pivots: int = 12, bucket_rows: int = 4096) -> DataFrame:
+    """(u, v): links within the radius between classes (rep, f0.., b0..) that share a band; stored.
+
+    A bucket of more than ``bucket_rows`` rows is dealt out again: its rows
+    go to cells of equal pivot distances over samples of bits, more and longer
+    ones the larger the bucket. A cell that is crowded again holds texts that
+    all look alike, and is linked as a whole; the sets are compared later.
+    """
+    names = [f"f{i}" for i in range(width)]
+    references = reference_points(width, key_pivots)
+    each = F.explode(F.array(*(f"b{i}" for i in range(bands)))).alias("key")
+    placed = classes.select(each, "rep", *names)
+    cells, hot, used = _split_crowded(spark, placed, bucket_rows)
+    cells = cells.select(F.col("key").alias("cell"), "rep", *names)
+    edges = None
+    if hot is not None:
+
+        def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+            points = np.stack([batch.column(x).to_numpy(zero_copy_only=False).view(np.uint64) for x in names], axis=1)
+            bits = np.ceil(np.log2(batch.column("n").to_numpy() / bucket_rows)).astype(np.int64) + 2
+            bucket, cell, row = batch.column("key").to_numpy().view(np.uint64), [], []
+            for b in np.unique(bits).tolist():
+                at = np.flatnonzero(bits == b)
+                for t, m in enumerate(similarity_masks(b, similarity, width)):
+                    cell.append(_mixed(_keys(pivot_distances(points[at], references, m), t).view(np.uint64) ^ _mixed(bucket[at], 2), 1))
+                    row.append(at)
+            taken = batch.select(["rep", *names]).take(pa.array(np.concatenate(row)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).view(np.int64)), *taken.columns], ["cell", "rep", *names])
+
+        dealt = stored(spark, map_batches(hot.select("key", "rep", "n", *names), deal, "cell long, rep long, " + ", ".join(f"{x} long" for x in names)), "dealt")
+        dense = stored(spark, dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("v")).where(F.col("n") > bucket_rows), "dense")
+        several = dense.count()
+        cells = cells.unionByName(dealt.join(small(dense, several), "cell", "left_anti").select("cell", "rep", *names))
+        edges = dealt.join(small(dense, several), "cell").select(F.col("rep").alias("u"), "v").where("u <> v")
+        used += [dealt, dense]
+    found = _in_cells(cells, width, radius, pivots)
+    out = stored(spark, found if edges is None else found.unionByName(edges), "links")
+    discard(spark, *used)
+    return out
 
 
 def similar_in_cell(label: np.ndarray, open_: np.ndarray, points: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -325,7 +429,7 @@ def similar_in_cell(label: np.ndarray, open_: np.ndarray, points: np.ndarray, se
 
 
 def similar_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, words: int, width: int, radius: int, similarity: float, group_rows: int = 512) -> DataFrame:
-    """(u, v): pairs in ``groups`` (group, rep, f0.., same) with this Jaccard similarity, enough to connect all such pairs in a group.
+    """(u, v): pairs in ``groups`` (group, rep, f0.., same) with this Jaccard similarity, enough to connect all such pairs in a group; stored.
 
     Groups of more than ``group_rows`` are cut into chunks with the group's
     least document in each. What a chunk leaves apart from the largest part of
@@ -339,7 +443,7 @@ def similar_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, words
         return pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(map(_same, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "same", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(groups.select("rep").distinct(), "rep", "left_semi")
+    texts = texts.join(small(groups.select("rep").distinct(), groups.count()), "rep", "left_semi")
     sets = map_batches(texts, take, "rep long, same long, shingles binary").dropDuplicates(["rep", "same"])
     members = stored(spark, groups.join(sets, ["rep", "same"]).select("group", "rep", *names, "shingles"), "members")
 
@@ -365,13 +469,15 @@ def similar_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, words
     crowded = members.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where(F.col("n") > group_rows)
     crowded = stored(spark, crowded.withColumn("chunks", F.ceil(F.col("n") / group_rows).cast("int")), "crowded")
     own = lambda chunks: F.pmod(F.xxhash64("rep"), chunks).cast("int")
-    placed = members.join(crowded, "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    several = crowded.count()
+    placed = members.join(small(crowded, several), "group", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.explode(F.when(F.col("rep") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own(F.col("chunks")))))
     once = compared(placed.withColumn("chunk", chunk).select(F.xxhash64("group", "chunk").alias("cell"), "rep", F.col("rep").alias("label"), F.lit(True).alias("open"), *names, "shingles"))
-    if crowded.isEmpty():
+    if not several:
+        discard(spark, members, crowded)
         return once
     reached = connected_components(spark, once).withColumnRenamed("node", "rep")
-    labels = members.select("group", "rep").join(crowded.select("group", "chunks"), "group").join(reached, "rep", "left")
+    labels = members.select("group", "rep").join(small(crowded.select("group", "chunks"), several), "group").join(reached, "rep", "left")
     labels = stored(spark, labels.select("group", "rep", "chunks", F.coalesce("component", "rep").alias("label")).distinct(), "labels")
     counts = labels.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
     split = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("apart")).where("apart > 0")
@@ -381,23 +487,31 @@ def similar_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, words
     every = rows.select(*keep, own(F.col("chunks")).alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("open_chunks") - 1)).alias("open_chunk"))
     apart = rows.where("open").select(*keep, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), own(F.col("open_chunks")).alias("open_chunk"))
     again = compared(every.unionByName(apart).withColumn("cell", F.xxhash64("group", "chunk", "open_chunk")))
+    discard(spark, members, crowded, labels)
     return once.unionByName(again)
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the least of its near-duplicate group; all columns stay.
 
-    Rows that repeat a doc_id stay once; rows without doc_id all stay.
+    A row is judged by its own text: of rows that share a doc_id, those whose
+    text is a copy of another document's go, and of the rest one stays, that
+    with the least hash of its text. Rows without doc_id all stay. Null texts
+    count as empty, which are all alike; an empty table gives an empty one.
     """
     found = near_duplicates(spark, docs, words=words, width=width, similarity=similarity)
-    found = stored(spark, found.select("doc_id", "component_id"), "groups")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    found = stored(spark, found.select("doc_id", "text_hash", "component_id"), "groups")
+    gone = found.where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
+    several = gone.count()
+    own = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), own.alias("row"))
+    kept = rows.join(small(gone, several), ["doc_id", "text_hash"], "left_anti")
+    again = stored(spark, found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
+    several = again.count()
+    if not several:
+        return kept.select("row.*")
+    once = kept.join(small(again, several), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "text_hash").alias("row"))
+    return kept.join(small(again, several), "doc_id", "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 
 def near_duplicates(
@@ -406,7 +520,7 @@ def near_duplicates(
     words: int = 3,
     radius: int = 3,
     width: int = 1,
-    blocks: int = 5,
+    blocks: int | None = None,
     similarity: float | None = None,
 ) -> DataFrame:
     """(doc_id, fingerprint, component_id, n_class): near-duplicate groups of whole texts.
@@ -417,27 +531,37 @@ def near_duplicates(
     linked like any other; repeated rows come out once each; a null doc_id
     keeps its row, has component_id null and links nothing; other columns of
     ``docs`` are ignored; an empty table gives an empty one. Linking is exact
-    for ``radius`` unless a ``similarity`` of shingle sets is given: then links
-    are pairs whose sets have that Jaccard similarity, n_class counts the rows
-    with this set, and pairs are met through sampled bits of fingerprints of
-    distinct shingles, at the similarity with probability 0.999.
+    for ``radius`` and any number of ``blocks`` (by default as many as the
+    classes ask for) unless a ``similarity`` of shingle sets is given: then
+    links are pairs whose sets have that Jaccard similarity, n_class counts
+    the rows with this set, a column text_hash is added, and a pair at the
+    similarity is met in a band of min-hashes with probability 0.999, whatever
+    the size of the corpus.
     """
     names = [f"f{i}" for i in range(width)]
-    own = names if similarity is None else [*names, "same"]
-    prints = fingerprints(docs, words, width) if similarity is None else set_fingerprints(docs, words, width)
+    exact = similarity is None
+    own = names if exact else [*names, "same"]
+    bands = 0 if exact else band_count(similarity)
+    prints = fingerprints(docs, words, width) if exact else set_fingerprints(docs, words, width, bands)
     prints = stored(spark, prints, "fingerprints")
-    classes = prints.groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"))
+    shared = [F.min(f"b{i}").alias(f"b{i}") for i in range(bands)]  # equal sets have equal bands
+    classes = prints.groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_class"), *shared)
     classes = stored(spark, classes, "classes")
-    if similarity is None:
-        use = block_masks(width, blocks, radius)
+    named = classes.where("rep is not null")
+    if exact:
+        blocks = blocks or exact_blocks(classes.count(), width, radius)
+        edges = links(spark, named, width, radius, block_masks(width, blocks, radius))
     else:
-        use, radius = similarity_masks(classes.count(), similarity, width), similarity_radius(similarity, width)
-    edges = links(spark, classes.where("rep is not null"), width, radius, use)
+        radius = similarity_radius(similarity, width)
+        edges = proposed_links(spark, named, width, radius, bands, similarity)
     reached = connected_components(spark, edges)
-    if similarity is not None:
+    if not exact:
         groups = classes.join(reached.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
-        edges = similar_links(spark, docs, stored(spark, groups.select("group", "rep", *own), "candidates"), words, width, radius, similarity)
+        groups = stored(spark, groups.select("group", "rep", *own), "candidates")
+        edges = similar_links(spark, docs, groups, words, width, radius, similarity)
         reached = connected_components(spark, edges)
+        discard(spark, groups)
     named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select(*own, "n_class", F.coalesce("component", "rep").alias("component"))
     digits = F.concat(*(F.lower(F.lpad(F.hex(F.col(x)), 16, "0")) for x in reversed(names)))
-    return prints.join(named, own, "left").select("doc_id", digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "n_class")
+    more = [] if exact else ["text_hash"]
+    return prints.join(named, own, "left").select("doc_id", *more, digits.alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"), "n_class")
