@@ -4,7 +4,8 @@ Documents and benchmark items are turned into the same word templates, and
 windows of templates meet in a hash join. A passage that repeats an item with
 other numbers, names or units keeps its template, so it is found; its slots
 must then agree with the item's: a name stands for one name throughout, while
-numbers and units are free to become equal or different.
+numbers, units and capitalised words that open a sentence are free to become
+equal or different.
 Windows of the words themselves meet in a second hash join, which finds what
 templates cannot tell: items shorter than a window, items made of slots, and
 text without blanks, where each character is a word.
@@ -16,9 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
-NUMBER, UNIT, NAME = "", "", ""
+END, NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002", "\ue003"
+SLOTS = NUMBER + UNIT + NAME
 #: Words that count as units after a number.
 UNITS = (
     "mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "cl", "l", "s", "ms", "min", "h", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb", "w", "kw", "v", "a", "j", "kj", "k", "pa", "bar", "ev", "eur", "usd", "gbp",
@@ -30,32 +32,45 @@ UNITS = (
 _ALONE = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]"
 
 _NUMBER = r"\d+(?:[.,]\d+)*"
-_NAME = r"(?<=[\p{Ll},;] )\p{Lu}\p{Ll}+"
+_UNIT = "(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
+_NAME = r"\p{Lu}\p{Ll}+"
+#: A capitalised word after a lower-case letter, a comma or a semicolon opens no sentence.
+_INSIDE = r"(?<=[\p{Ll},;] )"
+_SPLIT = r"[^a-z0-9\p{L}\p{N}@]+"
 
 
-def _marked(text: Column) -> Column:
-    """The text with a marker before each number, unit and name; a marked value ends with U+E000."""
-    out = F.regexp_replace(F.regexp_replace(text, "[-]", " "), _NAME, f" {NAME}$0 ")
-    out = F.regexp_replace(out, _NUMBER, f" {NUMBER}$0 ")
-    after = r"(?<=\x{E000} ) ?(?i:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
-    return F.regexp_replace(out, after, f" {UNIT}$0 ")
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{END}-{NAME}]", " ")
+
+
+def _split(text: Column, markers: str = "") -> Column:
+    return F.filter(F.split(text, _SPLIT.replace("@", markers)), lambda x: x != "")
 
 
 def tokens(text: Column) -> Column:
-    """Words and marked values, in order; the raw form."""
-    pattern = f"[{NUMBER}{UNIT}{NAME}][^]*|[\\p{{L}}\\p{{N}}]+"
-    return F.regexp_extract_all(_marked(text), F.lit(pattern), F.lit(0))
+    """Words in lower case, and marked values, in order: as many as ``templates`` has.
+
+    The value of a slot keeps its marker. A capitalised word that opens a
+    sentence is marked as a number is, as it need not be a name.
+    """
+    out = F.regexp_replace(_bare(text), _NUMBER, f" {NUMBER}$0{END} ")
+    out = F.regexp_replace(out, f"(?<={END} )( ?)({_UNIT})", f" {UNIT}$2{END} ")
+    out = F.regexp_replace(out, f"(?<!{UNIT}){_INSIDE}{_NAME}", f" {NAME}$0{END} ")
+    out = F.regexp_replace(out, f"(?<![{UNIT}{NAME}]){_NAME}", f" {NUMBER}$0{END} ")
+    return F.regexp_extract_all(F.lower(out), F.lit(f"[{SLOTS}][^{END}]*{END}|[a-z0-9\\p{{L}}\\p{{N}}]+"), F.lit(0))
 
 
 def templates(text: Column) -> Column:
-    """The template of each token: its marker for a slot, else the word in lower case."""
-    bare = F.regexp_replace(_marked(text), f"([{NUMBER}{UNIT}{NAME}])[^]*", "$1")
-    return F.filter(F.split(F.lower(bare), f"[^\\p{{L}}\\p{{N}}{NUMBER}{UNIT}{NAME}]+"), lambda x: x != "")
+    """The template of each token: a marker for a number, unit or capitalised word, else the word in lower case."""
+    out = F.regexp_replace(_bare(text), _NUMBER, f" {NUMBER} ")
+    out = F.regexp_replace(out, f"(?<={NUMBER} )( ?){_UNIT}", f" {UNIT} ")
+    out = F.regexp_replace(out, _NAME, f" {NAME} ")
+    return _split(F.lower(out), SLOTS)
 
 
 def plain_words(text: Column) -> Column:
-    """Words in lower case as they stand, slots or not."""
-    return F.filter(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}]+|(?<={_ALONE})|(?={_ALONE})"), lambda x: x != "")
+    """Words in lower case as they stand, slots or not; each character of a script without blanks is one."""
+    return _split(F.regexp_replace(F.lower(text), _ALONE, " $0 "))
 
 
 def window_hashes(words: Column, size: int) -> Column:
@@ -73,10 +88,16 @@ def window_hashes(words: Column, size: int) -> Column:
     return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), windows), 1)
 
 
+def _bound(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``keep`` and computed columns, bound by a generator: a plain projection would be copied into each later use, and computed again for each window."""
+    made = F.struct(*(c.alias(x) for x, c in columns.items()))
+    return df.select(*keep, F.inline(F.array(made)).alias(*columns))
+
+
 def _items(benchmark: DataFrame, size: int, plain: int) -> DataFrame:
     """Windows (item_id, at, hash, slots) of the items, with at least ``plain`` words that are no slots."""
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    rows = rows.select("item_id", templates(F.col("text")).alias("words"), tokens(F.col("text")).alias("raw"))
+    rows = _bound(rows, "item_id", words=templates(F.col("text")), raw=tokens(F.col("text")))
     rows = rows.select("item_id", "words", "raw", F.posexplode(window_hashes(F.col("words"), size)).alias("at", "hash"))
     slot = lambda w: w.isin(NUMBER, UNIT, NAME)
     own = F.slice("words", F.col("at") + 1, size)
@@ -87,16 +108,12 @@ def _items(benchmark: DataFrame, size: int, plain: int) -> DataFrame:
 def _literal_items(benchmark: DataFrame, size: int) -> DataFrame:
     """Windows (item_id, size, at, hash) of the items' own words; an item shorter than ``size`` words is one window."""
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).distinct()
-    rows = rows.select("item_id", plain_words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    rows = _bound(rows, "item_id", words=plain_words(F.col("text"))).where(F.size("words") > 0)
     long = rows.where(F.size("words") >= size).select("item_id", F.lit(size).alias("size"), F.posexplode(window_hashes(F.col("words"), size)).alias("at", "hash"))
     short = rows.where(F.size("words") < size).select("item_id", F.size("words").alias("size"), F.lit(0).alias("at"), F.xxhash64(F.transform("words", lambda w: F.xxhash64(w))).alias("hash"))
     return long.unionByName(short)
 
 
-def _hinted(df: DataFrame, rows: int, most: int) -> DataFrame:
-    return F.broadcast(df) if rows <= most else df
-
-
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 8, plain: int = 5, windows: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed): documents that hold a benchmark passage, literal or with other slot values.
 
@@ -119,42 +136,50 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     per_item = items.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
     literal_per_item = literal.groupBy("item_id").agg(F.countDistinct("at").alias("item_windows"))
     keys = items.select("hash").unionByName(literal.select("hash")).distinct()
-    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
     own = F.transform(F.array(plain_words(F.col("text"))), lambda w: F.concat(*(window_hashes(w, k) for k in sizes)))
-    hashes = rows.select("doc_id", F.explode(F.concat(window_hashes(templates(F.col("text")), size), F.element_at(own, 1))).alias("hash"))
+    # outer generators: from others Spark infers a filter that computes the whole array once more, and below the join
+    hashes = rows.select("doc_id", F.explode_outer(F.concat(window_hashes(templates(F.col("text")), size), F.element_at(own, 1))).alias("hash"))
     # documents with any window of an item: few, and one row each
-    met = stored(spark, hashes.join(_hinted(keys, n, broadcast_rows), "hash", "left_semi").select("doc_id").distinct(), "met")
-    # only these documents are read again, now with the values of their slots
-    again = rows.join(met, "doc_id", "left_semi")
-    again = again.select("doc_id", tokens(F.col("text")).alias("raw"), F.posexplode(window_hashes(templates(F.col("text")), size)).alias("doc_at", "hash"))
-    hits = again.join(_hinted(items, n, broadcast_rows), "hash").select("doc_id", "item_id", "at", (F.col("doc_at") - F.col("at")).alias("shift"), F.slice("raw", F.col("doc_at") + 1, size).alias("doc_raw"), "item_raw")
-    hits = stored(spark, hits.dropDuplicates(["doc_id", "item_id", "at", "shift"]), "hits")
-    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n_windows"))
-    runs = runs.join(per_item, "item_id").where(F.col("n_windows") >= F.least(F.lit(windows), F.col("item_windows")))
-    pairs = hits.join(runs.select("doc_id", "item_id", "shift"), ["doc_id", "item_id", "shift"], "left_semi")
-    pairs = pairs.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("item_raw", "doc_raw")).alias("z")).select("doc_id", "item_id", "shift", F.col("z.item_raw").alias("a"), F.col("z.doc_raw").alias("b"))
+    met = stored(spark, hashes.join(small(keys, n, broadcast_rows), "hash", "left_semi").select("doc_id").distinct(), "met")
+    again = rows.join(small(met, met.count()), "doc_id", "left_semi")
+    key = ["doc_id", "copy", "item_id", "shift"]
+    found = again.select("doc_id", "copy", F.posexplode_outer(window_hashes(templates(F.col("text")), size)).alias("doc_at", "hash"))
+    hits = found.join(small(items.select("item_id", "at", "hash"), n, broadcast_rows), "hash").select("doc_id", "copy", "item_id", (F.col("doc_at") - F.col("at")).alias("shift"), "at").distinct()
+    hits = stored(spark, hits, "hits")
+    runs = hits.groupBy(*key).agg(F.countDistinct("at").alias("n_windows"))
+    runs = stored(spark, runs.join(per_item, "item_id").where(F.col("n_windows") >= F.least(F.lit(windows), F.col("item_windows"))).select(*key, "n_windows"), "runs")
+    # the slots' values, once for each document that has a run
+    told = runs.select("doc_id", "copy").distinct()
+    values = again.join(small(told, told.count()), ["doc_id", "copy"], "left_semi").dropDuplicates(["doc_id", "copy"])
+    values = _bound(values, "doc_id", "copy", raw=tokens(F.col("text")))
+    pairs = hits.join(runs.select(*key), key, "left_semi").join(items.select("item_id", "at", "item_raw"), ["item_id", "at"]).join(values, ["doc_id", "copy"])
+    pairs = pairs.select(*key, F.explode(F.arrays_zip("item_raw", F.slice("raw", F.col("shift") + F.col("at") + 1, size).alias("doc_raw"))).alias("z")).select(*key, F.col("z.item_raw").alias("a"), F.col("z.doc_raw").alias("b"))
     pairs = pairs.where(F.substring("a", 1, 1).isin(NUMBER, UNIT, NAME)).distinct()
-    key = ["doc_id", "item_id", "shift"]
     uses = pairs.groupBy(*key, "a").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("changed"))
     forward = uses.groupBy(*key).agg(F.max(F.when(F.substring("a", 1, 1) == NAME, F.col("n"))).alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"))
     told = runs.join(forward, key, "left").where(F.coalesce("most", F.lit(1)) == 1)
     told = told.select("doc_id", "item_id", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
-    told = told.unionByName(_literal_runs(rows.join(met, "doc_id", "left_semi"), literal, literal_per_item, sizes, windows, n <= broadcast_rows), allowMissingColumns=True)
+    told = told.unionByName(_literal_runs(again, literal, literal_per_item, sizes, windows, n, broadcast_rows), allowMissingColumns=True)
     return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed"))
 
 
-def _literal_runs(docs: DataFrame, items: DataFrame, per_item: DataFrame, sizes: list[int], windows: int, small: bool) -> DataFrame:
+def _literal_runs(docs: DataFrame, items: DataFrame, per_item: DataFrame, sizes: list[int], windows: int, n: int, broadcast_rows: int) -> DataFrame:
     """(doc_id, item_id, n_windows): enough windows of an item's own words at one distance from each other."""
-    items = F.broadcast(items) if small else items
     each = F.array(*(F.struct(F.lit(k).alias("size"), window_hashes(F.col("words"), k).alias("hashes")) for k in sizes))
-    found = docs.select("doc_id", plain_words(F.col("text")).alias("words")).select("doc_id", F.explode(each).alias("w"))
-    found = found.select("doc_id", F.col("w.size").alias("size"), F.posexplode("w.hashes").alias("doc_at", "hash"))
-    hits = found.join(items, ["size", "hash"]).select("doc_id", "item_id", "at", (F.col("doc_at") - F.col("at")).alias("shift"))
-    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("at").alias("n_windows"))
+    found = _bound(docs, "doc_id", "copy", words=plain_words(F.col("text"))).select("doc_id", "copy", F.explode_outer(each).alias("w"))
+    found = found.select("doc_id", "copy", F.col("w.size").alias("size"), F.posexplode_outer("w.hashes").alias("doc_at", "hash"))
+    hits = found.join(small(items, n, broadcast_rows), ["size", "hash"]).select("doc_id", "copy", "item_id", "at", (F.col("doc_at") - F.col("at")).alias("shift"))
+    runs = hits.groupBy("doc_id", "copy", "item_id", "shift").agg(F.countDistinct("at").alias("n_windows"))
     return runs.join(per_item, "item_id").where(F.col("n_windows") >= F.least(F.lit(windows), F.col("item_windows"))).select("doc_id", "item_id", "n_windows")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark passage is found; all columns stay."""
+    """The rows of ``docs`` in which no benchmark passage is found; all columns stay.
+
+    All rows of a doc_id go if one of its texts has a passage; rows without
+    doc_id or text stay; an empty benchmark takes nothing away, and an empty
+    table gives an empty one.
+    """
     leaks = stored(spark, find_leaks(spark, docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(leaks, leaks.count()), "doc_id", "left_anti").select(*docs.columns)
