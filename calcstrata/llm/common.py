@@ -59,6 +59,14 @@ def small(df: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def sampled(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """Rows with distinct ``key``, all of them or about ``most``, taken by a 64-bit hash of the key."""
+    n = df.agg(F.approx_count_distinct(F.xxhash64(*key), 0.02)).first()[0]
+    if n > most:
+        df = df.where(F.xxhash64(*key) < int(most / n * 2.0**64) - 2**63)
+    return df.dropDuplicates(list(key))
+
+
 def parts(spark: SparkSession) -> int:
     """The number of partitions for shuffles by a key."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -6,8 +6,8 @@ bitmap beside each level says which of its entries go on. A rank directory
 (ones before every 512th bit) turns a position in one level into the position
 in the next, so a token or a range is read without decoding what lies before.
 
-A file holds whole documents in ascending doc_id order: a header, the doc ids
-and their end offsets, then the levels. Files are kept as binary values of a
+A file holds whole documents in ascending doc_id order: a header, the doc ids,
+a bitmap of those that are absent and their end offsets, then the levels. Files are kept as binary values of a
 Parquet table in the shared folder, which any store that Spark reads can hold.
 """
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, stored
+from .common import parts, small, stored
 from .tokens import word_cache
 
-MAGIC = b"DACT0001"
+MAGIC = b"DACT0002"
 RANK_STEP = 512
 
 
@@ -50,9 +50,11 @@ def encode_ids(ids: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def encode_file(doc_ids: list[int], lengths: list[int], ids: np.ndarray) -> bytes:
+def encode_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     ends = np.cumsum(np.asarray(lengths, dtype=np.uint64), dtype=np.uint64)
-    return b"".join((MAGIC, struct.pack("<Q", len(doc_ids)), np.asarray(doc_ids, dtype="<i8").tobytes(), ends.astype("<u8").tobytes(), encode_ids(ids)))
+    absent = np.packbits(np.array([x is None for x in doc_ids], dtype=bool), bitorder="little")
+    known = np.array([0 if x is None else x for x in doc_ids], dtype="<i8")
+    return b"".join((MAGIC, struct.pack("<Q", len(doc_ids)), known.tobytes(), absent.tobytes(), ends.astype("<u8").tobytes(), encode_ids(ids)))
 
 
 class DacFile:
@@ -63,8 +65,10 @@ class DacFile:
             raise ValueError("not a token file")
         (n,) = struct.unpack_from("<Q", data, 8)
         self.doc_ids = np.frombuffer(data, "<i8", n, 16)
-        self.ends = np.frombuffer(data, "<u8", n, 16 + 8 * n).astype(np.int64)
-        at = 16 + 16 * n
+        flags = -(-n // 8)
+        self.absent = np.unpackbits(np.frombuffer(data, np.uint8, flags, 16 + 8 * n), bitorder="little", count=n).astype(bool)
+        self.ends = np.frombuffer(data, "<u8", n, 16 + 8 * n + flags).astype(np.int64)
+        at = 16 + 16 * n + flags
         (count,) = struct.unpack_from("<I", data, at)
         at += 4
         self.levels = []
@@ -120,9 +124,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
 
     A document's ids are followed by ``end_id``. Null texts count as empty,
     repeated rows are kept and lie side by side, rows without doc_id come
-    first with the id -1 in the file; other columns are ignored.
+    first and are marked absent in the file; other columns are ignored; an
+    empty table gives no file.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +166,19 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, read from the files; doc_id is null where it is absent.
+
+    The start of a file is the sum of the tokens of those before it: one
+    narrow row a file, and a file has millions of tokens, so the files' bytes
+    stay where they are read. No files give no rows.
+    """
     sizes = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition of the writer
     shards = sizes.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
     inside = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("shard", "part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("part_start"))
     starts = starts.join(shards, "shard").select("shard", "part", (F.col("shard_start") + F.col("part_start")).alias("base"))
+    starts = small(starts, files.count())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +187,7 @@ def read_tokens(files: DataFrame) -> DataFrame:
                 firsts = np.concatenate(([0], file.ends[:-1]))
                 crc = [zlib.crc32(file.tokens(int(a), int(b)).tobytes()) for a, b in zip(firsts, file.ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids), pa.array(firsts + base), pa.array(file.ends - firsts), pa.array(crc, pa.int64())],
+                    [pa.array(file.doc_ids, mask=file.absent), pa.array(firsts + base), pa.array(file.ends - firsts), pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, stored
@@ -75,7 +75,9 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
 
 
 def lzw_decode(stream: bytes, bits: int, size: int) -> bytes:
-    """``size`` samples of a code stream."""
+    """``size`` samples of a code stream; GifError if it is damaged."""
+    if not 1 <= bits <= 8:
+        raise GifError(f"samples of {bits} bits")
     clear, stop = 1 << bits, (1 << bits) + 1
     data = np.frombuffer(stream + b"\0\0\0", dtype=np.uint8).astype(np.int64)
     total = 8 * len(stream)
@@ -161,11 +163,11 @@ def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
     """Width, height and the frames of a GIF; GifError if the bytes are cut or not a GIF."""
     try:
         return _decode(data)
-    except (IndexError, struct.error) as e:
-        raise GifError("the stream is cut") from e
+    except (IndexError, ValueError, struct.error) as e:
+        raise e if isinstance(e, GifError) else GifError("the stream is cut or damaged") from e
 
 
-def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
+def _decode(data: bytes, most_pixels: int = 1 << 24) -> tuple[int, int, list[Frame]]:
     if data[:6] not in (b"GIF89a", b"GIF87a"):
         raise GifError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
@@ -203,6 +205,8 @@ def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
                 palette, at = colours(how, at)
             bits = data[at]
             stream, at = gathered(at + 1)
+            if w * h > most_pixels:
+                raise GifError(f"a frame of {w} x {h}")
             rows = np.frombuffer(lzw_decode(stream, bits, w * h), np.uint8).reshape(h, w)
             frames.append(Frame(left, top, _interlaced(rows) if how & 0x40 else rows, GREY if palette is None else palette, *shown))
             shown = (0, 0, None)
@@ -211,8 +215,14 @@ def _decode(data: bytes) -> tuple[int, int, list[Frame]]:
     return width, height, frames
 
 
-def canvases(width: int, height: int, frames: list[Frame]):
-    """(frame, RGBA picture shown) in time order, under the disposal and transparency rules."""
+def canvases(width: int, height: int, frames: list[Frame], most_pixels: int = 1 << 24):
+    """(frame, RGBA picture shown) in time order, under the disposal and transparency rules.
+
+    The header alone sets the canvas, so one of more than ``most_pixels`` is a
+    GifError, as a few bytes could else ask for any memory.
+    """
+    if width * height > most_pixels:
+        raise GifError(f"a canvas of {width} x {height}")
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     for f in frames:
         h, w = f.samples.shape
@@ -233,38 +243,67 @@ def canvases(width: int, height: int, frames: list[Frame]):
             canvas[area] = before
 
 
-def colour_histogram(picture: np.ndarray, levels: int = 4) -> np.ndarray:
-    """Counts of opaque pixels by red, green and blue, each in ``levels`` steps."""
-    x = picture[..., :3].astype(np.int64) * levels // 256
-    bins = (x[..., 0] * levels + x[..., 1]) * levels + x[..., 2]
-    return np.bincount(bins[picture[..., 3] > 0].ravel(), minlength=levels**3)
+LEVELS = 4
 
 
-def frame_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """One row a frame: key, frame, start_cs, delay_cs, width, height, histogram, error.
+def colour_histogram(picture: np.ndarray) -> np.ndarray:
+    """Counts of opaque pixels by red, green and blue, each in ``LEVELS`` steps."""
+    x = picture[..., :3] // np.uint8(256 // LEVELS)
+    bins = (x[..., 0] * np.uint8(LEVELS) + x[..., 1]) * np.uint8(LEVELS) + x[..., 2]
+    return np.bincount(bins[picture[..., 3] > 0].ravel(), minlength=LEVELS**3)
+
+
+_FRAME = pa.struct([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
+_FRAMES = "array<struct<frame:int,start_cs:bigint,delay_cs:int,width:int,height:int,histogram:array<bigint>>>"
+
+
+def media_frames(media: DataFrame, *keep: str, column: str = "media") -> DataFrame:
+    """``keep``, and what a GIF shows: its timed frames with colour histograms, and digests of its bytes and pictures.
 
-    Times are in hundredths of a second. Null, empty or damaged media give
-    one row with ``error`` and nulls.
+    frames: array of struct<frame, start_cs, delay_cs, width, height,
+    histogram>; times are in hundredths of a second. payload_bytes,
+    payload_sha256, tail_crc32: the red samples of each frame's area in turn
+    (of grey media, the samples). Null, empty or damaged media have ``error``
+    and nulls.
     """
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        told, plain, hists, counts, errors = [], [], [], [], []
+        for data in batch.column(len(keep)).to_pylist():
+            own, payload, time, error = [], [], 0, None
             try:
                 width, height, frames = decode_gif(data or b"")
-                time = 0
                 for i, (f, picture) in enumerate(canvases(width, height, frames)):
-                    rows.append((k, i, time, f.delay, f.samples.shape[1], f.samples.shape[0], colour_histogram(picture).tolist(), None))
+                    h, w = f.samples.shape
+                    payload.append(np.ascontiguousarray(picture[f.top : f.top + h, f.left : f.left + w, 0]).tobytes())
+                    own.append((i, time, f.delay, w, h, colour_histogram(picture)))
                     time += f.delay
             except GifError as e:
-                rows.append((k, None, None, None, None, None, None, str(e)))
-        kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
-        names = ["key", "frame", "start_cs", "delay_cs", "width", "height", "histogram", "error"]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+                own, error = [], str(e)
+            raw = b"".join(payload)
+            told.append((None,) * 5 if error else (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(data), hashlib.sha256(data).hexdigest()))
+            errors.append(error)
+            plain += [x[:5] for x in own]
+            hists += [x[5] for x in own]
+            counts.append(None if error else len(own))
+        bins = pa.ListArray.from_arrays(pa.array(np.arange(len(hists) + 1, dtype=np.int32) * LEVELS**3), pa.array(np.concatenate(hists) if hists else np.empty(0, np.int64), pa.int64()))
+        columns = [pa.array([x[i] for x in plain], _FRAME.field(i).type) for i in range(5)]
+        each = pa.StructArray.from_arrays([*columns, bins], fields=list(_FRAME))
+        ends = np.cumsum([0, *(c or 0 for c in counts)]).tolist()
+        offsets = pa.array([None if i < len(counts) and counts[i] is None else e for i, e in enumerate(ends)], pa.int32())
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+        digests = [pa.array([r[i] for r in told], t) for i, t in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *digests, pa.ListArray.from_arrays(offsets, each), pa.array(errors, pa.string())], [*keep, *names, "frames", "error"])
+
+    rows = media.select(*keep, F.col(column).alias("media"))
+    own = "".join(f"`{x}` {rows.schema[x].dataType.simpleString()}, " for x in keep)
+    return map_batches(rows, one, own + f"payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames {_FRAMES}, error string")
 
-    source = media.select(F.col(key).alias("key"), F.col(column).alias("media"))
-    kind = source.schema["key"].dataType.simpleString()
-    return map_batches(source, one, f"key {kind}, frame int, start_cs long, delay_cs int, width int, height int, histogram array<long>, error string").withColumnRenamed("key", key)
+
+def frame_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
+    """One row a frame: key, frame, start_cs, delay_cs, width, height, histogram, error; one row with ``error`` for damaged media."""
+    return media_frames(media, key, column=column).select(key, F.explode_outer("frames").alias("f"), "error").select(key, "f.*", "error")
 
 
 WIDTH, FRAME_ROWS = 192, 192
@@ -291,35 +330,26 @@ def text_media(docs: DataFrame) -> DataFrame:
     return map_batches(rows, one, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored GIFs hold, read from their pictures: payload and media digests, and a feature of the frames.
+def show_feature(frames: Column) -> Column:
+    """Frames, size of the first and show time, then the pixels of each grey step over all frames.
 
-    feature: frames, size and show time, then the counts of the sixteen grey
-    levels over all frames.
+    The steps of a grey picture are the histogram's cells of equal red, green
+    and blue.
     """
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for data in batch.column("media").to_pylist():
-            width, height, frames = decode_gif(data)
-            parts, grey, time = [], np.zeros(16, dtype=np.int64), 0
-            for f, picture in canvases(width, height, frames):
-                h, w = f.samples.shape
-                shown = np.ascontiguousarray(picture[f.top : f.top + h, f.left : f.left + w, 0])
-                parts.append(shown.tobytes())
-                grey += np.bincount((shown >> 4).ravel(), minlength=16)
-                time += f.delay
-            payload = b"".join(parts)
-            feature = f"{len(frames)}x{width}x{height}@{time}:" + ",".join(map(str, grey.tolist()))
-            out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(kinds))], ["doc_id", "n_bytes", *names])
-
-    schema = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return map_batches(media, one, schema)
+    first = F.element_at(frames, 1)
+    time = F.aggregate(frames, F.lit(0).cast("bigint"), lambda t, f: t + f["delay_cs"])
+    counted = lambda at: F.aggregate(frames, F.lit(0).cast("bigint"), lambda n, f: n + f["histogram"][at])
+    grey = [counted(k * (LEVELS**2 + LEVELS + 1)).cast("string") for k in range(LEVELS)]
+    return F.concat(F.size(frames).cast("string"), F.lit("x"), first["width"].cast("string"), F.lit("x"), first["height"].cast("string"), F.lit("@"), time.cast("string"), F.lit(":"), F.concat_ws(",", *grey))
 
 
 def store_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Store every text as a GIF and describe what is read back."""
-    return media_digests(stored(spark, text_media(docs), "gif"))
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, frames) of every row.
+
+    Texts are stored as GIFs, these are read back, and their timed frames are
+    stored with colour histograms; the feature is computed from the stored
+    frames. Null texts count as empty, repeated rows and null ids come out
+    once each, other columns are ignored, an empty table gives an empty one.
+    """
+    frames = stored(spark, media_frames(stored(spark, text_media(docs), "gif"), "doc_id", "n_bytes"), "gif-frames")
+    return frames.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", show_feature(F.col("frames")).alias("feature"), "frames")

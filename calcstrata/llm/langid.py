@@ -3,7 +3,7 @@
 Texts are lower-cased and read as letters with one blank for each other
 character. N-grams are hashed into a fixed number of bins, so the model is one
 row of log-probabilities for each language, whose size does not depend on the
-corpus; it travels with the tasks. A batch is scored as one long array of
+corpus; it is broadcast. A batch is scored as one long array of
 bins: gather a language's weights, then sum by document.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_batches
+from .common import id_remainder, map_batches, sampled
 
 ORDERS = (1, 2, 3)
 _CHUNK = 1_000_000
@@ -104,17 +104,19 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score
 
 
-def fit(labelled: DataFrame, bins: int = 1 << 16, most_rows: int = 20_000) -> Model:
+def fit(labelled: DataFrame, bins: int = 1 << 16, most_rows: int = 20_000, most_langs: int = 500) -> Model:
     """Learn from (text, lang, key) rows.
 
-    ``most_rows`` bounds the rows learned from: with more, rows are taken by a
-    hash of their key, about that many. Counts come to the driver as one
-    vector of ``bins`` for each language, summed on the executors.
+    ``most_rows`` bounds the distinct rows learned from: of more, about that
+    many are taken by a 64-bit hash of key and text, at every size of the
+    corpus. Counts come to the driver as one vector of ``bins`` for each
+    language, summed on the executors; of more than ``most_langs`` languages
+    in the sample the commonest are learned.
     """
-    rows = labelled.where("text is not null and lang is not null")
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    rows = sampled(labelled.where("text is not null and lang is not null"), most_rows, "key", "text", "lang")
+    if rows.groupBy("lang").count().count() > most_langs:
+        common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
+        rows = rows.join(F.broadcast(common), "lang", "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -169,8 +171,10 @@ def identify(spark: SparkSession, docs: DataFrame, most_rows: int = 20_000) -> D
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
     model = fit(rows.where(~F.col("held_out")).withColumnRenamed("doc_id", "key"), most_rows=most_rows)
 
+    shared = spark.sparkContext.broadcast(model)  # the weights: at most most_langs x bins
+
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, score = model.predict(batch.column("text").to_pylist())
+        langs, score = shared.value.predict(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -4,7 +4,11 @@ Statistics of a whole text are standardised and mapped to ``size`` cosines of
 random directions, whose inner products approximate a Gaussian kernel. Each
 partition sums its normal equations, the sums are added in two steps, and the
 driver solves one system of ``size`` unknowns. Raw scores become probabilities
-by isotonic regression over a fixed grid of score bins.
+by isotonic regression over a fixed grid of score bins, on labelled rows that
+the equations did not see.
+
+Labels are learned from a sample of documented size, so only the sample's
+texts are read twice; every text is scored where it is read.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_batches, stored
+from .common import id_remainder, map_batches, sampled, stored
 
 STATISTICS = ("log_words", "word_length", "capitals", "digits", "marks", "symbols", "bars", "distinct", "repeated_lines", "top_word", "caps_words", "lone_marks", "repeated_pairs", "sentence")
 _MARKS = str.maketrans("", "", "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()))
@@ -56,16 +60,25 @@ def statistics(text: str) -> tuple[float, ...]:
     )
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, row columns of ``docs`` left out, stats array) of every whole text."""
+def labelled_statistics(spark: SparkSession, docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
+    """(stats, y, held) of about ``most_rows`` labelled documents with crc32 modulo 5 not 0; held: kept for calibration.
+
+    Repeated labels of a document count by their mean, rows that share a
+    doc_id as one document, that with the least text.
+    """
+    wanted = labels.where("doc_id is not null and quality is not null").where(id_remainder(5) != 0)
+    wanted = wanted.groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
+    wanted = stored(spark, sampled(wanted, most_rows, "doc_id"), "labels")
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(wanted), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # about most_rows labels
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         flat = np.array([statistics(t.as_py()) for t in batch.column("text")], dtype=np.float64)
         values = pa.ListArray.from_arrays(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32), pa.array(flat.ravel()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "stats"])
+        return pa.RecordBatch.from_arrays([values, batch.column("y"), batch.column("held")], ["stats", "y", "held"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")), one, f"doc_id {kind}, stats array<double>")
+    held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(4)) == 0
+    return stored(spark, map_batches(rows.select("text", "y", held.alias("held")), one, "stats array<double>, y double, held boolean"), "statistics")
 
 
 class Model:
@@ -107,19 +120,19 @@ def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, n
     return np.array([b[0] / b[2] for b in blocks]), np.array([b[1] / b[2] for b in blocks])
 
 
-def fit(stats: DataFrame, labels: DataFrame, size: int = 192, width: float = 3.0, ridge: float = 1.0, grid: int = 2000) -> Model:
-    """Learn from statistics of labelled documents (stats: doc_id, stats; labels: doc_id, quality).
+def fit(rows: DataFrame, size: int = 192, width: float = 3.0, ridge: float = 1.0, grid: int = 2000) -> Model:
+    """Learn from labelled statistics (stats, y, held): the equations from rows that are not held, the curve from those that are.
 
-    All labelled rows count, repeated labels of a document by their mean.
-    What reaches the driver has the size of the model or the grid.
+    If either part is empty, both use all rows; without rows every score is
+    0.5. What reaches the driver has the size of the model or the grid.
     """
     model = Model(size, width)
-    wanted = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.avg(F.col("quality").cast("double")).alias("y"))
-    rows = stats.join(wanted, "doc_id").select("stats", "y")
     k = len(STATISTICS)
-    got = rows.agg(F.count(F.lit(1)), *(f(F.col("stats")[i]) for i in range(k) for f in (F.avg, F.stddev_pop))).first()
-    if not got[0]:
+    several = rows.agg(F.count_if("held"), F.count_if(~F.col("held"))).first()
+    if not sum(several):
         return model
+    curved, rows = (rows.where("held"), rows.where("not held")) if min(several) else (rows, rows)
+    got = rows.agg(F.count(F.lit(1)), *(f(F.col("stats")[i]) for i in range(k) for f in (F.avg, F.stddev_pop))).first()
     model.mean = np.array(got[1::2], dtype=float)
     model.scale = np.maximum(np.array(got[2::2], dtype=float), 1e-6)
     d = size + 1
@@ -140,7 +153,7 @@ def fit(stats: DataFrame, labels: DataFrame, size: int = 192, width: float = 3.0
                 total += np.frombuffer(x.as_buffer())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    added = rows.mapInArrow(sums, "sums binary").repartition(4).mapInArrow(add, "sums binary").collect()
+    added = rows.select("stats", "y").mapInArrow(sums, "sums binary").repartition(4).mapInArrow(add, "sums binary").collect()
     total = sum(np.frombuffer(r["sums"]) for r in added).reshape(d, d + 1)
     penalty = ridge * np.eye(d)
     penalty[-1, -1] = 1e-9
@@ -151,42 +164,48 @@ def fit(stats: DataFrame, labels: DataFrame, size: int = 192, width: float = 3.0
         cell = np.minimum((raw + 1) / 3 * grid, grid - 1).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(cell), batch.column("y")], ["cell", "y"])
 
-    curve = map_batches(rows, cells, "cell int, y double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).orderBy("cell").collect()
+    curve = map_batches(curved.select("stats", "y"), cells, "cell int, y double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).orderBy("cell").collect()
     at = np.array([(r["cell"] + 0.5) * 3 / grid - 1 for r in curve])
     model.edges, model.levels = isotonic(at, np.array([r["y"] for r in curve]), np.array([float(r["n"]) for r in curve]))
     return model
 
 
-def rate(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+MOST_ROWS = 50_000
+
+
+def rate(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
-    Learned from labels of documents whose id's crc32 modulo 5 is not 0. Null
-    texts count as empty and are scored like any text; repeated rows come out
-    once each; null ids are scored but never learned from; without labels
-    every score is 0.5. Other columns are never used.
+    Learned from about ``most_rows`` labels of documents whose id's crc32
+    modulo 5 is not 0, taken by a hash of the id. Null texts count as empty
+    and are scored like any text; repeated rows come out once each; null ids
+    are scored but never learned from; without labels every score is 0.5; an
+    empty table gives an empty one. Other columns are never used.
     """
-    stats = stored(spark, document_statistics(docs), "statistics").withColumn("held_out", id_remainder(5) == 0)
-    model = fit(stats.where(~F.col("held_out")), labels)
+    model = fit(labelled_statistics(spark, docs, labels, most_rows))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        score = model.score(_matrix(batch.column("stats")))
+        score = model.score(np.array([statistics(t.as_py()) for t in batch.column("text")], dtype=np.float64))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(stats, one, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    rows = docs.select("doc_id", (id_remainder(5) == 0).alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return map_batches(rows, one, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = MOST_ROWS) -> DataFrame:
     """The rows of ``docs`` that score at least the threshold; all columns stay.
 
     The model is learned as in ``rate``; rows are judged where they are read,
-    without a join.
+    without a join, whatever their ids. Null and empty texts are scored like
+    any text, without labels all rows stay, and an empty table gives an empty
+    one.
     """
-    stats = stored(spark, document_statistics(docs), "statistics").where(id_remainder(5) != 0)
-    model = fit(stats, labels)
+    model = fit(labelled_statistics(spark, docs, labels, most_rows))
 
     def good(batch: pa.RecordBatch) -> pa.RecordBatch:
-        flat = np.array([statistics(t.as_py() or "") for t in batch.column("text")], dtype=np.float64)
+        text = batch.column(batch.schema.names.index("text"))
+        flat = np.array([statistics(t.as_py() or "") for t in text], dtype=np.float64)
         return batch.filter(pa.array(model.score(flat) >= threshold))
 
     return map_batches(docs, good, docs.schema)

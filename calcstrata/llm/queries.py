@@ -31,7 +31,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.store_texts(spark, documents(spark, sf_dir))
+    return gif.store_texts(spark, documents(spark, sf_dir)).drop("frames")
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

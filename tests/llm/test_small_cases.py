@@ -213,9 +213,27 @@ def test_gif(spark, docs, empty):
         pad = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         r = next(r for r in got if r["doc_id"] == i)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-16:]))
+        n = len(pad) // 192
+        assert len(r["frames"]) == -(-n // 192) and r["feature"].startswith(f"{len(r['frames'])}x192x{min(n, 192)}@{10 * len(r['frames'])}:")
+        grey = np.bincount(np.frombuffer(pad, np.uint8) // 64, minlength=4)
+        if n <= 192:
+            assert r["feature"].endswith(":" + ",".join(map(str, grey)))
     assert gif.store_texts(spark, empty).count() == 0
 
 
+def test_gif_damage(spark):
+    """A code size beyond eight bits, a canvas and a frame of any size the header says, and cut streams are errors of their row."""
+    data = bytearray(gif.encode_gif([np.zeros((4, 4), np.uint8)]))
+    at = data.index(b"\x2c\0\0\0\0\x04\0") + 10
+    wide, huge, frame = bytearray(data), bytearray(data), bytearray(data)
+    wide[at] = 12
+    huge[6:10] = b"\xff\xff\xff\xff"
+    frame[at - 5 : at - 1] = b"\xff\xff\xff\xff"
+    media = [data, wide, huge, frame, *(data[:k] for k in range(0, len(data), 97))]
+    rows = gif.frame_table(spark.createDataFrame(list(enumerate(media)), "doc_id int, media binary")).collect()
+    assert {r["doc_id"] for r in rows if r["error"] is None} == {0} and len(rows) == len(media)
+
+
 def test_gif_rules(spark):
     a, b = np.zeros((4, 4), np.uint8), np.full((4, 4), 9, np.uint8)
     b[0] = 7
@@ -334,7 +352,7 @@ def test_dac(spark, docs, empty):
     tk = tokenizers.Tokenizer.from_file(file)
     files = dac.write_tokens(spark, docs, file, 0, file_tokens=5000)
     got = sorted(dac.read_tokens(files).collect(), key=lambda r: r["start"])
-    ordered = sorted(((-1 if i is None else i, t or "") for i, t, _ in TEXTS), key=lambda x: x)
+    ordered = sorted(((i, t or "") for i, t, _ in TEXTS), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
     start = 0
     for r, (i, t) in zip(got, ordered, strict=True):
         ids = tk.encode(t, add_special_tokens=False).ids + [0]
