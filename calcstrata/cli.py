@@ -39,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("diff")
     p.add_argument("rev1", nargs="?")
     p.add_argument("rev2", nargs="?")
-    p.add_argument("--format", choices=("semantic", "compact", "detailed", "json"), default="semantic")
+    p.add_argument("--format", choices=("semantic", "compact", "detailed", "unified", "json"), default="semantic")
     p.add_argument("--summary", action="store_true")
     p.add_argument("--file")
     p = sub.add_parser("status")
@@ -47,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("reproduce")
     p.add_argument("rev")
     p.add_argument("-o", "--output", required=True)
+    p.add_argument("--verify-potcar", action=argparse.BooleanOptionalAction, default=True, help="compare the hashes of what was written")
+    p.add_argument("--verify-env", action=argparse.BooleanOptionalAction, default=False, help="compare the recorded environment with this one")
     p = sub.add_parser("plugin")
     p.add_argument("action", choices=("list", "info", "enable", "disable"))
     p.add_argument("name", nargs="?")
@@ -75,6 +77,8 @@ def run(argv: list[str], spark=None) -> str:
         text = render.history_text(history, oneline).orderBy(F.desc("timestamp"), "commit_hash")
         return ("\n" if oneline else "\n\n").join(r["text"] for r in text.collect())
     if a.command == "diff":
+        if a.format == "unified" and not a.summary:
+            return "\n".join(r["text"] for r in repo.unified(a.rev1, a.rev2, a.file).orderBy("file").collect()) or "No changes"
         entries = repo.diff(a.rev1, a.rev2, a.file)
         if a.summary:
             return "\n".join(str(r.asDict()) for r in facts.summarize(entries, ["file"]).orderBy("file").collect())
@@ -87,7 +91,19 @@ def run(argv: list[str], spark=None) -> str:
         rows = repo.status().collect()
         return "\n".join(f"{r['mark']} {r['path']}" if a.short else f"{r['mark']} {r['path']} {r['file_type']} {r['size']}" for r in rows)
     if a.command == "reproduce":
-        return "\n".join(f"{r['status']:8} {r['path']}" for r in repo.reproduce(a.rev, a.output).orderBy("path").collect())
+        rows = repo.reproduce(a.rev, a.output, a.verify_potcar).orderBy("path").collect()
+        out = [f"{r['status']:8} {r['path']}" for r in rows]
+        if a.verify_env:
+            told = repo.environment(a.rev).orderBy("name").collect()
+            out += [f"{'ok' if r['matches'] else 'differs':8} {r['name']}: {r['stored'] or '-'} / {r['current']}" for r in told]
+        if any(r["status"] not in ("ok", "written") for r in rows):
+            raise RepositoryError("\n".join(out))
+        return "\n".join(out)
+    if a.action == "info":
+        own = [v for v in repo.validators() if v["name"] == a.name]
+        if not own:
+            raise RepositoryError(f"no validator is called {a.name}")
+        return "\n".join(f"{k}: {v}" for k, v in (own[0] | {"settings": repo.manager().config(a.name)}).items())
     if a.action in ("enable", "disable"):
         repo.set_validator(a.name, a.action == "enable")
     return "\n".join(f"{v['priority']:3} {v['name']} {'on' if v['enabled'] else 'off'}" for v in repo.validators() if a.name in (None, v["name"]))

@@ -22,6 +22,16 @@ def is_hash(text: Column) -> Column:
     return F.coalesce(text.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
 
 
+def hartree(energy_ev: Column) -> Column:
+    return energy_ev * EV_TO_HARTREE
+
+
+def vector_norm(components: Column, digits: int = 6) -> Column:
+    """Length of a vector, rounded; null for null, empty vectors and vectors with a null in them."""
+    whole = (F.size(components) > 0) & F.forall(components, lambda x: x.isNotNull())
+    return F.when(whole, F.round(F.sqrt(F.aggregate(components, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), digits))
+
+
 def short_hash(text: Column, digits: int = 7) -> Column:
     return F.substring(text, 1, digits)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -23,6 +23,23 @@ def new_blobs(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.dropDuplicates(["blob_hash"]).join(known.select("blob_hash"), "blob_hash", "left_anti")
 
 
+#: Fixed value: blobs of this many bytes or more are stored compressed.
+COMPRESS_FROM = 200 * 1024 * 1024
+
+
+def write(blobs: DataFrame, path: str, compress: bool | None = None) -> None:
+    """Append blobs to a store: in gzip if ``compress``, and by default those from ``COMPRESS_FROM`` bytes on; the codec never shows in what is read."""
+    large = F.col("size_bytes") >= COMPRESS_FROM
+    tiers = [(blobs, "gzip" if compress else "none")] if compress is not None else [(blobs.where(~large), "snappy"), (blobs.where(large), "gzip")]
+    for df, codec in tiers:
+        df.write.mode("append").option("compression", codec).parquet(path)
+
+
+def stored_size(spark: SparkSession, path: str) -> int:
+    """Bytes that the files of a store take on disk, compressed as they are."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
 def existing(hashes: DataFrame, blobs: DataFrame, column: str = "blob_hash") -> DataFrame:
     """The well-formed hashes that the store has."""
     return hashes.where(S.is_hash(F.col(column))).join(blobs.select(F.col("blob_hash").alias(column)), column, "left_semi")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 
 def canonical(df: DataFrame) -> Column:
     """JSON with sorted keys and no blanks, null parents kept, non-ASCII kept; empty sections left out.
@@ -47,9 +49,21 @@ def compare_environment(stored: DataFrame, current: dict[str, str]) -> DataFrame
     return rows.select("commit_hash", "name", was.alias("stored"), F.element_at(now, F.col("name")).alias("current"), ((was == "") | (was == F.element_at(now, F.col("name")))).alias("matches"))
 
 
+OUTPUTS = ("OUTCAR", "ORCA_OUTPUT", "LAMMPS_LOG")
+
+
+def existing(hashes: DataFrame, commits: DataFrame) -> DataFrame:
+    """The well-formed full hashes that are commits."""
+    return hashes.where(S.is_hash(F.col("commit_hash"))).join(commits.select("commit_hash"), "commit_hash", "left_semi")
+
+
 def output_summary(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a commit from parsed outputs: energy, convergence and problems."""
-    rows = files.join(facts, ["blob_hash", "file_type"]).where(F.col("file_type").isin("OUTCAR", "ORCA_OUTPUT", "LAMMPS_LOG"))
+    """One row a commit from parsed outputs: energy, convergence and problems.
+
+    files: commit_hash, blob_hash, file_type. max_force stays null, as forces
+    are in none of the facts.
+    """
+    rows = files.join(facts, ["blob_hash", "file_type"]).where(F.col("file_type").isin(*OUTPUTS))
     pick = lambda *paths: F.max(F.when(F.col("path").isin(*paths), F.col("num")))
     return rows.groupBy("commit_hash").agg(
         pick("final_energy", "final_etotal").alias("total_energy"),

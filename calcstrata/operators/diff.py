@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +79,17 @@ def diff_pairs(pairs: DataFrame, types: list[str] | None = None) -> DataFrame:
 
 def ordered(diffs: DataFrame) -> DataFrame:
     return diffs.orderBy("file", "ord", "path")
+
+
+def unified(pairs: DataFrame, context: int = 3) -> DataFrame:
+    """(file, text): unified differences of file versions (file, old_text, new_text); an absent side is empty, equal texts give no row."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = []
+            for file, old, new in zip(b["file"], b["old_text"], b["new_text"], strict=True):
+                sides = (f"a/{file}" if old is not None else "/dev/null", f"b/{file}" if new is not None else "/dev/null")
+                texts.append("\n".join(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), *sides, lineterm="", n=context)))
+            yield pd.DataFrame({"file": b["file"], "text": texts})
+
+    return pairs.select("file", "old_text", "new_text").mapInPandas(lines, "file string, text string").where("text <> ''")

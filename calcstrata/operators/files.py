@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..parsers import registry
-from ..parsers.dft import incar_entries, incar_value, lines_of
+from ..parsers.dft import incar_entries, incar_unreadable, incar_value, lines_of
 from ..parsers.values import ERROR
 from .validate import Rule, apply_rules
 
@@ -86,6 +86,11 @@ def poscar_counts(text: Column) -> Column:
     return F.when((F.size(n) > 0) & F.forall(n, lambda x: x.isNotNull()), n)
 
 
+def poscar_readable(text: Column) -> Column:
+    """Whether elements and counts are where they belong."""
+    return F.coalesce(poscar_counts(text).isNotNull() & (F.size(_content(text)) >= 8), F.lit(False))
+
+
 def potcar_elements(text: Column) -> Column:
     """Elements of the TITEL lines, suffixes such as ``_sv`` cut off."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"TITEL\s*=\s*\S+\s+(\S+)"), F.lit(1))
@@ -94,12 +99,14 @@ def potcar_elements(text: Column) -> Column:
 
 def _poscar_potcar() -> list[Rule]:
     a, b = poscar_elements(F.col("POSCAR")), potcar_elements(F.col("POTCAR"))
-    both = F.col("POSCAR").isNotNull() & F.col("POTCAR").isNotNull()
+    there = F.col("POSCAR").isNotNull() & F.col("POTCAR").isNotNull()
+    both = there & poscar_readable(F.col("POSCAR"))
     missing, extra = F.array_except(a, b), F.array_except(b, a)
     places = F.filter(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: F.when(z["a"].isNotNull() & z["b"].isNotNull() & (z["a"] != z["b"]), F.concat((i + 1).cast("string"), F.lit(": "), z["a"], F.lit(" vs "), z["b"]))), lambda m: m.isNotNull())
     differ = both & ~a.eqNullSafe(b)
     return [
         Rule("V12", "warning", F.col("POTCAR").isNull(), "POTCAR is missing"),
+        Rule("V12", "error", there & ~both, "POSCAR cannot be read"),
         Rule("V12", "error", differ & (F.size(missing) > 0), F.concat(F.lit("not in POTCAR: "), F.array_join(missing, ", "))),
         Rule("V12", "error", differ & (F.size(extra) > 0), F.concat(F.lit("not in POSCAR: "), F.array_join(extra, ", "))),
         Rule("V12", "error", differ & (F.size(places) > 0), F.concat(F.lit("order differs at "), F.array_join(places, ", "))),
@@ -113,10 +120,12 @@ def _incar_poscar() -> list[Rule]:
     number = lambda tag: incar_value(F.lit(tag), raw(tag))["num"]
     counts = poscar_counts(F.col("POSCAR"))
     species, atoms = F.size(poscar_elements(F.col("POSCAR"))), F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    readable = counts.isNotNull() & (F.size(_content(F.col("POSCAR"))) >= 8)
+    told = ~F.coalesce(incar_unreadable(F.col("INCAR"), entries), F.lit(True))
+    readable = poscar_readable(F.col("POSCAR")) & told
     moments = F.size(S.expanded(raw("MAGMOM")))
     rules = [
-        Rule("V19", "warning", ~F.coalesce(readable, F.lit(False)), "POSCAR cannot be read, checks skipped"),
+        Rule("V19", "warning", ~poscar_readable(F.col("POSCAR")), "POSCAR cannot be read, checks skipped"),
+        Rule("V19", "warning", ~told, "INCAR cannot be read, checks skipped"),
         Rule("V13", "error", readable & raw("MAGMOM").isNotNull() & (moments != atoms), F.concat(F.lit("MAGMOM has "), moments.cast("string"), F.lit(" values for "), atoms.cast("string"), F.lit(" atoms"))),
         Rule("V15", "warning", readable & (number("ISPIN") == 2) & raw("MAGMOM").isNull(), "ISPIN = 2 without MAGMOM"),
         Rule("V16", "warning", readable & (F.coalesce(number("NSW"), F.lit(0.0)) == 0) & S.is_integer(raw("ISIF")) & (number("ISIF") >= 3), "NSW = 0 makes ISIF of 3 or more useless"),
@@ -167,18 +176,22 @@ VALIDATORS: dict[str, Validator] = {
 }
 
 
+def register(validator: Validator) -> None:
+    """A further rule set, or another one of the same name."""
+    VALIDATORS[validator.name] = validator
+
+
 def enabled_validators(config: dict[str, bool] | None = None) -> list[Validator]:
-    """In ascending priority; a configured choice overrides the default."""
+    """In ascending priority, equal ones in order of registration; a configured choice overrides the default."""
     config = config or {}
     return sorted((v for v in VALIDATORS.values() if config.get(v.name, v.enabled)), key=lambda v: v.priority)
 
 
-def run_validators(files: DataFrame, config: dict[str, bool] | None = None) -> DataFrame:
-    """(dir, rule, priority, passed, message, errors, warnings) for each directory of files (path, text) and validator that applies.
+_RESULT = "dir string, rule string, priority int, passed boolean, message string, errors array<string>, warnings array<string>"
 
-    One pass brings the named files of a directory into one row; a validator
-    is a projection of that row, so one that fails never stops another.
-    """
+
+def directories(files: DataFrame) -> DataFrame:
+    """One row a directory of files (path, text): dir, names, a text column for each named file, bad_inputs."""
     name = F.upper(S.basename(F.col("path")))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
     rows = files.select(folder.alias("dir"), name.alias("name"), "path", "text").where(F.col("name").isin("POSCAR", "POTCAR", "INCAR", "KPOINTS"))
@@ -186,13 +199,40 @@ def run_validators(files: DataFrame, config: dict[str, bool] | None = None) -> D
     bad = registry.facts_of(inputs, ["INCAR", "KPOINTS"]).where(F.col("path") == ERROR)
     bad = inputs.select("dir", "blob_hash", "file_type").join(bad, ["blob_hash", "file_type"]).groupBy("dir").agg(F.array_join(F.array_sort(F.collect_set(F.concat("file_type", F.lit(" cannot be parsed")))), "; ").alias("bad_inputs"))
     wide = rows.groupBy("dir").agg(F.collect_set("name").alias("names"), *(F.max(F.when(F.col("name") == n, F.col("text"))).alias(n) for n in ("POSCAR", "POTCAR", "INCAR", "KPOINTS")))
-    wide = wide.join(bad, "dir", "left").withColumn("bad_inputs", F.coalesce("bad_inputs", F.lit("")))
+    return wide.join(bad, "dir", "left").withColumn("bad_inputs", F.coalesce("bad_inputs", F.lit("")))
+
+
+def judged(wide: DataFrame, validator: Validator) -> DataFrame:
+    """Results of one validator in the directories to which it applies."""
+    told = apply_rules(wide.where(validator.applies()), validator.rules())
+    message = F.when(F.col("passed"), "ok").otherwise(F.concat(F.size("errors").cast("string"), F.lit(" problem(s)")))
+    return told.select("dir", F.lit(validator.name).alias("rule"), F.lit(validator.priority).alias("priority"), "passed", message.alias("message"), "errors", "warnings")
+
+
+def crashed(wide: DataFrame, validator: Validator, problem: Exception) -> DataFrame:
+    """A failed result of each directory for a validator that cannot run."""
+    text = (str(problem).splitlines() or [""])[0]
+    return wide.select("dir", F.lit(validator.name).alias("rule"), F.lit(validator.priority).alias("priority"), F.lit(False).alias("passed"), F.lit(f"the validator failed: {text}").alias("message"), F.array(F.lit(text)).alias("errors"), F.array().cast("array<string>").alias("warnings"))
+
+
+def run_validators(files: DataFrame, config: dict[str, bool] | None = None, isolate: bool = False, chosen: list[Validator] | None = None) -> DataFrame:
+    """(dir, rule, priority, passed, message, errors, warnings) for each directory of files (path, text) and validator that applies.
+
+    One pass brings the named files of a directory into one row; a validator
+    is a projection of that row. One whose rules cannot be planned is a failed
+    result of every directory, and the others still run. With ``isolate`` each
+    validator runs by itself at once, so that an error at run time is held in
+    the same way; its few result columns are kept.
+    """
+    wide = directories(files)
     out = None
-    for v in enabled_validators(config):
-        told = apply_rules(wide.where(v.applies()), v.rules())
-        message = F.when(F.col("passed"), "ok").otherwise(F.concat(F.size("errors").cast("string"), F.lit(" problem(s)")))
-        told = told.select("dir", F.lit(v.name).alias("rule"), F.lit(v.priority).alias("priority"), "passed", message.alias("message"), "errors", "warnings")
+    for v in enabled_validators(config) if chosen is None else chosen:
+        try:
+            told = judged(wide, v)
+            if isolate:
+                told = told.persist()
+                told.count()
+        except Exception as e:  # whatever a rule set of someone else raises
+            told = crashed(wide, v, e)
         out = told if out is None else out.unionByName(told)
-    if out is None:
-        out = apply_rules(wide.where("false"), []).select("dir", F.lit("").alias("rule"), F.lit(0).alias("priority"), "passed", F.lit("").alias("message"), "errors", "warnings")
-    return out
+    return files.sparkSession.createDataFrame([], _RESULT) if out is None else out

@@ -21,6 +21,12 @@ def incar_entries(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: p.rlike(pattern)), lambda p: F.struct(F.upper(F.regexp_extract(p, pattern, 1)).alias("tag"), F.regexp_extract(p, pattern, 2).alias("raw")))
 
 
+def incar_unreadable(text: Column, entries: Column) -> Column:
+    """Whether there is text, comments and blank lines aside, but no ``tag = value``."""
+    told = F.exists(lines_of(text), lambda x: ~F.trim(F.regexp_replace(x, "[#!].*$", "")).isin(""))
+    return (F.size(entries) == 0) & told
+
+
 def incar_value(tag: Column, raw: Column) -> Column:
     """Typed: truth value, integer, real, list of numbers (``2*0.6`` expanded), else text."""
     up = F.upper(raw)
@@ -31,12 +37,12 @@ def incar_value(tag: Column, raw: Column) -> Column:
 
 
 def parse_incar(files: DataFrame) -> DataFrame:
-    """One fact a tag; the last of a repeated tag counts."""
+    """One fact a tag; the last of a repeated tag counts. Text without a single tag, comments aside, is an error."""
     rows = V.computed(files, e=incar_entries(F.col("text")))
     tags = F.array_sort(F.array_distinct(F.transform("e", lambda x: x["tag"])))
     last = lambda t: F.element_at(F.filter(F.col("e"), lambda x: x["tag"] == t), -1)["raw"]
     more = F.transform(tags, lambda t: F.struct(t.alias("path"), incar_value(t, last(t)).alias("v")))
-    return V.long_facts(rows, {}, more=more)
+    return V.long_facts(rows, {}, F.when(incar_unreadable(F.col("text"), F.col("e")), "no tags"), more=more)
 
 
 def _triple(text: Column, kind: str) -> Column:

@@ -92,7 +92,7 @@ def parse_output(files: DataFrame) -> DataFrame:
         "charge": S.first_match(t, r"Total Charge\s+Charge\s+\.+\s+([+-]?\d+)"),
         "multiplicity": S.first_match(t, r"Multiplicity\s+Mult\s+\.*\s+(\d+)"),
         "cycles": cycles,
-        "converged": F.when(cycles.isNotNull(), F.lit(True)).when(t.contains("SCF NOT CONVERGED"), F.lit(False)),
+        "converged": F.when(cycles.isNotNull(), F.lit(True)).when(t.rlike(r"(?i)SCF NOT CONVERGED"), F.lit(False)),
         "version": version,
         "wall": S.first_match(t, _DAYS),
     }

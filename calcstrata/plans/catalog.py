@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blobs, facts, snapshots, validate
-from . import fixtures
+from . import fixtures, generated
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -314,7 +314,7 @@ QUERIES = {
         chain_last_state, chain_steps, ancestry, history_topn, history_page, history_latest, history_oneline, thermo_last_row, run_steps, first_match, last_match, json_facts,
         type_detect_stage, type_detect_diff, ignore_filter, size_render, keyword_set_diff, noise_filter, tracked_on_disk, staging_counters, validate_rules, cross_rules,
     )
-} | fixtures.QUERIES
+} | fixtures.QUERIES | generated.QUERIES
 
 _TURNS_SQL = "SELECT conv_id, turn, role, max(sha256(text)) AS blob_hash FROM conversations GROUP BY ALL"
 _COMMITS_SQL = "SELECT o_orderkey AS commit_hash, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, o_orderpriority AS message FROM orders"
@@ -373,4 +373,4 @@ CASE WHEN starts_with(o_orderpriority, '5') THEN 'priority is low' ELSE '' END A
     "cross_rules": """WITH i AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
 SELECT passed, errors, warnings, count(*) AS n FROM (SELECT coalesce(i.n, 0) > 0 AS passed, CASE WHEN coalesce(i.n, 0) = 0 THEN 'no items' ELSE '' END AS errors, CASE WHEN o_orderstatus = 'O' AND coalesce(i.r, 0) > 0 THEN 'open with returns' ELSE '' END AS warnings
 FROM orders LEFT JOIN i ON o_orderkey = l_orderkey) GROUP BY 1, 2, 3""",
-} | fixtures.ORACLE
+} | fixtures.ORACLE | generated.ORACLE

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import scalars as S
-from ..operators import blobs, commits, diff, files, snapshots
+from ..operators import blobs, commits, diff, facts, files, snapshots, staging
+from ..parsers import registry
+from ..plugins import Manager
 from ..schemas import BlobCorruptedError, BlobNotFoundError, RepositoryError, StagingError
 from . import worktree
 
@@ -40,13 +42,31 @@ class Repository:
             if not force:
                 raise RepositoryError(f"{self.root} is a repository already")
             shutil.rmtree(self.store)
-        os.makedirs(self.store)
-        self._save({"version": schemas.VERSION, "head": None, "staged": None, "validators": {}})
         ignore = Path(self.root) / worktree.IGNORE_FILE
-        if not ignore.exists():
-            ignore.write_text("# patterns of files that are not added\n__pycache__/\n*.tmp\n", encoding="utf-8")
+        fresh = not ignore.exists()
+        try:
+            os.makedirs(self.store)
+            self._save({"version": schemas.VERSION, "head": None, "staged": None})
+            if fresh:
+                ignore.write_text("# patterns of files that are not added\n__pycache__/\n*.tmp\n", encoding="utf-8")
+        except OSError:  # nothing half made stays
+            shutil.rmtree(self.store, ignore_errors=True)
+            if fresh:
+                ignore.unlink(missing_ok=True)
+            raise
         return self
 
+    def schema_version(self) -> int:
+        """Version of the stored layout; 0 if none is recorded."""
+        try:
+            return int(json.loads(Path(self.store, "state.json").read_text(encoding="utf-8")).get("version") or 0)
+        except (OSError, ValueError, AttributeError):
+            return 0
+
+    def manager(self) -> Manager:
+        """Validators with this repository's settings."""
+        return Manager(f"{self.store}/plugins.json")
+
     def _state(self) -> dict:
         try:
             state = json.loads(Path(self.store, "state.json").read_text(encoding="utf-8"))
@@ -110,7 +130,8 @@ class Repository:
         """(path, status, blob_hash, file_type, size_bytes): added, updated or ignored for each file found.
 
         A dry run stages nothing. Validators look at the directories of the
-        files; a failed one stops the staging.
+        files; a failed one stops the staging. The tree is read once: blobs,
+        index, validators and report all come from the same stored scan.
         """
         self._state()
         wanted = [self._inside(p) for p in paths or ["."]]
@@ -120,24 +141,33 @@ class Repository:
             for p in wanted:
                 inside = inside | (F.col("path") == p) | F.col("path").startswith(p + "/")
             found = found.where(inside)
-        hashed = blobs.hashed(found).withColumn("file_type", S.type_at_staging(F.col("path")))
-        ignored = F.lit(False) if force else S.ignored(F.col("path"), worktree.patterns(self.root))
-        before = self.staged().select("path", F.lit(True).alias("_before"))
-        status = F.when(ignored, "ignored").when(F.col("_before"), "updated").otherwise("added")
-        rows = hashed.join(before, "path", "left").withColumn("status", status).drop("_before")
+        return self._add(found, force, dry_run, validate)
+
+    def _add(self, found: DataFrame, force: bool, dry_run: bool, validate: bool) -> DataFrame:
+        scans = f"{self.store}/scans"
+        shutil.rmtree(scans, ignore_errors=True)  # of the call before
+        ignored = None if force else S.ignored(F.col("path"), worktree.patterns(self.root))
+        plan = staging.staging_plan(staging.with_types(blobs.hashed(found)), self.staged(), ignored)
+        at = f"{scans}/{uuid.uuid4().hex}"
+        plan.write.parquet(at)
+        rows = self.spark.read.schema(plan.schema).parquet(at)
         if validate:
             texts = rows.where("status <> 'ignored'").select("path", F.col("content").cast("string").alias("text"))
-            bad = files.run_validators(texts, self._state()["validators"]).where("not passed").collect()
+            bad = self.manager().run(texts, isolate=True).where("not passed").collect()
             if bad:
                 raise StagingError("; ".join(f"{r['dir'] or '.'}: {r['rule']}: {'; '.join(r['errors'])}" for r in bad))
         report = rows.select("path", "status", "blob_hash", "file_type", "size_bytes")
         if dry_run:
             return report
         taken = rows.where("status <> 'ignored'")
-        blobs.new_blobs(taken.select("blob_hash", "content", "size_bytes"), self.blobs()).write.mode("append").parquet(f"{self.store}/blobs")
+        blobs.write(blobs.new_blobs(taken.select("blob_hash", "content", "size_bytes"), self.blobs()), f"{self.store}/blobs")
         self._stage(snapshots.overlay(self.staged(), taken.select("path", "blob_hash", "size_bytes", "mtime", "file_type")))
         return report
 
+    def stored_size(self) -> int:
+        """Bytes of all blobs on disk, compressed as they are."""
+        return blobs.stored_size(self.spark, f"{self.store}/blobs") if os.path.isdir(f"{self.store}/blobs") else 0
+
     def remove(self, paths: list[str]) -> dict[str, list[str]]:
         """Take paths out of the index: which were removed, and which were not in it."""
         known = {r["path"] for r in self.staged().where(F.col("path").isin(paths)).select("path").collect()}
@@ -179,10 +209,8 @@ class Repository:
         head = self._state()["head"]
         parent = self.snapshot() if head else None
         if all_tracked and parent is not None:
-            disk = worktree.scan(self.spark, self.root, contents=False)
-            there = [r["path"] for r in snapshots.tracked_on_disk(parent.select("path"), disk).where("status = 'staged'").select("path").collect()]
-            if there:
-                self.add(there, force=True, validate=False)
+            tracked = worktree.scan(self.spark, self.root).join(parent.select("path"), "path", "left_semi")
+            self._add(tracked, force=True, dry_run=False, validate=False)
         staged = self.staged()
         if staged.isEmpty() and not allow_empty:
             raise RepositoryError("nothing is staged")
@@ -203,12 +231,35 @@ class Repository:
             if parent is not None and not staged.isEmpty():
                 changes = self._semantic(fresh, parent).select(F.lit(name).alias("commit_hash"), "*")
                 changes.write.mode("append").parquet(f"{self.store}/diffs")
+            self._outputs(name, fresh).write.mode("append").parquet(f"{self.store}/outputs")
             row.write.mode("append").parquet(f"{self.store}/commits")
         finally:
             row.unpersist()
         self._save(self._state() | {"head": name, "staged": None})
         return name
 
+    def _outputs(self, name: str, fresh: DataFrame) -> DataFrame:
+        """One row of what the outputs of a commit say; none without outputs."""
+        typed = fresh.select("path", "blob_hash", S.type_at_diff(F.col("path")).alias("file_type")).where(F.col("file_type").isin(*commits.OUTPUTS))
+        texts = typed.join(self.blobs().select("blob_hash", F.col("content").cast("string").alias("text")), "blob_hash")
+        return commits.output_summary(registry.facts_of(texts, list(commits.OUTPUTS)), typed.select(F.lit(name).alias("commit_hash"), "blob_hash", "file_type"))
+
+    def outputs(self) -> DataFrame:
+        """Output summaries of all commits that staged an output."""
+        return self.table("outputs", schemas.OUTPUT)
+
+    def diffs(self) -> DataFrame:
+        """Semantic entries recorded when commits were made."""
+        return self.table("diffs", schemas.DIFFS)
+
+    def file_summaries(self, rev: str = "HEAD") -> DataFrame:
+        """Counts of a commit's semantic entries by file."""
+        return facts.summarize(self.diffs().where(F.col("commit_hash") == self.resolve(rev)), ["commit_hash", "file"])
+
+    def commit_exists(self, commit_hash: str) -> bool:
+        """Whether there is a commit of this full hash; a malformed one is not there."""
+        return not commits.existing(self.spark.createDataFrame([(commit_hash,)], "commit_hash string"), self.commits()).isEmpty()
+
     def log(self, max_count: int | None = None, start: str | None = None) -> DataFrame:
         history = self.commits().select("commit_hash", "parent_hash", "timestamp", "author", "message")
         return snapshots.page_from(history, start, max_count) if start else snapshots.history(history, max_count)
@@ -218,30 +269,45 @@ class Repository:
     def _texts(self, side: DataFrame, name: str, contents: DataFrame) -> DataFrame:
         return side.join(contents.select(F.col("blob_hash").alias(f"{name}_hash"), F.col("content").cast("string").alias(f"{name}_text")).dropDuplicates([f"{name}_hash"]), f"{name}_hash", "left")
 
-    def _semantic(self, new: DataFrame, old: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-        """Entries for files that both snapshots have; equal contents never reach a parser."""
-        pairs = new.select(F.col("path").alias("file"), F.col("blob_hash").alias("new_hash")).join(old.select(F.col("path").alias("file"), F.col("blob_hash").alias("old_hash")), "file")
-        pairs = pairs.where("new_hash <> old_hash").withColumn("file_type", S.type_at_diff(F.col("file"))).where(S.can_parse(F.col("file_type")))
+    def _semantic(self, new: DataFrame, old: DataFrame, extra: DataFrame | None = None, how: str = "inner") -> DataFrame:
+        """Entries for files that both snapshots have (or one, with a full outer join); equal contents never reach a parser."""
+        pairs = new.select(F.col("path").alias("file"), F.col("blob_hash").alias("new_hash")).join(old.select(F.col("path").alias("file"), F.col("blob_hash").alias("old_hash")), "file", how)
+        pairs = pairs.where("not new_hash <=> old_hash").withColumn("file_type", S.type_at_diff(F.col("file"))).where(S.can_parse(F.col("file_type")))
         store = self.blobs() if extra is None else self.blobs().select("blob_hash", "content").unionByName(extra.select("blob_hash", "content"))
         return diff.diff_pairs(self._texts(self._texts(pairs, "new", store), "old", store))
 
-    def _sides(self, rev1: str | None, rev2: str | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """New and old snapshot; without a second revision the new one is the working tree, as far as it is tracked."""
+    def _sides(self, rev1: str | None, rev2: str | None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """New and old snapshot; without a second revision the new one is the working tree, as far as it is tracked or ``path``."""
         if rev2 is not None:
             return self.snapshot(rev1 or "HEAD"), self.snapshot(rev2), None
         old = self.snapshot(rev1 or "HEAD")
-        disk = blobs.hashed(worktree.scan(self.spark, self.root)).join(old.select("path"), "path", "left_semi")
+        tracked = old.select("path") if path is None else old.select("path").unionByName(self.spark.createDataFrame([(path,)], "path string"))
+        disk = blobs.hashed(worktree.scan(self.spark, self.root)).join(tracked, "path", "left_semi")
         return disk, old, disk
 
     def diff(self, rev1: str | None = None, rev2: str | None = None, path: str | None = None) -> DataFrame:
-        """Semantic entries between rev1 (new) and rev2 (old), or the working tree and rev1."""
-        new, old, disk = self._sides(rev1, rev2)
+        """Semantic entries between rev1 (new) and rev2 (old), or the working tree and rev1.
+
+        A ``path`` that only the working tree has is compared with nothing:
+        all its facts are added.
+        """
+        new, old, disk = self._sides(rev1, rev2, path)
         if path is not None:
             new, old = new.where(F.col("path") == path), old.where(F.col("path") == path)
             if new.isEmpty() and old.isEmpty():
                 raise RepositoryError(f"{path} is in neither side")
+            return self._semantic(new, old, disk, "full_outer")
         return self._semantic(new, old, disk)
 
+    def unified(self, rev1: str | None = None, rev2: str | None = None, path: str | None = None, context: int = 3) -> DataFrame:
+        """(file, text): unified text differences of changed files, in UTF-8; other bytes are shown as replaced."""
+        new, old, disk = self._sides(rev1, rev2, path)
+        if path is not None:
+            new, old = new.where(F.col("path") == path), old.where(F.col("path") == path)
+        pairs = new.select(F.col("path").alias("file"), F.col("blob_hash").alias("new_hash")).join(old.select(F.col("path").alias("file"), F.col("blob_hash").alias("old_hash")), "file", "full_outer").where("not new_hash <=> old_hash")
+        store = self.blobs() if disk is None else self.blobs().select("blob_hash", "content").unionByName(disk.select("blob_hash", "content"))
+        return diff.unified(self._texts(self._texts(pairs, "new", store), "old", store), context)
+
     def changed_files(self, rev1: str | None = None, rev2: str | None = None) -> DataFrame:
         """(path, change): added, deleted or modified; modified files without a semantic entry are marked cosmetic."""
         new, old, disk = self._sides(rev1, rev2)
@@ -257,8 +323,13 @@ class Repository:
         mark = F.when(F.col("_old").isNull(), "A").when(F.col("_old") != F.col("blob_hash"), "M").otherwise("=")
         return staged.join(old, "path", "left").select("path", mark.alias("mark"), "file_type", S.human_size(F.col("size_bytes")).alias("size")).orderBy("path")
 
-    def reproduce(self, rev: str, output: str) -> DataFrame:
-        """Write a snapshot's files and compare what was written: (path, status) ok, mismatch or missing."""
+    def reproduce(self, rev: str, output: str, verify: bool = True) -> DataFrame:
+        """Write a snapshot's files and compare what was written: (path, status) ok, mismatch or missing.
+
+        Without ``verify`` the hashes are not read again, and a file is written
+        or missing. Tasks write to ``output``, so on a cluster it must be a
+        folder that all machines share.
+        """
         wanted = self.snapshot(rev)
         target = str(Path(output).resolve())
         os.makedirs(target, exist_ok=True)
@@ -275,6 +346,9 @@ class Repository:
                     continue  # the comparison below reports it
 
         wanted.join(self.blobs().select("blob_hash", "content"), "blob_hash", "left").select("path", "content").foreachPartition(write)
+        if not verify:
+            there = worktree.scan(self.spark, target, contents=False).select("path", F.lit("written").alias("_there"))
+            return wanted.select("path").join(there, "path", "left").select("path", F.coalesce("_there", F.lit("missing")).alias("status"))
         found = blobs.hashed(worktree.scan(self.spark, target)).select("path", F.col("blob_hash").alias("actual_hash"))
         return blobs.audit(wanted.select("path", "blob_hash"), found).select("path", "status")
 
@@ -285,11 +359,11 @@ class Repository:
     # validators
 
     def validators(self) -> list[dict]:
-        chosen = self._state()["validators"]
-        return [{"name": v.name, "priority": v.priority, "enabled": chosen.get(v.name, v.enabled)} for v in sorted(files.VALIDATORS.values(), key=lambda v: v.priority)]
+        self._state()
+        return self.manager().list()
 
     def set_validator(self, name: str, enabled: bool) -> None:
-        if name not in files.VALIDATORS:
-            raise RepositoryError(f"no validator is called {name}")
-        state = self._state()
-        self._save(state | {"validators": state["validators"] | {name: enabled}})
+        try:
+            self.manager().set_enabled(name, enabled)
+        except KeyError:
+            raise RepositoryError(f"no validator is called {name}") from None

@@ -85,6 +85,11 @@ def test_cli(repo, spark):
     assert "ENCUT: 520 -> 600 [critical]" in cli.run([*root, "diff", "HEAD", "HEAD~1", "--format", "detailed"], spark)
     assert json.loads(cli.run([*root, "log", "--format", "json"], spark))[0]["commit_hash"] == repo.second
     assert "file-format on" in cli.run([*root, "plugin", "enable", "file-format"], spark)
+    assert "settings: {'enabled': True}" in cli.run([*root, "plugin", "info", "file-format"], spark)
+    assert "-ENCUT = 520" in cli.run([*root, "diff", "HEAD", "HEAD~1", "--format", "unified"], spark)
+    assert "ok       hostname" in cli.run([*root, "reproduce", "HEAD", "-o", f"{repo.root}-out", "--verify-env"], spark)
+    with pytest.raises(RepositoryError):
+        cli.run([*root, "plugin", "info", "nothing"], spark)
 
 
 def test_render_styles(spark):
@@ -126,3 +131,82 @@ def test_windowed_counts(spark):
 
     df = spark.createDataFrame([("2026-01-01 00:01:00", "a", 1.0), ("2026-01-01 00:09:00", "a", 2.0), ("2026-01-01 00:11:00", "a", 4.0)], "ts string, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
     assert sorted((r["n"], r["total"]) for r in watch.windowed_counts(df).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_tracked_untracked_and_hidden_files(spark, tmp_path):
+    r = Repository(spark, str(tmp_path)).init()
+    (tmp_path / "_tmp").mkdir()
+    (tmp_path / ".hidden").write_text("a")
+    (tmp_path / "_tmp" / "x.txt").write_text("b")
+    (tmp_path / "run.out").write_text("Program Version 5.0.3\nSCF not converged\nFINAL SINGLE POINT ENERGY -1.5\nORCA TERMINATED NORMALLY\n")
+    (tmp_path / "INCAR").write_text("ENCUT = 520\n")
+    assert {x["path"] for x in r.add([".hidden", "_tmp", "run.out"]).collect()} == {".hidden", "_tmp/x.txt", "run.out"}
+    name = r.commit("outputs")
+    told = r.outputs().first()
+    assert (told["commit_hash"], told["total_energy"], told["is_converged"]) == (name, -1.5, False)
+    assert r.commit_exists(name) and not r.commit_exists(name[:10]) and not r.commit_exists("zz")
+    assert r.schema_version() == 1 and Repository(spark, str(tmp_path / "_tmp")).schema_version() == 0 and r.stored_size() > 0
+    assert [(x["path"], x["change_type"]) for x in r.diff(path="INCAR").collect()] == [("ENCUT", "added")]
+    assert r.diff().isEmpty()
+    (tmp_path / ".hidden").write_text("changed\n")
+    assert r.unified().first()["text"].splitlines()[-2:] == ["-a", "+changed"]
+    r.commit("all", all_tracked=True)
+    assert {x["path"] for x in r.changed_files("HEAD", "HEAD~1").collect()} == {".hidden"}
+    assert {x["status"] for x in r.reproduce("HEAD", str(tmp_path / "out"), verify=False).collect()} == {"written"}
+
+
+def test_plugins(spark, tmp_path):
+    from calcstrata.operators.validate import Rule
+    from calcstrata.plugins import Manager, ValidatorPlugin
+
+    class Own(ValidatorPlugin):
+        name, seen = "own", []
+
+        def applies(self):
+            return F.array_contains("names", "INCAR")
+
+        def rules(self):
+            return [Rule("own", "error", F.col("INCAR").contains("bad"), "bad")]
+
+        def activate(self):
+            self.seen.append("on")
+
+        def deactivate(self):
+            self.seen.append("off")
+
+    class Broken(Own):
+        name, priority = "broken", 1
+
+        def rules(self):
+            return [Rule("x", "error", F.col("no_such_column") == 1, "x")]
+
+    class Late(Own):
+        name, priority = "late", 2
+
+        def rules(self):
+            return [Rule("x", "error", F.raise_error(F.lit("at run time")).isNull(), "x")]
+
+    class Point:
+        def __init__(self, name, load):
+            self.name, self.load = name, load
+
+    at = tmp_path / "plugins.json"
+    at.write_text("{not json")
+    m = Manager(str(at))
+    assert m.settings == {}
+    with pytest.warns(UserWarning, match="left out"):
+        assert m.discover(lambda: [Point("bad", lambda: 1 / 0), Point("own", lambda: Own)]) == ["own"]
+    for p in (Broken(), Late()):
+        m.register(p)
+    assert [v["name"] for v in m.list()] == ["broken", "late", "file-format", "poscar-potcar", "incar-poscar", "own"]
+    table = spark.createDataFrame([("a/INCAR", "bad = 1"), ("b/INCAR", "ok = 1")], "path string, text string")
+    got = {(r["rule"], r["dir"]): r["passed"] for r in m.run(table, isolate=True).collect()}
+    assert got == {(n, d): n == "own" and d == "b" for n in ("broken", "late", "own") for d in "ab"}
+    m.set_enabled("broken", False)
+    m.set_config("own", limit=3)
+    again = Manager(str(at))
+    assert again.config("own") == {"limit": 3} and again.config("broken") == {"enabled": False} and again.get("file-format").version
+    m.unregister("own")
+    assert Own.seen[-1] == "off" and m.get("own") is None
+    with pytest.raises(KeyError):
+        m.set_enabled("nothing", True)
