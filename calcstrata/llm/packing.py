@@ -138,16 +138,17 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, k
     return rows.mapInArrow(then_give_back(cut), schema + (", ids binary" if keep_ids else ""))
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False, cache_words: int = 300_000) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset[, ids].
 
     Null and empty texts are documents of the end id alone; repeated rows are
     packed once each; a null doc_id is kept as it is; other columns are
     ignored; an empty table gives an empty result. Pieces of one sequence are
     gapless from offset 0. ``keep_ids`` adds the ids as little-endian unsigned
-    32-bit numbers.
+    32-bit numbers. ``cache_words`` bounds the words a worker remembers, at
+    some 250 bytes each, and changes no result.
     """
-    pieces = stored(spark, cut_documents(docs, tokenizer, end_id, capacity, keep_ids), "pieces")
+    pieces = stored(spark, cut_documents(docs, tokenizer, end_id, capacity, keep_ids, cache_words), "pieces")
     blocks = pieces.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     blocks = stored(spark, blocks, "piece-counts")
     counts = {r["length"]: r["n"] for r in blocks.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

@@ -301,6 +301,13 @@ def merge_runs(runs: list[Run]) -> tuple[list[int], list[int]]:
     return out, lengths
 
 
+def _rows(docs: pa.Table, names: tuple[str, ...], step: int = 256) -> Iterator[tuple]:
+    """Rows of a table, a few at a time as Python values."""
+    for i in range(0, docs.num_rows, step):
+        part = docs.slice(i, step)
+        yield from zip(*(part.column(x).to_pylist() for x in names), strict=True)
+
+
 def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, run_rows: int = 100_000) -> pa.Table:
     """Step 2 for one home: sorted runs for each cell (kind 0), and windows known to repeat (kind 1)."""
     span = length - GRAM + 1
@@ -340,7 +347,7 @@ def _sort_runs(docs: pa.Table, replies: pa.Table, length: int, cells: int, run_r
             blobs.append(struct.pack("<i", home) + _squeeze(np.array([k[0] for k in known], np.int64), np.array([k[1] for k in known], np.uint32), np.array([k[2] for k in known], np.uint64)))
         found.clear()
 
-    for key, doc, text in zip(*(docs.column(x).to_pylist() for x in ("key", "doc_id", "text")), strict=True):
+    for key, doc, text in _rows(docs, ("key", "doc_id", "text")):
         if doc is None or key not in flagged or key in done:
             continue
         done.add(key)  # a repeated row has the same key
@@ -443,29 +450,33 @@ def _remove(docs: pa.Table, flags: pa.Table, length: int, as_text: bool) -> pa.T
         for k, places in _grouped(key):
             a, m = at[places].astype(np.int64), mask[places]
             starts[k] = np.unique(np.concatenate([a[(m >> np.uint64(o)) & np.uint64(1) > 0] - o for o in range(length - GRAM + 1)]))
-    sizes, removed, spans, kept = [], [], [], []
-    for k, doc, text in zip(*(docs.column(x).to_pylist() for x in ("key", "doc_id", "text")), strict=True):
-        data = text.encode("utf-8", "surrogatepass")
-        sizes.append(len(data))
-        s = starts.get(k) if doc is not None else None
-        if s is None:
-            removed.append(0)
-            spans.append(0)
-            kept.append(data)
-            continue
-        depth = np.zeros(len(data) + 1, np.int64)
-        depth[s] += 1
-        depth[s + length] -= 1
-        gone = np.cumsum(depth)[:-1] > 0
-        removed.append(int(gone.sum()))
-        spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
-        kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
     more = [x for x in docs.column_names if x not in ("home", "key", "doc_id", "text")]
-    left = pa.array((x.decode("utf-8", "ignore") for x in kept), pa.string()) if as_text else pa.array(kept, pa.binary())
-    columns = [docs.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), left, *(docs.column(x) for x in more)]
-    del starts, got, kept
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more]
+    out = []
+    for i in range(0, docs.num_rows, 256):
+        part = docs.slice(i, 256)
+        sizes, removed, spans, kept = [], [], [], []
+        for k, doc, text in _rows(part, ("key", "doc_id", "text")):
+            data = text.encode("utf-8", "surrogatepass")
+            sizes.append(len(data))
+            s = starts.get(k) if doc is not None else None
+            if s is None:
+                removed.append(0)
+                spans.append(0)
+                kept.append(data)
+                continue
+            depth = np.zeros(len(data) + 1, np.int32)
+            depth[s] += 1
+            depth[s + length] -= 1
+            gone = np.cumsum(depth)[:-1] > 0
+            removed.append(int(gone.sum()))
+            spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[0]))
+            kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
+        left = pa.array((x.decode("utf-8", "ignore") for x in kept), pa.string()) if as_text else pa.array(kept, pa.binary())
+        out.append(pa.table([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), left, *(part.column(x) for x in more)], names=names))
+    del starts, got
     give_back()
-    return pa.table(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more])
+    return pa.concat_tables(out)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry: dict[str, str] | None = None, as_text: bool = False) -> DataFrame:
