@@ -44,7 +44,7 @@ def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
     importable(spark)
-    return packing.pack(spark, docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(spark, docs, vocabulary("word_bpe_49k.json"), cache_words=100_000)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
