@@ -32,6 +32,11 @@ def vector_norm(components: Column, digits: int = 6) -> Column:
     return F.when(whole, F.round(F.sqrt(F.aggregate(components, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), digits))
 
 
+def looked_up(table: Column, key: Column, default: Column) -> Column:
+    """A map's value, or the default for keys that it does not have."""
+    return F.coalesce(F.try_element_at(table, key), default)
+
+
 def short_hash(text: Column, digits: int = 7) -> Column:
     return F.substring(text, 1, digits)
 

@@ -102,5 +102,12 @@ def tracked_on_disk(tracked: DataFrame, disk: DataFrame, key: str = "path") -> D
     return tracked.join(found, key, "left").withColumn("status", F.when(F.col("_found"), "staged").otherwise("skipped")).drop("_found")
 
 
+def marked(staged: DataFrame, parent: DataFrame) -> DataFrame:
+    """(path, mark, file_type, size) of staged files: A new, M changed, = as in the parent."""
+    old = parent.select("path", F.col("blob_hash").alias("_old"))
+    mark = F.when(F.col("_old").isNull(), "A").when(F.col("_old") != F.col("blob_hash"), "M").otherwise("=")
+    return staged.join(old, "path", "left").select("path", mark.alias("mark"), "file_type", S.human_size(F.col("size_bytes")).alias("size"))
+
+
 def one_line(commit_hash: Column, message: Column) -> Column:
     return F.concat_ws(" ", S.short_hash(commit_hash), S.first_line(message))

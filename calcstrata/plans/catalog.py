@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import blobs, facts, snapshots, validate
-from . import fixtures, generated
+from ..operators import blobs, facts, snapshots
+from . import fixtures, generated, records
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,20 +181,6 @@ def history_oneline(spark, sf_dir):
     return c.select(snapshots.one_line(F.col("commit_hash"), message).alias("line"), S.show_time(F.col("timestamp")).alias("shown"))
 
 
-def thermo_last_row(spark, sf_dir):
-    """A5: the last row of each series."""
-    e = table(spark, sf_dir, "events")
-    last = F.max_by(F.struct("event_id", "event_type", "value"), F.struct("ts", "event_id"))
-    return e.groupBy("user_id").agg(last.alias("r")).select("user_id", "r.event_id", "r.event_type", "r.value")
-
-
-def run_steps(spark, sf_dir):
-    """A4: sum over blocks of more than one row of last minus first step; only positive sums."""
-    e = table(spark, sf_dir, "events")
-    block = e.groupBy("user_id", "event_type").agg((F.max_by("event_id", F.struct("ts", "event_id")) - F.min_by("event_id", F.struct("ts", "event_id"))).alias("steps"), F.count(F.lit(1)).alias("n"))
-    return block.where("n > 1").groupBy("user_id").agg(F.sum("steps").alias("run_steps")).where("run_steps > 0")
-
-
 def first_match(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.first_match(F.col("html"), "<title>([^<]*)</title>").alias("title"), S.first_match(F.col("html"), 'href="([^"]*)"').alias("href"))
 
@@ -275,46 +261,14 @@ def tracked_on_disk(spark, sf_dir):
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def staging_counters(spark, sf_dir):
-    """A3: what adding every document would do to an index that has some of them."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), S.sha256_hex(F.col("text").cast("binary")).alias("blob_hash"))
-    index = docs.where("path % 4 = 0").select("path", F.when(F.col("path") % 8 == 0, F.col("blob_hash")).otherwise(F.lit("old")).alias("staged_hash"))
-    status = F.when(F.col("path") % 9 == 0, "ignored").when(F.col("staged_hash").isNull(), "added").otherwise("updated")
-    return docs.join(index, "path", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def validate_rules(spark, sf_dir):
-    """V rules as data, on orders: messages of each document that fails one."""
-    o = table(spark, sf_dir, "orders")
-    rules = [
-        validate.Rule("price", "error", ~(F.col("o_totalprice") > 1000), "price must be over 1000"),
-        validate.Rule("status", "error", ~F.col("o_orderstatus").isin("O", "F"), "status must be O or F"),
-        validate.Rule("priority", "warning", F.col("o_orderpriority").startswith("5"), "priority is low"),
-    ]
-    out = validate.apply_rules(o, rules)
-    return out.select("o_orderkey", "passed", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"))
-
-
-def cross_rules(spark, sf_dir):
-    """Each order against its items."""
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned"))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").join(items, "o_orderkey", "left")
-    rules = [
-        validate.Rule("items", "error", F.coalesce("n_items", F.lit(0)) == 0, "no items"),
-        validate.Rule("returned", "warning", (F.col("o_orderstatus") == "O") & (F.coalesce("n_returned", F.lit(0)) > 0), "open with returns"),
-    ]
-    out = validate.apply_rules(o, rules)
-    return out.groupBy("passed", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings")).agg(F.count(F.lit(1)).alias("n"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         snapshot_diff_status, fact_diff_summary, fact_diff_by_file, top3_per_file, blob_dedup, blob_integrity_audit, blob_exists, blob_paths, prefix_lookup, snapshot_overlay,
-        chain_last_state, chain_steps, ancestry, history_topn, history_page, history_latest, history_oneline, thermo_last_row, run_steps, first_match, last_match, json_facts,
-        type_detect_stage, type_detect_diff, ignore_filter, size_render, keyword_set_diff, noise_filter, tracked_on_disk, staging_counters, validate_rules, cross_rules,
+        chain_last_state, chain_steps, ancestry, history_topn, history_page, history_latest, history_oneline, first_match, last_match, json_facts,
+        type_detect_stage, type_detect_diff, ignore_filter, size_render, keyword_set_diff, noise_filter, tracked_on_disk,
     )
-} | fixtures.QUERIES | generated.QUERIES
+} | fixtures.QUERIES | generated.QUERIES | records.QUERIES
 
 _TURNS_SQL = "SELECT conv_id, turn, role, max(sha256(text)) AS blob_hash FROM conversations GROUP BY ALL"
 _COMMITS_SQL = "SELECT o_orderkey AS commit_hash, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, o_orderpriority AS message FROM orders"
@@ -351,9 +305,6 @@ SELECT conv_id, turn, depth FROM a""",
     "history_page": f"WITH c AS ({_COMMITS_SQL}) SELECT * FROM c WHERE timestamp <= (SELECT max(timestamp) FROM c WHERE commit_hash = 100) ORDER BY timestamp DESC, commit_hash LIMIT 10",
     "history_latest": f"SELECT * FROM ({_COMMITS_SQL}) ORDER BY timestamp DESC, commit_hash DESC LIMIT 1",
     "history_oneline": f"SELECT substr(sha256(CAST(commit_hash AS VARCHAR)), 1, 7) || ' ' || message AS line, replace(replace(timestamp, 'T', ' '), 'Z', '') AS shown FROM ({_COMMITS_SQL})",
-    "thermo_last_row": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
-    "run_steps": """SELECT user_id, CAST(sum(steps) AS BIGINT) AS run_steps FROM (SELECT user_id, event_type, last(event_id ORDER BY ts, event_id) - first(event_id ORDER BY ts, event_id) AS steps, count(*) AS n FROM events GROUP BY 1, 2)
-WHERE n > 1 GROUP BY 1 HAVING sum(steps) > 0""",
     "first_match": """SELECT page_id, CASE WHEN regexp_matches(html, '<title>([^<]*)</title>') THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title, CASE WHEN regexp_matches(html, 'href="([^"]*)"') THEN regexp_extract(html, 'href="([^"]*)"', 1) END AS href FROM pages""",
     "last_match": """SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1)[-1] AS href FROM pages""",
     "json_facts": "SELECT event_id, k AS path, CAST(json_extract_string(props, '$.' || k) AS DOUBLE) AS num FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)",
@@ -362,15 +313,9 @@ WHERE n > 1 GROUP BY 1 HAVING sum(steps) > 0""",
     "ignore_filter": """SELECT page_id, starts_with(p, 'blog.th/') OR starts_with(p, 'www/') OR p = 'm.' OR string_split(p, '/')[-1] = 'm.' OR p LIKE '%.html' OR string_split(p, '/')[-1] LIKE '%.html' OR p LIKE '%/fr/%' AS ignored
 FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)""",
     "size_render": "SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) ELSE printf('%.2f MB', s / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 900 + 1) AS s FROM documents)",
-    "keyword_set_diff": """WITH t AS (SELECT conv_id, turn, list_distinct(list_transform(list_filter(string_split_regex(substr(min(text), 1, 400), '[^A-Za-z]+'), lambda w: w <> ''), lambda w: upper(w))) AS ws FROM conversations GROUP BY 1, 2),
+    "keyword_set_diff": """WITH t AS (SELECT conv_id, turn, list_distinct(list_transform(list_filter(string_split_regex(min(text), '[^A-Za-z]+'), lambda w: w <> ''), lambda w: upper(w))) AS ws FROM conversations GROUP BY 1, 2),
 p AS (SELECT a.conv_id, a.ws AS a, b.ws AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
 SELECT conv_id, unnest(list_filter(a, lambda w: NOT list_contains(b, w))) AS keyword, 'deleted' AS change_type FROM p UNION ALL SELECT conv_id, unnest(list_filter(b, lambda w: NOT list_contains(a, w))), 'added' FROM p""",
     "noise_filter": "SELECT o_orderkey AS file, 'price' AS path, 'modified' AS change_type FROM orders WHERE (o_orderkey % 4 = 2) OR (o_orderkey % 4 = 3 AND abs(o_totalprice) >= 0.01)",
     "tracked_on_disk": "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) THEN 'staged' ELSE 'skipped' END AS status, count(*) AS n FROM labels GROUP BY 1",
-    "staging_counters": "SELECT CASE WHEN doc_id % 9 = 0 THEN 'ignored' WHEN doc_id % 4 <> 0 THEN 'added' ELSE 'updated' END AS status, count(*) AS n FROM documents GROUP BY 1",
-    "validate_rules": """SELECT o_orderkey, o_totalprice > 1000 AND o_orderstatus IN ('O', 'F') AS passed, concat_ws('; ', CASE WHEN NOT o_totalprice > 1000 THEN 'price must be over 1000' END, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'status must be O or F' END) AS errors,
-CASE WHEN starts_with(o_orderpriority, '5') THEN 'priority is low' ELSE '' END AS warnings FROM orders""",
-    "cross_rules": """WITH i AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)
-SELECT passed, errors, warnings, count(*) AS n FROM (SELECT coalesce(i.n, 0) > 0 AS passed, CASE WHEN coalesce(i.n, 0) = 0 THEN 'no items' ELSE '' END AS errors, CASE WHEN o_orderstatus = 'O' AND coalesce(i.r, 0) > 0 THEN 'open with returns' ELSE '' END AS warnings
-FROM orders LEFT JOIN i ON o_orderkey = l_orderkey) GROUP BY 1, 2, 3""",
-} | fixtures.ORACLE | generated.ORACLE
+} | fixtures.ORACLE | generated.ORACLE | records.ORACLE

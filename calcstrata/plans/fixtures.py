@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import diff as D
-from ..operators import facts, files
 from ..parsers import registry
 from . import texts
 
@@ -20,15 +19,6 @@ def versions(spark: SparkSession) -> DataFrame:
     return df.select("file", S.type_at_diff(F.col("file")).alias("file_type"), digest("old_text").alias("old_hash"), "old_text", digest("new_text").alias("new_hash"), "new_text")
 
 
-def _parse(kind: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = versions(spark).where(F.col("file_type") == kind)
-        parsed = registry.facts_of(own.select(F.col("new_hash").alias("blob_hash"), "file_type", F.col("new_text").alias("text")), [kind])
-        return parsed.select(F.substring("blob_hash", 1, 7).alias("blob"), "path", "kind", "num", "value")
-
-    return query
-
-
 def _diff(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return D.ordered(D.diff_pairs(versions(spark).where(F.col("file_type") == kind), [kind]))
@@ -36,22 +26,7 @@ def _diff(kind: str):
     return query
 
 
-def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.summarize(D.diff_pairs(versions(spark)), ["file"])
-
-
-def validate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = versions(spark).select("file", "file_type", F.col("new_hash").alias("blob_hash"), F.col("new_text").alias("text"))
-    return files.validate(own).select("file", "passed", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"))
-
-
-def validate_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = spark.createDataFrame(texts.DIRECTORIES, "path string, text string")
-    out = files.run_validators(df, {"file-format": True})
-    return out.select("dir", "rule", "passed", "message", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"))
-
-
-QUERIES = {f"parse_{k.lower()}": _parse(k) for k in registry.PARSERS} | {f"diff_{k.lower()}": _diff(k) for k in registry.PARSERS} | {"diff_files_summary": diff_summary, "validate_files": validate_files, "validate_directories": validate_directories}
+QUERIES = {f"diff_{k.lower()}": _diff(k) for k in registry.PARSERS if k != "OUTCAR"}
 #: Expected differences, typed from the fixtures' descriptions: file, ord, path, old, new, change, significance.
 _EXPECTED = {
     "INCAR": [("run/INCAR", 1000, "ENCUT", "520", "600", "modified", "critical"), ("run/INCAR", 1000, "ISMEAR", "0", "1", "modified", "critical"), ("run/INCAR", 1000, "LWAVE", None, "false", "added", "major"), ("run/INCAR", 1000, "SIGMA", "0.05", "0.1", "modified", "critical")],

@@ -129,16 +129,16 @@ def _parse(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-def _facts_sql(kind: str, key: str = "k") -> str:
+def facts_sql(kind: str, key: str = "k") -> str:
     one = ["{{'path': {}, 'kind': '{}', 'num': CAST({} AS DOUBLE), 'value': {}, 'ok': {}}}".format(*(x.replace("k % ", f"{key} % ").replace("|| k", f"|| {key}") for x in f)) for f in FACTS[kind]]
     return f"SELECT k, f.path AS path, f.kind AS kind, f.num AS num, f.value AS value FROM (SELECT k, unnest([{', '.join(one)}]) AS f FROM (SELECT o_orderkey AS k FROM orders)) WHERE f.ok"
 
 
 def _parse_sql(kind: str) -> str:
-    return f"SELECT CAST(k AS VARCHAR) AS blob, path, kind, num, value FROM ({_facts_sql(kind)})"
+    return f"SELECT CAST(k AS VARCHAR) AS blob, path, kind, num, value FROM ({facts_sql(kind)})"
 
 
-def _versions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def versions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     side = lambda s, key: F.expr(_spark_text(kind, key)).alias(f"{s}_text")
     pairs = orders(spark, sf_dir).select(F.col("k").cast("string").alias("file"), F.lit(kind).alias("file_type"), side("old", _OLD), side("new", _NEW))
     digest = lambda s: S.sha256_hex(F.col(f"{s}_text").cast("binary")).alias(f"{s}_hash")
@@ -147,28 +147,28 @@ def _versions(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 def diff_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of every INCAR."""
-    return D.diff_pairs(_versions(spark, sf_dir, "INCAR"), ["INCAR"]).select("file", "path", "old_value", "new_value", "change_type", "significance")
+    return D.diff_pairs(versions(spark, sf_dir, "INCAR"), ["INCAR"]).select("file", "path", "old_value", "new_value", "change_type", "significance")
 
 
 def diff_outcar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two versions of every output; one that cannot be parsed gives one row."""
-    return D.diff_pairs(_versions(spark, sf_dir, "OUTCAR"), ["OUTCAR"]).select("file", "path", "old_value", "new_value", "change_type", "significance", "parse_error")
+    return D.diff_pairs(versions(spark, sf_dir, "OUTCAR"), ["OUTCAR"]).select("file", "path", "old_value", "new_value", "change_type", "significance", "parse_error")
 
 
 def diff_files_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1, K7: a summary of each compared file."""
-    return facts.summarize(D.diff_pairs(_versions(spark, sf_dir, "INCAR"), ["INCAR"]), ["file"])
+    return facts.summarize(D.diff_pairs(versions(spark, sf_dir, "INCAR"), ["INCAR"]), ["file"])
 
 
 _CRITICAL = "('ENCUT', 'ISMEAR', 'SIGMA', 'NSW', 'ALGO', 'final_energy', 'efermi')"
 _MAJOR = "('LWAVE', 'MAGMOM')"
 _DIFF_INCAR = f"""SELECT CAST(coalesce(n.k, o.k) AS VARCHAR) AS file, coalesce(n.path, o.path) AS path, o.value AS old_value, n.value AS new_value,
 CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'deleted' ELSE 'modified' END AS change_type, CASE WHEN coalesce(n.path, o.path) IN {_CRITICAL} THEN 'critical' WHEN coalesce(n.path, o.path) IN {_MAJOR} THEN 'major' ELSE 'minor' END AS significance
-FROM ({_facts_sql("INCAR", _NEW)}) n FULL OUTER JOIN ({_facts_sql("INCAR", _OLD)}) o ON n.k = o.k AND n.path = o.path WHERE n.value IS DISTINCT FROM o.value"""
+FROM ({facts_sql("INCAR", _NEW)}) n FULL OUTER JOIN ({facts_sql("INCAR", _OLD)}) o ON n.k = o.k AND n.path = o.path WHERE n.value IS DISTINCT FROM o.value"""
 _DIFF_OUTCAR = f"""SELECT CAST(k AS VARCHAR) AS file, path, old_value, new_value, CASE WHEN path = '$error' THEN 'modified' WHEN old_value IS NULL THEN 'added' WHEN new_value IS NULL THEN 'deleted' ELSE 'modified' END AS change_type,
 CASE WHEN path IN {_CRITICAL} OR path = '$error' THEN 'critical' ELSE 'minor' END AS significance, path = '$error' AS parse_error
 FROM (SELECT coalesce(n.k, o.k) AS k, coalesce(n.path, o.path) AS path, o.value AS old_value, n.value AS new_value, bool_or(coalesce(n.path, o.path) = '$error') OVER (PARTITION BY coalesce(n.k, o.k)) AS failed
-  FROM (SELECT * FROM ({_facts_sql("OUTCAR", _NEW)}) WHERE path NOT IN ('magnetization', 'charge')) n FULL OUTER JOIN (SELECT * FROM ({_facts_sql("OUTCAR", _OLD)}) WHERE path NOT IN ('magnetization', 'charge')) o ON n.k = o.k AND n.path = o.path)
+  FROM (SELECT * FROM ({facts_sql("OUTCAR", _NEW)}) WHERE path NOT IN ('magnetization', 'charge')) n FULL OUTER JOIN (SELECT * FROM ({facts_sql("OUTCAR", _OLD)}) WHERE path NOT IN ('magnetization', 'charge')) o ON n.k = o.k AND n.path = o.path)
 WHERE (path = '$error' OR NOT failed) AND (path = '$error' OR old_value IS DISTINCT FROM new_value)"""
 _SUMMARY = f"""SELECT file, count(*) AS total_changes, count(*) FILTER (change_type = 'added') AS added, count(*) FILTER (change_type = 'deleted') AS deleted, count(*) FILTER (change_type = 'modified') AS modified,
 count(*) FILTER (significance = 'critical') AS critical, count(*) FILTER (significance = 'major') AS major, count(*) FILTER (significance = 'minor') AS minor, bool_or(significance = 'critical') AS has_critical_changes FROM ({_DIFF_INCAR}) GROUP BY file"""

@@ -312,16 +312,13 @@ class Repository:
         """(path, change): added, deleted or modified; modified files without a semantic entry are marked cosmetic."""
         new, old, disk = self._sides(rev1, rev2)
         changed = snapshots.compare(new.select("path", "blob_hash"), old.select("path", "blob_hash")).select("path", "change")
-        told = self._semantic(new, old, disk).select(F.col("file").alias("path")).distinct().withColumn("_told", F.lit(True))
-        cosmetic = (F.col("change") == "modified") & F.col("_told").isNull() & S.can_parse(S.type_at_diff(F.col("path")))
-        return changed.join(told, "path", "left").select("path", F.when(cosmetic, "cosmetic").otherwise(F.col("change")).alias("change"))
+        return diff.mark_cosmetic(changed, self._semantic(new, old, disk))
 
     def status(self) -> DataFrame:
         """(path, mark, file_type, size): A for new and M for changed staged files, in order of path."""
         staged = self.staged()
-        old = self.snapshot().select("path", F.col("blob_hash").alias("_old")) if self._state()["head"] else self.spark.createDataFrame([], "path string, _old string")
-        mark = F.when(F.col("_old").isNull(), "A").when(F.col("_old") != F.col("blob_hash"), "M").otherwise("=")
-        return staged.join(old, "path", "left").select("path", mark.alias("mark"), "file_type", S.human_size(F.col("size_bytes")).alias("size")).orderBy("path")
+        old = self.snapshot() if self._state()["head"] else self.spark.createDataFrame([], "path string, blob_hash string")
+        return snapshots.marked(staged, old).orderBy("path")
 
     def reproduce(self, rev: str, output: str, verify: bool = True) -> DataFrame:
         """Write a snapshot's files and compare what was written: (path, status) ok, mismatch or missing.
