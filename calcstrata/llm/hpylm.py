@@ -10,8 +10,10 @@ lies in its cell: its counts in every context, its tables, and the tokens to
 be scored. Only totals of restaurants cross cells, vectors of ``CONTEXTS``
 numbers whatever the corpus. A Gibbs sweep resamples the tables of each word
 in each restaurant given all others: up to ``EXACT`` customers from the exact
-conditional (generalised Stirling numbers), larger groups by seating their
-customers anew one after the other. Totals are those of the sweep before.
+conditional (generalised Stirling numbers); of a larger group, ``EXACT``
+customers are seated by that conditional and the rest after them, a few at a
+time. Totals are those of the sweep before. Every draw is a hash of its word,
+context and sweep, so scores do not depend on how the rows are partitioned.
 Predictive probabilities are averaged over the sweeps after the first.
 """
 
@@ -27,10 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, parts, stored
-from .suffixes import _expand, _squeeze
+from .suffixes import _M, _expand, _mix, _squeeze
 
 CONTEXTS = 1 << 16
-EXACT = 32
+EXACT = 512
 STRENGTH = 1.0
 _END_WORD, _START = b"\n", 0
 
@@ -123,7 +125,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base += len(h)
     if not blocks:
         return
-    _, same = np.unique(np.concatenate(hashes), return_inverse=True)
+    names, same = np.unique(np.concatenate(hashes), return_inverse=True)
     key = same[np.concatenate(word)] << 16 | np.concatenate(context)
     pairs, of = np.unique(key, return_inverse=True)
     counts = np.bincount(of[np.concatenate(train)], minlength=len(pairs)).astype(np.uint32)
@@ -134,7 +136,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = _squeeze(np.diff(d, prepend=0).astype(np.uint32), of[at : at + n].astype(np.uint32))
         out += [struct.pack("<qq", block, len(data)), data]
         at += n
-    yield _cell_row(0, -1, b"".join(out), _squeeze((pairs >> 16).astype(np.uint32), (pairs & 0xFFFF).astype(np.uint16), counts))
+    yield _cell_row(0, -1, b"".join(out), _squeeze((pairs >> 16).astype(np.uint32), (pairs & 0xFFFF).astype(np.uint16), counts, names))
 
 
 def stirling(discount: float, most: int) -> np.ndarray:
@@ -148,27 +150,43 @@ def stirling(discount: float, most: int) -> np.ndarray:
     return out
 
 
-def resample(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+class Draws:
+    """Random numbers that belong to keys (word and context), whatever else is drawn."""
+
+    def __init__(self, keys: np.ndarray, sweep: int):
+        self.keys = _mix(keys + np.uint64((sweep + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+    def uniform(self, at: np.ndarray, nth: int = 0) -> np.ndarray:
+        x = _mix(self.keys[at] ^ _mix(np.array([nth + 1], np.uint64) * _M))
+        return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+    def normal(self, at: np.ndarray, nth: int) -> np.ndarray:
+        return np.sqrt(-2 * np.log(self.uniform(at, 2 * nth))) * np.cos(2 * np.pi * self.uniform(at, 2 * nth + 1))
+
+
+def resample(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, table: np.ndarray, draws: Draws) -> np.ndarray:
     """Tables of one dish in each restaurant, given the tables of other dishes there and the parent's probability."""
     tables = np.minimum(customers, 1)
-    for c in np.unique(customers[(customers > 1) & (customers <= EXACT)]).tolist():
-        at = np.flatnonzero(customers == c)
-        t = np.arange(1, c + 1)
-        weight = STRENGTH + discount * (others[at][:, None] + np.arange(c))
-        logs = table[c, 1 : c + 1] + t * np.log(parent[at])[:, None] + np.cumsum(np.log(weight), axis=1)
-        p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
-        tables[at] = 1 + (p < (rng.random(len(at)) * p[:, -1])[:, None]).sum(axis=1)
+    own = np.minimum(customers, EXACT)
+    for c in np.unique(own[own > 1]).tolist():
+        every = np.flatnonzero(own == c)
+        for at in np.split(every, range(20_000, len(every), 20_000)):
+            t = np.arange(1, c + 1)
+            weight = STRENGTH + discount * (others[at][:, None] + np.arange(c))
+            logs = table[c, 1 : c + 1] + t * np.log(parent[at])[:, None] + np.cumsum(np.log(weight), axis=1)
+            p = np.cumsum(np.exp(logs - logs.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + (p < (draws.uniform(at) * p[:, -1])[:, None]).sum(axis=1)
     at = np.flatnonzero(customers > EXACT)
-    if len(at):
-        c, o, p = customers[at], others[at], parent[at]
-        t, n = np.ones(len(at)), 1
-        while len(live := np.flatnonzero(c > n)):
-            step = max(1, n // 32)
-            new = (STRENGTH + discount * (o[live] + t[live])) * p[live]
-            chance = new / (new + n - discount * t[live])
-            t[live] += rng.binomial(np.minimum(step, c[live] - n), np.clip(chance, 0, 1))
-            n += step
-        tables[at] = t
+    t, n, nth = tables[at].astype(np.float64), EXACT, 1
+    while len(live := np.flatnonzero(customers[at] > n)):
+        who = at[live]
+        some = np.minimum(max(1, n // 32), customers[who] - n)
+        new = (STRENGTH + discount * (others[who] + t[live])) * parent[who]
+        chance = np.clip(new / (new + n - discount * t[live]), 0, 1)
+        drawn = np.rint(some * chance + draws.normal(who, nth) * np.sqrt(some * chance * (1 - chance)))
+        t[live] += np.clip(drawn, 0, some)
+        n, nth = n + max(1, n // 32), nth + 1
+    tables[at] = t
     return tables
 
 
@@ -194,24 +212,25 @@ class Cell:
     """The pairs of one cell and their seating."""
 
     def __init__(self, counts: bytes):
-        self.word, self.context, c = _expand(counts)
+        self.word, self.context, c, names = _expand(counts)
         self.customers = c.astype(np.int64)
         self.word = self.word.astype(np.int64)
         self.words = int(self.word.max()) + 1 if len(self.word) else 0
+        self.names = names
+        self.keys = _mix(names[self.word] + (self.context.astype(np.uint64) + np.uint64(1)) * _M)
         self.tables = np.minimum(self.customers, 1)
         self.up = np.bincount(self.word, self.tables, self.words)
         self.root_tables = np.minimum(self.up, 1).astype(np.int64)
 
-    def sweep(self, totals: Totals, seed: tuple[int, ...]) -> None:
-        rng = np.random.default_rng(seed)
+    def sweep(self, totals: Totals, nth: int) -> None:
         root = totals.root(self.up, self.root_tables)
         on = self.customers > 0
         others = np.maximum(0, totals.tables[self.context] - self.tables)
-        self.tables[on] = resample(self.customers[on], others[on], root[self.word[on]], totals.discount, stirling(totals.discount, EXACT), rng)
+        self.tables[on] = resample(self.customers[on], others[on], root[self.word[on]], totals.discount, stirling(totals.discount, EXACT), Draws(self.keys[on], nth))
         self.up = np.bincount(self.word, self.tables, self.words)
         base = np.full(self.words, 1 / (totals.words + 1))
         others = np.maximum(0, totals.root_tables - self.root_tables)
-        self.root_tables = resample(self.up.astype(np.int64), others, base, totals.root_discount, stirling(totals.root_discount, EXACT), rng)
+        self.root_tables = resample(self.up.astype(np.int64), others, base, totals.root_discount, stirling(totals.root_discount, EXACT), Draws(self.names[: self.words], nth))
 
 
 def _summary(cells: DataFrame, history: list[Totals]) -> list:
@@ -223,7 +242,7 @@ def _summary(cells: DataFrame, history: list[Totals]) -> list:
             for counts in batch.column("counts").to_pylist():
                 cell = Cell(counts)
                 for k, totals in enumerate(history):
-                    cell.sweep(totals, (k, xxhash.xxh64_intdigest(counts[:4096])))
+                    cell.sweep(totals, k)
                 tables += np.bincount(cell.context, cell.tables, CONTEXTS)
                 customers += np.bincount(cell.context, cell.customers, CONTEXTS)
                 known = np.bincount(cell.word, cell.customers, cell.words) > 0
@@ -279,7 +298,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, sweeps: int = 4, burn_
                 cell = Cell(counts)
                 p = np.zeros(len(cell.word))
                 for k, totals in enumerate(history[:-1]):
-                    cell.sweep(totals, (k, xxhash.xxh64_intdigest(counts[:4096])))
+                    cell.sweep(totals, k)
                     if k >= burn_in:
                         now = history[k + 1]
                         p += now.predict(cell.context, cell.customers, cell.tables, now.root(cell.up, cell.root_tables)[cell.word])

@@ -145,10 +145,10 @@ def test_hpylm(spark, docs, empty):
 def test_predictions_sum_to_one():
     words_, contexts = np.array([0, 0, 1, 2, 2, 2]), np.array([1, 2, 1, 1, 2, 3])
     customers = np.array([3, 40, 1, 2, 7, 100])
-    cell = hpylm.Cell(suffixes._squeeze(words_.astype(np.uint32), contexts.astype(np.uint16), customers.astype(np.uint32)))
+    cell = hpylm.Cell(suffixes._squeeze(words_.astype(np.uint32), contexts.astype(np.uint16), customers.astype(np.uint32), np.arange(3, dtype=np.uint64)))
     totals = lambda: hpylm.Totals(np.bincount(cell.context, cell.tables, hpylm.CONTEXTS), np.bincount(cell.context, cell.customers, hpylm.CONTEXTS), float(cell.root_tables.sum()), 3.0, (0.6, 0.4))
     for k in range(3):
-        cell.sweep(totals(), (k,))
+        cell.sweep(totals(), k)
         assert (cell.tables <= cell.customers).all() and (cell.tables >= 1).all()
         now = totals()
         root = now.root(cell.up, cell.root_tables)
@@ -160,13 +160,103 @@ def test_predictions_sum_to_one():
             assert p + now.predict(np.array([c]), np.zeros(1), np.zeros(1), np.array([unknown]))[0] == pytest.approx(1)
 
 
-def test_tables_follow_the_exact_posterior():
-    d, n = 0.5, 3
-    logs = hpylm.stirling(d, 4)
+@pytest.mark.parametrize("n", [3, 40])
+def test_tables_follow_the_exact_posterior(n):
+    d = 0.5
+    logs = hpylm.stirling(d, 64)
     assert np.exp(logs[3, 1:4]) == pytest.approx([(1 - d) * (2 - d), (1 - d) + (2 - 2 * d), 1])
-    p = np.array([np.exp(logs[n, t]) * 0.2**t * np.prod([1 + d * (4 + j) for j in range(t)]) for t in (1, 2, 3)])
-    drawn = hpylm.resample(np.full(20_000, n), np.full(20_000, 4.0), np.full(20_000, 0.2), d, logs, np.random.default_rng(0))
-    assert np.bincount(drawn, minlength=4)[1:] / 20_000 == pytest.approx(p / p.sum(), abs=0.02)
+    t = np.arange(1, n + 1)
+    p = np.exp(logs[n, 1 : n + 1] + t * np.log(0.2) + np.cumsum(np.log([1 + d * (4 + j) for j in range(n)])))
+    draws = hpylm.Draws(np.arange(50_000, dtype=np.uint64), 0)
+    drawn = hpylm.resample(np.full(50_000, n), np.full(50_000, 4.0), np.full(50_000, 0.2), d, logs, draws)
+    assert np.bincount(drawn, minlength=n + 1)[1:] / 50_000 == pytest.approx(p / p.sum(), abs=0.01)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.5, 300) % 200) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n, k in (("2", 1), ("7", 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted((r["doc_id"], round(r["score"], 6)) for r in hpylm.score_documents(spark, df.repartition(k)).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+def brute_hpy(texts, held, sweeps):
+    """A seat-by-seat Gibbs sampler of the same two restaurants, customer by customer; averaged log10 of each text."""
+    import random
+
+    rng = random.Random(5)
+    pairs = lambda t: list(zip([None, *words(t)], [*words(t), b"\n"], strict=True))
+    train = [x for i, t in texts for x in pairs(t) if not held(i)]
+    counts = {}
+    for x in train:
+        counts[x] = counts.get(x, 0) + 1
+    vocabulary = {w for _, w in train}
+    d = hpylm._discount(sum(v == 1 for v in counts.values()), sum(v == 2 for v in counts.values()))
+    up = {w: sum(1 for x in counts if x[1] == w) for w in vocabulary}
+    e = hpylm._discount(sum(v == 1 for v in up.values()), sum(v == 2 for v in up.values()))
+    seats, root, where = {x: [] for x in counts}, {w: [] for w in vocabulary}, []
+
+    def p_root(w):
+        own = root.get(w, [])
+        total, tables = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(own) - e * len(own) + (1 + e * tables) / (len(vocabulary) + 1)) / (1 + total)
+
+    def p_context(x):
+        own = seats.get(x, [])
+        c = [v for k, v in seats.items() if k[0] == x[0]]
+        return (sum(own) - d * len(own) + (1 + d * sum(map(len, c))) * p_root(x[1])) / (1 + sum(map(sum, c)))
+
+    def sit(tables, discount, new):
+        weights = [n - discount for n in tables] + [new]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return k == len(tables) - 1 and tables[k] == 1
+
+    def add(x):
+        tables = sum(len(v) for k, v in seats.items() if k[0] == x[0])
+        if sit(seats[x], d, (1 + d * tables) * p_root(x[1])):
+            every = sum(map(len, root.values()))
+            sit(root[x[1]], e, (1 + e * every) / (len(vocabulary) + 1))
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    for x in train:
+        add(x)
+    sums = {}
+    for n in range(sweeps):
+        for x in train:
+            if leave(seats[x]):
+                leave(root[x[1]])
+            add(x)
+        if n >= sweeps // 4:
+            for i, t in texts:
+                for k, x in enumerate(pairs(t)):
+                    sums[i, k] = sums.get((i, k), 0) + p_context(x)
+    n = sweeps - sweeps // 4
+    return {i: sum(np.log10(v / n) for (j, _), v in sums.items() if j == i) for i, _ in texts}
+
+
+def test_hpylm_against_a_seat_by_seat_sampler(spark):
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join("abcdef"[int(x) % 6] for x in rng.zipf(1.6, 12))) for i in range(14)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = brute_hpy(texts, lambda i: zlib.crc32(str(i).encode()) % 7 == 2, 120)
+    got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in hpylm.score_documents(spark, df, sweeps=12, burn_in=3).collect()}
+    assert all(abs(got[i][0] - want[i]) / got[i][1] < 0.03 for i, _ in texts)
+    assert np.mean([got[i][0] - want[i] for i, _ in texts]) == pytest.approx(0, abs=0.15)
 
 
 def test_packing(spark, docs, empty):
