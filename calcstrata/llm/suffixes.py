@@ -511,13 +511,15 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, carry
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, length: int = 50, counted: str = "n_chars") -> DataFrame:
-    """``docs`` with the repeated passages taken out of text; documents with nothing left go.
+    """``docs`` with the repeated passages taken out of text; documents of which nothing is left go.
 
-    A character that is cut in two goes whole. The column ``counted``, if
+    Documents that were empty, blank or null already stay, with empty text for
+    null; rows without doc_id stay whole; repeated rows stay; an empty table
+    gives an empty one. A character that is cut in two goes whole. The column ``counted``, if
     there is one, is set to the new number of characters.
     """
     others = {x: f"c{i}" for i, x in enumerate(docs.columns) if x not in ("doc_id", "text")}
-    texts = remove_repeats(spark, docs, length, others, as_text=True).where(F.length(F.trim("kept")) > 0)
+    texts = remove_repeats(spark, docs, length, others, as_text=True).where((F.length(F.trim("kept")) > 0) | (F.col("n_removed") == 0))
     names = {y: x for x, y in others.items()} | {"kept": "text", "doc_id": "doc_id"}
     back = texts.select(*(F.col(y).alias(x) for y, x in names.items()))
     if counted in others:
