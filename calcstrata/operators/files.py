@@ -52,9 +52,13 @@ def _fact_rules() -> list[Rule]:
     return [parse, *(Rule(r.name, r.level, r.broken & absent(ERROR), r.message) for r in rest)]
 
 
-def validate(files: DataFrame) -> DataFrame:
-    """(file, file_type, passed, errors, warnings) of files (file, file_type, blob_hash, text); unknown types pass."""
-    parsed = registry.facts_of(files)
+def validate(files: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(file, file_type, passed, errors, warnings) of files (file, file_type, blob_hash, text); unknown types pass.
+
+    ``types`` names the types that occur, if they are known: only their
+    parsers are planned.
+    """
+    parsed = registry.facts_of(files, types)
     entry = F.struct("path", F.struct("kind", "num", "value"))
     maps = parsed.groupBy("blob_hash", "file_type").agg(F.map_from_entries(F.collect_list(entry)).alias("f"))
     rows = files.select("file", "file_type", "blob_hash").join(maps, ["blob_hash", "file_type"], "left")

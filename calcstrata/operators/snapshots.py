@@ -82,6 +82,7 @@ def ancestors(commits: DataFrame, key: list[str], parent: list[str], start: Data
     hop = _cut(hop.join(commits.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))), names, "left_semi"))
     reached = start.select(*(F.col(k).alias(n) for k, n in zip(key, names, strict=True))).withColumn("depth", F.lit(0).cast("bigint"))
     step, known = 1, hop.count()
+    most = max(1, int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     while True:
         jumps = hop.select(*(F.col(f"k{i}").alias(n) for i, n in enumerate(names)), *(F.col(n).alias(f"to_{n}") for n in names))
         further = reached.join(jumps, names).select(*(F.col(f"to_{n}").alias(n) for n in names), (F.col("depth") + step).alias("depth"))
@@ -90,7 +91,7 @@ def ancestors(commits: DataFrame, key: list[str], parent: list[str], start: Data
             break
         if step > known:  # a path of more steps than there are links meets a link twice
             raise ValueError("a commit is its own ancestor")
-        reached = reached.unionByName(further)
+        reached = reached.unionByName(further).coalesce(most)  # the partitions of a union add up
         doubled = hop.join(jumps, names).select(*(F.col(f"k{i}") for i in range(len(key))), *(F.col(f"to_{n}").alias(n) for n in names))
         hop, step = _cut(doubled), step * 2
     return reached.select(*(F.col(n).alias(k) for n, k in zip(names, key, strict=True)), "depth")

@@ -189,7 +189,7 @@ _RULES = {
 def _validate(kind: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = generated(spark, sf_dir, kind).withColumn("file", F.col("blob_hash"))
-        return files.validate(own).select("file", "passed", F.concat_ws("; ", "errors").alias("errors"))
+        return files.validate(own, [kind]).select("file", "passed", F.concat_ws("; ", "errors").alias("errors"))
 
     return query
 
