@@ -52,10 +52,11 @@ def connected_components(spark: SparkSession, edges: DataFrame, most_rounds: int
     for _ in range(most_rounds):
         if not state[0]:
             break
+        files = max(8, state[0] // 200_000)  # links are narrow rows: not a file for each partition of the shuffle
         for large in (True, False):
             pairs = _both(flat) if large else flat
-            least = stored(spark, _least(pairs), "least")
-            new = stored(spark, _star(pairs, least, large), "star")
+            least = stored(spark, _least(pairs).coalesce(files), "least")
+            new = stored(spark, _star(pairs, least, large).coalesce(files), "star")
             discard(spark, flat, least)
             flat = new
         before, state = state, _state(flat)
