@@ -32,7 +32,7 @@ from .common import id_remainder, parts, stored
 from .suffixes import _M, _expand, _mix, _squeeze
 
 CONTEXTS = 1 << 16
-EXACT = 512
+EXACT = 64
 STRENGTH = 1.0
 _END_WORD, _START = b"\n", 0
 
@@ -170,7 +170,8 @@ def resample(customers: np.ndarray, others: np.ndarray, parent: np.ndarray, disc
     own = np.minimum(customers, EXACT)
     for c in np.unique(own[own > 1]).tolist():
         every = np.flatnonzero(own == c)
-        for at in np.split(every, range(20_000, len(every), 20_000)):
+        some = max(1, 400_000 // c)  # bounds the memory of a step
+        for at in (every[i : i + some] for i in range(0, len(every), some)):
             t = np.arange(1, c + 1)
             weight = STRENGTH + discount * (others[at][:, None] + np.arange(c))
             logs = table[c, 1 : c + 1] + t * np.log(parent[at])[:, None] + np.cumsum(np.log(weight), axis=1)
