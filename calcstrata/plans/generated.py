@@ -21,14 +21,14 @@ from ..parsers import registry
 TEXTS = {
     "INCAR": r"""concat('SYSTEM = run ', k, '\n! ENCUT = 1\nENCUT = ', 300 + k % 5 * 50, '; ISMEAR = ', k % 9 - 3, '\nsigma = 0.', k % 4, '5 # width\nNSW = ', k % 6 - 1, '\nLWAVE = ', CASE WHEN k % 2 = 0 THEN '.TRUE.' ELSE 'F' END, '\nMAGMOM = ', k % 3 + 1, '*0.5 1.0\nALGO = Fast\nALGO = Normal\n')""",
     "KPOINTS": r"""CASE WHEN k % 4 = 3 THEN concat('points\n2\nCartesian\n0 0 0 1\n0.5 0 0 ', k % 5 + 1, '\n')
-  WHEN k % 4 = 2 THEN concat('bands\n', k % 30 + 10, '\nLine-mode\nReciprocal\n0 0 0 ! G\n0.5 0 0 ! X\n')
+  WHEN k % 4 = 2 THEN concat('bands\n', k % 30 + 10, '\nLine-mode\nReciprocal\n0 0 0 ! G\n0.5 0 0\n')
   WHEN k % 20 = 1 THEN 'short\n0\n'
   ELSE concat('mesh ', k, '\n0\n', CASE WHEN k % 8 = 0 THEN 'Gamma' ELSE 'Monkhorst' END, '\n', k % 7 + 1, ' 4 ', k % 3 + 2, '\n') END""",
     "OUTCAR": r"""CASE WHEN k % 11 = 0 THEN 'garbage' ELSE concat(' E-fermi :   ', k % 9, '.5     XC(G=0): -10.6\n', CASE WHEN k % 5 = 0 THEN '' ELSE concat('  free  energy   TOTEN  =       -', k % 90 + 1, '.25 eV\n  free  energy   TOTEN  =       -1.0 eV\n') END, ' Elapsed time (sec):       ', k % 50, '.5\n') END""",
-    "LAMMPS_INPUT": r"""CASE WHEN k % 17 = 0 THEN '# nothing\n' ELSE concat(CASE WHEN k % 5 = 0 THEN '' ELSE 'units lj\n' END, 'pair_style lj/cut ', k % 4 + 1, '.5 # cut\nmass ', k % 3 + 1, ' 2.5\nread_data "a b" # one\nvariable T equal ', k, '\ntimestep ', CASE WHEN k % 7 = 0 THEN '-0.5' ELSE '0.25' END, '\nfix 1 all nve\nrun 5\nrun &\n ', k % 900 + 1, '\n') END""",
+    "LAMMPS_INPUT": r"""CASE WHEN k % 17 = 0 THEN '# nothing\n' ELSE concat(CASE WHEN k % 5 = 0 THEN '' ELSE 'units lj\n' END, 'pair_style lj/cut ', k % 4 + 1, '.5 # cut\nmass 1 9.5\nmass 1 ', k % 3 + 1, '.5\nread_data "a b" # one\nvariable T equal ', k, '\nvariable S equal 1\nvariable T equal 2\nrestart ', k % 7 + 10, ' a b\ntimestep ', CASE WHEN k % 7 = 0 THEN '-0.5' ELSE '0.25' END, '\nfix 1 all nve\nrun 5\nrun &\n ', k % 900 + 1, '\n') END""",
     "LAMMPS_DATA": r"""CASE WHEN k % 13 = 0 THEN 'title\nno counts\n' ELSE concat('melt ', k, '\n\n', k % 50, ' atoms\n', k % 4, ' atom types\n', k % 6, ' bonds\n0.0 ', k % 20, '.5 xlo xhi\n0 2 ylo yhi # box\n-1.0 ', k % 3, '.0 zlo zhi\n\nMasses # kinds\n\n1 ', k % 30 + 1, '.5\n\nAtoms\n\n1 1 0 0 0\n') END""",
     "LAMMPS_LOG": r"""concat('  ', k % 40 + 1, ' atoms\nStep Temp PotEng\n0 1.5 -2.5\n', k % 1000 + 1, ' 1.25 -', k % 70, '.5\nLoop time of 1\nStep Temp PotEng\n', k % 1000 + 1, ' 1.25 -3.5\n', k % 1000 + 11, ' ', k % 8, '.5 -4.5\nLoop time of 1\n', CASE WHEN k % 3 = 0 THEN '' ELSE concat('Total wall time: 0:00:', k % 50 + 10, '\n') END)""",
-    "ORCA_INPUT": r"""concat(CASE WHEN k % 6 = 0 THEN '' ELSE '! b3lyp Opt def2-TZVP b3lyp\n' END, '%maxcore ', k % 4000 + 1, '\n%pal nprocs ', k % 16 + 1, ' end\n%scf\n  MaxIter ', k % 200, '\nend\n', CASE WHEN k % 5 = 0 THEN '' ELSE concat('* xyz ', k % 3 - 1, ' ', k % 3, '\nO 0 0 0\nH 0 0 1\n*\n') END, '$new_job\n! HF\n')""",
+    "ORCA_INPUT": r"""concat(CASE WHEN k % 6 = 0 THEN '' ELSE '! b3lyp Opt def2-TZVP b3lyp\n' END, '%maxcore ', k % 4000 + 1, ' # memory\n%pal nprocs ', k % 16 + 1, ' end\n%scf\n  MaxIter ', k % 200, '\nend\n', CASE WHEN k % 5 = 0 THEN '' ELSE concat('* xyz ', k % 3 - 1, ' ', k % 3, '\nO 0 0 0\nH 0 0 1\n*\n') END, '$new_job\n! HF\n')""",
     "ORCA_OUTPUT": r"""CASE WHEN k % 19 = 0 THEN 'nothing here' ELSE concat('Program Version 5.0.', k % 5, '\n', CASE WHEN k % 4 = 0 THEN 'SCF not converged\n' WHEN k % 4 = 1 THEN concat('SCF CONVERGED AFTER  ', k % 30 + 1, ' CYCLES\n') ELSE '' END, CASE WHEN k % 7 = 0 THEN '' ELSE concat('FINAL SINGLE POINT ENERGY      -70.5\nFINAL SINGLE POINT ENERGY      -', k % 80 + 1, '.25\n') END, CASE k % 3 WHEN 0 THEN 'THE OPTIMIZATION HAS CONVERGED\n' WHEN 1 THEN 'THE OPTIMIZATION HAS NOT CONVERGED\n' ELSE '' END, CASE WHEN k % 5 = 0 THEN 'ERROR TERMINATION\n' ELSE '****ORCA TERMINATED NORMALLY****\n' END) END""",
 }
 
@@ -76,7 +76,7 @@ FACTS = {
         _flag("gamma_centered", "k % 8 = 0", _AUTO), _json("grid", "'[' || (k % 7 + 1) || ',4,' || (k % 3 + 2) || ']'", _AUTO), _json("shift", "'[0.0,0.0,0.0]'", _AUTO),
         _int("num_kpoints", "2", "k % 4 = 3"), _flag("cartesian", "true", "k % 4 = 3"), _json("kpoints", """'[{"coords":[0.0,0.0,0.0],"weight":1.0},{"coords":[0.5,0.0,0.0],"weight":' || (k % 5 + 1) || '.0}]'""", "k % 4 = 3"),
         _int("num_points", "k % 30 + 10", "k % 4 = 2"), _flag("reciprocal", "true", "k % 4 = 2"), _int("num_segments", "1", "k % 4 = 2"),
-        _json("segments", """'[{"start":{"coords":[0.0,0.0,0.0],"label":"G"},"end":{"coords":[0.5,0.0,0.0],"label":"X"}}]'""", "k % 4 = 2"), _error("too few lines", "k % 20 = 1"),
+        _json("segments", """'[{"start":{"coords":[0.0,0.0,0.0],"label":"G"},"end":{"coords":[0.5,0.0,0.0],"label":""}}]'""", "k % 4 = 2"), _error("too few lines", "k % 20 = 1"),
     ],
     "OUTCAR": [
         _real("final_energy", "-(k % 90 + 1.25)", f"{_OUT} AND k % 5 <> 0"), _real("efermi", "k % 9 + 0.5", _OUT), _flag("is_stopped", "false", _OUT), _json("run_stats", """'{"Elapsed time (sec):' || (k % 50) || '.5}'""".replace("(sec):", '(sec)":'), _OUT),
@@ -84,7 +84,7 @@ FACTS = {
     ],
     "LAMMPS_INPUT": [
         _string("units", "'lj'", f"{_SCRIPT} AND k % 5 <> 0"), _string("pair_style", "'lj/cut ' || (k % 4 + 1) || '.5'", _SCRIPT), _real("timestep", "CASE WHEN k % 7 = 0 THEN -0.5 ELSE 0.25 END", _SCRIPT), _int("run", "k % 900 + 1", _SCRIPT),
-        _flag("fix_nve", "true", _SCRIPT), _json("read_data", """'["a b"]'""", _SCRIPT), _json("variable_names", """'["T"]'""", _SCRIPT), _json("mass", """'{"' || (k % 3 + 1) || '":2.5}'""", _SCRIPT), _error("the script is empty", "k % 17 = 0"),
+        _flag("fix_nve", "true", _SCRIPT), _json("read_data", """'["a b"]'""", _SCRIPT), _json("variable_names", """'["T","S"]'""", _SCRIPT), _json("mass", """'{"1":' || (k % 3 + 1) || '.5}'""", _SCRIPT), _int("restart_interval", "k % 7 + 10", _SCRIPT), _error("the script is empty", "k % 17 = 0"),
     ],
     "LAMMPS_DATA": [
         _string("title", "'melt ' || k", _DATA), _int("num_atoms", "k % 50", _DATA), _int("num_atom_types", "k % 4", _DATA), _int("num_bonds", "k % 6", _DATA),
