@@ -253,6 +253,16 @@ def colour_histogram(picture: np.ndarray) -> np.ndarray:
     return np.bincount(bins[picture[..., 3] > 0].ravel(), minlength=LEVELS**3)
 
 
+def shown_histogram(f: Frame, picture: np.ndarray) -> np.ndarray:
+    """``colour_histogram`` of what is shown with a frame; of one that covers the canvas, counted by palette entry."""
+    if f.transparent is not None or (f.left, f.top) != (0, 0) or f.samples.shape != picture.shape[:2]:
+        return colour_histogram(picture)
+    n, most = np.bincount(f.samples.ravel(), minlength=256), len(f.palette)
+    n[most - 1] += n[most:].sum()
+    x = f.palette.astype(np.int64) * LEVELS // 256
+    return np.bincount((x[:, 0] * LEVELS + x[:, 1]) * LEVELS + x[:, 2], weights=n[:most], minlength=LEVELS**3).astype(np.int64)
+
+
 _FRAME = pa.struct([("frame", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
 _FRAMES = "array<struct<frame:int,start_cs:bigint,delay_cs:int,width:int,height:int,histogram:array<bigint>>>"
 
@@ -276,7 +286,7 @@ def media_frames(media: DataFrame, *keep: str, column: str = "media") -> DataFra
                 for i, (f, picture) in enumerate(canvases(width, height, frames)):
                     h, w = f.samples.shape
                     payload.append(np.ascontiguousarray(picture[f.top : f.top + h, f.left : f.left + w, 0]).tobytes())
-                    own.append((i, time, f.delay, w, h, colour_histogram(picture)))
+                    own.append((i, time, f.delay, w, h, shown_histogram(f, picture)))
                     time += f.delay
             except GifError as e:
                 own, error = [], str(e)

@@ -330,6 +330,9 @@ def test_gif_rules(spark):
     frames = [gif.Frame(0, 0, a, gif.GREY, 5), gif.Frame(0, 0, b, gif.GREY, 5, 2, 7), gif.Frame(1, 1, a[:2, :2], gif.GREY, 5, 3)]
     shown = [p.copy() for _, p in gif.canvases(4, 4, frames)]
     assert (shown[1][0, :, 0] == 0).all() and (shown[1][1:, :, 0] == 9).all() and shown[2][3, 3, 3] == 0 and shown[2][1, 1, 3] == 255
+    colours = np.random.default_rng(1).integers(0, 256, (7, 3), dtype=np.uint8)
+    for f, p in gif.canvases(4, 4, [gif.Frame(0, 0, b, colours, 5), *frames]):
+        assert (gif.shown_histogram(f, p) == gif.colour_histogram(p)).all()
     assert gif._interlaced(np.array([[0], [4], [2], [6], [1], [3], [5], [7]])).ravel().tolist() == [0, 1, 2, 3, 4, 5, 6, 7]
     data = gif.encode_gif([a, b], delay=7)
     df = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data[:-40])), (3, None), (4, bytearray(b"GIF8"))], "doc_id bigint, media binary")
