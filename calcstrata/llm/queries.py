@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, gif, hpylm, langid, packing, quality, simhash, suffixes, urls
+from . import dac, decontaminate, gif, hpylm, langid, ownership, packing, quality, simhash, suffixes, urls
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ownership.find_secrets(spark, documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hpylm": op2_hpylm,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dac": op8_dac,
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
+    "op11_ownership": op11_ownership,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_ownership": ownership.sql()}
