@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, gif, hpylm, langid, ownership, packing, quality, simhash, suffixes, urls
-from .common import documents
+from . import dac, decontaminate, gif, hpylm, langid, ownership, packing, quality, simhash, suffixes, trie, urls
+from .common import documents, importable
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op11_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.find_secrets(spark, documents(spark, sf_dir))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return trie.build_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hpylm": op2_hpylm,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
     "op11_ownership": op11_ownership,
+    "op13_trie": op13_trie,
 }
 
-ORACLE: dict[str, str] = {"op11_ownership": ownership.sql()}
+ORACLE: dict[str, str] = {"op11_ownership": ownership.sql(), "op13_trie": trie.SQL}
