@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, decontaminate, gif, hpylm, langid, ownership, packing, quality, simhash, suffixes, trie, urls
+from . import alignment, dac, decontaminate, gif, hpylm, langid, ownership, packing, quality, simhash, suffixes, trie, urls
 from .common import documents, importable
 
 
@@ -63,6 +63,10 @@ def op11_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.find_secrets(spark, documents(spark, sf_dir))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(spark, documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     importable(spark)
     return trie.build_trie(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_langid": op9_langid,
     "op10_quality": op10_quality,
     "op11_ownership": op11_ownership,
+    "op12_alignment": op12_alignment,
     "op13_trie": op13_trie,
 }
 

@@ -246,11 +246,11 @@ def build_trie(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
 #: The same rows in DuckDB's dialect; whole prefixes are grouped as lists.
 SQL = r"""
-WITH RECURSIVE codes AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
+WITH codes AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t),
 own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS p, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 conv AS (SELECT c, n, c - c % 100 AS b,
-  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))), lambda x, y: xor(x >> 8, (SELECT t FROM codes)[(xor(x, y) & 255) + 1])), 4294967295) % 6 AS h
-  FROM (SELECT c, count(*) AS n FROM own GROUP BY c)),
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda z: CAST(ascii(z) AS BIGINT))), lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT c, count(*) AS n FROM own GROUP BY c), codes),
 re AS (SELECT conv.c, o.p, o.role, o.text FROM conv JOIN own o ON o.c = conv.b AND o.p < conv.h
   UNION ALL SELECT o.c, o.p - conv.h + least(conv.h, coalesce(k.n, 0)), o.role, o.text FROM own o JOIN conv ON o.c = conv.c AND o.p >= conv.h LEFT JOIN conv k ON k.c = conv.b),
 way AS (SELECT c, p + 1 AS d, length(text) AS points, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY p) AS k FROM re
