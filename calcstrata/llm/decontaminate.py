@@ -114,7 +114,7 @@ def _literal_items(benchmark: DataFrame, size: int) -> DataFrame:
     return long.unionByName(short)
 
 
-def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 8, plain: int = 5, windows: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 8, plain: int = 5, windows: int = 4, alone: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, item_id, n_windows, n_slots, n_changed): documents that hold a benchmark passage, literal or with other slot values.
 
     A pair is reported if at least ``windows`` windows of the item (or all it
@@ -124,11 +124,20 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     A pair is reported as well if so many windows of the item's own words occur
     at one distance, whatever their slots; an item shorter than ``size`` words
     is one such window. Pairs found by this alone have n_slots and n_changed 0.
+    An item of fewer than ``alone`` words is common speech inside of a longer
+    text; it is found only in documents that hold nothing else.
     Null texts and ids never match, nor do items without a word; repeated rows
-    give one row; other columns are ignored. The windows of the benchmark are
-    broadcast only if there are at most ``broadcast_rows`` of them (about 100
-    bytes each), else shuffled.
+    give one row; rows of one doc_id with other texts are put together; other
+    columns are ignored. The windows of the benchmark are broadcast only if
+    there are at most ``broadcast_rows`` of them (about 100 bytes each), else
+    shuffled.
     """
+    found = _leaking_texts(spark, docs, benchmark, size, plain, windows, alone, broadcast_rows)
+    return found.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed"))
+
+
+def _leaking_texts(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size: int = 8, plain: int = 5, windows: int = 4, alone: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, copy, item_id, n_windows, n_slots, n_changed): as ``find_leaks``, each text (``copy``: its hash) by itself."""
     items = stored(spark, _items(benchmark, size, plain), "benchmark-windows")
     literal = stored(spark, _literal_items(benchmark, size), "benchmark-words")
     sizes = sorted({size, *(r["size"] for r in literal.select("size").distinct().collect())})
@@ -159,27 +168,28 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, size:
     uses = pairs.groupBy(*key, "a").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("a") != F.col("b")).cast("int")).alias("changed"))
     forward = uses.groupBy(*key).agg(F.max(F.when(F.substring("a", 1, 1) == NAME, F.col("n"))).alias("most"), F.count(F.lit(1)).alias("n_slots"), F.sum("changed").alias("n_changed"))
     told = runs.join(forward, key, "left").where(F.coalesce("most", F.lit(1)) == 1)
-    told = told.select("doc_id", "item_id", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
-    told = told.unionByName(_literal_runs(again, literal, literal_per_item, sizes, windows, n, broadcast_rows), allowMissingColumns=True)
-    return told.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.min("n_changed"), F.lit(0)).alias("n_changed"))
+    told = told.select("doc_id", "copy", "item_id", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+    return told.unionByName(_literal_runs(again, literal, literal_per_item, sizes, windows, alone, n, broadcast_rows), allowMissingColumns=True)
 
 
-def _literal_runs(docs: DataFrame, items: DataFrame, per_item: DataFrame, sizes: list[int], windows: int, n: int, broadcast_rows: int) -> DataFrame:
-    """(doc_id, item_id, n_windows): enough windows of an item's own words at one distance from each other."""
+def _literal_runs(docs: DataFrame, items: DataFrame, per_item: DataFrame, sizes: list[int], windows: int, alone: int, n: int, broadcast_rows: int) -> DataFrame:
+    """(doc_id, copy, item_id, n_windows): enough windows of an item's own words at one distance from each other."""
     each = F.array(*(F.struct(F.lit(k).alias("size"), window_hashes(F.col("words"), k).alias("hashes")) for k in sizes))
-    found = _bound(docs, "doc_id", "copy", words=plain_words(F.col("text"))).select("doc_id", "copy", F.explode_outer(each).alias("w"))
-    found = found.select("doc_id", "copy", F.col("w.size").alias("size"), F.posexplode_outer("w.hashes").alias("doc_at", "hash"))
+    found = _bound(docs, "doc_id", "copy", words=plain_words(F.col("text"))).select("doc_id", "copy", F.size("words").alias("n_words"), F.explode_outer(each).alias("w"))
+    found = found.where((F.col("w.size") >= alone) | (F.col("w.size") == F.col("n_words"))).select("doc_id", "copy", F.col("w.size").alias("size"), F.posexplode_outer("w.hashes").alias("doc_at", "hash"))
     hits = found.join(small(items, n, broadcast_rows), ["size", "hash"]).select("doc_id", "copy", "item_id", "at", (F.col("doc_at") - F.col("at")).alias("shift"))
     runs = hits.groupBy("doc_id", "copy", "item_id", "shift").agg(F.countDistinct("at").alias("n_windows"))
-    return runs.join(per_item, "item_id").where(F.col("n_windows") >= F.least(F.lit(windows), F.col("item_windows"))).select("doc_id", "item_id", "n_windows")
+    return runs.join(per_item, "item_id").where(F.col("n_windows") >= F.least(F.lit(windows), F.col("item_windows"))).select("doc_id", "copy", "item_id", "n_windows")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no benchmark passage is found; all columns stay.
 
-    All rows of a doc_id go if one of its texts has a passage; rows without
-    doc_id or text stay; an empty benchmark takes nothing away, and an empty
-    table gives an empty one.
+    Each row is judged by its own text, so other texts under the same doc_id
+    stay; rows without doc_id or text stay; an empty benchmark takes nothing
+    away, and an empty table gives an empty one.
     """
-    leaks = stored(spark, find_leaks(spark, docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(small(leaks, leaks.count()), "doc_id", "left_anti").select(*docs.columns)
+    leaks = stored(spark, _leaking_texts(spark, docs, benchmark).select("doc_id", "copy").distinct(), "leaks")
+    own = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
+    rows = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("copy"), own.alias("row"))
+    return rows.join(small(leaks, leaks.count()), ["doc_id", "copy"], "left_anti").select("row.*")

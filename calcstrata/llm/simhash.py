@@ -491,26 +491,42 @@ def similar_links(spark: SparkSession, docs: DataFrame, groups: DataFrame, words
     return once.unionByName(again)
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its near-duplicate group; all columns stay.
+def _own_keys(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): one id for each text that an id stands for, in the order of ids.
 
-    A row is judged by its own text: of rows that share a doc_id, those whose
-    text is a copy of another document's go, and of the rest one stays, that
-    with the least hash of its text. Rows without doc_id all stay. Null texts
-    count as empty, which are all alike; an empty table gives an empty one.
+    Ids that stand for one text stay as they are. If some stand for several
+    (which one sum by id tells), every pair of id and text gets a new id from
+    its place in a range-partitioned order, so the least id still comes first.
     """
-    found = near_duplicates(spark, docs, words=words, width=width, similarity=similarity)
-    found = stored(spark, found.select("doc_id", "text_hash", "component_id"), "groups")
-    gone = found.where("component_id <> doc_id").select("doc_id", "text_hash").distinct()
-    several = gone.count()
     own = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), own.alias("row"))
-    kept = rows.join(small(gone, several), ["doc_id", "text_hash"], "left_anti")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"), own.alias("row"))
+    shared = rows.where("doc_id is not null").groupBy("doc_id").agg((F.min("text_hash") != F.max("text_hash")).alias("several")).where("several")
+    if shared.isEmpty():
+        return rows.drop("text_hash")
+    pairs = rows.where("doc_id is not null").select("doc_id", "text_hash").distinct()
+    pairs = pairs.repartitionByRange(parts(spark), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash")
+    keys = stored(spark, pairs.withColumn("key", F.monotonically_increasing_id()), "text-keys")
+    return rows.join(keys, ["doc_id", "text_hash"], "left").select(F.col("key").alias("doc_id"), "text", "row")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, similarity: float = 0.8, width: int = 4) -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, that of the least doc_id; all columns stay.
+
+    What is grouped are texts: an id that stands for several texts counts
+    once for each, so no text goes unless a near copy of it stays. Equal rows
+    of one id and text are one. Rows without doc_id all stay. Null texts count
+    as empty, which are all alike; an empty table gives an empty one.
+    """
+    keyed = _own_keys(spark, docs)
+    found = near_duplicates(spark, keyed.select("doc_id", "text"), words=words, width=width, similarity=similarity)
+    found = stored(spark, found.select("doc_id", "component_id"), "groups")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = keyed.select("doc_id", "row").join(small(gone, gone.count()), "doc_id", "left_anti")
     again = stored(spark, found.where("component_id = doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "again")
     several = again.count()
     if not several:
         return kept.select("row.*")
-    once = kept.join(small(again, several), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "text_hash").alias("row"))
+    once = kept.join(small(again, several), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
     return kept.join(small(again, several), "doc_id", "left_anti").select("row.*").unionByName(once.select("row.*"))
 
 

@@ -385,8 +385,8 @@ def leaks(spark, items, docs):
 
 def test_short_and_slot_heavy_items(spark):
     items = ["What is the capital of France?", "Add 12 kg, 7 kg, 5 kg and 9 kg of salt", "東京は日本の首都ですか", "...", "twenty one"]
-    docs = [f"we ask them {x} and that was all" for x in items[:3]] + ["What is the capital of Spain?", "Add 12 kg, 7 kg, 5 kg and 8 kg of pepper", "東京は大阪の首都です", "twenty. Two one", "so twenty-one it is"]
-    assert leaks(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (7, 4)}
+    docs = [f"we ask them {x} and that was all" for x in items[:3]] + ["What is the capital of Spain?", "Add 12 kg, 7 kg, 5 kg and 8 kg of pepper", "東京は大阪の首都です", "twenty. Two one", "so twenty-one it is", "Twenty-one!"]
+    assert leaks(spark, items, docs) == {(0, 0), (1, 1), (2, 2), (8, 4)}  # an item of under four words is a leak only by itself
 
 
 def test_numbers_may_become_equal_or_different(spark):

@@ -41,7 +41,7 @@ def test_stages_on_odd_tables(spark, tables, name):
     ids = [r["doc_id"] for r in got.collect()]
     assert stage(spark, docs.limit(0), tables).count() == 0
     if name == "SimHash near-dedup":
-        assert sorted(i for i in ids if i is not None) == [0, 1, 2, 4] and ids.count(None) == 2
+        assert sorted(i for i in ids if i is not None) == [0, 1, 1, 2, 4] and ids.count(None) == 2
     elif name == "suffix-array dedup":
         assert sorted(i for i in ids if i is not None) == [0, 1, 1, 1, 2, 3, 4, 5] and ids.count(None) == 2
     elif name == "benchmark decontamination":
@@ -256,3 +256,19 @@ def test_ridge_against_a_direct_solution(spark):
     penalty[-1, -1] = 1e-9
     assert model.weights == pytest.approx(np.linalg.solve(z.T @ z + penalty, z.T @ y[~held]), abs=1e-6)
     assert np.corrcoef(model.score(x), y)[0, 1] > 0.7 and (np.diff(model.levels) >= 0).all()
+
+
+def test_no_text_is_lost_under_a_shared_id(spark):
+    words = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = [(1, words[0]), (1, words[1]), (5, words[0]), (6, words[1]), (7, words[2]), (None, words[0])]
+    kept = simhash.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(r["doc_id"]), words.index(r["text"])) for r in kept) == [("1", 0), ("1", 1), ("7", 2), ("None", 0)]
+
+
+def test_leaks_go_by_text_and_short_items_stand_alone(spark, tmp_path):
+    item = "an item of the benchmark that somebody has copied into a text of their own"
+    bench = spark.createDataFrame([(0, item), (1, "Paris"), (2, "42"), (3, "the capital is Paris")], "item_id bigint, text string")
+    rows = [(1, f"we found {item} there"), (1, "a clean text under the same id"), (2, "we flew to Paris last year"), (3, "room 42 is upstairs"), (4, "42."), (5, "paris"), (6, "so the capital is Paris, they say")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = decontaminate.without_leaks(spark, docs, bench).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [rows[1], rows[2], rows[3]]
