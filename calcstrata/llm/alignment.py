@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,23 +34,26 @@ from .tokens import _byte_letters
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _UNCLEAR = re.compile(r"\s[ \n]")
 _SPACE = "▁"
-BLOCK_BYTES = 8 << 20
+_MARKS = ".,!?;:|"
+#: Texts whose links are worked out at once, and texts whose postings are put together.
+PART_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
 POSTINGS_A_ROW = 2048
 SUMS_AT_ONCE = 1 << 20
+#: A pair of ids and the place of a document in its block share 56 bits.
+ID_BITS = 20
 
 ALIGNED = "block bigint, a int, n int, b binary, docs binary, mult binary, at int, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 
 
 class Aligner:
-    """Links between the tokens of two vocabularies, remembered by unit of text.
+    """Ids of texts in two vocabularies, remembered by unit of text, and the links between them.
 
     Neither vocabulary has a token over the border between a character that
-    is no white space and a following blank or line feed, so the tokens of a
-    text are those of the units between such borders. That a unit's tokens
-    spell its bytes is checked; texts with a unit that fails are cut whole.
+    is no white space and a following blank or line feed, so the ids of a
+    text are those of the units between such borders.
     """
 
-    def __init__(self, path_a: str, path_b: str, most_units: int = 300_000):
+    def __init__(self, path_a: str, path_b: str, most_units: int = 400_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -59,92 +64,149 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace(_SPACE, " ").encode() for i in range(self.b.get_piece_size())]
-        self.space_b = self.b.piece_to_id(_SPACE)
+        if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
+            raise ValueError(f"vocabularies of more than {1 << ID_BITS} ids")
+        self.sizes = [np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b)]
+        #: How an id is written: an A id before another or before its group's B ids, a B id before another or at its group's end.
+        self.written = np.array([f"{i}{mark}" for own, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for mark in marks for i in range(len(own))], object)
+        self.firsts = [np.cumsum(x) - x for x in self.sizes]
+        self.spellings = [np.frombuffer(b"".join(own), np.uint8) for own in (self.bytes_a, self.bytes_b)]
+        self.space_b, self.line_b = self.b.piece_to_id(_SPACE), self.b.encode("\n")
+        inner = {y for i in range(self.b.get_piece_size()) if not self.b.is_byte(i) for x, y in pairwise(piece(i)) if x.isalpha()}
+        self.marks = "".join(c for c in _MARKS if c not in inner)
         self.most = most_units
-        self.known: dict[str, tuple | None] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
 
     def _ids_b(self, units: list[str]) -> list[list[int]]:
-        """B puts a blank before what it is given: that is a unit's own blank, or is taken away again before a line feed."""
-        out = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
+        """B puts a blank before what it is given: that is a unit's own blank, or it is taken away again with a line feed, which joins no token."""
+        out = self.b.encode([u[1:] if u[0] == " " else "\n" + u for u in units], num_threads=1)
         for i, u in enumerate(units):
             if u == " ":
                 out[i] = [self.space_b]
             elif u[0] != " ":
-                out[i] = out[i][1:] if out[i][:1] == [self.space_b] else []
+                out[i] = out[i][len(self.line_b) :]
         return out
 
-    def links(self, text: str, ids_a: list[int], ids_b: list[int]) -> tuple | None:
-        """(n_a, n_b, n_groups, n_links, groups as text, linked pairs as bytes); None if the tokens spell something else."""
-        want = text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != want or b"".join(map(self.bytes_b.__getitem__, ids_b)) != want:
-            return None
-        pairs, groups = [], []
-        i = j = first_i = first_j = 0
-        end_a, end_b = len(self.bytes_a[ids_a[0]]), len(self.bytes_b[ids_b[0]])
-        while True:
-            pairs.append(ids_a[i] << 32 | ids_b[j])
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(",".join(map(str, ids_a[first_i:i])) + "|" + ",".join(map(str, ids_b[first_j:j])))
-                first_i, first_j = i, j
-                if i == len(ids_a):
-                    break
-            if step_a:
-                end_a += len(self.bytes_a[ids_a[i]])
-            if step_b:
-                end_b += len(self.bytes_b[ids_b[j]])
-        return len(ids_a), len(ids_b), len(groups), len(pairs), ";".join(groups), np.array(pairs, np.int64).tobytes()
+    def _encode(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """Both sides' ids of each unit as 32-bit integers."""
+        out = []
+        for i in range(0, len(units), 5000):
+            own = units[i : i + 5000]
+            encoded = self.a.encode_batch_fast(own, add_special_tokens=False)
+            out += [(array("i", e.ids).tobytes(), array("i", b).tobytes()) for e, b in zip(encoded, self._ids_b(own), strict=True)]
+        return out
 
     def _learn(self, units: set[str]) -> None:
-        missing = sorted(units.difference(self.known))
-        if missing:
-            found = zip(missing, self.a.encode_batch_fast(missing, add_special_tokens=False), self._ids_b(missing), strict=True)
-            self.known.update((u, self.links(u, e.ids, b) if b else None) for u, e, b in found)
-
-    def align(self, texts: list[str | None]) -> list[tuple | None]:
-        """For each text (n_a, n_b, n_groups, n_links, groups_sha256, pairs as bytes); None without tokens."""
+        """A closing mark after a letter starts a token on both sides, so a word and its marks are learned once each."""
+        known, split, need = self.known, [], set()
+        for u in units.difference(known):
+            core = u.rstrip(self.marks)
+            if core != u and core and core[-1].isalpha():
+                tail = u[len(core) :]
+                split.append((u, core, tail))
+                need.update(x for x in (core, tail) if x not in known)
+            else:
+                need.add(u)
+        need = list(need)
+        known.update(zip(need, self._encode(need), strict=True))
+        for u, core, tail in split:
+            a, b = known[core], known[tail]
+            known[u] = a[0] + b[0], a[1] + b[1]
+
+    def ids(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """Both sides' ids of each text as 32-bit integers; None without text."""
         if len(self.known) > self.most:
             self.known.clear()
         cut = []
         for t in texts:
             if not t:
                 cut.append(None)
-            elif _UNCLEAR.search(" " + t):
+            elif _UNCLEAR.search(" " + t) or "\0" in t:
                 cut.append(_CUT.split(" " + t))
-            else:
-                lines = [(" " + x.replace(" ", "\0 ")).split("\0") for x in t.split("\n")] if "\0" not in t else [_CUT.split(" " + t)]
-                for line in lines[1:]:
-                    line[0] = "\n" + line[0][1:]
-                cut.append([u for line in lines for u in line])
+            else:  # the same cuts, found faster
+                units = []
+                for x in t.split("\n"):
+                    words = x.replace(" ", "\0 ").split("\0")
+                    words[0] = ("\n" if units else " ") + words[0]
+                    units += words
+                cut.append(units)
         self._learn(set().union(*(u for u in cut if u)))
-        out = []
-        for t, units in zip(texts, cut, strict=True):
-            if not units:
-                out.append(None)
-                continue
-            found = [self.known[u] for u in units]
-            if None in found:
-                whole = " " + t
-                one = self.links(whole, self.a.encode(whole, add_special_tokens=False).ids, self._ids_b([whole])[0])
-                found = [one] if one else None
-            if found is None:
-                out.append(None)
-                continue
-            a, b, g, n, names, pairs = zip(*found, strict=True)
-            out.append((sum(a), sum(b), sum(g), sum(n), hashlib.sha256(";".join(names).encode()).hexdigest(), b"".join(pairs)))
-        return out
+        find = self.known.__getitem__
+        return [tuple(map(b"".join, zip(*map(find, units), strict=True))) if units else None for units in cut]
+
+    def _spells(self, text: str, found: tuple[bytes, bytes]) -> bool:
+        return all(b"".join(map(own.__getitem__, np.frombuffer(ids, np.int32).tolist())) == text.encode() for own, ids in zip((self.bytes_a, self.bytes_b), found, strict=True))
+
+    def spelt(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """``ids``, but None for texts that one side's tokens do not spell.
+
+        All texts are compared at once; one that differs is encoded whole and
+        looked at by itself.
+        """
+        found = self.ids(texts)
+        want = [(" " + t).encode() if t else b"" for t in texts]
+        bad = np.zeros(len(texts), bool)
+        size = np.array([len(w) for w in want])
+        for side, (sizes, table, first) in enumerate(zip(self.sizes, self.spellings, self.firsts, strict=True)):
+            ids = np.frombuffer(b"".join(x[side] for x in found if x), np.int32)
+            n = np.array([len(x[side]) // 4 if x else 0 for x in found])
+            own = sizes[ids]
+            held = np.diff(np.r_[0, np.cumsum(own)][np.r_[0, np.cumsum(n)]])
+            bad |= held != size
+            start = np.cumsum(own) - own
+            got = table[np.repeat(first[ids] - start, own) + np.arange(own.sum())]
+            same = (held == size).tolist()
+            stop = np.cumsum(held).tolist()
+            for i, (w, ok, j) in enumerate(zip(want, same, stop, strict=True)):
+                if ok and w and got[j - len(w) : j].tobytes() != w:
+                    bad[i] = True
+        for i in np.flatnonzero(bad).tolist():
+            whole = " " + texts[i]
+            one = self._encode([whole])[0]
+            found[i] = one if self._spells(whole, one) else None
+        return found
+
+    def links(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups, n_links of each text in rows), digests of groups, and links as sorted distinct keys with counts.
+
+        A key holds A id, B id and the text's place. All texts are laid end to
+        end: between two neighbouring token ends, of either side, lies one
+        pair of overlapping tokens, and a group ends where both sides end.
+        """
+        found = self.spelt(texts)
+        a, b = (np.frombuffer(b"".join(x[side] for x in found if x), np.int32).astype(np.int64) for side in (0, 1))
+        n_a, n_b = (np.array([len(x[side]) // 4 if x else 0 for x in found], np.int64) for side in (0, 1))
+        end_a, end_b = (np.cumsum(sizes[ids]) for sizes, ids in zip(self.sizes, (a, b), strict=True))
+        ends = np.sort(np.concatenate([end_a, end_b]), kind="stable")
+        ends = ends[np.r_[True, ends[1:] != ends[:-1]]] if len(ends) else ends
+        at_a, at_b = np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+        shared = (end_a[at_a] == ends) & (end_b[at_b] == ends)
+        last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last_a[at_a[shared]] = last_b[at_b[shared]] = True
+        over_a = np.r_[0, np.cumsum(n_a)]
+        stops = np.r_[0, end_a][over_a]  # where each text ends, in bytes
+        over = np.searchsorted(ends, stops, "right")
+        over_groups = np.r_[0, np.cumsum(shared)][over]
+        place = np.repeat(np.arange(len(found)), np.diff(over))
+        keys, counts = np.unique(a[at_a] << ID_BITS + 16 | b[at_b] << 16 | place, return_counts=True)
+        group_a, group_b = (np.cumsum(last) - last for last in (last_a, last_b))
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        size_a, size_b = map(len, self.sizes)
+        written = self.written[np.concatenate([a + size_a * last_a, 2 * size_a + b + size_b * last_b])[order]].tolist()
+        over_written = np.r_[0, np.cumsum(n_a + n_b)].tolist()
+        digests = [hashlib.sha256("".join(written[i:j])[:-1].encode()).hexdigest() if j > i else "" for i, j in zip(over_written, over_written[1:], strict=False)]
+        return np.stack([n_a, n_b, np.diff(over_groups), np.diff(over)]), digests, keys, counts
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _blocks(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bounded number of bytes, or one row, and at most 65,536 rows."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     first = 0
     while first < len(sizes):
-        last = max(first + 1, min(first + (1 << 16), int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BLOCK_BYTES, "right"))))
+        last = max(first + 1, min(first + (1 << 16), int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + most, "right"))))
         yield batch.slice(first, last - first)
         first = last
 
@@ -154,33 +216,23 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _postings(block: int, found: list[tuple | None]) -> tuple[list[pa.Array], int]:
-    """block, a, n, b, docs, mult of a block's links, in rows of one A id and a bounded number of postings."""
-    keys, docs, mult = [], [], []
-    for i, x in enumerate(found):
-        if x is not None:
-            k, n = np.unique(np.frombuffer(x[5], np.int64), return_counts=True)
-            keys.append(k)
-            docs.append(np.full(len(k), i, np.uint16))
-            mult.append(n.astype(np.uint32))
-    if not keys:
-        return [], 0
-    keys, docs, mult = np.concatenate(keys), np.concatenate(docs), np.concatenate(mult)
+def _postings(block: int, keys: np.ndarray, mult: np.ndarray) -> list[pa.Array]:
+    """block, a, n, b, docs, mult of a block's links (as ``Aligner.links`` counts them), in rows of one A id and a bounded number of postings."""
     order = np.argsort(keys, kind="stable")
-    keys, docs, mult = keys[order], docs[order], mult[order]
-    a, b = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32)
+    keys, mult = keys[order], mult[order].astype(np.uint32)
+    a, b, docs = (keys >> ID_BITS + 16).astype(np.int32), (keys >> 16 & (1 << ID_BITS) - 1).astype(np.int32), (keys & 0xFFFF).astype(np.uint16)
     starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-    ends = np.r_[starts[1:], len(a)]
-    bounds = np.concatenate([np.arange(s, e, POSTINGS_A_ROW) for s, e in zip(starts, ends, strict=True)] + [[len(a)]]).astype(np.int64)
-    n = len(bounds) - 1
-    return [pa.array(np.full(n, block)), pa.array(a[bounds[:-1]]), pa.array(np.diff(bounds).astype(np.int32)), _binary(b, bounds), _binary(docs, bounds), _binary(mult, bounds)], n
+    size = np.diff(np.r_[starts, len(a)])
+    rows = -(-size // POSTINGS_A_ROW)
+    inner = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    bounds = np.r_[np.repeat(starts, rows) + POSTINGS_A_ROW * inner, len(a)]
+    return [pa.array(np.full(len(bounds) - 1, block)), pa.array(a[bounds[:-1]]), pa.array(np.diff(bounds).astype(np.int32)), _binary(b, bounds), _binary(docs, bounds), _binary(mult, bounds)]
 
 
 def _aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, most_units: int) -> DataFrame:
     """Rows of documents (a is null) and rows of postings, stored."""
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), *[pa.int64()] * 5, pa.string()]
     names = [c.split()[0] for c in ALIGNED.split(", ")]
-    none = "", b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path_a, path_b) not in _ALIGNERS:
@@ -189,15 +241,20 @@ def _aligned(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, mos
         aligner.most = most_units
         block = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for part in _blocks(batch):
-                found = aligner.align(part.column(1).to_pylist())
-                n, block = len(found), block + 1
-                rows = list(zip(*(x or (0, 0, 0, 0, *none) for x in found), strict=True))
-                own = [pa.array(np.full(n, block)), *(pa.nulls(n, t) for t in types[1:6]), pa.array(np.arange(n, dtype=np.int32)), part.column(0), *(pa.array(x, pa.int64()) for x in rows[:4]), pa.array(rows[4])]
-                yield pa.RecordBatch.from_arrays(own, names)
-                arrays, n = _postings(block, found)
-                if n:
-                    yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(n, t) for t in types[6:])], names)
+            for whole in _blocks(batch, BLOCK_BYTES):
+                at, keys, mult, block = 0, [], [], block + 1
+                for part in _blocks(whole, PART_BYTES):
+                    numbers, digests, own, n = aligner.links(part.column(1).to_pylist())
+                    keys.append(own + at)
+                    mult.append(n)
+                    n = len(digests)
+                    row = [pa.array(np.full(n, block)), *(pa.nulls(n, t) for t in types[1:6]), pa.array(np.arange(at, at + n, dtype=np.int32)), part.column(0), *map(pa.array, numbers), pa.array(digests)]
+                    yield pa.RecordBatch.from_arrays(row, names)
+                    at += n
+                keys, mult = np.concatenate(keys), np.concatenate(mult)
+                if len(keys):
+                    arrays = _postings(block, keys, mult)
+                    yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(arrays[0]), t) for t in types[6:])], names)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(spark, rows.mapInArrow(then_give_back(run), ALIGNED), "aligned")
@@ -290,7 +347,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, shares: int = 4, most_units: int = 300_000) -> DataFrame:
+def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, shares: int = 4, most_units: int = 400_000) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row for each row of ``docs``.
 
     A: a byte-level vocabulary for the tokenizers library, given a blank and

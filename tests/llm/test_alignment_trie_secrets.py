@@ -202,15 +202,19 @@ def test_alignment(spark, shares):
 
 
 def test_alignment_forgets_and_cuts(monkeypatch):
-    """Results do not depend on what is remembered, nor on the size of blocks and rows."""
+    """Results do not depend on what is remembered, nor on the size of parts and rows."""
     P = pytest.importorskip("public_tokenizers")
     paths = str(P.path("byte_bpe_50k.json")), str(P.path("piece_bpe_32k.model"))
     texts = [t for _, t in ODD]
-    whole = alignment.Aligner(*paths).align(texts)
+    numbers, digests, keys, counts = alignment.Aligner(*paths).links(texts)
     forgetful = alignment.Aligner(*paths, most_units=1)
-    assert [forgetful.align([t])[0] for t in texts] == whole
-    one, _ = alignment._postings(7, whole)
+    for i, t in enumerate(texts):
+        n, d, k, c = forgetful.links([t])
+        assert (n[:, 0] == numbers[:, i]).all() and d == [digests[i]]
+        own = keys & 0xFFFF == i
+        assert (k == keys[own] - i).all() and (c == counts[own]).all()
+    one = alignment._postings(7, keys, counts)
     monkeypatch.setattr(alignment, "POSTINGS_A_ROW", 2)
-    many, n = alignment._postings(7, whole)
-    assert n > len(one[0]) and max(many[2].to_pylist()) == 2
-    assert b"".join(many[3].to_pylist()) == b"".join(one[3].to_pylist())
+    many = alignment._postings(7, keys, counts)
+    assert len(many[0]) > len(one[0]) and max(many[2].to_pylist()) == 2 and sum(many[2].to_pylist()) == len(keys)
+    assert all(b"".join(x.to_pylist()) == b"".join(y.to_pylist()) for x, y in zip(one[3:], many[3:], strict=True))
