@@ -41,9 +41,14 @@ def short_hash(text: Column, digits: int = 7) -> Column:
     return F.substring(text, 1, digits)
 
 
+def shard(blob_hash: Column) -> Column:
+    """The first two digits, which name a blob's shard."""
+    return F.substring(blob_hash, 1, 2)
+
+
 def shard_path(blob_hash: Column, suffix: str = "") -> Column:
     """Two digits as a folder, the rest as the file."""
-    return F.concat(F.substring(blob_hash, 1, 2), F.lit("/"), F.substring(blob_hash, 3, 64), F.lit(suffix))
+    return F.concat(shard(blob_hash), F.lit("/"), F.substring(blob_hash, 3, 64), F.lit(suffix))
 
 
 def human_size(size: Column) -> Column:

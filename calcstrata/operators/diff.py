@@ -30,21 +30,33 @@ def _prepared(parsed: DataFrame) -> DataFrame:
 
 
 def diff_pairs(pairs: DataFrame, types: list[str] | None = None) -> DataFrame:
-    """Differences of file versions.
+    """Differences of file versions; see ``diff_sides``.
 
-    pairs: file, file_type, old_hash, old_text, new_hash, new_text. Gives
-    file, file_type, ord, path, old_value, new_value (JSON text), change_type,
-    significance, parse_error. Equal contents are dropped before parsing, and
-    each content is parsed once. A version that cannot be parsed gives one row
-    with parse_error, so it is reported and not taken for unchanged.
-
-    Both versions' facts meet in one aggregate by (file, path), which is the
-    full outer join of the two sides without reading either twice.
+    pairs: file, file_type, old_hash, old_text, new_hash, new_text. Equal
+    contents are dropped before parsing.
     """
     changed = pairs.where(~F.col("old_hash").eqNullSafe(F.col("new_hash")))
     version = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_hash").alias("blob_hash"), F.col(f"{s}_text").alias("text"))
     sides = changed.select("file", "file_type", F.explode(F.array(version("new"), version("old"))).alias("v")).select("file", "file_type", "v.*").where("blob_hash is not null")
-    parsed = _prepared(registry.facts_of(sides.where("text is not null"), types))
+    return _compared(sides, sides.where("text is not null"), types)
+
+
+def diff_sides(sides: DataFrame, texts: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Differences of the versions of files: sides (file, file_type, side, blob_hash), texts (blob_hash, text).
+
+    Gives file, file_type, ord, path, old_value, new_value (JSON text),
+    change_type, significance, parse_error. Each content is fetched and parsed
+    once, whatever number of files and sides have it. A version that cannot be
+    parsed gives one row with parse_error, so it is reported and not taken for
+    unchanged.
+    """
+    wanted = sides.select("blob_hash", "file_type").distinct()
+    return _compared(sides, wanted.join(texts, "blob_hash"), types)
+
+
+def _compared(sides: DataFrame, files: DataFrame, types: list[str] | None) -> DataFrame:
+    """Both versions' facts meet in one aggregate by (file, path), which is the full outer join of the two sides without reading either twice."""
+    parsed = _prepared(registry.facts_of(files, types))
     known = sides.select("file", "file_type", "side", "blob_hash").join(parsed, ["blob_hash", "file_type"])
     of = lambda s: F.max(F.when(F.col("side") == s, F.struct("value", "num", "kind", "ord"))).alias(s)
     keys = ["file", "file_type"]

@@ -37,12 +37,19 @@ def incar_value(tag: Column, raw: Column) -> Column:
 
 
 def parse_incar(files: DataFrame) -> DataFrame:
-    """One fact a tag; the last of a repeated tag counts. Text without a single tag, comments aside, is an error."""
-    rows = V.computed(files, e=incar_entries(F.col("text")))
-    tags = F.array_sort(F.array_distinct(F.transform("e", lambda x: x["tag"])))
-    last = lambda t: F.element_at(F.filter(F.col("e"), lambda x: x["tag"] == t), -1)["raw"]
-    more = F.transform(tags, lambda t: F.struct(t.alias("path"), incar_value(t, last(t)).alias("v")))
-    return V.long_facts(rows, {}, F.when(incar_unreadable(F.col("text"), F.col("e")), "no tags"), more=more)
+    """One fact a tag; the last of a repeated tag counts. Text without a single tag, comments aside, is an error.
+
+    The entries of a file are sorted by tag and place, so that the last of a
+    tag is the one before another tag; they become rows before their values
+    are typed, which keeps that in generated code.
+    """
+    placed = F.transform(incar_entries(F.col("text")), lambda x, i: F.struct(x["tag"].alias("path"), i.alias("at"), x["raw"].alias("raw")))
+    rows = V.computed(files.select("blob_hash", "text"), e=F.array_sort(placed))
+    last = F.filter("e", lambda x, i: ~F.get("e", i + 1)["path"].eqNullSafe(x["path"]))
+    failed = F.array(F.struct(F.lit(V.ERROR).alias("path"), F.lit(0).alias("at"), F.lit("no tags").alias("raw")))
+    rows = rows.select("blob_hash", F.inline(F.when(incar_unreadable(F.col("text"), F.col("e")), failed).otherwise(last)))
+    typed = F.when(F.col("path") == V.ERROR, V.string(F.col("raw"))).otherwise(incar_value(F.col("path"), F.col("raw")))
+    return V.computed(rows.select("blob_hash", "path", "raw"), v=typed).select("blob_hash", "path", "v.*").where("kind is not null")
 
 
 def _triple(text: Column, kind: str) -> Column:
@@ -57,8 +64,8 @@ def parse_kpoints(files: DataFrame) -> DataFrame:
     line = F.transform(lines_of(F.col("text")), lambda x: F.trim(x))
     rows = V.computed(files, l=line)
     at = lambda i: F.get("l", F.lit(i))
-    rest = F.filter(F.slice("l", 4, 1_000_000), lambda x: x != "")
-    tail = F.filter(F.slice("l", 5, 1_000_000), lambda x: x != "")
+    rest = F.filter(F.slice("l", 4, F.size("l")), lambda x: x != "")
+    tail = F.filter(F.slice("l", 5, F.size("l")), lambda x: x != "")
     rows = V.computed(
         rows,
         comment=at(0),

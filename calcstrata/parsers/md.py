@@ -35,7 +35,7 @@ def parse_script(files: DataFrame) -> DataFrame:
 
     last = lambda n: F.col(f"last_{n}")
     first = lambda n: F.col(f"first_{n}")
-    rest = lambda t: F.array_join(F.slice(t, 2, 1000), " ")
+    rest = lambda t: F.array_join(F.slice(t, 2, F.size(t)), " ")
     minimize = last("minimize")
     masses = F.col("c_mass")
     mass_types = F.array_sort(F.array_distinct(F.transform(masses, lambda t: t[1])))
@@ -71,7 +71,7 @@ def parse_script(files: DataFrame) -> DataFrame:
     rows = V.computed(rows, **found, nvt=fix([*styles("nvt"), "langevin"]), npt=fix(styles("npt", ("/sphere", "/asphere"))), nve=fix(styles("nve", ("/sphere", "/asphere"))))
     nvt, npt, nve = F.col("nvt"), F.col("npt"), F.col("nve")
     numeric = lambda t, i: F.when(F.get(t, F.lit(i)).isNotNull(), V.number_or_text(F.get(t, F.lit(i))))
-    first_int = lambda name: F.try_element_at(F.filter(F.transform(_named(name), lambda t: F.try_element_at(F.filter(F.slice(t, 2, 100), lambda w: S.is_integer(w)), F.lit(1))), lambda w: w.isNotNull()), F.lit(1))
+    first_int = lambda name: F.try_element_at(F.filter(F.transform(_named(name), lambda t: F.try_element_at(F.filter(F.slice(t, 2, F.size(t)), lambda w: S.is_integer(w)), F.lit(1))), lambda w: w.isNotNull()), F.lit(1))
     dump = F.try_element_at(F.filter(F.transform(_named("dump", least=5), lambda t: F.get(t, F.lit(4))), lambda w: S.is_integer(w)), F.lit(1))
     seen = lambda *n: F.array_distinct(F.transform(_named(*n), lambda t: t[1]))
     listed = lambda a: F.when(F.size(a) > 0, V.json(F.to_json(a)))
@@ -116,7 +116,7 @@ def parse_data(files: DataFrame) -> DataFrame:
     """Header of a data file and its masses; coordinates are never looked at beyond finding sections."""
     all_lines = lines_of(F.col("text"))
     title = F.try_element_at(F.filter(F.transform(all_lines, lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(1))
-    body = F.slice(all_lines, 2, 100_000_000)
+    body = F.slice(all_lines, 2, F.size(all_lines))
     name = r"(?i)^\s*(" + "|".join(s.replace(" ", r"\s+") for s in SECTIONS) + r")\s*(?:#.*)?$"
     body = F.transform(body, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     rows = V.computed(files, title=title, b=body)

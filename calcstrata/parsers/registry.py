@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from . import dft, md, qc
 
+FACTS = "blob_hash string, file_type string, path string, kind string, num double, value string"
+
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "INCAR": dft.parse_incar,
     "KPOINTS": dft.parse_kpoints,
@@ -26,11 +29,20 @@ def register(file_type: str, parser: Callable[[DataFrame], DataFrame]) -> None:
     PARSERS[file_type] = parser
 
 
+def type_of(path: Column) -> Column:
+    """The parser of a file by its name; null for none."""
+    return S.type_at_diff(path)
+
+
 def facts_of(files: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Facts (blob_hash, file_type, path, kind, num, value) of files (blob_hash, file_type, text).
 
-    Contents that several files share are parsed once.
+    Contents that several files share are parsed once. Each type's parser
+    reads its own rows, so a caller that knows which types occur should say
+    so: the others are not planned.
     """
+    if types is not None and not types:
+        return files.sparkSession.createDataFrame([], FACTS)
     out = None
     for kind in types or PARSERS:
         own = files.where(F.col("file_type") == kind).select("blob_hash", "text").dropDuplicates(["blob_hash"])

@@ -71,7 +71,7 @@ def significance(file_type: Column, path: Column) -> Column:
         return F.when(high, "critical").when(word.isin(*MAJOR_KEYWORDS), "major").when(word.rlike(BASIS_KEYWORD) | word.rlike(METHOD_KEYWORD), "critical").otherwise("minor")
 
     blocks = [f"block.{b}.{k}" for b, ks in MAJOR_BLOCKS.items() for k in ks]
-    out = F.when(path.startswith("keyword."), keyword(F.substring(path, 9, 1000))).when(path.isin(*blocks), "major")
+    out = F.when(path.startswith("keyword."), keyword(path.substr(F.lit(9), F.length(path)))).when(path.isin(*blocks), "major")
     for kind in CRITICAL:
         own = file_type == kind
         out = out.when(own & path.isin(*CRITICAL[kind]), "critical").when(own & path.isin(*MAJOR[kind]), "major")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import uuid
 import warnings
 from collections.abc import Callable
 from importlib.metadata import entry_points
@@ -55,23 +57,37 @@ class _Builtin(ValidatorPlugin):
         self.description = (v.rules.__doc__ or "built in").strip()
 
 
-def read_settings(path: Path) -> dict:
-    """Settings of plug-ins by name; a missing or corrupt file is no settings."""
+def read_settings(text: str | None) -> dict:
+    """Settings of plug-ins by name; missing or corrupt ones are no settings."""
     try:
-        told = json.loads(path.read_text(encoding="utf-8"))
-    except (OSError, ValueError):
+        told = json.loads(text or "{}")
+    except ValueError:
         return {}
     return told if isinstance(told, dict) else {}
 
 
 class Manager:
-    """Plug-ins and their settings, kept in a JSON file with sorted keys."""
+    """Plug-ins and their settings, kept in a JSON file with sorted keys, which is replaced as a whole.
 
-    def __init__(self, path: str | None = None):
-        self.path = Path(path) if path else None
-        self.settings = read_settings(self.path) if self.path else {}
+    ``path`` is below ``files`` (see ``sources.files``) if that is given, else
+    on the local disk.
+    """
+
+    def __init__(self, path: str | None = None, files_of=None):
+        self.path, self.files = path, files_of
+        self.settings = read_settings(self._stored())
         self.plugins: dict[str, Plugin] = {v.name: _Builtin(v) for v in files.VALIDATORS.values()}
 
+    def _stored(self) -> str | None:
+        if not self.path:
+            return None
+        try:
+            if self.files is not None:
+                return self.files.read(self.path) if self.files.exists(self.path) else None
+            return Path(self.path).read_text(encoding="utf-8")
+        except (OSError, UnicodeDecodeError):
+            return None
+
     def register(self, plugin: Plugin) -> None:
         if not plugin.name:
             raise ValueError("a plug-in needs a name")
@@ -124,8 +140,13 @@ class Manager:
         self.set_config(name, enabled=enabled)
 
     def save(self) -> None:
-        if self.path:
-            self.path.write_text(json.dumps(self.settings, sort_keys=True, indent=2), encoding="utf-8")
+        text = json.dumps(self.settings, sort_keys=True, indent=2)
+        if self.files is not None:
+            self.files.put(self.path, text)
+        elif self.path:
+            new = f"{self.path}-{uuid.uuid4().hex}"
+            Path(new).write_text(text, encoding="utf-8")
+            os.replace(new, self.path)
 
     def run(self, table: DataFrame, isolate: bool = False) -> DataFrame:
         """Results of the enabled validators over files (path, text); see ``files.run_validators``."""

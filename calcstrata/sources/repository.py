@@ -1,20 +1,19 @@
 """A repository of simulation files: stage, commit, history, diff, status, reproduce.
 
-Tables are Parquet folders under the working tree's store; the state (head,
-version of the staging index, validators) is one small JSON file, replaced as
-a whole. Several writers at once are not coordinated.
+Tables are folders of Parquet under the working tree's store, which may lie on
+any file system. What belongs to them is told by versions (see ``manifest``):
+blobs, diffs, outputs, commits, the staging index and the head change together
+or not at all, of two writers that start from one version the second fails,
+and readers keep to the version that they found.
 """
 
 from __future__ import annotations
 
 import getpass
-import json
-import os
 import platform
+import posixpath
 import re
-import shutil
 import sys
-import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -27,111 +26,182 @@ from ..operators import blobs, commits, diff, facts, files, snapshots, staging
 from ..parsers import registry
 from ..plugins import Manager
 from ..schemas import BlobCorruptedError, BlobNotFoundError, RepositoryError, StagingError
-from . import worktree
+from . import tree, worktree
+from .blobstore import BlobStore
+from .files import Files
+from .manifest import Manifest
+
+TABLES = ("blobs", "commits", "diffs", "outputs")
+#: So many folders of a table are merged into one by the next commit.
+MERGED_FROM = 64
+#: Problems that an error message names.
+SHOWN = 20
 
 
 class Repository:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, str(Path(root).resolve())
+        self.spark = spark
+        self.root = root.rstrip("/") if "://" in root else str(Path(root).resolve())
         self.store = f"{self.root}/{worktree.STORE}"
+        self._at = self.store if "://" in self.store else f"file://{self.store}"
+        self._tree = Files(spark, self.root if "://" in self.root else f"file://{self.root}")
+        self._files = Files(spark, self._at)
+        self._versions = Manifest(spark, self._at)
+        self._manager: Manager | None = None
 
     # state and tables
 
     def init(self, force: bool = False) -> Repository:
-        if Path(self.store).exists():
+        if self._files.exists():
             if not force:
                 raise RepositoryError(f"{self.root} is a repository already")
-            shutil.rmtree(self.store)
-        ignore = Path(self.root) / worktree.IGNORE_FILE
-        fresh = not ignore.exists()
+            self._files.delete()
+        fresh = not self._tree.exists(worktree.IGNORE_FILE)
         try:
-            os.makedirs(self.store)
-            self._save({"version": schemas.VERSION, "head": None, "staged": None})
+            self._files.make()
+            self._versions.create({"version": schemas.VERSION, "head": None, "staged": None, "tables": {t: [] for t in TABLES}})
             if fresh:
-                ignore.write_text("# patterns of files that are not added\n__pycache__/\n*.tmp\n", encoding="utf-8")
-        except OSError:  # nothing half made stays
-            shutil.rmtree(self.store, ignore_errors=True)
+                self._tree.put(worktree.IGNORE_FILE, "# patterns of files that are not added\n__pycache__/\n*.tmp\n")
+        except Exception:  # nothing half made stays
+            self._files.delete()
             if fresh:
-                ignore.unlink(missing_ok=True)
+                self._tree.delete(worktree.IGNORE_FILE)
             raise
         return self
 
     def schema_version(self) -> int:
         """Version of the stored layout; 0 if none is recorded."""
+        if not self._versions.latest():
+            return 0
         try:
-            return int(json.loads(Path(self.store, "state.json").read_text(encoding="utf-8")).get("version") or 0)
-        except (OSError, ValueError, AttributeError):
+            return int(self._versions.read()[1].get("version") or 0)
+        except (RepositoryError, ValueError, AttributeError):
             return 0
 
     def manager(self) -> Manager:
-        """Validators with this repository's settings."""
-        return Manager(f"{self.store}/plugins.json")
-
-    def _state(self) -> dict:
-        try:
-            state = json.loads(Path(self.store, "state.json").read_text(encoding="utf-8"))
-        except FileNotFoundError:
-            raise RepositoryError(f"{self.root} is no repository") from None
+        """Plug-ins that installed packages offer, with this repository's settings; what they add to the parsers is in force from here on."""
+        if self._manager is None:
+            self._manager = Manager("plugins.json", self._files)
+            self._manager.discover()
+        return self._manager
+
+    def _read(self) -> tuple[int, dict]:
+        """The newest version and its state."""
+        version = self._versions.latest()
+        if not version:
+            raise RepositoryError(f"{self.root} is no repository")
+        version, state = self._versions.read(version)
         if state.get("version") != schemas.VERSION:
             raise RepositoryError("the store has another version")
-        return state
+        return version, state
 
-    def _save(self, state: dict) -> None:
-        new = Path(self.store, f"state-{uuid.uuid4().hex}")
-        new.write_text(json.dumps(state, sort_keys=True), encoding="utf-8")
-        os.replace(new, Path(self.store, "state.json"))
+    def _state(self) -> dict:
+        return self._read()[1]
 
-    def table(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.store}/{name}"
-        if not os.path.isdir(path):
+    def _load(self, paths: list[str], schema: str) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(*(f"{self._at}/{p}" for p in paths))
+
+    def table(self, name: str, schema: str, state: dict | None = None) -> DataFrame:
+        return self._load([f"{name}/{x}" for x in (state or self._state())["tables"][name]], schema)
+
+    def _appended(self, state: dict, name: str, schema: str, rows: DataFrame) -> list[str]:
+        """The folders of a table with one more, which nobody sees before a version names it; many are merged."""
+        own = state["tables"][name]
+        folder = Manifest.folder()
+        columns = [c.split()[0] for c in re.split(r", (?=\w+ )", schema)]
+        if len(own) >= MERGED_FROM:
+            rows, own = self.table(name, schema, state).unionByName(rows.select(*columns)).coalesce(8), []
+        rows.select(*columns).write.parquet(f"{self._at}/{name}/{folder}")
+        return [*own, folder]
 
-    def blobs(self) -> DataFrame:
-        return self.table("blobs", schemas.BLOBS)
+    def blob_store(self, state: dict | None = None) -> BlobStore:
+        return BlobStore(self.spark, f"{self._at}/blobs", (state or self._state())["tables"]["blobs"])
 
     def commits(self) -> DataFrame:
         return self.table("commits", schemas.COMMITS)
 
-    def staged(self) -> DataFrame:
-        version = self._state()["staged"]
-        return self.table(f"staged/{version}", schemas.STAGED) if version else self.spark.createDataFrame([], schemas.STAGED)
+    def staged(self, state: dict | None = None) -> DataFrame:
+        folder = (state or self._state())["staged"]
+        return self._load([f"staged/{folder}"] if folder else [], schemas.STAGED)
 
-    def _stage(self, df: DataFrame | None) -> None:
-        state = self._state()
-        version = None
+    def _stage(self, version: int, state: dict, df: DataFrame | None) -> None:
+        folder = None
         if df is not None:
-            version = uuid.uuid4().hex
-            df.select("path", "blob_hash", "size_bytes", "mtime", "file_type").write.parquet(f"{self.store}/staged/{version}")
-        self._save(state | {"staged": version})
+            folder = Manifest.folder()
+            df.select("path", "blob_hash", "size_bytes", "mtime", "file_type").write.parquet(f"{self._at}/staged/{folder}")
+        self._versions.publish(version, state | {"staged": folder})
+
+    def vacuum(self) -> list[str]:
+        """Delete what failed and dead writers left; only for times without writers."""
+        gone = self._versions.vacuum(["commits", "diffs", "outputs", "staged"])
+        for name in ("scans", "reports"):
+            self._files.delete(name)
+        named = {e["tx"] for n in self._files.names("versions") if n.endswith(".json") for e in self._versions.read(int(n[:-5]))[1]["tables"]["blobs"]}
+        for n in self._files.names("blobs"):
+            if n.startswith("tx=") and n[3:] not in named:
+                self._files.delete(f"blobs/{n}")
+                gone.append(f"blobs/{n}")
+        return gone
+
+    def compact(self) -> bool:
+        """Merge the folders of the blob store; whether there was something to merge."""
+        version, state = self._read()
+        merged = self.blob_store(state).compacted()
+        if merged is None:
+            return False
+        self._versions.publish(version, state | {"tables": state["tables"] | {"blobs": merged}})
+        return True
 
     # blobs
 
     def read_blob(self, blob_hash: str, verify: bool = True) -> bytes:
-        row = self.blobs().where(F.col("blob_hash") == blob_hash).select("content", (S.sha256_hex(F.col("content")) == blob_hash).alias("ok")).first()
+        found = self.blob_store().find(self._hash(blob_hash))
+        row = found.select("content", (S.sha256_hex(F.col("content")) == blob_hash.lower()).alias("ok")).first()
         if row is None:
             raise BlobNotFoundError(blob_hash)
         if verify and not row["ok"]:
             raise BlobCorruptedError(blob_hash)
         return bytes(row["content"])
 
+    def _hash(self, blob_hash: str) -> DataFrame:
+        return self.spark.createDataFrame([(blob_hash,)], "blob_hash string")
+
     def blob_exists(self, blob_hash: str) -> bool:
-        return bool(re.fullmatch("[0-9a-fA-F]{64}", blob_hash or "")) and not self.blobs().where(F.col("blob_hash") == blob_hash).isEmpty()
+        return not self.blob_store().rows_of(self._hash(blob_hash)).isEmpty()
+
+    def blob_size(self, blob_hash: str) -> dict:
+        """size_bytes, stored_bytes and codec of one blob."""
+        row = self.blob_store().sizes(self._hash(blob_hash)).first()
+        if row is None:
+            raise BlobNotFoundError(blob_hash)
+        return row.asDict()
+
+    def stored_size(self) -> int:
+        """Bytes of all blobs as they are stored."""
+        return self.blob_store().sizes().agg(F.coalesce(F.sum("stored_bytes"), F.lit(0))).first()[0]
 
     # staging
 
     def _inside(self, path: str) -> str:
+        if "://" in self.root:
+            inner = posixpath.normpath(path.removeprefix(self.root).lstrip("/") or ".")
+            if inner.startswith("..") or "://" in path.removeprefix(self.root):
+                raise StagingError(f"{path} is outside of {self.root}")
+            return inner
         full = Path(self.root, path).resolve()
         if full != Path(self.root) and Path(self.root) not in full.parents:
             raise StagingError(f"{path} is outside of {self.root}")
         return full.relative_to(self.root).as_posix()
 
-    def add(self, paths: list[str] | None = None, force: bool = False, dry_run: bool = False, validate: bool = True) -> DataFrame:
+    def add(self, paths: list[str] | None = None, force: bool = False, dry_run: bool = False, validate: bool = True, compress: bool | None = None) -> DataFrame:
         """(path, status, blob_hash, file_type, size_bytes): added, updated or ignored for each file found.
 
         A dry run stages nothing. Validators look at the directories of the
         files; a failed one stops the staging. The tree is read once: blobs,
         index, validators and report all come from the same stored scan.
+        Large blobs are stored in gzip, all with ``compress`` True.
         """
         self._state()
         wanted = [self._inside(p) for p in paths or ["."]]
@@ -141,42 +211,43 @@ class Repository:
             for p in wanted:
                 inside = inside | (F.col("path") == p) | F.col("path").startswith(p + "/")
             found = found.where(inside)
-        return self._add(found, force, dry_run, validate)
-
-    def _add(self, found: DataFrame, force: bool, dry_run: bool, validate: bool) -> DataFrame:
-        scans = f"{self.store}/scans"
-        shutil.rmtree(scans, ignore_errors=True)  # of the call before
-        ignored = None if force else S.ignored(F.col("path"), worktree.patterns(self.root))
-        plan = staging.staging_plan(staging.with_types(blobs.hashed(found)), self.staged(), ignored)
-        at = f"{scans}/{uuid.uuid4().hex}"
+        return self._add(found, force, dry_run, validate, compress)
+
+    def _add(self, found: DataFrame, force: bool, dry_run: bool, validate: bool, compress: bool | None = None) -> DataFrame:
+        version, state = self._read()
+        ignored = None if force else S.ignored(F.col("path"), worktree.patterns(self._tree))
+        index = self.staged(state)
+        plan = staging.staging_plan(staging.with_types(blobs.hashed(found)), index, ignored)
+        at = f"{self._at}/scans/{Manifest.folder()}"
         plan.write.parquet(at)
         rows = self.spark.read.schema(plan.schema).parquet(at)
         if validate:
             texts = rows.where("status <> 'ignored'").select("path", F.col("content").cast("string").alias("text"))
-            bad = self.manager().run(texts, isolate=True).where("not passed").collect()
+            bad = self.manager().run(texts, isolate=True).where("not passed").limit(SHOWN).collect()
             if bad:
                 raise StagingError("; ".join(f"{r['dir'] or '.'}: {r['rule']}: {'; '.join(r['errors'])}" for r in bad))
         report = rows.select("path", "status", "blob_hash", "file_type", "size_bytes")
         if dry_run:
             return report
         taken = rows.where("status <> 'ignored'")
-        blobs.write(blobs.new_blobs(taken.select("blob_hash", "content", "size_bytes"), self.blobs()), f"{self.store}/blobs")
-        self._stage(snapshots.overlay(self.staged(), taken.select("path", "blob_hash", "size_bytes", "mtime", "file_type")))
+        store = self.blob_store(state)
+        store.write(taken.select("blob_hash", "content"), compress)
+        state = state | {"tables": state["tables"] | {"blobs": store.entries}}
+        self._stage(version, state, snapshots.overlay(index, taken.select("path", "blob_hash", "size_bytes", "mtime", "file_type")))
         return report
 
-    def stored_size(self) -> int:
-        """Bytes of all blobs on disk, compressed as they are."""
-        return blobs.stored_size(self.spark, f"{self.store}/blobs") if os.path.isdir(f"{self.store}/blobs") else 0
-
     def remove(self, paths: list[str]) -> dict[str, list[str]]:
         """Take paths out of the index: which were removed, and which were not in it."""
-        known = {r["path"] for r in self.staged().where(F.col("path").isin(paths)).select("path").collect()}
+        version, state = self._read()
+        index, asked = self.staged(state), self.spark.createDataFrame([(p,) for p in paths], "path string")
+        known = {r["path"] for r in index.join(F.broadcast(asked.distinct()), "path", "left_semi").select("path").collect()}  # no more than were given
         if known:
-            self._stage(self.staged().where(~F.col("path").isin(*known)))
+            self._stage(version, state, staging.unstaged(index, asked))
         return {"removed": [p for p in paths if p in known], "not_staged": [p for p in paths if p not in known]}
 
     def clear(self) -> None:
-        self._stage(None)
+        version, state = self._read()
+        self._stage(version, state, None)
 
     # commits
 
@@ -206,12 +277,20 @@ class Repository:
         return commits.snapshot_files(self.commits().where(F.col("commit_hash") == self.resolve(rev))).drop("commit_hash")
 
     def commit(self, message: str, author: str | None = None, all_tracked: bool = False, allow_empty: bool = False, timestamp: str | None = None) -> str:
-        head = self._state()["head"]
-        parent = self.snapshot() if head else None
-        if all_tracked and parent is not None:
-            tracked = worktree.scan(self.spark, self.root).join(parent.select("path"), "path", "left_semi")
+        """Make what is staged a commit, and give its hash.
+
+        Diffs, outputs and the commit itself are written first and become
+        visible by one version together with the new head; a writer that
+        fails before leaves nothing that anyone sees.
+        """
+        self.manager()
+        if all_tracked and self._state()["head"]:
+            tracked = worktree.scan(self.spark, self.root).join(self.snapshot().select("path"), "path", "left_semi")
             self._add(tracked, force=True, dry_run=False, validate=False)
-        staged = self.staged()
+        version, state = self._read()
+        head = state["head"]
+        parent = self.snapshot(head) if head else None
+        staged = self.staged(state)
         if staged.isEmpty() and not allow_empty:
             raise RepositoryError("nothing is staged")
         fresh = staged.select("path", "blob_hash", "file_type", F.lit(False).alias("is_reference"), "size_bytes")
@@ -222,26 +301,26 @@ class Repository:
             F.create_map(F.lit("hostname"), F.lit(platform.node()), F.lit("python"), F.lit(platform.python_version())).alias("environment"),
             F.transform("files", lambda f: F.struct(f["blob_hash"].alias("blob_hash"), f["file_type"].alias("file_type"), f["is_reference"].alias("is_reference"), f["path"].alias("path"), f["size_bytes"].alias("size_bytes"))).alias("files"),
         )
-        names = [c.split()[0] for c in ("commit_hash", "parent_hash", "timestamp", "author", "message", "environment", "files")]
-        row = commits.with_hash(record).select(*names).persist()
+        row = commits.with_hash(record).persist()
         try:
             name = row.first()["commit_hash"]
-            if not self.commits().where(F.col("commit_hash") == name).isEmpty():
+            if not self.table("commits", schemas.COMMITS, state).where(F.col("commit_hash") == name).isEmpty():
                 raise RepositoryError(f"{name} exists already")
+            tables = dict(state["tables"])
             if parent is not None and not staged.isEmpty():
-                changes = self._semantic(fresh, parent).select(F.lit(name).alias("commit_hash"), "*")
-                changes.write.mode("append").parquet(f"{self.store}/diffs")
-            self._outputs(name, fresh).write.mode("append").parquet(f"{self.store}/outputs")
-            row.write.mode("append").parquet(f"{self.store}/commits")
+                changes = self._semantic(fresh, parent, state=state).select(F.lit(name).alias("commit_hash"), "*")
+                tables["diffs"] = self._appended(state, "diffs", schemas.DIFFS, changes)
+            tables["outputs"] = self._appended(state, "outputs", schemas.OUTPUT, self._outputs(name, fresh, state))
+            tables["commits"] = self._appended(state, "commits", schemas.COMMITS, row)
         finally:
             row.unpersist()
-        self._save(self._state() | {"head": name, "staged": None})
+        self._versions.publish(version, state | {"head": name, "staged": None, "tables": tables})
         return name
 
-    def _outputs(self, name: str, fresh: DataFrame) -> DataFrame:
+    def _outputs(self, name: str, fresh: DataFrame, state: dict) -> DataFrame:
         """One row of what the outputs of a commit say; none without outputs."""
         typed = fresh.select("path", "blob_hash", S.type_at_diff(F.col("path")).alias("file_type")).where(F.col("file_type").isin(*commits.OUTPUTS))
-        texts = typed.join(self.blobs().select("blob_hash", F.col("content").cast("string").alias("text")), "blob_hash")
+        texts = typed.join(self._texts(typed.select("blob_hash"), state), "blob_hash")
         return commits.output_summary(registry.facts_of(texts, list(commits.OUTPUTS)), typed.select(F.lit(name).alias("commit_hash"), "blob_hash", "file_type"))
 
     def outputs(self) -> DataFrame:
@@ -266,15 +345,25 @@ class Repository:
 
     # diff, status, reproduce
 
-    def _texts(self, side: DataFrame, name: str, contents: DataFrame) -> DataFrame:
-        return side.join(contents.select(F.col("blob_hash").alias(f"{name}_hash"), F.col("content").cast("string").alias(f"{name}_text")).dropDuplicates([f"{name}_hash"]), f"{name}_hash", "left")
+    def _texts(self, hashes: DataFrame, state: dict | None = None, extra: DataFrame | None = None) -> DataFrame:
+        """(blob_hash, text) of these hashes, from the parts of the store that can hold them, and from ``extra`` (blob_hash, content)."""
+        found = self.blob_store(state).find(hashes).select("blob_hash", F.col("content").cast("string").alias("text"))
+        if extra is None:
+            return found
+        own = extra.join(hashes.select("blob_hash").distinct(), "blob_hash", "left_semi").select("blob_hash", F.col("content").cast("string").alias("text"))
+        return found.unionByName(own).dropDuplicates(["blob_hash"])
 
-    def _semantic(self, new: DataFrame, old: DataFrame, extra: DataFrame | None = None, how: str = "inner") -> DataFrame:
-        """Entries for files that both snapshots have (or one, with a full outer join); equal contents never reach a parser."""
+    def _changed_pairs(self, new: DataFrame, old: DataFrame, how: str) -> DataFrame:
         pairs = new.select(F.col("path").alias("file"), F.col("blob_hash").alias("new_hash")).join(old.select(F.col("path").alias("file"), F.col("blob_hash").alias("old_hash")), "file", how)
-        pairs = pairs.where("not new_hash <=> old_hash").withColumn("file_type", S.type_at_diff(F.col("file"))).where(S.can_parse(F.col("file_type")))
-        store = self.blobs() if extra is None else self.blobs().select("blob_hash", "content").unionByName(extra.select("blob_hash", "content"))
-        return diff.diff_pairs(self._texts(self._texts(pairs, "new", store), "old", store))
+        return pairs.where("not new_hash <=> old_hash")
+
+    def _semantic(self, new: DataFrame, old: DataFrame, extra: DataFrame | None = None, how: str = "inner", state: dict | None = None) -> DataFrame:
+        """Entries for files that both snapshots have (or one, with a full outer join); equal contents are neither fetched nor parsed."""
+        pairs = self._changed_pairs(new, old, how).withColumn("file_type", registry.type_of(F.col("file"))).where(F.col("file_type").isin(*registry.PARSERS))
+        types = [r["file_type"] for r in pairs.select("file_type").distinct().collect()]  # at most one for each parser
+        version = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_hash").alias("blob_hash"))
+        sides = pairs.select("file", "file_type", F.inline(F.array(version("new"), version("old")))).where("blob_hash is not null")
+        return diff.diff_sides(sides, self._texts(sides.select("blob_hash"), state, extra), types)
 
     def _sides(self, rev1: str | None, rev2: str | None, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         """New and old snapshot; without a second revision the new one is the working tree, as far as it is tracked or ``path``."""
@@ -304,9 +393,12 @@ class Repository:
         new, old, disk = self._sides(rev1, rev2, path)
         if path is not None:
             new, old = new.where(F.col("path") == path), old.where(F.col("path") == path)
-        pairs = new.select(F.col("path").alias("file"), F.col("blob_hash").alias("new_hash")).join(old.select(F.col("path").alias("file"), F.col("blob_hash").alias("old_hash")), "file", "full_outer").where("not new_hash <=> old_hash")
-        store = self.blobs() if disk is None else self.blobs().select("blob_hash", "content").unionByName(disk.select("blob_hash", "content"))
-        return diff.unified(self._texts(self._texts(pairs, "new", store), "old", store), context)
+        pairs = self._changed_pairs(new, old, "full_outer")
+        hashes = pairs.select(F.explode(F.array("new_hash", "old_hash")).alias("blob_hash")).where("blob_hash is not null")
+        texts = self._texts(hashes, None, disk)
+        for side in ("new", "old"):
+            pairs = pairs.join(texts.select(F.col("blob_hash").alias(f"{side}_hash"), F.col("text").alias(f"{side}_text")), f"{side}_hash", "left")
+        return diff.unified(pairs, context)
 
     def changed_files(self, rev1: str | None = None, rev2: str | None = None) -> DataFrame:
         """(path, change): added, deleted or modified; modified files without a semantic entry are marked cosmetic."""
@@ -321,33 +413,23 @@ class Repository:
         return snapshots.marked(staged, old).orderBy("path")
 
     def reproduce(self, rev: str, output: str, verify: bool = True) -> DataFrame:
-        """Write a snapshot's files and compare what was written: (path, status) ok, mismatch or missing.
+        """Write a snapshot's files to a folder on any file system, and compare what was written.
 
-        Without ``verify`` the hashes are not read again, and a file is written
-        or missing. Tasks write to ``output``, so on a cluster it must be a
-        folder that all machines share.
+        (path, status, error): ok, mismatch, missing (no such blob) or failed
+        (with the reason) for each file. Without ``verify`` the files are not
+        read again, and one that could be written is ``written``.
         """
         wanted = self.snapshot(rev)
-        target = str(Path(output).resolve())
-        os.makedirs(target, exist_ok=True)
-
-        def write(rows) -> None:
-            for r in rows:
-                place = Path(target, r["path"])
-                if Path(target) not in place.resolve().parents or r["content"] is None:
-                    continue
-                try:
-                    place.parent.mkdir(parents=True, exist_ok=True)
-                    place.write_bytes(r["content"])
-                except OSError:
-                    continue  # the comparison below reports it
-
-        wanted.join(self.blobs().select("blob_hash", "content"), "blob_hash", "left").select("path", "content").foreachPartition(write)
+        found = self.blob_store().find(wanted.select("blob_hash"))
+        rows = wanted.select("path", "blob_hash").join(found, "blob_hash", "left").select("path", "content")
+        report = f"{self.store}/reports/{Manifest.folder()}"
+        written = tree.write(rows, output, report).dropDuplicates(["path"])
         if not verify:
-            there = worktree.scan(self.spark, target, contents=False).select("path", F.lit("written").alias("_there"))
-            return wanted.select("path").join(there, "path", "left").select("path", F.coalesce("_there", F.lit("missing")).alias("status"))
-        found = blobs.hashed(worktree.scan(self.spark, target)).select("path", F.col("blob_hash").alias("actual_hash"))
-        return blobs.audit(wanted.select("path", "blob_hash"), found).select("path", "status")
+            return written
+        actual = blobs.hashed(tree.read(self.spark, output)).select("path", F.col("blob_hash").alias("actual_hash"))
+        told = blobs.audit(wanted.select("path", "blob_hash"), actual).select("path", F.col("status").alias("found"))
+        status = F.when(F.col("status") == "written", F.col("found")).otherwise(F.coalesce("status", F.lit("missing")))
+        return told.join(written, "path", "left").select("path", status.alias("status"), "error")
 
     def environment(self, rev: str) -> DataFrame:
         row = self.commits().where(F.col("commit_hash") == self.resolve(rev))

@@ -1,76 +1,27 @@
-"""Files of a directory as rows."""
+"""Files of a working tree as rows."""
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-from datetime import datetime, timezone
-from pathlib import Path
-
-import pandas as pd
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import tree
+from .files import Files
 
 #: Fixed value: the folder of the store inside a working tree.
 STORE = ".calcstrata"
 IGNORE_FILE = ".calcstrataignore"
 
 
-def scan(spark: SparkSession, root: str, contents: bool = True, glob: str | None = None) -> DataFrame:
-    """path (relative), mtime, size_bytes[, content] of all files under ``root`` but the store's own.
-
-    Spark's listing leaves out names that start with ``.`` or ``_``; in a
-    directory of this machine they are listed here and read by tasks.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    base = str(root).rstrip("/")
-    df = reader.load(base)
-    prefix = base if "://" in base else str(Path(base).resolve())
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + _quoted(prefix) + "/", "")
-    out = df.select(F.url_decode(F.regexp_replace(path, r"\+", "%2B")).alias("path"), S.utc_text(F.col("modificationTime")).alias("mtime"), F.col("length").alias("size_bytes"), *([F.col("content")] if contents else []))
-    out = out.where(~F.col("path").startswith(STORE + "/"))
-    names = [] if glob or "://" in base else hidden(base)
-    return out.unionByName(_read_files(spark, base, names, contents)) if names else out
-
-
-def hidden(root: str) -> list[str]:
-    """Paths of files with a ``.`` or ``_`` at the start of a name, their own or a folder's, but for the store and the ignore file."""
-    out = []
-    for folder, inner, names in os.walk(root):
-        at = Path(folder).relative_to(root)
-        inner[:] = [x for x in inner if (at / x).as_posix() != STORE]
-        own = [(at / x).as_posix() for x in names if (Path(folder) / x).is_file()]
-        out += [x for x in own if x != IGNORE_FILE and any(p[0] in "._" for p in x.split("/"))]
-    return out
-
-
-def _read_files(spark: SparkSession, root: str, names: list[str], contents: bool) -> DataFrame:
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name in batch["path"]:
-                place = Path(root, name)
-                told = place.stat()
-                when = datetime.fromtimestamp(told.st_mtime, timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
-                rows.append((name, when, told.st_size, *([place.read_bytes()] if contents else [])))
-            yield pd.DataFrame(rows, columns=["path", "mtime", "size_bytes", *(["content"] if contents else [])])
-
-    schema = "path string, mtime string, size_bytes long" + (", content binary" if contents else "")
-    return spark.createDataFrame([(n,) for n in names], "path string").mapInPandas(read, schema)
-
-
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if not c.isalnum() and c != "/" else c for c in text)
+def scan(spark: SparkSession, root: str, contents: bool = True) -> DataFrame:
+    """path (relative), mtime, size_bytes[, content] of all files under ``root``, hidden ones too, but the store's own and the ignore file."""
+    return tree.read(spark, root, contents, skip=[STORE]).where(F.col("path") != IGNORE_FILE)
 
 
-def patterns(root: str) -> list[str]:
+def patterns(files: Files) -> list[str]:
     """Patterns of the ignore file; none if it is missing or unreadable."""
     try:
-        return S.ignore_patterns((Path(root) / IGNORE_FILE).read_text(encoding="utf-8"))
-    except (OSError, UnicodeDecodeError):
+        return S.ignore_patterns(files.read(IGNORE_FILE) if files.exists(IGNORE_FILE) else "")
+    except UnicodeDecodeError:
         return []

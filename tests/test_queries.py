@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from calcstrata.plans import catalog
@@ -21,7 +22,8 @@ def con():
 
 
 def rows(df, columns):
-    return sorted(tuple(str(None if v is None or v != v else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
+    absent = lambda v: pd.api.types.is_scalar(v) and pd.isna(v)
+    return sorted(tuple(str(None if absent(v) else v) for v in r) for r in df[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
