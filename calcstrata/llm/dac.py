@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts, small, stored
+from .common import parts, small, stored, then_give_back
 from .tokens import word_cache
 
 MAGIC = b"DACT0002"
@@ -119,13 +119,14 @@ class DacFile:
         return out
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int = 4_000_000) -> DataFrame:
+def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int = 4_000_000, cache_words: int = 400_000) -> DataFrame:
     """Files (shard, part, n_tokens, n_docs, file) of all documents, in ascending doc_id order over shard and part.
 
     A document's ids are followed by ``end_id``. Null texts count as empty,
     repeated rows are kept and lie side by side, rows without doc_id come
     first and are marked absent in the file; other columns are ignored; an
-    empty table gives no file.
+    empty table gives no file. ``cache_words`` bounds the words that a worker
+    remembers, at about 250 bytes each, and changes no result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -134,7 +135,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
         from pyspark import TaskContext
 
         shard, part = TaskContext.get().partitionId(), 0
-        cache = word_cache(tokenizer)
+        cache = word_cache(tokenizer, cache_words)
         end = np.array([end_id], dtype=cache.dtype).tobytes()
         size = cache.dtype.itemsize
         doc_ids, lengths, held, total = [], [], [], 0
@@ -162,7 +163,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
         if doc_ids:
             yield file()
 
-    return stored(spark, rows.mapInArrow(write, "shard int, part int, n_tokens long, n_docs long, file binary"), "token-files")
+    return stored(spark, rows.mapInArrow(then_give_back(write), "shard int, part int, n_tokens long, n_docs long, file binary"), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
