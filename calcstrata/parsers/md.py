@@ -167,56 +167,89 @@ _HEADER = r"^\s*Step(\s+[\w./]+)+\s*$"
 _STATE = "struct<head:array<string>,step:double,row:array<string>,names:array<string>,run:double>"
 
 
+def _state(head: Column, step: Column, row: Column, names: Column, run: Column) -> Column:
+    return F.struct(head.alias("head"), step.alias("step"), row.alias("row"), names.alias("names"), run.alias("run")).cast(_STATE)
+
+
+def empty_state() -> Column:
+    none = F.lit(None).cast("array<string>")
+    return _state(none, F.lit(None).cast("double"), none, none, F.lit(0.0))
+
+
+def all_numbers(cells: Column) -> Column:
+    return F.forall(cells, lambda c: S.as_number(c).isNotNull())
+
+
+def step_of(cells: Column, head: Column) -> Column:
+    return S.as_number(F.get(cells, F.array_position(head, "Step").cast("int") - 1))
+
+
+def next_state(state: Column, x: Column) -> Column:
+    """The state after a line: a block starts at a header and ends at the first line that is neither blank nor a row of the header's width."""
+    cells, none = x["cells"], F.lit(None)
+    fits = state["head"].isNotNull() & (F.size(cells) == F.size(state["head"])) & all_numbers(cells)
+    step = step_of(cells, state["head"])
+    return (
+        F.when(x["head"].isNotNull(), _state(x["head"], none, state["row"], state["names"], state["run"]))
+        .when(x["blank"], state)
+        .when(fits, _state(state["head"], step, cells, state["head"], state["run"] + F.coalesce(step - state["step"], F.lit(0.0))))
+        .otherwise(_state(none, none, state["row"], state["names"], state["run"]))
+    )
+
+
 def thermo_state(rows: Column) -> Column:
     """Fold of a log's lines (struct<head,cells,blank>): the last row with its names, and the steps run.
 
-    A block starts at a header and ends at the first line that is neither
-    blank nor a row of the header's width. Steps run are summed row by row,
-    which equals last minus first of each block.
+    Steps run are summed row by row, which equals last minus first of each
+    block.
     """
-    empty = F.lit(None).cast("array<string>")
-    start = F.struct(empty.alias("head"), F.lit(None).cast("double").alias("step"), empty.alias("row"), empty.alias("names"), F.lit(0.0).alias("run")).cast(_STATE)
+    return F.aggregate(rows, empty_state(), next_state)
+
+
+def yaml_line(x: Column) -> Column:
+    """A line as part of a YAML table."""
+    inner = F.split(F.regexp_replace(F.regexp_extract(x, r"\[(.*?),?\s*\]", 1), "['\" ]", ""), ",")
+    return F.struct(F.when(x.rlike(r"^\s*keywords:\s*\["), inner).alias("head"), F.when(x.rlike(r"^\s*-\s*\["), inner).otherwise(F.array(F.lit("x"))).alias("cells"), F.trim(x).isin("", "data:").alias("blank"))
+
+
+def column_line(x: Column) -> Column:
+    """A line as part of a table of columns."""
+    return F.struct(F.when(x.rlike(_HEADER), S.words(x)).otherwise(F.lit(None).cast("array<string>")).alias("head"), S.words(x).alias("cells"), (F.trim(x) == "").alias("blank"))
 
-    def move(state: Column, x: Column) -> Column:
-        cells = x["cells"]
-        fits = state["head"].isNotNull() & (F.size(cells) == F.size(state["head"])) & F.forall(cells, lambda c: S.as_number(c).isNotNull())
-        step = S.as_number(F.get(cells, F.array_position(state["head"], "Step").cast("int") - 1))
-        put = lambda head, step, row, names, run: F.struct(head.alias("head"), step.alias("step"), row.alias("row"), names.alias("names"), run.alias("run")).cast(_STATE)
-        none = F.lit(None)
-        return (
-            F.when(x["head"].isNotNull(), put(x["head"], none, state["row"], state["names"], state["run"]))
-            .when(x["blank"], state)
-            .when(fits, put(state["head"], step, cells, state["head"], state["run"] + F.coalesce(step - state["step"], F.lit(0.0))))
-            .otherwise(put(none, none, state["row"], state["names"], state["run"]))
-        )
 
-    return F.aggregate(rows, start, move)
+#: What is looked for where there is no table, the last match of each; and the first match of the rest.
+LAST_VALUES = {"last_etotal": r"(?:TotEng|E_total)\s+([-+]?\d+\.\d+)", "last_temp": r"Temp\s+([\d.]+)"}
+FIRST_VALUES = {"first_atoms": r"(?m)(\d+)\s+atoms$", "first_wall": r"Total wall time:\s*(\S+)"}
+
+
+def single_values(text: Column) -> dict[str, Column]:
+    return {k: S.last_match(text, p) for k, p in LAST_VALUES.items()} | {k: S.first_match(text, p) for k, p in FIRST_VALUES.items()}
 
 
 def parse_log(files: DataFrame) -> DataFrame:
     """The end of a run from its log: YAML tables, else column tables, else single values; broken logs give what they have."""
     text = F.coalesce("text", F.lit(""))
     lines = lines_of(text)
-    inner = lambda x: F.split(F.regexp_replace(F.regexp_extract(x, r"\[(.*?),?\s*\]", 1), "['\" ]", ""), ",")
-    none = F.lit(None).cast("array<string>")
-    yaml_line = lambda x: F.struct(F.when(x.rlike(r"^\s*keywords:\s*\["), inner(x)).alias("head"), F.when(x.rlike(r"^\s*-\s*\["), inner(x)).otherwise(F.array(F.lit("x"))).alias("cells"), (F.trim(x).isin("", "data:")).alias("blank"))
-    column_line = lambda x: F.struct(F.when(x.rlike(_HEADER), S.words(x)).otherwise(none).alias("head"), S.words(x).alias("cells"), (F.trim(x) == "").alias("blank"))
-    rows = V.computed(files.select("blob_hash", text.alias("text")), y=thermo_state(F.transform(lines, yaml_line)), c=thermo_state(F.transform(lines, column_line)))
+    rows = V.computed(files.select("blob_hash", text.alias("text")), y=thermo_state(F.transform(lines, yaml_line)), c=thermo_state(F.transform(lines, column_line)), **single_values(text))
+    return log_facts(rows)
+
+
+def log_facts(rows: DataFrame) -> DataFrame:
+    """Facts of logs (blob_hash, states y of the YAML and c of the column tables, single values)."""
     rows = V.computed(rows, t=F.when(F.col("y.row").isNotNull(), F.col("y")).when(F.col("c.row").isNotNull(), F.col("c")))
 
     def column(name: str) -> Column:
         at = F.array_position("t.names", name).cast("int")
         return S.as_number(F.when(at > 0, F.get(F.col("t.row"), at - 1)))
 
-    no_table = F.col("t").isNull()
-    wall = S.first_match(F.col("text"), r"Total wall time:\s*(\S+)")
+    no_table, wall = F.col("t").isNull(), F.col("first_wall")
     fields = {fact: V.integer(column(name).cast("bigint").cast("string")) if fact == "final_step" else V.real(column(name)) for name, fact in THERMO.items()}
     fields["final_pe"] = V.real(F.coalesce(column("PotEng"), column("E_pair")))
-    fields["final_etotal"] = F.coalesce(fields["final_etotal"], F.when(no_table, V.real(S.as_number(S.last_match(F.col("text"), r"(?:TotEng|E_total)\s+([-+]?\d+\.\d+)")))))
-    fields["final_temp"] = F.coalesce(fields["final_temp"], F.when(no_table, V.real(S.as_number(S.last_match(F.col("text"), r"Temp\s+([\d.]+)")))))
+    fields["final_etotal"] = F.coalesce(fields["final_etotal"], F.when(no_table, V.real(S.as_number(F.col("last_etotal")))))
+    fields["final_temp"] = F.coalesce(fields["final_temp"], F.when(no_table, V.real(S.as_number(F.col("last_temp")))))
     fields |= {
         "run_steps": F.when(F.col("t.run") > 0, V.integer(F.col("t.run").cast("bigint").cast("string"))),
-        "num_atoms": V.integer(S.first_match(F.col("text"), r"(?m)(\d+)\s+atoms$")),
+        "num_atoms": V.integer(F.col("first_atoms")),
         "wall_time": V.string(wall),
         "completed": V.truth(wall.isNotNull()),
         "thermo_keywords": F.when(F.col("t.names").isNotNull(), V.json(F.to_json("t.names"))),
