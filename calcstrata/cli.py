@@ -106,7 +106,9 @@ def run(argv: list[str], spark=None) -> str:
         return "\n".join(f"{k}: {v}" for k, v in (own[0] | {"settings": repo.manager().config(a.name)}).items())
     if a.action in ("enable", "disable"):
         repo.set_validator(a.name, a.action == "enable")
-    return "\n".join(f"{v['priority']:3} {v['name']} {'on' if v['enabled'] else 'off'}" for v in repo.validators() if a.name in (None, v["name"]))
+    out = [f"{v['priority']:3} {v['name']} {'on' if v['enabled'] else 'off'}" for v in repo.validators() if a.name in (None, v["name"])]
+    out += [f"  - {p['name']} parser" for p in repo.manager().parsers() if a.name in (None, p["name"])]
+    return "\n".join(out)
 
 
 def main() -> int:

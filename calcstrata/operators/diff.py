@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
 from ..parsers import registry, rules
 from ..parsers.values import ERROR, quoted
 from . import facts
@@ -93,7 +92,7 @@ def _compared(sides: DataFrame, files: DataFrame, types: list[str] | None) -> Da
 def mark_cosmetic(changed: DataFrame, entries: DataFrame) -> DataFrame:
     """(path, change) where modified files of a parsed type without an entry are cosmetic."""
     told = entries.select(F.col("file").alias("path")).distinct().withColumn("_told", F.lit(True))
-    cosmetic = (F.col("change") == "modified") & F.col("_told").isNull() & S.can_parse(S.type_at_diff(F.col("path")))
+    cosmetic = (F.col("change") == "modified") & F.col("_told").isNull() & registry.can_parse(F.col("path"))
     return changed.join(told, "path", "left").select("path", F.when(cosmetic, "cosmetic").otherwise(F.col("change")).alias("change"))
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,10 @@ from ..parsers.values import ERROR
 from .validate import Rule, apply_rules
 
 
+#: Rules of further types: functions of a look-up (name -> struct<kind,num,value>) that give rules, by type.
+TYPE_RULES: dict[str, Callable[[Callable[[str], Column]], list[Rule]]] = {}
+
+
 def _fact_rules() -> list[Rule]:
     def fact(name: str) -> Column:
         return F.try_element_at("f", F.lit(name))
@@ -48,6 +53,8 @@ def _fact_rules() -> list[Rule]:
     ]
     for side in ("lx", "ly", "lz"):
         rules.append(Rule(f"V8{side}", "error", of("LAMMPS_DATA", num(side) <= 0), f"{side} must be positive"))
+    for kind, own in TYPE_RULES.items():
+        rules += [Rule(r.name, r.level, of(kind, r.broken), r.message) for r in own(fact)]
     parse, *rest = rules
     return [parse, *(Rule(r.name, r.level, r.broken & absent(ERROR), r.message) for r in rest)]
 
@@ -73,7 +80,9 @@ class Validator:
     priority: int
     enabled: bool
     applies: Callable[[], Column]
-    rules: Callable[[], list[Rule]]
+    rules: Callable[[], list[Rule]] | None = None
+    #: Instead of rules: from the texts of a directory by name to its errors and warnings, called in the tasks.
+    check: Callable[[dict[str, str | None]], tuple[list[str], list[str]]] | None = None
 
 
 def _content(text: Column) -> Column:
@@ -206,37 +215,104 @@ def directories(files: DataFrame) -> DataFrame:
     return wide.join(bad, "dir", "left").withColumn("bad_inputs", F.coalesce("bad_inputs", F.lit("")))
 
 
+NAMED = ("POSCAR", "POTCAR", "INCAR", "KPOINTS")
+
+
+def _checked(wide: DataFrame, check: Callable) -> DataFrame:
+    """passed, errors and warnings by a Python check of each directory; one that raises is an error of its directory alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                try:
+                    errors, warnings = check({n: row[n] for n in NAMED})
+                    out.append((row["dir"], [str(e) for e in errors], [str(w) for w in warnings], None))
+                except Exception as e:  # whatever a check of someone else raises
+                    out.append((row["dir"], [f"{type(e).__name__}: {e}"], [], f"{type(e).__name__}: {e}"))
+            if out:
+                kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["dir", "errors", "warnings", "crash"])
+
+    rows = wide.select("dir", *NAMED).mapInArrow(run, "dir string, errors array<string>, warnings array<string>, crash string")
+    return rows.withColumn("passed", F.size("errors") == 0)
+
+
 def judged(wide: DataFrame, validator: Validator) -> DataFrame:
     """Results of one validator in the directories to which it applies."""
-    told = apply_rules(wide.where(validator.applies()), validator.rules())
-    message = F.when(F.col("passed"), "ok").otherwise(F.concat(F.size("errors").cast("string"), F.lit(" problem(s)")))
+    own = wide.where(validator.applies())
+    told = _checked(own, validator.check) if validator.check else apply_rules(own, validator.rules()).withColumn("crash", F.lit(None).cast("string"))
+    message = F.when(F.col("crash").isNotNull(), F.concat(F.lit("the validator failed: "), "crash")).when(F.col("passed"), "ok").otherwise(F.concat(F.size("errors").cast("string"), F.lit(" problem(s)")))
     return told.select("dir", F.lit(validator.name).alias("rule"), F.lit(validator.priority).alias("priority"), "passed", message.alias("message"), "errors", "warnings")
 
 
 def crashed(wide: DataFrame, validator: Validator, problem: Exception) -> DataFrame:
     """A failed result of each directory for a validator that cannot run."""
-    text = (str(problem).splitlines() or [""])[0]
+    text = next((x.strip() for x in str(problem).splitlines() if x.strip()), type(problem).__name__)
     return wide.select("dir", F.lit(validator.name).alias("rule"), F.lit(validator.priority).alias("priority"), F.lit(False).alias("passed"), F.lit(f"the validator failed: {text}").alias("message"), F.array(F.lit(text)).alias("errors"), F.array().cast("array<string>").alias("warnings"))
 
 
+def _runs(df: DataFrame) -> Exception | None:
+    """Whether a plan comes to its end: the exception if not."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except Exception as e:  # whatever a rule set of someone else raises
+        return e
+    return None
+
+
+#: Parts into which directories are divided in search of those whose rules raise.
+PARTS = 8
+
+
+def held_apart(wide: DataFrame, validator: Validator, depth: int = 0) -> DataFrame:
+    """Results of a validator whose rules may raise at run time: failed in the directories in which they do, and as usual in all others.
+
+    The directories are divided by a hash until a part runs or is a single
+    one, which takes some ``PARTS`` jobs for each level and directory that
+    raises. A Python check needs none of this: it is held apart row by row.
+    """
+    try:
+        told = judged(wide, validator)
+    except Exception as e:
+        return crashed(wide, validator, e)
+    problem = _runs(told)
+    if problem is None:
+        return told
+    if wide.limit(2).count() < 2 or depth > 21:  # 64 bits of hash are used up
+        return crashed(wide, validator, problem)
+    out = None
+    for i in range(PARTS):
+        own = held_apart(wide.where(F.pmod(F.shiftright(F.xxhash64("dir"), 3 * depth), F.lit(PARTS)) == i), validator, depth + 1)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def run_validators(files: DataFrame, config: dict[str, bool] | None = None, isolate: bool = False, chosen: list[Validator] | None = None) -> DataFrame:
     """(dir, rule, priority, passed, message, errors, warnings) for each directory of files (path, text) and validator that applies.
 
     One pass brings the named files of a directory into one row; a validator
     is a projection of that row. One whose rules cannot be planned is a failed
-    result of every directory, and the others still run. With ``isolate`` each
-    validator runs by itself at once, so that an error at run time is held in
-    the same way; its few result columns are kept.
+    result of every directory, and the others still run. With ``isolate`` the
+    plan is run once before it is given back; if it fails, each validator is
+    run by itself, and one that raises fails only in the directories in which
+    it does (see ``held_apart``). Nothing is kept in memory.
     """
     wide = directories(files)
-    out = None
-    for v in enabled_validators(config) if chosen is None else chosen:
+    validators = enabled_validators(config) if chosen is None else chosen
+    each = []
+    for v in validators:
         try:
-            told = judged(wide, v)
-            if isolate:
-                told = told.persist()
-                told.count()
+            each.append(judged(wide, v))
         except Exception as e:  # whatever a rule set of someone else raises
-            told = crashed(wide, v, e)
-        out = told if out is None else out.unionByName(told)
-    return files.sparkSession.createDataFrame([], _RESULT) if out is None else out
+            each.append(crashed(wide, v, e))
+    if isolate and each and _runs(_united(each)) is not None:
+        each = [held_apart(wide, v) for v in validators]
+    return _united(each) if each else files.sparkSession.createDataFrame([], _RESULT)
+
+
+def _united(each: list[DataFrame]) -> DataFrame:
+    out = each[0]
+    for df in each[1:]:
+        out = out.unionByName(df)
+    return out

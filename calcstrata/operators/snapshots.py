@@ -63,6 +63,70 @@ def by_prefix(commits: DataFrame, prefix: str, key: str = "commit_hash") -> Data
     return commits.where(F.col(key).startswith(prefix.lower()))
 
 
+#: Narrow sides of at most so many rows are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def resolve_prefixes(asked: DataFrame, commits: DataFrame, column: str = "prefix", key: str = "commit_hash") -> DataFrame:
+    """(prefix, status, commit_hash) of a table of prefixes: ok with the one commit, ambiguous, unknown or malformed.
+
+    Every hash is cut to the lengths that are asked for, which makes it an
+    equi-join with map-side sums, whatever the number of prefixes and however
+    many commits a short one has. Null and repeated prefixes: null is
+    malformed, repeated ones give one row. A hash that several rows have is
+    one commit.
+    """
+    prefixes = asked.select(F.col(column).cast("string").alias("prefix")).distinct()
+    good = prefixes.where(F.col("prefix").rlike("^[0-9a-fA-F]{1,64}$")).select("prefix", F.lower("prefix").alias("_p"))
+    told = good.groupBy(F.length("_p").alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()  # at most 64 rows
+    if not told:
+        return prefixes.select("prefix", F.lit("malformed").alias("status"), F.lit(None).cast("string").alias("commit_hash"))
+    cuts = F.array(*(F.substring(F.col(key), 1, r["n"]) for r in sorted(told, key=lambda r: r["n"])))
+    each = commits.where(F.col(key).isNotNull()).select(F.col(key).alias("_h"), F.explode(F.array_distinct(cuts)).alias("_p"))
+    wanted = good.select("_p").distinct()
+    few = sum(r["rows"] for r in told) <= BROADCAST_ROWS
+    each = each.join(F.broadcast(wanted) if few else wanted, "_p", "left_semi")
+    found = each.groupBy("_p").agg(F.min("_h").alias("least"), F.max("_h").alias("most"))
+    status = F.when(F.col("_p").isNull(), "malformed").when(F.col("least").isNull(), "unknown").when(F.col("least") == F.col("most"), "ok").otherwise("ambiguous")
+    out = prefixes.join(good, "prefix", "left").join(found, "_p", "left")
+    return out.select("prefix", status.alias("status"), F.when(status == "ok", F.col("least")).alias("commit_hash"))
+
+
+def write_index(commits: DataFrame, path: str, key: str = "commit_hash") -> None:
+    """Commits sorted by hash over files with separate ranges, so that a prefix reads the few row groups that can hold it."""
+    n = max(1, int(commits.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    commits.repartitionByRange(n, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+
+
+def segments(changes: DataFrame, commits: DataFrame, chain: str, order: str, path: str, every: int = 64) -> DataFrame:
+    """What each file of each chain was, from when until when: the changes, and a full snapshot every ``every`` commits.
+
+    changes: chain, order, path and any other columns; commits: chain, order
+    (places from 0 on) of all commits. Gives chain, segment, path, the other
+    columns, since and until (excluded). A file that stays the same has one
+    row in each segment, which makes the segment's first state a full
+    snapshot, so any commit is restored from its own segment alone. Of several
+    changes of a file in one commit the last by the other columns counts.
+    """
+    rest = [c for c in changes.columns if c not in (chain, order, path)]
+    once = changes.groupBy(chain, path, order).agg(F.max(F.struct(*rest)).alias("_v"))
+    ends = commits.groupBy(chain).agg((F.max(order) + 1).alias("_end"))
+    after = F.lead(order).over(Window.partitionBy(chain, path).orderBy(order))
+    spans = once.withColumn("_next", after).join(ends, chain)
+    spans = spans.select(chain, path, "_v", F.col(order).alias("_since"), F.coalesce("_next", "_end").alias("_until")).where("_since < _until")
+    first, last = F.floor(F.col("_since") / every), F.floor((F.col("_until") - 1) / every)
+    cut = spans.withColumn("segment", F.explode(F.sequence(first, last)))
+    since, until = F.greatest("_since", F.col("segment") * every), F.least("_until", (F.col("segment") + 1) * every)
+    return cut.select(chain, "segment", path, *(F.col(f"_v.{c}").alias(c) for c in rest), since.alias("since"), until.alias("until"))
+
+
+def snapshot_at(table: DataFrame, commits: DataFrame, chain: str, order: str, every: int = 64) -> DataFrame:
+    """The files of any number of commits (chain, order) at once, each from its own segment of ``segments``."""
+    asked = commits.select(chain, order).distinct().withColumn("segment", F.floor(F.col(order) / every))
+    joined = asked.join(table, [chain, "segment"]).where((F.col("since") <= F.col(order)) & (F.col(order) < F.col("until")))
+    return joined.drop("segment", "since", "until")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """The rows, without the plan that made them: checkpointed where the session names a folder, else kept in memory."""
     session = df.sparkSession

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import dft, md, qc
+from . import dft, md, qc, rules
 
 FACTS = "blob_hash string, file_type string, path string, kind string, num double, value string"
 
@@ -24,14 +24,38 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def register(file_type: str, parser: Callable[[DataFrame], DataFrame]) -> None:
-    """A parser for a further type: (blob_hash, text) to facts."""
+#: Names of files of further types: a condition on the path, by type.
+NAMES: dict[str, Callable[[Column], Column]] = {}
+
+
+def register(file_type: str, parser: Callable[[DataFrame], DataFrame], names: Callable[[Column], Column] | None = None, order: tuple[str, ...] = (), critical: tuple[str, ...] = (), major: tuple[str, ...] = (), tolerances: dict[str, float] | None = None) -> None:
+    """A further type: its parser from (blob_hash, text) to facts, how its files are called, and how its facts are compared.
+
+    ``order`` lists the paths that are compared, in order; without it all
+    are, by path. Paths in neither list of significance are minor. Numbers
+    closer than a path's tolerance are equal.
+    """
     PARSERS[file_type] = parser
+    if names is not None:
+        NAMES[file_type] = names
+    if order:
+        rules.ORDER[file_type] = tuple(order)
+    rules.CRITICAL[file_type], rules.MAJOR[file_type] = tuple(critical), tuple(major)
+    rules.TOLERANCES[file_type] = dict(tolerances or {})
+
+
+def unregister(file_type: str) -> None:
+    for table in (PARSERS, NAMES, rules.ORDER, rules.CRITICAL, rules.MAJOR, rules.TOLERANCES):
+        table.pop(file_type, None)
 
 
 def type_of(path: Column) -> Column:
-    """The parser of a file by its name; null for none."""
-    return S.type_at_diff(path)
+    """The parser of a file by its name, further types after the built-in ones; null for none."""
+    return F.coalesce(S.type_at_diff(path), *(F.when(names(path), kind) for kind, names in NAMES.items()))
+
+
+def can_parse(path: Column) -> Column:
+    return F.coalesce(type_of(path).isin(*PARSERS), F.lit(False))
 
 
 def facts_of(files: DataFrame, types: list[str] | None = None) -> DataFrame:

@@ -64,6 +64,9 @@ METHOD_KEYWORD = r"^(B\d|PBE\d?|M\d{2}[-\d]?|WB97|LC-|CAM-|RANGE-)"
 ALWAYS_MODIFIED = {"LAMMPS_INPUT": ("read_data", "variable_names", "mass"), "LAMMPS_DATA": ("masses",), "ORCA_INPUT": ("coordinates",)}
 SETS = ("read_data", "variable_names")
 
+#: Numbers closer than this are equal, by type and path, for types that are not built in.
+TOLERANCES: dict[str, dict[str, float]] = {}
+
 
 def significance(file_type: Column, path: Column) -> Column:
     def keyword(word: Column) -> Column:
@@ -74,7 +77,7 @@ def significance(file_type: Column, path: Column) -> Column:
     out = F.when(path.startswith("keyword."), keyword(path.substr(F.lit(9), F.length(path)))).when(path.isin(*blocks), "major")
     for kind in CRITICAL:
         own = file_type == kind
-        out = out.when(own & path.isin(*CRITICAL[kind]), "critical").when(own & path.isin(*MAJOR[kind]), "major")
+        out = out.when(own & path.isin(*CRITICAL[kind]), "critical").when(own & path.isin(*MAJOR.get(kind, ())), "major")
     return out.otherwise("minor")
 
 
@@ -88,7 +91,11 @@ def order(file_type: Column, path: Column) -> Column:
 
 def tolerance(file_type: Column, path: Column) -> Column:
     energy = path == "final_energy"
-    return (
+    out = (
         F.when((file_type == "OUTCAR") & energy, 1e-8).when((file_type == "ORCA_OUTPUT") & energy, 1e-10)
         .when(file_type == "LAMMPS_INPUT", 1e-15).when(file_type == "LAMMPS_DATA", 1e-8).when(file_type == "LAMMPS_LOG", 1e-10)
     )
+    for kind, own in TOLERANCES.items():
+        for name, close in own.items():
+            out = out.when((file_type == kind) & (path == name), close)
+    return out

@@ -14,11 +14,16 @@ from pyspark.sql import Column, DataFrame
 
 from .operators import files
 from .operators.validate import Rule
+from .parsers import registry
 
-#: Entry-point groups under which packages may offer plug-ins; only validators are called so far.
+#: Entry-point groups under which packages may offer plug-ins.
 GROUPS = {"validators": "calcstrata.validators", "parsers": "calcstrata.parsers", "hooks": "calcstrata.hooks"}
 
 
+#: Types that plug-ins may not replace.
+BUILT_IN = tuple(registry.PARSERS)
+
+
 class Plugin:
     """A named extension; ``activate`` and ``deactivate`` are called when it is registered and taken out."""
 
@@ -50,6 +55,46 @@ class ValidatorPlugin(Plugin):
         return files.Validator(self.name, self.priority, self.enabled_by_default, self.applies, self.rules)
 
 
+class CheckPlugin(ValidatorPlugin):
+    """A validator in Python: what it raises in one directory is that directory's failed result."""
+
+    def check(self, texts: dict[str, str | None]) -> tuple[list[str], list[str]]:
+        """Errors and warnings of a directory, from the texts of its named files (None for those that it lacks)."""
+        raise NotImplementedError
+
+    def as_validator(self) -> files.Validator:
+        return files.Validator(self.name, self.priority, self.enabled_by_default, self.applies, check=self.check)
+
+
+class ParserPlugin(Plugin):
+    """A further file type: how its files are called, parsed, compared and checked. ``name`` is the type."""
+
+    order: tuple[str, ...] = ()
+    critical: tuple[str, ...] = ()
+    major: tuple[str, ...] = ()
+    tolerances: dict[str, float] = {}
+
+    def names(self, path: Column) -> Column:
+        """Whether a path is of this type."""
+        raise NotImplementedError
+
+    def parse(self, table: DataFrame) -> DataFrame:
+        """Facts (blob_hash, path, kind, num, value) of (blob_hash, text); see ``parsers.values``."""
+        raise NotImplementedError
+
+    def rules(self, fact: Callable[[str], Column]) -> list[Rule]:
+        """Rules on the facts: ``fact(path)`` is a struct of kind, num and value, null if it is absent."""
+        return []
+
+    def enter(self) -> None:
+        registry.register(self.name, self.parse, self.names, self.order, self.critical, self.major, self.tolerances)
+        files.TYPE_RULES[self.name] = self.rules
+
+    def leave(self) -> None:
+        registry.unregister(self.name)
+        files.TYPE_RULES.pop(self.name, None)
+
+
 class _Builtin(ValidatorPlugin):
     def __init__(self, v: files.Validator):
         self.name, self.priority, self.enabled_by_default = v.name, v.priority, v.enabled
@@ -91,19 +136,25 @@ class Manager:
     def register(self, plugin: Plugin) -> None:
         if not plugin.name:
             raise ValueError("a plug-in needs a name")
+        if isinstance(plugin, ParserPlugin) and plugin.name in BUILT_IN:
+            raise ValueError(f"{plugin.name} is a built-in type")
         self.unregister(plugin.name)
         plugin.activate()
+        if isinstance(plugin, ParserPlugin):
+            plugin.enter()
         self.plugins[plugin.name] = plugin
 
     def unregister(self, name: str) -> None:
         old = self.plugins.pop(name, None)
         if old is not None:
+            if isinstance(old, ParserPlugin):
+                old.leave()
             old.deactivate()
 
     def discover(self, found: Callable[[], list] | None = None) -> list[str]:
-        """Register the validators that installed packages offer; one that fails is left out with a warning."""
+        """Register the plug-ins that installed packages offer, of every group; one that fails is left out with a warning."""
         names = []
-        for point in found() if found else entry_points(group=GROUPS["validators"]):
+        for point in found() if found else [p for group in GROUPS.values() for p in entry_points(group=group)]:
             try:
                 plugin = point.load()()
                 self.register(plugin)
@@ -115,6 +166,10 @@ class Manager:
     def get(self, name: str) -> Plugin | None:
         return self.plugins.get(name)
 
+    def parsers(self) -> list[dict]:
+        """Types that plug-ins have added."""
+        return [{k: getattr(p, k) for k in ("name", "version", "description")} for p in self.plugins.values() if isinstance(p, ParserPlugin)]
+
     def list(self) -> list[dict]:
         """Validators by ascending priority, equal ones in order of registration."""
         own = [p for p in self.plugins.values() if isinstance(p, ValidatorPlugin)]
