@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blobs, facts, snapshots
-from . import fixtures, generated, records
+from . import fixtures, generated, records, stores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -268,7 +268,7 @@ QUERIES = {
         chain_last_state, chain_steps, ancestry, history_topn, history_page, history_latest, history_oneline, first_match, last_match, json_facts,
         type_detect_stage, type_detect_diff, ignore_filter, size_render, keyword_set_diff, noise_filter, tracked_on_disk,
     )
-} | fixtures.QUERIES | generated.QUERIES | records.QUERIES
+} | fixtures.QUERIES | generated.QUERIES | records.QUERIES | stores.QUERIES
 
 _TURNS_SQL = "SELECT conv_id, turn, role, max(sha256(text)) AS blob_hash FROM conversations GROUP BY ALL"
 _COMMITS_SQL = "SELECT o_orderkey AS commit_hash, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, o_orderpriority AS message FROM orders"
@@ -318,4 +318,4 @@ p AS (SELECT a.conv_id, a.ws AS a, b.ws AS b FROM t a JOIN t b ON a.conv_id = b.
 SELECT conv_id, unnest(list_filter(a, lambda w: NOT list_contains(b, w))) AS keyword, 'deleted' AS change_type FROM p UNION ALL SELECT conv_id, unnest(list_filter(b, lambda w: NOT list_contains(a, w))), 'added' FROM p""",
     "noise_filter": "SELECT o_orderkey AS file, 'price' AS path, 'modified' AS change_type FROM orders WHERE (o_orderkey % 4 = 2) OR (o_orderkey % 4 = 3 AND abs(o_totalprice) >= 0.01)",
     "tracked_on_disk": "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) THEN 'staged' ELSE 'skipped' END AS status, count(*) AS n FROM labels GROUP BY 1",
-} | fixtures.ORACLE | generated.ORACLE | records.ORACLE
+} | fixtures.ORACLE | generated.ORACLE | records.ORACLE | stores.ORACLE
