@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import blobs, facts, snapshots
-from . import fixtures, generated, records, stores
+from . import generated, records, stores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -198,22 +198,25 @@ def json_facts(spark, sf_dir):
 _NAMES = ("INCAR", "a/kpoints", "b/CONTCAR", "POTCAR.Si", "POTCAR", "outcar", "water.inp", "water.out", "OUTCAR.OUT", "log.lammps", "run.log", "log.out", "data.inp", "data", "data.melt", "x.lmp", "in.melt", "melt.lammps", "lammps.in", "OSZICAR", "vasprun.xml", "notes.txt", "NOTES.TXT", "a.json", "deep/er/thing.bin", "README")
 
 
-def _names(spark) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _NAMES], "path string")
+def _names(spark, sf_dir) -> DataFrame:
+    """A path for every order: one of the names, in a folder of its own."""
+    k = F.col("o_orderkey")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("d"), k.cast("string"), F.lit("/"), name).alias("path"))
 
 
 def type_detect_stage(spark, sf_dir):
-    return _names(spark).select("path", S.type_at_staging(F.col("path")).alias("file_type"))
+    return _names(spark, sf_dir).select("path", S.type_at_staging(F.col("path")).alias("file_type"))
 
 
 def type_detect_diff(spark, sf_dir):
     """The two detectors differ on purpose."""
     t = S.type_at_diff(F.col("path"))
-    return _names(spark).select("path", t.alias("file_type"), S.can_parse(t).alias("parseable"))
+    return _names(spark, sf_dir).select("path", t.alias("file_type"), S.can_parse(t).alias("parseable"))
 
 
 def _type_sql(staging: bool) -> str:
-    rows = ", ".join(f"('{n}')" for n in _NAMES)
+    rows = f"""SELECT 'd' || o_orderkey || '/' || [{", ".join(f"'{n}'" for n in _NAMES)}][o_orderkey % {len(_NAMES)} + 1] AS path FROM orders"""
     md = """WHEN n LIKE 'LOG.%' OR n LIKE '%.LOG' THEN 'LAMMPS_LOG' WHEN n = 'DATA' OR n LIKE 'DATA.%' OR n LIKE '%.LMP' OR n LIKE '%.DATA' THEN 'LAMMPS_DATA'
       WHEN n LIKE 'IN.%' OR n LIKE '%.LAMMPS' OR n = 'LAMMPS.IN' THEN 'LAMMPS_INPUT'"""
     qc = "WHEN n LIKE '%.INP' THEN 'ORCA_INPUT' WHEN n LIKE '%.OUT' AND n <> 'OUTCAR.OUT' THEN 'ORCA_OUTPUT'"
@@ -222,7 +225,7 @@ def _type_sql(staging: bool) -> str:
     else:
         middle = f"WHEN n LIKE 'POTCAR%' THEN 'POTCAR' WHEN n = 'OUTCAR' THEN 'OUTCAR' {qc} {md}"
     case = f"CASE WHEN n = 'INCAR' THEN 'INCAR' WHEN n = 'KPOINTS' THEN 'KPOINTS' WHEN n IN ('POSCAR', 'CONTCAR') THEN 'POSCAR' {middle} END"
-    base = f"SELECT path, {case} AS file_type FROM (SELECT path, upper(b) AS n, b FROM (SELECT path, string_split(path, '/')[-1] AS b FROM (VALUES {rows}) v(path)))"
+    base = f"SELECT path, {case} AS file_type FROM (SELECT path, upper(b) AS n, b FROM (SELECT path, string_split(path, '/')[-1] AS b FROM ({rows})))"
     if staging:
         return base
     kinds = ", ".join(f"'{x}'" for x in S.PARSED_TYPES)
@@ -268,7 +271,7 @@ QUERIES = {
         chain_last_state, chain_steps, ancestry, history_topn, history_page, history_latest, history_oneline, first_match, last_match, json_facts,
         type_detect_stage, type_detect_diff, ignore_filter, size_render, keyword_set_diff, noise_filter, tracked_on_disk,
     )
-} | fixtures.QUERIES | generated.QUERIES | records.QUERIES | stores.QUERIES
+} | generated.QUERIES | records.QUERIES | stores.QUERIES
 
 _TURNS_SQL = "SELECT conv_id, turn, role, max(sha256(text)) AS blob_hash FROM conversations GROUP BY ALL"
 _COMMITS_SQL = "SELECT o_orderkey AS commit_hash, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, o_orderpriority AS message FROM orders"
@@ -318,4 +321,4 @@ p AS (SELECT a.conv_id, a.ws AS a, b.ws AS b FROM t a JOIN t b ON a.conv_id = b.
 SELECT conv_id, unnest(list_filter(a, lambda w: NOT list_contains(b, w))) AS keyword, 'deleted' AS change_type FROM p UNION ALL SELECT conv_id, unnest(list_filter(b, lambda w: NOT list_contains(a, w))), 'added' FROM p""",
     "noise_filter": "SELECT o_orderkey AS file, 'price' AS path, 'modified' AS change_type FROM orders WHERE (o_orderkey % 4 = 2) OR (o_orderkey % 4 = 3 AND abs(o_totalprice) >= 0.01)",
     "tracked_on_disk": "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) THEN 'staged' ELSE 'skipped' END AS status, count(*) AS n FROM labels GROUP BY 1",
-} | fixtures.ORACLE | generated.ORACLE | records.ORACLE | stores.ORACLE
+} | generated.ORACLE | records.ORACLE | stores.ORACLE

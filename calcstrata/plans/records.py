@@ -132,6 +132,11 @@ def keyword_diff(spark, sf_dir):
     return diff.diff_pairs(pairs, ["ORCA_INPUT"]).select("file", "ord", "path", "old_value", "new_value", "change_type", "significance")
 
 
+def diff_orca_input(spark, sf_dir):
+    """U5, 2.11: as ``keyword_diff``, with the type and whether a version could be parsed."""
+    return keyword_diff(spark, sf_dir).withColumn("file_type", F.lit("ORCA_INPUT")).withColumn("parse_error", F.lit(False))
+
+
 def staging_counters(spark, sf_dir):
     """A3: what adding every document would do to an index that has some of them."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.col("lang"), F.lit("/"), "doc_id").alias("path"), "doc_id")
@@ -237,7 +242,7 @@ def file_summaries(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        commit_hash, commit_audit, commit_files, commit_exists, environment_compare, output_summary, history_default, history_json, render_default, render_detailed, render_compact, status_marks, semantic_identity, keyword_diff,
+        commit_hash, commit_audit, commit_files, commit_exists, environment_compare, output_summary, history_default, history_json, render_default, render_detailed, render_compact, status_marks, semantic_identity, keyword_diff, diff_orca_input,
         staging_counters, staging_remove, contained_paths, thermo_last_row, run_steps, cross_rules, validate_rules, script_words, numeric_words, vector_norm, energy_units, utc_times, set_lookup, file_summaries,
     )
 }
@@ -260,8 +265,8 @@ _QC_WORDS = "CASE WHEN {0} % 6 = 0 THEN [] ELSE ['B3LYP', 'DEF2-TZVP', 'OPT'] EN
 _QC_SIMPLE = ", ".join(
     "{{'ord': {}, 'path': '{}', 'o': {}, 'n': {}, 's': '{}'}}".format(o, p, *(f"CASE WHEN {w.format(key)} THEN {v.format(key)} END" for key in ("k", "(k + 2)")), s)
     for o, p, v, w, s in (
-        (1, "charge", "CAST({0} % 3 - 1 AS VARCHAR)", "{0} % 5 <> 0", "critical"), (2, "multiplicity", "CAST({0} % 3 AS VARCHAR)", "{0} % 5 <> 0", "critical"), (3, "coord_format", "'\"xyz\"'", "{0} % 5 <> 0", "critical"),
-        (4, "maxcore", "CAST({0} % 4000 + 1 AS VARCHAR)", "true", "major"), (5, "nprocs", "CAST({0} % 16 + 1 AS VARCHAR)", "true", "major"), (6, "coordinates", "'\"2 atom(s)\"'", "{0} % 5 <> 0", "critical"),
+        (1, "charge", "CAST({0} % 3 - 1 AS VARCHAR)", "{0} % 5 <> 0", "critical"), (2, "multiplicity", "CAST({0} % 3 AS VARCHAR)", "{0} % 5 <> 0", "critical"), (3, "coord_format", "CASE WHEN {0} % 10 = 7 THEN '\"xyzfile\"' ELSE '\"xyz\"' END", "{0} % 5 <> 0", "critical"),
+        (4, "maxcore", "CAST({0} % 4000 + 1 AS VARCHAR)", "true", "major"), (5, "nprocs", "CAST({0} % 16 + 1 AS VARCHAR)", "true", "major"), (6, "coordinates", "'\"2 atom(s)\"'", "{0} % 5 <> 0 AND {0} % 10 <> 7", "critical"),
         (1000, "block.pal.nprocs", "CAST({0} % 16 + 1 AS VARCHAR)", "true", "major"), (1000, "block.scf.maxiter", "CAST({0} % 200 AS VARCHAR)", "true", "major"),
     )
 )
@@ -304,3 +309,4 @@ CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 4 + 3 AS INTEGER) END AS n,
     "set_lookup": "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 9 END AS rank, o_orderkey % 3 <> 0 AS well_formed FROM orders",
     "file_summaries": f"SELECT file, count(*) AS total_changes, count(*) FILTER (significance = 'critical') AS critical, bool_or(significance = 'critical') AS has_critical_changes FROM ({generated.ORACLE['diff_outcar']}) GROUP BY 1",
 }
+ORACLE["diff_orca_input"] = f"SELECT *, 'ORCA_INPUT' AS file_type, false AS parse_error FROM ({ORACLE['keyword_diff']})"

@@ -1,34 +1,14 @@
-"""Small texts of each file type, and queries that parse and compare them."""
+"""Hand-typed differences of the fixture texts: two versions of one or more files of each type."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
+import pytest
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-from ..operators import diff as D
-from ..parsers import registry
-from . import texts
-
-
-def versions(spark: SparkSession) -> DataFrame:
-    """file, file_type, old_hash, old_text, new_hash, new_text."""
-    rows = [(name, old, new) for name, (old, new) in texts.PAIRS.items()]
-    df = spark.createDataFrame(rows, "file string, old_text string, new_text string")
-    digest = lambda c: S.sha256_hex(F.col(c).cast("binary"))
-    return df.select("file", S.type_at_diff(F.col("file")).alias("file_type"), digest("old_text").alias("old_hash"), "old_text", digest("new_text").alias("new_hash"), "new_text")
-
+from calcstrata.functions import scalars as S
+from calcstrata.operators import diff as D
+from calcstrata.plans import texts
 
-def _diff(kind: str):
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return D.ordered(D.diff_pairs(versions(spark).where(F.col("file_type") == kind), [kind]))
-
-    return query
-
-
-QUERIES = {f"diff_{k.lower()}": _diff(k) for k in registry.PARSERS if k != "OUTCAR"}
-#: Expected differences, typed from the fixtures' descriptions: file, ord, path, old, new, change, significance.
-_EXPECTED = {
+#: file, ord, path, old, new, change, significance.
+EXPECTED = {
     "INCAR": [("run/INCAR", 1000, "ENCUT", "520", "600", "modified", "critical"), ("run/INCAR", 1000, "ISMEAR", "0", "1", "modified", "critical"), ("run/INCAR", 1000, "LWAVE", None, "false", "added", "major"), ("run/INCAR", 1000, "SIGMA", "0.05", "0.1", "modified", "critical")],
     "KPOINTS": [
         ("retyped/KPOINTS", 1, "type", '"automatic"', '"line"', "modified", "critical"), ("run/KPOINTS", 2, "gamma_centered", "true", "false", "modified", "major"), ("run/KPOINTS", 3, "grid", "[4,4,4]", "[8,8,8]", "modified", "critical"),
@@ -57,10 +37,16 @@ _EXPECTED = {
 }
 
 
-def _expected_sql(kind: str) -> str:
-    quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    rows = ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in _EXPECTED[kind])
-    return f"SELECT file, '{kind}' AS file_type, CAST(ord AS INTEGER) AS ord, path, CAST(o AS VARCHAR) AS old_value, CAST(n AS VARCHAR) AS new_value, change_type, significance, path = '$error' AS parse_error FROM (VALUES {rows}) v(file, ord, path, o, n, change_type, significance)"
+@pytest.fixture(scope="module")
+def versions(spark):
+    df = spark.createDataFrame([(name, old, new) for name, (old, new) in texts.PAIRS.items()], "file string, old_text string, new_text string")
+    digest = lambda c: S.sha256_hex(F.col(c).cast("binary"))
+    return df.select("file", S.type_at_diff(F.col("file")).alias("file_type"), digest("old_text").alias("old_hash"), "old_text", digest("new_text").alias("new_hash"), "new_text")
 
 
-ORACLE: dict[str, str] = {f"diff_{k.lower()}": _expected_sql(k) for k in _EXPECTED}
+@pytest.mark.parametrize("kind", sorted(EXPECTED))
+def test_differences(versions, kind):
+    got = D.ordered(D.diff_pairs(versions.where(F.col("file_type") == kind), [kind])).collect()
+    columns = ("file", "ord", "path", "old_value", "new_value", "change_type", "significance")
+    assert sorted((tuple(r[c] for c in columns) for r in got), key=str) == sorted(EXPECTED[kind], key=str)
+    assert all(r["parse_error"] == (r["path"] == "$error") for r in got)
