@@ -45,7 +45,7 @@ def compare_environment(stored: DataFrame, current: dict[str, str]) -> DataFrame
     now = F.create_map(*(F.lit(x) for kv in current.items() for x in kv))
     names = F.explode(F.array(*map(F.lit, current))).alias("name")
     rows = stored.select("commit_hash", "environment", names)
-    was = F.coalesce(F.try_element_at("environment", "name"), F.lit(""))
+    was = F.coalesce(S.looked_up(F.col("environment"), F.col("name"), F.lit("")), F.lit(""))
     return rows.select("commit_hash", "name", was.alias("stored"), F.element_at(now, F.col("name")).alias("current"), ((was == "") | (was == F.element_at(now, F.col("name")))).alias("matches"))
 
 

@@ -76,6 +76,8 @@ def parse_input(files: DataFrame) -> DataFrame:
 
 
 #: Patterns of the output file.
+_ENERGY_EV = r"Total Energy\s+:\s+[-\d.]+\s+Eh\s+([-\d.]+)\s+eV"
+_DIPOLE = r"Total Dipole Moment\s*:\s*([-\d.]+)\s+([-\d.]+)\s+([-\d.]+)"
 _DAYS = r"(?i)TOTAL RUN TIME:\s*(\d+\s+days\s+\d+\s+hours\s+\d+\s+minutes\s+\d+\s+seconds)"
 
 
@@ -85,8 +87,11 @@ def parse_output(files: DataFrame) -> DataFrame:
     status = F.when(t.contains("ORCA TERMINATED NORMALLY"), "normal").when(t.rlike(r"(?i)ERROR\s*TERMINATION"), "error")
     cycles = S.first_match(t, r"SCF CONVERGED AFTER\s+(\d+)\s+CYCLES")
     version = F.coalesce(S.first_match(t, r"(?i)Program Version\s+([\d.]+(?:-[\w]+)?)"), S.first_match(t, r"[Tt]his ORCA version\s+([\d.]+)"))
+    final = S.as_number(S.last_match(t, r"FINAL SINGLE POINT ENERGY\s+([-\d.]+)"))
     columns = {
-        "energy": S.as_number(S.last_match(t, r"FINAL SINGLE POINT ENERGY\s+([-\d.]+)")),
+        # without the final line, the last total energy in electronvolts
+        "energy": F.coalesce(final, F.round(S.hartree(S.as_number(S.last_match(t, _ENERGY_EV))), 10)),
+        "dipole": S.vector_norm(F.array(*(S.as_number(S.last_match(t, _DIPOLE, i)) for i in (1, 2, 3)))),
         "status": status,
         "optimized": F.when(t.contains("THE OPTIMIZATION HAS CONVERGED"), F.lit(True)).when(t.contains("THE OPTIMIZATION HAS NOT CONVERGED"), F.lit(False)),
         "charge": S.first_match(t, r"Total Charge\s+Charge\s+\.+\s+([+-]?\d+)"),
@@ -106,6 +111,7 @@ def parse_output(files: DataFrame) -> DataFrame:
         "scf_cycles": V.integer(F.col("cycles")),
         "scf_converged": V.truth(F.col("converged")),
         "orca_version": V.string(F.col("version")),
+        "dipole_moment": V.real(F.col("dipole")),
         "wall_time": V.string(F.col("wall")),
     }
     return V.long_facts(rows, fields, F.when(F.coalesce(F.col("energy").cast("string"), "status", "version").isNull(), "no energy, end or version"))

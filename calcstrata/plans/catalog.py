@@ -7,7 +7,7 @@ for time series, orders for commit history, pages for text to be searched.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -129,10 +129,10 @@ def _turns(spark, sf_dir) -> DataFrame:
 
 
 def snapshot_overlay(spark, sf_dir):
-    """The state after turn 0, overlaid by the last change of each role up to turn 2."""
+    """The state after turn 0, overlaid by the last later change of each role."""
     turns = _turns(spark, sf_dir)
     parent = turns.where("turn = 0").select("conv_id", F.col("role").alias("path"), "blob_hash").dropDuplicates(["conv_id", "path", "blob_hash"])
-    staged = turns.where("turn between 1 and 2").groupBy("conv_id", F.col("role").alias("path")).agg(F.max_by("blob_hash", F.struct("turn", "blob_hash")).alias("blob_hash"))
+    staged = turns.where("turn > 0").groupBy("conv_id", F.col("role").alias("path")).agg(F.max_by("blob_hash", F.struct("turn", "blob_hash")).alias("blob_hash"))
     return snapshots.overlay(parent, staged, ["conv_id", "path"])
 
 
@@ -243,11 +243,11 @@ def size_render(spark, sf_dir):
 
 
 def keyword_set_diff(spark, sf_dir):
-    """Keywords gone and come between two turns of a conversation."""
+    """Keywords gone and come between each turn of a conversation and the next that there is."""
     words = F.filter(F.split("text", "[^A-Za-z]+"), lambda w: w != "")
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select("conv_id", "turn", words.alias("words"))
-    old, new = turns.where("turn = 0").select("conv_id", F.col("words").alias("a")), turns.where("turn = 1").select("conv_id", F.col("words").alias("b"))
-    return old.join(new, "conv_id").select("conv_id", F.explode(facts.keyword_changes(F.col("b"), F.col("a"))).alias("k")).select("conv_id", "k.keyword", "k.change_type")
+    pairs = turns.withColumn("before", F.lag("words").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
+    return pairs.select("conv_id", "turn", F.explode(facts.keyword_changes(F.col("words"), F.col("before"))).alias("k")).select("conv_id", "turn", "k.keyword", "k.change_type")
 
 
 def noise_filter(spark, sf_dir):
@@ -296,7 +296,7 @@ SELECT folder, rank, file, path, change_type, greatest(total - 3, 0) AS more FRO
     "prefix_lookup": "SELECT doc_id, sha256(text) AS commit_hash FROM documents WHERE starts_with(sha256(text), '0a')",
     "snapshot_overlay": """WITH t AS (SELECT conv_id, turn, role AS path, sha256(text) AS blob_hash FROM conversations),
 p AS (SELECT DISTINCT conv_id, path, blob_hash FROM t WHERE turn = 0),
-s AS (SELECT conv_id, path, blob_hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, path ORDER BY turn DESC, blob_hash DESC) AS k FROM t WHERE turn BETWEEN 1 AND 2) WHERE k = 1)
+s AS (SELECT conv_id, path, blob_hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, path ORDER BY turn DESC, blob_hash DESC) AS k FROM t WHERE turn > 0) WHERE k = 1)
 SELECT * FROM s UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.conv_id = p.conv_id AND s.path = p.path)""",
     "chain_last_state": f"SELECT conv_id, role, arg_max(blob_hash, turn) AS blob_hash, max(turn) AS turn, count(*) AS n_changes FROM ({_TURNS_SQL}) GROUP BY 1, 2",
     "chain_steps": f"""SELECT conv_id, turn, role, CASE WHEN p IS NULL THEN 'added' WHEN p <> blob_hash THEN 'modified' ELSE 'same' END AS change
@@ -317,8 +317,8 @@ SELECT conv_id, turn, depth FROM a""",
 FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)""",
     "size_render": "SELECT doc_id, CASE WHEN s < 1024 THEN s || ' B' WHEN s < 1048576 THEN printf('%.1f KB', s / 1024.0) ELSE printf('%.2f MB', s / 1048576.0) END AS size FROM (SELECT doc_id, n_chars * (doc_id % 900 + 1) AS s FROM documents)",
     "keyword_set_diff": """WITH t AS (SELECT conv_id, turn, list_distinct(list_transform(list_filter(string_split_regex(min(text), '[^A-Za-z]+'), lambda w: w <> ''), lambda w: upper(w))) AS ws FROM conversations GROUP BY 1, 2),
-p AS (SELECT a.conv_id, a.ws AS a, b.ws AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1)
-SELECT conv_id, unnest(list_filter(a, lambda w: NOT list_contains(b, w))) AS keyword, 'deleted' AS change_type FROM p UNION ALL SELECT conv_id, unnest(list_filter(b, lambda w: NOT list_contains(a, w))), 'added' FROM p""",
+p AS (SELECT conv_id, turn, lag(ws) OVER (PARTITION BY conv_id ORDER BY turn) AS a, ws AS b FROM t)
+SELECT conv_id, turn, unnest(list_filter(a, lambda w: NOT list_contains(b, w))) AS keyword, 'deleted' AS change_type FROM p WHERE a IS NOT NULL UNION ALL SELECT conv_id, turn, unnest(list_filter(b, lambda w: NOT list_contains(a, w))), 'added' FROM p WHERE a IS NOT NULL""",
     "noise_filter": "SELECT o_orderkey AS file, 'price' AS path, 'modified' AS change_type FROM orders WHERE (o_orderkey % 4 = 2) OR (o_orderkey % 4 = 3 AND abs(o_totalprice) >= 0.01)",
     "tracked_on_disk": "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) THEN 'staged' ELSE 'skipped' END AS status, count(*) AS n FROM labels GROUP BY 1",
 } | generated.ORACLE | records.ORACLE | stores.ORACLE

@@ -31,7 +31,7 @@ TEXTS = {
   WHEN k % 6 = 5 THEN concat('---\nkeywords: [\'Step\', \'Temp\', \'PotEng\', ]\ndata:\n  - [0, 1.5, -2.5, ]\n\n  - [', k % 1000 + 1, ', 1.25, -3.5, ]\n...\nkeywords: [\'Step\', \'Temp\', \'PotEng\', ]\ndata:\n  - [', k % 1000 + 1, ', 1.25, -3.5, ]\n  - [', k % 1000 + 11, ', ', k % 8, '.5, -4.5, ]\n...\n')
   ELSE concat('Step Temp PotEng\n0 1.5 -2.5\n', k % 1000 + 1, ' 1.25 -', k % 70, '.5\nLoop time of 1\nStep Temp PotEng\n', k % 1000 + 1, ' 1.25 -3.5\n', k % 1000 + 11, ' ', k % 8, '.5 -4.5\nLoop time of 1\n') END, CASE WHEN k % 3 = 0 THEN '' ELSE concat('Total wall time: 0:00:', k % 50 + 10, '\n') END)""",
     "ORCA_INPUT": r"""concat(CASE WHEN k % 6 = 0 THEN '' ELSE '! b3lyp Opt def2-TZVP b3lyp\n' END, '%maxcore ', k % 4000 + 1, ' # memory\n%pal nprocs ', k % 16 + 1, ' end\n%scf\n  MaxIter ', k % 200, '\nend\n', CASE WHEN k % 5 = 0 THEN '' WHEN k % 10 = 7 THEN concat('* xyzfile ', k % 3 - 1, ' ', k % 3, ' geo', k % 4, '.xyz\n') ELSE concat('* xyz ', k % 3 - 1, ' ', k % 3, '\nO 0 0 0\nH 0 0 1\n*\n') END, '$new_job\n! HF\n')""",
-    "ORCA_OUTPUT": r"""CASE WHEN k % 19 = 0 THEN 'nothing here' ELSE concat('Program Version 5.0.', k % 5, '\n', CASE WHEN k % 4 = 0 THEN 'SCF not converged\n' WHEN k % 4 = 1 THEN concat('SCF CONVERGED AFTER  ', k % 30 + 1, ' CYCLES\n') ELSE '' END, CASE WHEN k % 7 = 0 THEN '' ELSE concat('FINAL SINGLE POINT ENERGY      -70.5\nFINAL SINGLE POINT ENERGY      -', k % 80 + 1, '.25\n') END, CASE k % 3 WHEN 0 THEN 'THE OPTIMIZATION HAS CONVERGED\n' WHEN 1 THEN 'THE OPTIMIZATION HAS NOT CONVERGED\n' ELSE '' END, CASE WHEN k % 5 = 0 THEN 'ERROR TERMINATION\n' ELSE '****ORCA TERMINATED NORMALLY****\n' END) END""",
+    "ORCA_OUTPUT": r"""CASE WHEN k % 19 = 0 THEN 'nothing here' ELSE concat('Program Version 5.0.', k % 5, '\n', CASE WHEN k % 4 = 0 THEN 'SCF not converged\n' WHEN k % 4 = 1 THEN concat('SCF CONVERGED AFTER  ', k % 30 + 1, ' CYCLES\n') ELSE '' END, CASE WHEN k % 7 = 0 THEN '' ELSE concat('FINAL SINGLE POINT ENERGY      -70.5\nFINAL SINGLE POINT ENERGY      -', k % 80 + 1, '.25\n') END, CASE WHEN k % 6 = 1 THEN 'Total Energy       :    -2.00000000 Eh    -54.422772491976 eV\n' ELSE '' END, CASE WHEN k % 8 = 3 THEN concat('Total Dipole Moment    :   -3.0   4.0   ', k % 3 * 12, '.0\n') ELSE '' END, CASE k % 3 WHEN 0 THEN 'THE OPTIMIZATION HAS CONVERGED\n' WHEN 1 THEN 'THE OPTIMIZATION HAS NOT CONVERGED\n' ELSE '' END, CASE WHEN k % 5 = 0 THEN 'ERROR TERMINATION\n' ELSE '****ORCA TERMINATED NORMALLY****\n' END) END""",
 }
 
 _QUOTED = "concat('\"', {0}, '\"')"
@@ -108,7 +108,7 @@ FACTS = {
         _int("nprocs", "k % 16 + 1"), _json("coordinates", """'["O 0 0 0","H 0 0 1"]'""", "k % 5 <> 0 AND k % 10 <> 7"), _int("block.pal.nprocs", "k % 16 + 1"), _int("block.scf.maxiter", "k % 200"),
     ],
     "ORCA_OUTPUT": [
-        _real("final_energy", "-(k % 80 + 1.25)", f"{_QC} AND k % 7 <> 0"), _string("termination_status", "CASE WHEN k % 5 = 0 THEN 'error' ELSE 'normal' END", _QC), _flag("optimization_converged", "k % 3 = 0", f"{_QC} AND k % 3 < 2"),
+        _real("final_energy", "CASE WHEN k % 7 = 0 THEN -2.0 ELSE -(k % 80 + 1.25) END", f"{_QC} AND (k % 7 <> 0 OR k % 6 = 1)"), _real("dipole_moment", "CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 13 ELSE round(sqrt(601), 6) END", f"{_QC} AND k % 8 = 3"), _string("termination_status", "CASE WHEN k % 5 = 0 THEN 'error' ELSE 'normal' END", _QC), _flag("optimization_converged", "k % 3 = 0", f"{_QC} AND k % 3 < 2"),
         _int("scf_cycles", "k % 30 + 1", f"{_QC} AND k % 4 = 1"), _flag("scf_converged", "k % 4 = 1", f"{_QC} AND k % 4 < 2"), _string("orca_version", "'5.0.' || (k % 5)", _QC), _error("no energy, end or version", "k % 19 = 0"),
     ],
 }
@@ -193,7 +193,7 @@ _RULES = {
     "LAMMPS_DATA": [("k % 13 = 0", "cannot be parsed: \"no number of atoms\""), ("k % 13 <> 0 AND k % 50 = 0", "there must be atoms"), ("k % 13 <> 0 AND k % 4 = 0", "there must be atom types"), ("k % 13 <> 0 AND k % 47 = 0", "lx must be positive"), ("k % 13 <> 0 AND k % 41 = 0", "ly must be positive"), ("k % 13 <> 0 AND k % 43 = 0", "lz must be positive")],
     "LAMMPS_LOG": [("k % 3 = 0", "the run did not complete"), ("k % 40 = 0", "there must be atoms")],
     "ORCA_INPUT": [("k % 6 = 0", "keywords are missing"), ("k % 5 = 0", "the charge is missing"), ("k % 5 <> 0 AND k % 3 = 0", "the multiplicity must be at least 1")],
-    "ORCA_OUTPUT": [("k % 19 = 0", "cannot be parsed: \"no energy, end or version\""), ("k % 19 <> 0 AND k % 5 = 0", "the run did not end normally"), ("k % 19 <> 0 AND k % 7 = 0", "there is no final energy"), ("k % 19 <> 0 AND k % 3 = 1", "the optimization did not converge")],
+    "ORCA_OUTPUT": [("k % 19 = 0", "cannot be parsed: \"no energy, end or version\""), ("k % 19 <> 0 AND k % 5 = 0", "the run did not end normally"), ("k % 19 <> 0 AND k % 7 = 0 AND k % 6 <> 1", "there is no final energy"), ("k % 19 <> 0 AND k % 3 = 1", "the optimization did not converge")],
 }
 
 

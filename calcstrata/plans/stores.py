@@ -92,6 +92,25 @@ def thermo_splits(spark, sf_dir):
     return parsed.groupBy(F.col("blob_hash").alias("log")).agg(pick("final_step").alias("step"), pick("final_temp").alias("temp"), F.coalesce(pick("run_steps"), F.lit(0.0)).cast("bigint").alias("run_steps"))
 
 
+def noise_by_type(spark, sf_dir):
+    """numbers of each type that differ by less and by more than the type's tolerance."""
+    k = F.col("k")
+    moved = lambda base, less, more: F.concat(F.lit(base), F.when(k % 3 == 0, less).when(k % 3 == 1, more).otherwise(""))
+    texts = {
+        "OUTCAR": lambda x: F.concat(F.lit("free energy TOTEN = -10.25"), x, F.lit(" eV\n")),
+        "ORCA_OUTPUT": lambda x: F.concat(F.lit("FINAL SINGLE POINT ENERGY -10.25"), x, F.lit("\nORCA TERMINATED NORMALLY\n")),
+        "LAMMPS_LOG": lambda x: F.concat(F.lit("5 atoms\nTotEng -10.25"), x, F.lit("\n")),
+        "LAMMPS_DATA": lambda x: F.concat(F.lit("title\n\n5 atoms\n0.0 10.25"), x, F.lit(" xlo xhi\n0 1 ylo yhi\n0 1 zlo zhi\n")),
+    }
+    less = {"OUTCAR": "0000001", "ORCA_OUTPUT": "000000001", "LAMMPS_LOG": "000000001", "LAMMPS_DATA": "0000001"}
+    out = None
+    for kind, text in texts.items():
+        own = generated.orders(spark, sf_dir).select(F.concat(F.lit(kind), F.lit("/"), k.cast("string")).alias("file"), F.lit(kind).alias("file_type"), text(F.lit("")).alias("old_text"), text(moved("", less[kind], "0001")).alias("new_text"))
+        out = own if out is None else out.unionByName(own)
+    pairs = out.select("*", _digest(F.col("old_text")).alias("old_hash"), _digest(F.col("new_text")).alias("new_hash"))
+    return diff.diff_pairs(pairs, list(texts)).select("file", "path", "old_value", "new_value", "significance")
+
+
 class Props(ParserPlugin):
     """A type as a package might add it: lines of ``name: value``."""
 
@@ -178,7 +197,7 @@ def validators_apart(spark, sf_dir):
     return out.select("dir", "rule", "passed", "message", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"))
 
 
-QUERIES = {f.__name__: f for f in (blob_lookup, blob_sizes, prefix_resolve, snapshot_at, snapshot_sizes, thermo_splits, plugin_type_diff, plugin_type_rules, validators_apart)}
+QUERIES = {f.__name__: f for f in (blob_lookup, blob_sizes, prefix_resolve, snapshot_at, snapshot_sizes, thermo_splits, noise_by_type, plugin_type_diff, plugin_type_rules, validators_apart)}
 
 _CHAINS = "SELECT conv_id, turn, role, max(sha256(coalesce(text, ''))) AS blob_hash FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL GROUP BY ALL"
 _PROPS = """SELECT o_orderkey AS k, o_orderkey % 17 = 0 AS old_bad, o_orderkey % 17 IN (0, 1) AS new_bad, CAST(o_orderkey % 90 - 5 + 0.5 AS DOUBLE) AS e, o_orderkey % 5 = 0 AS noise, o_orderkey AS os, o_orderkey + o_orderkey % 2 AS ns FROM orders"""
@@ -197,6 +216,9 @@ SELECT conv_id, CAST(sum((stop - 1) // 3 - turn // 3 + 1) AS BIGINT) AS n_stored
     "thermo_splits": """WITH e AS (SELECT user_id, event_type, event_id, value FROM events WHERE value IS NOT NULL)
 SELECT CAST(user_id AS VARCHAR) AS log, CAST(arg_max(hi, event_type) AS DOUBLE) AS step, arg_max(v, event_type) AS temp, CAST(sum(hi - lo) AS BIGINT) AS run_steps
 FROM (SELECT user_id, event_type, max(event_id) AS hi, min(event_id) AS lo, arg_max(value, event_id) AS v FROM e GROUP BY 1, 2) GROUP BY 1""",
+    "noise_by_type": """WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 1)
+SELECT 'OUTCAR/' || k AS file, 'final_energy' AS path, '-10.25' AS old_value, '-10.250001' AS new_value, 'critical' AS significance FROM k UNION ALL SELECT 'ORCA_OUTPUT/' || k, 'final_energy', '-10.25', '-10.250001', 'critical' FROM k
+UNION ALL SELECT 'LAMMPS_LOG/' || k, 'final_etotal', '-10.25', '-10.250001', 'critical' FROM k UNION ALL SELECT 'LAMMPS_DATA/' || k, unnest(['lx', 'volume']), '10.25', '10.250001', 'critical' FROM k""",
     "plugin_type_diff": f"""WITH p AS ({_PROPS}), d AS (
   SELECT k, 1 AS ord, 'energy' AS path, CAST(e AS VARCHAR) AS o, CAST(e + 1 AS VARCHAR) AS n, 'critical' AS s FROM p WHERE NOT old_bad AND NOT new_bad AND NOT noise
   UNION ALL SELECT k, 2, 'state', '"s' || (os % 3) || '"', '"s' || (ns % 3) || '"', 'major' FROM p WHERE NOT old_bad AND NOT new_bad AND os % 3 <> ns % 3

@@ -40,7 +40,7 @@ def test_keyword_set_diff_takes_whole_texts(spark, tmp_path):
     turns = [(1, 0, "user", long + "gone"), (1, 1, "user", long + "come"), (2, 0, "user", long + "both"), (2, 1, "user", "both " + long)]
     spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = catalog.QUERIES["keyword_set_diff"](spark, str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == [(1, "COME", "added"), (1, "GONE", "deleted")]
+    assert sorted(map(tuple, got)) == [(1, 1, "COME", "added"), (1, 1, "GONE", "deleted")]
 
 
 def test_ancestry_of_a_long_chain(spark, tmp_path):
