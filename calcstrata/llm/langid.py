@@ -104,19 +104,19 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score
 
 
-def fit(labelled: DataFrame, bins: int = 1 << 16, most_rows: int = 20_000, most_langs: int = 500) -> Model:
+def fit(labelled: DataFrame, bins: int = 1 << 16, most_rows: int = 20_000, most_cells: int = 1 << 25) -> Model:
     """Learn from (text, lang, key) rows.
 
     ``most_rows`` bounds the distinct rows learned from: of more, about that
     many are taken by a 64-bit hash of key and text, at every size of the
-    corpus. Counts come to the driver as one vector of ``bins`` for each
-    language, summed on the executors; of more than ``most_langs`` languages
-    in the sample the commonest are learned.
+    corpus. Counts come to the driver as one vector for each language, summed
+    on the executors. Every language of the sample is learned: the matrix has
+    at most ``most_cells`` cells (128 MB), so over 512 languages share fewer
+    bins than ``bins``, a power of two each.
     """
     rows = sampled(labelled.where("text is not null and lang is not null"), most_rows, "key", "text", "lang")
-    if rows.groupBy("lang").count().count() > most_langs:
-        common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
-        rows = rows.join(F.broadcast(common), "lang", "left_semi")
+    langs = rows.select("lang").distinct().count()
+    bins = min(bins, 1 << max(4, (most_cells // max(1, langs)).bit_length() - 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -171,7 +171,7 @@ def identify(spark: SparkSession, docs: DataFrame, most_rows: int = 20_000) -> D
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), held.alias("held_out"))
     model = fit(rows.where(~F.col("held_out")).withColumnRenamed("doc_id", "key"), most_rows=most_rows)
 
-    shared = spark.sparkContext.broadcast(model)  # the weights: at most most_langs x bins
+    shared = spark.sparkContext.broadcast(model)  # the weights: at most most_cells
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, score = shared.value.predict(batch.column("text").to_pylist())

@@ -74,6 +74,14 @@ def suffix_bucket(host: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring_index(host, ".", -1)), F.lit(SUFFIX_BUCKETS)).cast("int")
 
 
+def suffix_rate(counts: list[tuple[int, int]], host: Column, told: Column) -> Column:
+    """The share of ``block`` among the labelled urls of the suffix's bucket, (labelled, blocked) in ``counts``; a labelled url's own label is left out."""
+    bucket = suffix_bucket(host) + 1
+    n, y = (F.element_at(F.array(*(F.lit(c[i]).cast("bigint") for c in counts)), bucket) for i in (0, 1))
+    own, block = told.isNotNull().cast("bigint"), F.coalesce((told == "block").cast("bigint"), F.lit(0).cast("bigint"))
+    return (y - block + 1) / (n - own + 2)
+
+
 def lexical_features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     text = F.coalesce(url, F.lit(""))
     n = F.length(text)
@@ -176,8 +184,9 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
 
     The longest fitting rule decides, else the trees. Null urls and urls
     without ``://`` have empty host and path and are left to the trees;
-    repeated rows come out once each; other columns are ignored; without a
-    url that a rule fits, everything else is allowed (score 0.5).
+    repeated rows come out once each; other columns are ignored; urls of any
+    length are read whole; without a url that a rule fits, everything else is
+    allowed (score 0.5).
     """
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
@@ -185,15 +194,11 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumn("rule", name).withColumn("_told", verdict)
     labelled = rows.where("_told is not null")
     sums = labelled.groupBy(suffix_bucket(F.col("host")).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_told") == "block").alias("y"))
-    rates = [0.5] * SUFFIX_BUCKETS
+    counts = [(0, 0)] * SUFFIX_BUCKETS
     for r in sums.collect():  # at most SUFFIX_BUCKETS rows
-        rates[r["b"]] = (r["y"] + 1) / (r["n"] + 2)
+        counts[r["b"]] = (r["n"], r["y"])
     features = lexical_features(F.col("url"), F.col("host"), F.col("path"))
-    known = {i: x for i, x in enumerate(rates) if x != 0.5}
-    features["suffix_rate"] = F.lit(0.5)
-    if known:
-        table = F.array(*(F.lit(x) for x in rates))
-        features["suffix_rate"] = F.element_at(table, suffix_bucket(F.col("host")) + 1)
+    features["suffix_rate"] = suffix_rate(counts, F.col("host"), F.col("_told"))
     names = list(STEPS)
     stepped = {f"_{x}": _step(features[x], STEPS[x]) for x in names}
     cells = labelled.withColumns(stepped).groupBy(*stepped).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_told") == "block").alias("y"))
