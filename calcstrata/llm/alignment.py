@@ -36,7 +36,7 @@ _UNCLEAR = re.compile(r"\s[ \n]")
 _SPACE = "▁"
 _MARKS = ".,!?;:|"
 #: Texts whose links are worked out at once, and texts whose postings are put together.
-PART_BYTES, BLOCK_BYTES = 2 << 20, 8 << 20
+PART_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 POSTINGS_A_ROW = 2048
 SUMS_AT_ONCE = 1 << 20
 #: A pair of ids and the place of a document in its block share 56 bits.
@@ -53,7 +53,7 @@ class Aligner:
     text are those of the units between such borders.
     """
 
-    def __init__(self, path_a: str, path_b: str, most_units: int = 400_000):
+    def __init__(self, path_a: str, path_b: str, most_units: int = 250_000):
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -347,7 +347,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, shares: int = 4, most_units: int = 400_000) -> DataFrame:
+def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, shares: int = 4, most_units: int = 250_000) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), one row for each row of ``docs``.
 
     A: a byte-level vocabulary for the tokenizers library, given a blank and
