@@ -23,6 +23,12 @@ def compare(new: DataFrame, old: DataFrame, key: str | list[str] = "path") -> Da
     return joined.withColumn("change", change).where("change is not null").drop("_new", "_old")
 
 
+def version_pairs(new: DataFrame, old: DataFrame, how: str = "inner") -> DataFrame:
+    """(file, new_hash, old_hash) of files (path, blob_hash) whose contents differ: those that both sides have, or with a full outer join all."""
+    side = lambda df, s: df.select(F.col("path").alias("file"), F.col("blob_hash").alias(f"{s}_hash"))
+    return side(new, "new").join(side(old, "old"), "file", how).where("not new_hash <=> old_hash")
+
+
 def overlay(parent: DataFrame, staged: DataFrame, key: str | list[str] = "path") -> DataFrame:
     """The parent's files, replaced and extended by the staged ones; nothing is ever deleted."""
     return parent.join(staged.select(*([key] if isinstance(key, str) else key)), key, "left_anti").unionByName(staged)

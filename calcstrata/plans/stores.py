@@ -92,6 +92,14 @@ def thermo_splits(spark, sf_dir):
     return parsed.groupBy(F.col("blob_hash").alias("log")).agg(pick("final_step").alias("step"), pick("final_temp").alias("temp"), F.coalesce(pick("run_steps"), F.lit(0.0)).cast("bigint").alias("run_steps"))
 
 
+def parent_versions(spark, sf_dir):
+    """The version before of every staged file that has another one; files without a parent, and equal ones, are not compared."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), _digest(F.coalesce("text", F.lit(""))).alias("blob_hash"))
+    labelled = _table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("path"), "quality").distinct()
+    parent = docs.join(labelled, "path").select("path", F.when(F.col("quality") == 1, F.col("blob_hash")).otherwise(_digest(F.concat("blob_hash", F.lit("before")))).alias("blob_hash"))
+    return snapshots.version_pairs(docs, parent)
+
+
 def noise_by_type(spark, sf_dir):
     """numbers of each type that differ by less and by more than the type's tolerance."""
     k = F.col("k")
@@ -197,7 +205,7 @@ def validators_apart(spark, sf_dir):
     return out.select("dir", "rule", "passed", "message", F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"))
 
 
-QUERIES = {f.__name__: f for f in (blob_lookup, blob_sizes, prefix_resolve, snapshot_at, snapshot_sizes, thermo_splits, noise_by_type, plugin_type_diff, plugin_type_rules, validators_apart)}
+QUERIES = {f.__name__: f for f in (blob_lookup, blob_sizes, prefix_resolve, snapshot_at, snapshot_sizes, parent_versions, thermo_splits, noise_by_type, plugin_type_diff, plugin_type_rules, validators_apart)}
 
 _CHAINS = "SELECT conv_id, turn, role, max(sha256(coalesce(text, ''))) AS blob_hash FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND role IS NOT NULL GROUP BY ALL"
 _PROPS = """SELECT o_orderkey AS k, o_orderkey % 17 = 0 AS old_bad, o_orderkey % 17 IN (0, 1) AS new_bad, CAST(o_orderkey % 90 - 5 + 0.5 AS DOUBLE) AS e, o_orderkey % 5 = 0 AS noise, o_orderkey AS os, o_orderkey + o_orderkey % 2 AS ns FROM orders"""
@@ -216,6 +224,7 @@ SELECT conv_id, CAST(sum((stop - 1) // 3 - turn // 3 + 1) AS BIGINT) AS n_stored
     "thermo_splits": """WITH e AS (SELECT user_id, event_type, event_id, value FROM events WHERE value IS NOT NULL)
 SELECT CAST(user_id AS VARCHAR) AS log, CAST(arg_max(hi, event_type) AS DOUBLE) AS step, arg_max(v, event_type) AS temp, CAST(sum(hi - lo) AS BIGINT) AS run_steps
 FROM (SELECT user_id, event_type, max(event_id) AS hi, min(event_id) AS lo, arg_max(value, event_id) AS v FROM e GROUP BY 1, 2) GROUP BY 1""",
+    "parent_versions": """SELECT d.doc_id AS file, sha256(coalesce(text, '')) AS new_hash, sha256(sha256(coalesce(text, '')) || 'before') AS old_hash FROM documents d JOIN (SELECT DISTINCT doc_id, quality FROM labels) l ON l.doc_id = d.doc_id WHERE quality = 0""",
     "noise_by_type": """WITH k AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 1)
 SELECT 'OUTCAR/' || k AS file, 'final_energy' AS path, '-10.25' AS old_value, '-10.250001' AS new_value, 'critical' AS significance FROM k UNION ALL SELECT 'ORCA_OUTPUT/' || k, 'final_energy', '-10.25', '-10.250001', 'critical' FROM k
 UNION ALL SELECT 'LAMMPS_LOG/' || k, 'final_etotal', '-10.25', '-10.250001', 'critical' FROM k UNION ALL SELECT 'LAMMPS_DATA/' || k, unnest(['lx', 'volume']), '10.25', '10.250001', 'critical' FROM k""",

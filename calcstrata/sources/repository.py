@@ -353,13 +353,9 @@ class Repository:
         own = extra.join(hashes.select("blob_hash").distinct(), "blob_hash", "left_semi").select("blob_hash", F.col("content").cast("string").alias("text"))
         return found.unionByName(own).dropDuplicates(["blob_hash"])
 
-    def _changed_pairs(self, new: DataFrame, old: DataFrame, how: str) -> DataFrame:
-        pairs = new.select(F.col("path").alias("file"), F.col("blob_hash").alias("new_hash")).join(old.select(F.col("path").alias("file"), F.col("blob_hash").alias("old_hash")), "file", how)
-        return pairs.where("not new_hash <=> old_hash")
-
     def _semantic(self, new: DataFrame, old: DataFrame, extra: DataFrame | None = None, how: str = "inner", state: dict | None = None) -> DataFrame:
         """Entries for files that both snapshots have (or one, with a full outer join); equal contents are neither fetched nor parsed."""
-        pairs = self._changed_pairs(new, old, how).withColumn("file_type", registry.type_of(F.col("file"))).where(F.col("file_type").isin(*registry.PARSERS))
+        pairs = snapshots.version_pairs(new, old, how).withColumn("file_type", registry.type_of(F.col("file"))).where(F.col("file_type").isin(*registry.PARSERS))
         types = [r["file_type"] for r in pairs.select("file_type").distinct().collect()]  # at most one for each parser
         version = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_hash").alias("blob_hash"))
         sides = pairs.select("file", "file_type", F.inline(F.array(version("new"), version("old")))).where("blob_hash is not null")
@@ -393,7 +389,7 @@ class Repository:
         new, old, disk = self._sides(rev1, rev2, path)
         if path is not None:
             new, old = new.where(F.col("path") == path), old.where(F.col("path") == path)
-        pairs = self._changed_pairs(new, old, "full_outer")
+        pairs = snapshots.version_pairs(new, old, "full_outer")
         hashes = pairs.select(F.explode(F.array("new_hash", "old_hash")).alias("blob_hash")).where("blob_hash is not null")
         texts = self._texts(hashes, None, disk)
         for side in ("new", "old"):
