@@ -119,7 +119,7 @@ class DacFile:
         return out
 
 
-def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int = 4_000_000, cache_words: int = 400_000) -> DataFrame:
+def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int, file_tokens: int = 4_000_000, cache_words: int = 600_000) -> DataFrame:
     """Files (shard, part, n_tokens, n_docs, file) of all documents, in ascending doc_id order over shard and part.
 
     A document's ids are followed by ``end_id``. Null texts count as empty,
