@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..parsers import registry
-from ..parsers.dft import incar_entries, incar_unreadable, incar_value, lines_of
-from ..parsers.values import ERROR
-from .validate import Rule, apply_rules
+from ..parsers.dft import incar_entries, incar_unreadable, incar_value, kpoints_unreadable, lines_of
+from ..parsers.values import ERROR, computed
+from .validate import Rule, apply_rules, messages, told
 
 
 #: Rules of further types: functions of a look-up (name -> struct<kind,num,value>) that give rules, by type.
@@ -68,7 +68,7 @@ def validate(files: DataFrame, types: list[str] | None = None) -> DataFrame:
     parsed = registry.facts_of(files, types)
     entry = F.struct("path", F.struct("kind", "num", "value"))
     maps = parsed.groupBy("blob_hash", "file_type").agg(F.map_from_entries(F.collect_list(entry)).alias("f"))
-    rows = files.select("file", "file_type", "blob_hash").join(maps, ["blob_hash", "file_type"], "left")
+    rows = files.select("file", "file_type", "blob_hash").join(maps.hint("merge"), ["blob_hash", "file_type"], "left")
     return apply_rules(rows, _fact_rules()).select("file", "file_type", "passed", "errors", "warnings")
 
 
@@ -83,25 +83,56 @@ class Validator:
     rules: Callable[[], list[Rule]] | None = None
     #: Instead of rules: from the texts of a directory by name to its errors and warnings, called in the tasks.
     check: Callable[[dict[str, str | None]], tuple[list[str], list[str]]] | None = None
+    #: Adds columns that the rules share, so that they are computed once a directory.
+    prepare: Callable[[DataFrame], DataFrame] | None = None
 
 
 def _content(text: Column) -> Column:
     return F.filter(lines_of(text), lambda x: F.trim(x) != "")
 
 
-def poscar_elements(text: Column) -> Column:
-    return S.words(F.get(_content(text), F.lit(5)))
+def _elements(lines: Column) -> Column:
+    return S.words(F.get(lines, F.lit(5)))
 
 
-def poscar_counts(text: Column) -> Column:
+def _counts(lines: Column) -> Column:
     """Atom counts; null unless all are whole numbers."""
-    n = F.transform(S.words(F.get(_content(text), F.lit(6))), lambda w: F.when(S.is_integer(w), w.try_cast("bigint")))
+    n = F.transform(S.words(F.get(lines, F.lit(6))), lambda w: F.when(S.is_integer(w), w.try_cast("bigint")))
     return F.when((F.size(n) > 0) & F.forall(n, lambda x: x.isNotNull()), n)
 
 
-def poscar_readable(text: Column) -> Column:
-    """Whether elements and counts are where they belong."""
-    return F.coalesce(poscar_counts(text).isNotNull() & (F.size(_content(text)) >= 8), F.lit(False))
+def _with_poscar(wide: DataFrame) -> DataFrame:
+    """Adds the POSCAR's lines, elements, counts and atoms, and whether elements and counts are where they belong."""
+    if "_poscar" in wide.columns:
+        return wide
+    rows = computed(wide, _lines=_content(F.col("POSCAR")))
+    rows = computed(rows, _elements=_elements(F.col("_lines")), _counts=_counts(F.col("_lines")))
+    atoms = F.aggregate("_counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    readable = F.coalesce(F.col("_counts").isNotNull() & (F.size("_lines") >= 8), F.lit(False))
+    return computed(rows, _poscar=F.struct("_lines", "_elements", "_counts", atoms.alias("atoms"), readable.alias("readable"))).drop("_lines", "_elements", "_counts")
+
+
+def _with_elements(wide: DataFrame) -> DataFrame:
+    """Adds the elements of both files and where they differ."""
+    rows = computed(_with_poscar(wide), _potcar=potcar_elements(F.col("POTCAR")))
+    a, b = F.col("_poscar._elements"), F.col("_potcar")
+    places = F.filter(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: F.when(z["a"].isNotNull() & z["b"].isNotNull() & (z["a"] != z["b"]), F.concat((i + 1).cast("string"), F.lit(": "), z["a"], F.lit(" vs "), z["b"]))), lambda m: m.isNotNull())
+    return computed(rows, _missing=F.array_except(a, b), _extra=F.array_except(b, a), _places=places)
+
+
+#: Tags of an INCAR that are checked against the POSCAR.
+LISTS, NUMBERS = ("MAGMOM", "LDAUU", "LDAUJ", "LDAUL"), ("ISPIN", "NSW", "ISIF")
+
+
+def _with_incar(wide: DataFrame) -> DataFrame:
+    """Adds the INCAR's raw values, the lengths of its lists and its numbers, and whether it can be read."""
+    rows = computed(_with_poscar(wide), _entries=incar_entries(F.col("INCAR")))
+    raw = lambda tag: F.try_element_at(F.filter("_entries", lambda x: x["tag"] == tag), F.lit(-1))["raw"]
+    told = ~F.coalesce(incar_unreadable(F.col("INCAR"), F.col("_entries")), F.lit(True))
+    rows = computed(rows, _told=told, _raw=F.struct(*(raw(t).alias(t) for t in (*LISTS, *NUMBERS)))).drop("_entries")
+    sizes = F.struct(*(F.size(S.expanded(F.col(f"_raw.{t}"))).alias(t) for t in LISTS))
+    numbers = F.struct(*(incar_value(F.lit(t), F.col(f"_raw.{t}"))["num"].alias(t) for t in NUMBERS))
+    return computed(rows, _size=sizes, _number=numbers)
 
 
 def potcar_elements(text: Column) -> Column:
@@ -111,11 +142,10 @@ def potcar_elements(text: Column) -> Column:
 
 
 def _poscar_potcar() -> list[Rule]:
-    a, b = poscar_elements(F.col("POSCAR")), potcar_elements(F.col("POTCAR"))
+    a, b, readable = F.col("_poscar._elements"), F.col("_potcar"), F.col("_poscar.readable")
     there = F.col("POSCAR").isNotNull() & F.col("POTCAR").isNotNull()
-    both = there & poscar_readable(F.col("POSCAR"))
-    missing, extra = F.array_except(a, b), F.array_except(b, a)
-    places = F.filter(F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z, i: F.when(z["a"].isNotNull() & z["b"].isNotNull() & (z["a"] != z["b"]), F.concat((i + 1).cast("string"), F.lit(": "), z["a"], F.lit(" vs "), z["b"]))), lambda m: m.isNotNull())
+    both = there & readable
+    missing, extra, places = F.col("_missing"), F.col("_extra"), F.col("_places")
     differ = both & ~a.eqNullSafe(b)
     return [
         Rule("V12", "warning", F.col("POTCAR").isNull(), "POTCAR is missing"),
@@ -128,39 +158,35 @@ def _poscar_potcar() -> list[Rule]:
 
 
 def _incar_poscar() -> list[Rule]:
-    entries = incar_entries(F.col("INCAR"))
-    raw = lambda tag: F.try_element_at(F.filter(entries, lambda x: x["tag"] == tag), F.lit(-1))["raw"]
-    number = lambda tag: incar_value(F.lit(tag), raw(tag))["num"]
-    counts = poscar_counts(F.col("POSCAR"))
-    species, atoms = F.size(poscar_elements(F.col("POSCAR"))), F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    told = ~F.coalesce(incar_unreadable(F.col("INCAR"), entries), F.lit(True))
-    readable = poscar_readable(F.col("POSCAR")) & told
-    moments = F.size(S.expanded(raw("MAGMOM")))
+    raw, number = (lambda tag: F.col(f"_raw.{tag}")), (lambda tag: F.col(f"_number.{tag}"))
+    species, atoms, told = F.size("_poscar._elements"), F.col("_poscar.atoms"), F.col("_told")
+    readable = F.col("_poscar.readable") & told
+    moments = F.col("_size.MAGMOM")
     rules = [
-        Rule("V19", "warning", ~poscar_readable(F.col("POSCAR")), "POSCAR cannot be read, checks skipped"),
+        Rule("V19", "warning", ~F.col("_poscar.readable"), "POSCAR cannot be read, checks skipped"),
         Rule("V19", "warning", ~told, "INCAR cannot be read, checks skipped"),
         Rule("V13", "error", readable & raw("MAGMOM").isNotNull() & (moments != atoms), F.concat(F.lit("MAGMOM has "), moments.cast("string"), F.lit(" values for "), atoms.cast("string"), F.lit(" atoms"))),
         Rule("V15", "warning", readable & (number("ISPIN") == 2) & raw("MAGMOM").isNull(), "ISPIN = 2 without MAGMOM"),
         Rule("V16", "warning", readable & (F.coalesce(number("NSW"), F.lit(0.0)) == 0) & S.is_integer(raw("ISIF")) & (number("ISIF") >= 3), "NSW = 0 makes ISIF of 3 or more useless"),
     ]
     for tag in ("LDAUU", "LDAUJ", "LDAUL"):
-        n = F.size(S.expanded(raw(tag)))
+        n = F.col(f"_size.{tag}")
         rules.append(Rule("V14", "error", readable & (n > 1) & (n != species), F.concat(F.lit(f"{tag} has "), n.cast("string"), F.lit(" values for "), species.cast("string"), F.lit(" species"))))
     return rules
 
 
 def _file_format() -> list[Rule]:
-    c = _content(F.col("POSCAR"))
+    c = F.col("_poscar._lines")
     line = lambda i: F.coalesce(F.get(c, F.lit(i)), F.lit(""))
     there = F.col("POSCAR").isNotNull()
     long_enough = there & (F.size(c) >= 8)
     scale = S.as_number(F.get(S.words(line(1)), F.lit(0)))
     lattice = F.exists(F.slice(c, 3, 3), lambda x: ~((F.size(S.words(x)) >= 3) & F.forall(F.slice(S.words(x), 1, 3), lambda w: S.as_number(w).isNotNull())))
     elements, count_words = S.words(line(5)), S.words(line(6))
-    counts = poscar_counts(F.col("POSCAR"))
+    counts = F.col("_poscar._counts")
     mode_at = F.when(F.upper(F.substring(line(7), 1, 1)) == "S", 8).otherwise(7)
     mode = F.upper(F.substring(F.trim(F.coalesce(F.get(c, mode_at), F.lit(""))), 1, 1))
-    atoms = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    atoms = F.col("_poscar.atoms")
     rows = F.size(c) - mode_at - 1
     return [
         Rule("V17", "error", there & (F.size(c) < 8), "POSCAR has fewer than 8 lines"),
@@ -182,9 +208,9 @@ def _has(*names: str) -> Callable[[], Column]:
 VALIDATORS: dict[str, Validator] = {
     v.name: v
     for v in (
-        Validator("file-format", 5, False, lambda: F.arrays_overlap("names", F.array(*map(F.lit, ("INCAR", "KPOINTS", "POSCAR")))), _file_format),
-        Validator("poscar-potcar", 10, True, lambda: F.array_contains("names", "POSCAR"), _poscar_potcar),
-        Validator("incar-poscar", 20, True, _has("INCAR", "POSCAR"), _incar_poscar),
+        Validator("file-format", 5, False, lambda: F.arrays_overlap("names", F.array(*map(F.lit, ("INCAR", "KPOINTS", "POSCAR")))), _file_format, prepare=_with_poscar),
+        Validator("poscar-potcar", 10, True, lambda: F.array_contains("names", "POSCAR"), _poscar_potcar, prepare=_with_elements),
+        Validator("incar-poscar", 20, True, _has("INCAR", "POSCAR"), _incar_poscar, prepare=_with_incar),
     )
 }
 
@@ -203,16 +229,23 @@ def enabled_validators(config: dict[str, bool] | None = None) -> list[Validator]
 _RESULT = "dir string, rule string, priority int, passed boolean, message string, errors array<string>, warnings array<string>"
 
 
-def directories(files: DataFrame) -> DataFrame:
-    """One row a directory of files (path, text): dir, names, a text column for each named file, bad_inputs."""
+def directories(files: DataFrame, inputs: bool = True) -> DataFrame:
+    """One row a directory of files (path, text): dir, names, a text column for each named file, bad_inputs (left out without ``inputs``).
+
+    INCAR and KPOINTS are looked at in the row of their directory's file, so
+    no text is shuffled for that.
+    """
     name = F.upper(S.basename(F.col("path")))
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    rows = files.select(folder.alias("dir"), name.alias("name"), "path", "text").where(F.col("name").isin("POSCAR", "POTCAR", "INCAR", "KPOINTS"))
-    inputs = rows.where(F.col("name").isin("INCAR", "KPOINTS")).select("dir", F.sha2(F.col("text").cast("binary"), 256).alias("blob_hash"), F.col("name").alias("file_type"), "text")
-    bad = registry.facts_of(inputs, ["INCAR", "KPOINTS"]).where(F.col("path") == ERROR)
-    bad = inputs.select("dir", "blob_hash", "file_type").join(bad, ["blob_hash", "file_type"]).groupBy("dir").agg(F.array_join(F.array_sort(F.collect_set(F.concat("file_type", F.lit(" cannot be parsed")))), "; ").alias("bad_inputs"))
-    wide = rows.groupBy("dir").agg(F.collect_set("name").alias("names"), *(F.max(F.when(F.col("name") == n, F.col("text"))).alias(n) for n in ("POSCAR", "POTCAR", "INCAR", "KPOINTS")))
-    return wide.join(bad, "dir", "left").withColumn("bad_inputs", F.coalesce("bad_inputs", F.lit("")))
+    rows = files.select(folder.alias("dir"), name.alias("name"), "text").where(F.col("name").isin(*NAMED))
+    wide = rows.groupBy("dir").agg(F.collect_set("name").alias("names"), *(F.max(F.when(F.col("name") == n, F.col("text"))).alias(n) for n in NAMED))
+    if not inputs:
+        return wide
+    own = lambda n: rows.where(F.col("name") == n).select("dir", "text")
+    incar = computed(own("INCAR"), e=incar_entries(F.col("text"))).where(incar_unreadable(F.col("text"), F.col("e")))
+    bad = incar.select("dir", F.lit("INCAR").alias("name")).unionByName(kpoints_unreadable(own("KPOINTS")).select("dir", F.lit("KPOINTS").alias("name")))
+    bad = bad.groupBy("dir").agg(F.array_join(F.array_sort(F.collect_set(F.concat("name", F.lit(" cannot be parsed")))), "; ").alias("bad_inputs"))
+    return wide.join(bad.hint("merge"), "dir", "left").withColumn("bad_inputs", F.coalesce("bad_inputs", F.lit("")))
 
 
 NAMED = ("POSCAR", "POTCAR", "INCAR", "KPOINTS")
@@ -238,12 +271,38 @@ def _checked(wide: DataFrame, check: Callable) -> DataFrame:
     return rows.withColumn("passed", F.size("errors") == 0)
 
 
+def _summary() -> Column:
+    return F.when(F.col("passed"), "ok").otherwise(F.concat(F.size("errors").cast("string"), F.lit(" problem(s)")))
+
+
+def judged_together(wide: DataFrame, validators: list[Validator]) -> DataFrame:
+    """Results of several validators by rules from one pass over the directories."""
+    keep = wide.columns
+    rows, results = wide, []
+    for i, v in enumerate(validators):
+        rows = v.prepare(rows) if v.prepare else rows
+        rules = v.rules()
+        found = F.struct(F.lit(v.name).alias("rule"), F.lit(v.priority).alias("priority"), messages(rules, "error").alias("errors"), messages(rules, "warning").alias("warnings"))
+        rows = computed(rows, **{f"_result{i}": F.when(v.applies(), found)})
+        results.append(f"_result{i}")
+        keep = [*wide.columns, *results, *(["_poscar"] if "_poscar" in rows.columns else [])]
+        rows = rows.select(*keep)
+    rows = rows.select("dir", F.explode(F.array(*results)).alias("r")).where("r is not null")
+    rows = rows.select("dir", "r.rule", "r.priority", told(F.col("r.errors")).alias("errors"), told(F.col("r.warnings")).alias("warnings"))
+    rows = rows.withColumn("passed", F.size("errors") == 0)
+    return rows.select("dir", "rule", "priority", "passed", _summary().alias("message"), "errors", "warnings")
+
+
 def judged(wide: DataFrame, validator: Validator) -> DataFrame:
     """Results of one validator in the directories to which it applies."""
     own = wide.where(validator.applies())
-    told = _checked(own, validator.check) if validator.check else apply_rules(own, validator.rules()).withColumn("crash", F.lit(None).cast("string"))
-    message = F.when(F.col("crash").isNotNull(), F.concat(F.lit("the validator failed: "), "crash")).when(F.col("passed"), "ok").otherwise(F.concat(F.size("errors").cast("string"), F.lit(" problem(s)")))
-    return told.select("dir", F.lit(validator.name).alias("rule"), F.lit(validator.priority).alias("priority"), "passed", message.alias("message"), "errors", "warnings")
+    if validator.check:
+        found = _checked(own, validator.check)
+    else:
+        own = validator.prepare(own) if validator.prepare else own
+        found = apply_rules(own, validator.rules()).withColumn("crash", F.lit(None).cast("string"))
+    message = F.when(F.col("crash").isNotNull(), F.concat(F.lit("the validator failed: "), "crash")).otherwise(_summary())
+    return found.select("dir", F.lit(validator.name).alias("rule"), F.lit(validator.priority).alias("priority"), "passed", message.alias("message"), "errors", "warnings")
 
 
 def crashed(wide: DataFrame, validator: Validator, problem: Exception) -> DataFrame:
@@ -298,8 +357,13 @@ def run_validators(files: DataFrame, config: dict[str, bool] | None = None, isol
     run by itself, and one that raises fails only in the directories in which
     it does (see ``held_apart``). Nothing is kept in memory.
     """
-    wide = directories(files)
     validators = enabled_validators(config) if chosen is None else chosen
+    wide = directories(files, any(v.check is None and v.rules not in (_poscar_potcar, _incar_poscar) for v in validators))
+    if validators and not isolate and all(v.check is None for v in validators):
+        try:
+            return judged_together(wide, validators)
+        except Exception:  # one of them cannot be planned: each by itself
+            pass
     each = []
     for v in validators:
         try:

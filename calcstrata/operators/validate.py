@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..parsers.values import computed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -19,13 +21,21 @@ class Rule:
 
 
 def messages(rules: list[Rule], level: str) -> Column:
+    """A message or null for each rule of the level, in order."""
     own = [F.when(r.broken, F.lit(r.message) if isinstance(r.message, str) else r.message) for r in rules if r.level == level]
-    if not own:
-        return F.array().cast("array<string>")
-    return F.filter(F.array(*own), lambda m: m.isNotNull())
+    return F.array(*own).cast("array<string>")
+
+
+def told(messages: Column) -> Column:
+    return F.filter(messages, lambda m: m.isNotNull())
 
 
 def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds errors, warnings and passed (no error)."""
-    out = df.withColumn("errors", messages(rules, "error")).withColumn("warnings", messages(rules, "warning"))
+    """Adds errors, warnings and passed (no error).
+
+    The rules are evaluated before their messages are filtered: inside of the
+    filter they would not be in generated code.
+    """
+    out = computed(df, _errors=messages(rules, "error"), _warnings=messages(rules, "warning"))
+    out = out.select(*df.columns, told(F.col("_errors")).alias("errors"), told(F.col("_warnings")).alias("warnings"))
     return out.withColumn("passed", F.size("errors") == 0)

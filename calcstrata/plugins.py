@@ -98,9 +98,12 @@ class ParserPlugin(Plugin):
 class _Builtin(ValidatorPlugin):
     def __init__(self, v: files.Validator):
         self.name, self.priority, self.enabled_by_default = v.name, v.priority, v.enabled
-        self.applies, self.rules = v.applies, v.rules
+        self.applies, self.rules, self.validator = v.applies, v.rules, v
         self.description = (v.rules.__doc__ or "built in").strip()
 
+    def as_validator(self) -> files.Validator:
+        return self.validator
+
 
 def read_settings(text: str | None) -> dict:
     """Settings of plug-ins by name; missing or corrupt ones are no settings."""
