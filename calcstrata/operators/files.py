@@ -13,50 +13,54 @@ from ..functions import scalars as S
 from ..parsers import registry
 from ..parsers.dft import incar_entries, incar_unreadable, incar_value, kpoints_unreadable, lines_of
 from ..parsers.values import ERROR, computed
-from .validate import Rule, apply_rules, messages, told
+from .validate import Rule, apply_rules, messages, told, with_messages
 
 
 #: Rules of further types: functions of a look-up (name -> struct<kind,num,value>) that give rules, by type.
 TYPE_RULES: dict[str, Callable[[Callable[[str], Column]], list[Rule]]] = {}
 
 
-def _fact_rules() -> list[Rule]:
+def _fact_rules(types: list[str] | None = None) -> tuple[dict[str, list[Rule]], Rule, set[str]]:
+    """Rules of these types, or of all, by type; the rule that silences them; and the facts that they look at."""
+    names: set[str] = set()
+
     def fact(name: str) -> Column:
+        names.add(name)
         return F.try_element_at("f", F.lit(name))
 
     num, kind, value = (lambda n: fact(n)["num"]), (lambda n: fact(n)["kind"]), (lambda n: fact(n)["value"])
-    of = lambda t, c: (F.col("file_type") == t) & c
     numeric = lambda n: kind(n).isin("int", "double")
     whole = lambda n: kind(n) == "int"
     absent = lambda n: fact(n).isNull()
+    parse = Rule("parse", "error", ~absent(ERROR), F.concat(F.lit("cannot be parsed: "), value(ERROR)))
     rules = [
-        Rule("parse", "error", ~absent(ERROR), F.concat(F.lit("cannot be parsed: "), value(ERROR))),
-        Rule("V1", "error", of("INCAR", numeric("ENCUT") & (num("ENCUT") <= 0)), "ENCUT must be positive"),
-        Rule("V2", "error", of("INCAR", whole("ISMEAR") & ~num("ISMEAR").between(-5, 5)), "ISMEAR must be from -5 to 5"),
-        Rule("V3", "error", of("INCAR", numeric("SIGMA") & (num("SIGMA") <= 0)), "SIGMA must be positive"),
-        Rule("V4", "error", of("INCAR", whole("NSW") & (num("NSW") < 0)), "NSW must not be negative"),
-        Rule("V5", "error", of("INCAR", (num("ISMEAR") == 0) & (num("SIGMA") > 0.2)), "SIGMA over 0.2 is too wide for ISMEAR 0"),
-        Rule("V6", "error", of("OUTCAR", (num("is_stopped") == 1) | absent("final_energy")), "the run stopped or has no final energy"),
-        Rule("V7a", "error", of("LAMMPS_INPUT", absent("units")), "units are missing"),
-        Rule("V7b", "error", of("LAMMPS_INPUT", absent("pair_style")), "pair_style is missing"),
-        Rule("V7c", "error", of("LAMMPS_INPUT", numeric("timestep") & (num("timestep") <= 0)), "timestep must be positive"),
-        Rule("V8a", "error", of("LAMMPS_DATA", F.coalesce(num("num_atoms"), F.lit(0.0)) <= 0), "there must be atoms"),
-        Rule("V8b", "error", of("LAMMPS_DATA", num("num_atom_types") <= 0), "there must be atom types"),
-        Rule("V9a", "error", of("LAMMPS_LOG", num("completed") == 0), "the run did not complete"),
-        Rule("V9b", "error", of("LAMMPS_LOG", num("num_atoms") <= 0), "there must be atoms"),
-        Rule("V10a", "error", of("ORCA_INPUT", absent("keywords") | (value("keywords") == "[]")), "keywords are missing"),
-        Rule("V10b", "error", of("ORCA_INPUT", absent("charge")), "the charge is missing"),
-        Rule("V10c", "error", of("ORCA_INPUT", num("multiplicity") < 1), "the multiplicity must be at least 1"),
-        Rule("V11a", "error", of("ORCA_OUTPUT", ~F.coalesce(value("termination_status") == '"normal"', F.lit(False))), "the run did not end normally"),
-        Rule("V11b", "error", of("ORCA_OUTPUT", absent("final_energy")), "there is no final energy"),
-        Rule("V11c", "error", of("ORCA_OUTPUT", num("optimization_converged") == 0), "the optimization did not converge"),
+        ("INCAR", Rule("V1", "error", numeric("ENCUT") & (num("ENCUT") <= 0), "ENCUT must be positive")),
+        ("INCAR", Rule("V2", "error", whole("ISMEAR") & ~num("ISMEAR").between(-5, 5), "ISMEAR must be from -5 to 5")),
+        ("INCAR", Rule("V3", "error", numeric("SIGMA") & (num("SIGMA") <= 0), "SIGMA must be positive")),
+        ("INCAR", Rule("V4", "error", whole("NSW") & (num("NSW") < 0), "NSW must not be negative")),
+        ("INCAR", Rule("V5", "error", (num("ISMEAR") == 0) & (num("SIGMA") > 0.2), "SIGMA over 0.2 is too wide for ISMEAR 0")),
+        ("OUTCAR", Rule("V6", "error", (num("is_stopped") == 1) | absent("final_energy"), "the run stopped or has no final energy")),
+        ("LAMMPS_INPUT", Rule("V7a", "error", absent("units"), "units are missing")),
+        ("LAMMPS_INPUT", Rule("V7b", "error", absent("pair_style"), "pair_style is missing")),
+        ("LAMMPS_INPUT", Rule("V7c", "error", numeric("timestep") & (num("timestep") <= 0), "timestep must be positive")),
+        ("LAMMPS_DATA", Rule("V8a", "error", F.coalesce(num("num_atoms"), F.lit(0.0)) <= 0, "there must be atoms")),
+        ("LAMMPS_DATA", Rule("V8b", "error", num("num_atom_types") <= 0, "there must be atom types")),
+        ("LAMMPS_LOG", Rule("V9a", "error", num("completed") == 0, "the run did not complete")),
+        ("LAMMPS_LOG", Rule("V9b", "error", num("num_atoms") <= 0, "there must be atoms")),
+        ("ORCA_INPUT", Rule("V10a", "error", absent("keywords") | (value("keywords") == "[]"), "keywords are missing")),
+        ("ORCA_INPUT", Rule("V10b", "error", absent("charge"), "the charge is missing")),
+        ("ORCA_INPUT", Rule("V10c", "error", num("multiplicity") < 1, "the multiplicity must be at least 1")),
+        ("ORCA_OUTPUT", Rule("V11a", "error", ~F.coalesce(value("termination_status") == '"normal"', F.lit(False)), "the run did not end normally")),
+        ("ORCA_OUTPUT", Rule("V11b", "error", absent("final_energy"), "there is no final energy")),
+        ("ORCA_OUTPUT", Rule("V11c", "error", num("optimization_converged") == 0, "the optimization did not converge")),
     ]
-    for side in ("lx", "ly", "lz"):
-        rules.append(Rule(f"V8{side}", "error", of("LAMMPS_DATA", num(side) <= 0), f"{side} must be positive"))
-    for kind, own in TYPE_RULES.items():
-        rules += [Rule(r.name, r.level, of(kind, r.broken), r.message) for r in own(fact)]
-    parse, *rest = rules
-    return [parse, *(Rule(r.name, r.level, r.broken & absent(ERROR), r.message) for r in rest)]
+    rules += [("LAMMPS_DATA", Rule(f"V8{side}", "error", num(side) <= 0, f"{side} must be positive")) for side in ("lx", "ly", "lz")]
+    rules += [(kind, r) for kind, own in TYPE_RULES.items() for r in own(fact)]
+    by_type: dict[str, list[Rule]] = {}
+    for kind, r in rules:
+        if types is None or kind in types:
+            by_type.setdefault(kind, []).append(r)
+    return by_type, parse, names
 
 
 def validate(files: DataFrame, types: list[str] | None = None) -> DataFrame:
@@ -65,11 +69,20 @@ def validate(files: DataFrame, types: list[str] | None = None) -> DataFrame:
     ``types`` names the types that occur, if they are known: only their
     parsers are planned.
     """
-    parsed = registry.facts_of(files, types)
+    by_type, parse, names = _fact_rules(types)
+    parsed = registry.facts_of(files, types).where(F.col("path").isin(*names))
     entry = F.struct("path", F.struct("kind", "num", "value"))
     maps = parsed.groupBy("blob_hash", "file_type").agg(F.map_from_entries(F.collect_list(entry)).alias("f"))
     rows = files.select("file", "file_type", "blob_hash").join(maps.hint("merge"), ["blob_hash", "file_type"], "left")
-    return apply_rules(rows, _fact_rules()).select("file", "file_type", "passed", "errors", "warnings")
+
+    def own(level: str) -> Column:
+        """A row meets the rules of its type only; what cannot be parsed meets none."""
+        out = F.when(parse.broken, messages([parse], level))
+        for kind, rules in by_type.items():
+            out = out.when(F.col("file_type") == kind, messages(rules, level))
+        return out.otherwise(F.array().cast("array<string>"))
+
+    return with_messages(rows, own("error"), own("warning")).select("file", "file_type", "passed", "errors", "warnings")
 
 
 @dataclass(frozen=True)

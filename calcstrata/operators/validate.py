@@ -30,12 +30,16 @@ def told(messages: Column) -> Column:
     return F.filter(messages, lambda m: m.isNotNull())
 
 
-def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds errors, warnings and passed (no error).
+def with_messages(df: DataFrame, errors: Column, warnings: Column) -> DataFrame:
+    """Adds errors, warnings and passed (no error), from a message or null for each rule.
 
     The rules are evaluated before their messages are filtered: inside of the
     filter they would not be in generated code.
     """
-    out = computed(df, _errors=messages(rules, "error"), _warnings=messages(rules, "warning"))
+    out = computed(df, _errors=errors, _warnings=warnings)
     out = out.select(*df.columns, told(F.col("_errors")).alias("errors"), told(F.col("_warnings")).alias("warnings"))
     return out.withColumn("passed", F.size("errors") == 0)
+
+
+def apply_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    return with_messages(df, messages(rules, "error"), messages(rules, "warning"))

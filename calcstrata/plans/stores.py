@@ -131,7 +131,7 @@ class Props(ParserPlugin):
         return F.lower(path).endswith(".props")
 
     def parse(self, table):
-        pairs = F.transform(F.filter(F.split("text", "\n"), lambda x: x.contains(": ")), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("path"), V.number_or_text(F.regexp_replace(x, "^[^:]*: ", "")).alias("v")))
+        pairs = F.transform(F.filter(F.split("text", "\n"), lambda x: x.contains(": ")), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("path"), F.lit("word").alias("mode"), F.regexp_replace(x, "^[^:]*: ", "").alias("text")))
         return V.long_facts(V.computed(table, p=pairs), {}, F.when(F.size("p") == 0, "no properties"), more=F.col("p"))
 
     def rules(self, fact):
