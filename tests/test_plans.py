@@ -70,3 +70,8 @@ def test_rules_of_all_types_at_once(spark):
     assert got["c"] == ["there must be atoms", "there must be atom types", "lx must be positive"] and got["e"] == ["units are missing", "pair_style is missing"]
     facts = {r["path"]: r["value"] for r in registry.facts_of(table, ["LAMMPS_INPUT"]).collect()}
     assert facts["fix_npt"] == '{"style":"npt","Tstart":1.0,"Tstop":2.0,"Tdamp":3.0,"press_style":null}'
+
+
+@pytest.mark.parametrize("name", ["diff_generated", "render_default", "render_detailed", "render_compact"])
+def test_no_side_of_compared_files_is_broadcast(spark, name):
+    assert "Broadcast" not in plan(catalog.QUERIES[name](spark, SF))
