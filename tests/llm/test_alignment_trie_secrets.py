@@ -5,9 +5,12 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -201,6 +204,44 @@ def test_alignment(spark, shares):
     assert alignment.align(spark, df.limit(0), *paths).count() == 0
 
 
+THREADS = """import os, sys
+from calcstrata.llm import alignment
+aligner = alignment.Aligner(*sys.argv[1:])
+before = len(os.listdir("/proc/self/task"))
+aligner.ids([" ".join(f"w{i}x{i}" for i in range(2000))])
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.isdir("/proc/self/task"), reason="no /proc")
+def test_alignment_starts_no_threads():
+    """Spark runs a worker for each core; threads of the library beside them only take time from each other."""
+    P = pytest.importorskip("public_tokenizers")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    out = subprocess.run([sys.executable, "-c", THREADS, str(P.path("byte_bpe_50k.json")), str(P.path("piece_bpe_32k.model"))], env=env, capture_output=True, text=True, check=True, timeout=120)
+    assert out.stdout.split()[-1] == "0"
+
+
+def test_alignment_gives_words_to_the_model_alone():
+    """Words of letters skip the library's cutting, the rest does not; ids are those of the whole library."""
+    P = pytest.importorskip("public_tokenizers")
+    aligner = alignment.Aligner(str(P.path("byte_bpe_50k.json")), str(P.path("piece_bpe_32k.model")))
+    words = [" fox", "fox", " Straße", " naïve", " ｗｉｄｅ", " слово", " 汉字", " ǅabc", " " + "é" * 300, " endoftext"]
+    rest = [" ", "\n", "\nfox", " don't", " x1", " e\u0301t", " <|endoftext|>", " 12", "..."]
+    want = [e.ids for e in aligner.a.encode_batch(words + rest, add_special_tokens=False)]
+    whole, asked = aligner.a, []
+
+    class Spy:
+        def encode_batch_fast(self, units, **kw):
+            asked.extend(units)
+            return whole.encode_batch_fast(units, **kw)
+
+    aligner.a = Spy()
+    got = [a for a, _ in aligner._encode(words + rest)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == want
+    assert asked == rest
+
+
 def test_alignment_forgets_and_cuts(monkeypatch):
     """Results do not depend on what is remembered, nor on the size of parts and rows."""
     P = pytest.importorskip("public_tokenizers")
