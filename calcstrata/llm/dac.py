@@ -163,7 +163,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: i
         if doc_ids:
             yield file()
 
-    return stored(spark, rows.mapInArrow(then_give_back(write), "shard int, part int, n_tokens long, n_docs long, file binary"), "token-files")
+    return stored(spark, rows.mapInArrow(then_give_back(write, keep_words=True), "shard int, part int, n_tokens long, n_docs long, file binary"), "token-files")
 
 
 def read_tokens(files: DataFrame) -> DataFrame:

@@ -135,7 +135,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, k
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block long, nth long"
-    return rows.mapInArrow(then_give_back(cut), schema + (", ids binary" if keep_ids else ""))
+    return rows.mapInArrow(then_give_back(cut, keep_words=True), schema + (", ids binary" if keep_ids else ""))
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 2048, keep_ids: bool = False, cache_words: int = 300_000) -> DataFrame:

@@ -149,3 +149,10 @@ def word_cache(path: str, most_words: int = 1_200_000) -> WordCache:
         _CACHES[path] = WordCache(path)
     _CACHES[path].most = most_words
     return _CACHES[path]
+
+
+def forget_words() -> bool:
+    """Drop the caches of this worker; whether there were any."""
+    known = bool(_CACHES)
+    _CACHES.clear()
+    return known

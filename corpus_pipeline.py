@@ -13,37 +13,43 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from calcstrata.llm import decontaminate, packing, quality, simhash, suffixes
-from calcstrata.llm.common import documents, importable, stored
+from calcstrata.llm.common import documents, importable, small_batches, stored
 from calcstrata.llm.queries import vocabulary
 
 
+def ready(spark: SparkSession) -> None:
+    """Before each stage: workers find the package, and batches of texts stay small."""
+    importable(spark)
+    small_batches(spark)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    importable(spark)
+    ready(spark)
     return quality.keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each near-duplicate group (five words, similarity 0.8)."""
-    importable(spark)
+    ready(spark)
     return simhash.keep_one(spark, docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 50 bytes or more that a document of smaller id has."""
-    importable(spark)
+    ready(spark)
     return suffixes.without_repeats(spark, docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
-    importable(spark)
+    ready(spark)
     return decontaminate.without_leaks(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents and their places in sequences of 2048 tokens."""
-    importable(spark)
+    ready(spark)
     return packing.pack(spark, docs, vocabulary("word_bpe_49k.json"), cache_words=100_000)
 
 
